@@ -319,3 +319,162 @@ def _fix_all():
 
 
 _fix_all()
+
+
+# ---------------------------------------------------------------- series / growth
+def _periods(spark, sf_dir):
+    from ..sources.tables import period_catalogue
+    return period_catalogue(spark, sf_dir)
+
+
+def _series_query(metric_id, entities, rng, transform="abs", basis="position",
+                  segments=(), line="all"):
+    def run(spark, sf_dir):
+        fl = filings(spark, sf_dir)
+        sl = slice_filings(fl, line=line, segments=segments)
+        return S.series(sl, metric_id, "all", _periods(spark, sf_dir), rng[0], rng[1],
+                        entities=entities, transform=transform, basis=basis,
+                        companies=_companies(fl))
+    return run
+
+
+def _targets_sql(entities) -> str:
+    vals = ", ".join(f"('{e}')" for e in entities)
+    return f"targets AS (SELECT * FROM (VALUES {vals}) t(target))"
+
+
+def _rng_sql(rng) -> str:
+    lo, hi = rng
+    return (f"rng AS (SELECT period, row_number() OVER (ORDER BY {pk()}) AS pos "
+            f"FROM (SELECT DISTINCT period FROM panel) "
+            f"WHERE {pk()} BETWEEN {pk(repr(lo))} AND {pk(repr(hi))})")
+
+
+def _prev_sql(p: str, step: int) -> str:
+    k = f"(CAST(substr({p}, 1, 4) AS INTEGER) * 4 + CAST(right({p}, 1) AS INTEGER) - 1 - {step})"
+    return f"(CAST({k} // 4 AS VARCHAR) || 'Q' || CAST({k} % 4 + 1 AS VARCHAR))"
+
+
+GROWTH = ("CASE WHEN {v} IS NOT NULL AND {b} IS NOT NULL AND {b} <> 0 "
+          "THEN ({v} - {b}) / {b} * 100.0 END")
+
+
+def _series_sql(metric_id, entities, rng, transform="abs", basis="position", where="TRUE"):
+    m = C.metric(metric_id)
+    vals = (derived_values_sql(metric_id, where) if m.derived
+            else base_values_sql(metric_id, where))
+    ctes = [COMPANIES_SQL, _targets_sql(entities), _rng_sql(rng),
+            f"vals AS (SELECT naic AS target, period, value FROM ({vals}))",
+            "grid AS (SELECT t.target, r.period, r.pos, v.value FROM targets t CROSS JOIN rng r "
+            "LEFT JOIN vals v ON v.target = t.target AND v.period = r.period)"]
+    step = 1 if transform == "qoq" else 4
+    if transform == "abs":
+        disp = "g.value"
+        src = "grid g"
+    elif basis == "position":
+        disp = GROWTH.format(v="g.value", b=f"lag(g.value, {step}) OVER (PARTITION BY g.target ORDER BY g.pos)")
+        src = "grid g"
+    else:
+        disp = GROWTH.format(v="g.value", b="bv.value")
+        src = (f"grid g LEFT JOIN vals bv ON bv.target = g.target "
+               f"AND bv.period = {_prev_sql('g.period', step)}")
+    body = f"""
+SELECT g.target, coalesce(c.name, g.target) AS name, g.period, g.value, {disp} AS display
+FROM {src} LEFT JOIN companies c ON c.naic = g.target"""
+    return O.with_panel(body, *ctes)
+
+
+def _reg_series(name, metric_id, entities, rng, transform="abs", basis="position",
+                segments=(), line="all"):
+    where = _where(line, False, segments)
+    register(name, _series_sql(metric_id, entities, rng, transform, basis, where))(
+        _series_query(metric_id, entities, rng, transform, basis, segments, line))
+
+
+_reg_series("series_compare", "tiv", SERIES_ENTITIES, RANGE, segments=(GAP_SEGMENT,))
+_reg_series("growth_qoq", "tiv", SERIES_ENTITIES, ("1997Q3", "2001Q2"), "qoq",
+            segments=(GAP_SEGMENT,))
+_reg_series("growth_yoy", "dpw", SERIES_ENTITIES, ("1997Q3", "2001Q2"), "yoy",
+            segments=(GAP_SEGMENT,))
+_reg_series("growth_calendar", "tiv", SERIES_ENTITIES, ("1997Q3", "2001Q2"), "yoy",
+            basis="calendar", segments=(GAP_SEGMENT,))
+_reg_series("growth_net_flow_qoq", "net_flow", SERIES_ENTITIES, ("1996Q1", "2001Q4"), "qoq",
+            line="Commercial Residential")
+
+
+@register("series_all", O.with_panel(f"""
+SELECT '{C.ALL_TARGET}' AS target, '{C.ALL_TARGET_NAME}' AS name, r.period,
+       coalesce(v.value, 0.0) AS value, coalesce(v.value, 0.0) AS display
+FROM rng r LEFT JOIN (SELECT period, {O.xsum0('dpw')} AS value FROM panel
+                      WHERE line = 'Personal Residential' GROUP BY period) v
+  ON v.period = r.period""", _rng_sql(("1996Q1", "2001Q4"))))
+def series_all(spark, sf_dir):
+    """No entity chosen → the slice total per period (0 when empty)."""
+    fl = filings(spark, sf_dir)
+    sl = slice_filings(fl, line="Personal Residential")
+    out = S.series(sl, "dpw", "all", _periods(spark, sf_dir), "1996Q1", "2001Q4")
+    return out.select("target", "name", "period", F.coalesce("value", F.lit(0.0)).alias("value"),
+                      F.coalesce("display", F.lit(0.0)).alias("display"))
+
+
+@register("share_over_time", O.with_panel(f"""
+SELECT v.period, v.naic, v.value, CASE WHEN t.total <> 0 THEN v.value / t.total END AS share
+FROM vals v JOIN (SELECT period, {O.xsum0('value')} AS total FROM vals GROUP BY period) t
+  ON v.period = t.period""", f"vals AS ({base_values_sql('tiv')} HAVING {O.xsum('tiv')} IS NOT NULL)"))
+def share_over_time(spark, sf_dir):
+    """Every entity's share of the slice in every period."""
+    return S.shares(filings(spark, sf_dir), "tiv")
+
+
+@register("share_delta", O.with_panel("""
+SELECT g.period, g.naic, s.value, s.share,
+       CASE WHEN s.share IS NOT NULL AND lag(s.share) OVER (PARTITION BY g.naic ORDER BY g.pos) IS NOT NULL
+            THEN s.share - lag(s.share) OVER (PARTITION BY g.naic ORDER BY g.pos) END AS share_delta
+FROM (SELECT e.naic, r.period, r.pos FROM (SELECT DISTINCT naic FROM sh) e CROSS JOIN rng r) g
+LEFT JOIN sh s ON s.naic = g.naic AND s.period = g.period""",
+    _rng_sql(RANGE),
+    f"vals AS (SELECT * FROM ({base_values_sql('tiv', _where(segments=(GAP_SEGMENT,)))}) "
+    f"WHERE value IS NOT NULL AND period IN (SELECT period FROM rng))",
+    f"""sh AS (SELECT v.period, v.naic, v.value,
+                     CASE WHEN t.total <> 0 THEN v.value / t.total END AS share
+              FROM vals v JOIN (SELECT period, {O.xsum0('value')} AS total FROM vals GROUP BY period) t
+                ON v.period = t.period)"""))
+def share_delta(spark, sf_dir):
+    """Share change against the previous period of the range (gaps stay null)."""
+    sl = slice_filings(filings(spark, sf_dir), segments=(GAP_SEGMENT,))
+    return S.share_delta(sl, "tiv", _periods(spark, sf_dir), RANGE[0], RANGE[1])
+
+
+@register("growth_rank", O.with_panel(f"""
+SELECT r.period, r.rank, r.naic, coalesce(c.name, r.naic) AS company, r.now, r.base,
+       r.value AS growth
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY period ORDER BY value DESC, {tie()}) AS BIGINT) AS rank
+      FROM g WHERE value IS NOT NULL) r
+LEFT JOIN companies c ON c.naic = r.naic
+WHERE r.rank <= 20""", COMPANIES_SQL,
+    f"vals AS ({base_values_sql('tiv')})",
+    f"""g AS (SELECT n.period, n.naic, n.value AS now, b.value AS base,
+                    {GROWTH.format(v='n.value', b='b.value')} AS value
+             FROM vals n LEFT JOIN vals b ON b.naic = n.naic AND b.period = '1999Q2'
+             WHERE n.period = '{SNAP_PERIOD}')"""))
+def growth_rank(spark, sf_dir):
+    """Year-on-year TIV growth of every entity in one period, ranked."""
+    fl = filings(spark, sf_dir)
+    return S.growth_rank(fl, "tiv", SNAP_PERIOD, "yoy", 20, companies=_companies(fl))
+
+
+@register("new_dropped", O.with_panel(f"""
+SELECT e.period, e.naic, 'new' AS change
+FROM ents e JOIN pairs p ON e.period = p.period
+WHERE NOT EXISTS (SELECT 1 FROM ents x WHERE x.period = p.prev AND x.naic = e.naic)
+UNION ALL
+SELECT p.period, e.naic, 'dropped' AS change
+FROM ents e JOIN pairs p ON e.period = p.prev
+WHERE NOT EXISTS (SELECT 1 FROM ents x WHERE x.period = p.period AND x.naic = e.naic)""",
+    f"ents AS (SELECT DISTINCT period, naic FROM panel WHERE {_where(segments=(GAP_SEGMENT,))})",
+    f"""pairs AS (SELECT period, lag(period) OVER (ORDER BY {pk()}) AS prev
+                 FROM (SELECT DISTINCT period FROM panel) QUALIFY prev IS NOT NULL)"""))
+def new_dropped(spark, sf_dir):
+    """Entities new or dropped against the previous quarter."""
+    sl = slice_filings(filings(spark, sf_dir), segments=(GAP_SEGMENT,))
+    return S.new_and_dropped(sl, _periods(spark, sf_dir))
