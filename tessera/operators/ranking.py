@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
+from ..session import materialize
 from ..functions.numbers import exact_sum0, safe_ratio
 from ..functions.text import naic_sort_keys
 
@@ -55,8 +56,9 @@ def distributed_rank(df: DataFrame, part: str, value: str, key: str,
     """
     order = [F.col(part).asc()] + _order(value, key)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order)
-                .withColumn("_range", F.spark_partition_id()))
+    # Materialised once: the numbering and the counts must see one range split.
+    ranged = materialize(df.repartitionByRange(n, *order)
+                           .withColumn("_range", F.spark_partition_id()))
     w_local = Window.partitionBy("_range", part).orderBy(*_order(value, key))
     local = ranged.withColumn("_local", F.row_number().over(w_local))
     counts = ranged.groupBy("_range", part).agg(F.count(F.lit(1)).alias("_n"))

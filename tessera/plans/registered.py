@@ -478,3 +478,320 @@ def new_dropped(spark, sf_dir):
     """Entities new or dropped against the previous quarter."""
     sl = slice_filings(filings(spark, sf_dir), segments=(GAP_SEGMENT,))
     return S.new_and_dropped(sl, _periods(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- grids and cells
+from ..operators import grid as G  # noqa: E402
+from ..operators import quality as Q  # noqa: E402
+from ..operators import reshape as RS  # noqa: E402
+from ..operators import search as SE  # noqa: E402
+from ..functions import labels as L  # noqa: E402
+from ..functions.numbers import clean_number, is_suppressed  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+from ..sources.tables import BOUND_METRICS, read_table, summary_from_tables  # noqa: E402
+
+METRIC_LIST = ", ".join(BOUND_METRICS)
+
+
+def _grid(spark, sf_dir):
+    fl = filings(spark, sf_dir)
+    cells = G.panel_to_cells(fl, BOUND_METRICS)
+    files = FS.describe_files(cells.select("path").distinct())
+    return fl, cells, files
+
+
+@register("grid_to_wide", O.with_panel(f"""
+SELECT period, naic, company, policy_type, line, is_wind_only, {METRIC_LIST},
+       CASE WHEN is_sup THEN 'pif|tiv' ELSE '' END AS suppressed
+FROM panel"""))
+def grid_to_wide(spark, sf_dir):
+    """N1-N10 round trip: panel → sheet cells → header detection, rules, cleaning,
+    footer split, pivot → the panel again."""
+    _, cells, files = _grid(spark, sf_dir)
+    facts = G.parse_grid(cells, files, "B")["facts"]
+    return facts.select("period", "naic", "company", "policy_type", "line", "is_wind_only",
+                        *BOUND_METRICS, F.array_join("suppressed", "|").alias("suppressed"))
+
+
+def _header_layout_sql() -> str:
+    n = len(BOUND_METRICS)
+    rows = [f"({i + 1}, {i + 1}, '{d}', 'dim')" for i, d in enumerate(["naic", "company",
+                                                                          "policy_type"])]
+    rows += [f"({3 + n - i}, {4 + i}, '{m}', 'metric')" for i, m in enumerate(BOUND_METRICS)]
+    return "cols AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") t(col_odd, col_even, key, role))"
+
+
+@register("header_classify", O.with_panel("""
+SELECT 'grid/QUASR_by_company_and_policy_type_' || substr(p.period, 1, 4) || 'q'
+         || right(p.period, 1) || '.xlsx' AS path,
+       CAST(CASE WHEN CAST(right(p.period, 1) AS INTEGER) % 2 = 1 THEN c.col_odd ELSE c.col_even END
+            AS INTEGER) AS col_no,
+       c.key, c.role
+FROM (SELECT DISTINCT period FROM panel) p CROSS JOIN cols c""", _header_layout_sql()))
+def header_classify(spark, sf_dir):
+    """N1 + N3: every generated header text maps back to the key it was written for."""
+    _, cells, files = _grid(spark, sf_dir)
+    h = G.classify_headers(cells, files)
+    return h.select("path", "col_no", "key", "role")
+
+
+@register("clean_money", """
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_linenumber IN (1, 2, 6) THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE)
+       END AS value,
+       l_linenumber = 3 AS is_suppressed
+FROM lineitem""")
+def clean_money(spark, sf_dir):
+    """F1/F2 over messy money text made from every line item's price.
+
+    Line number → text: 1 '$1,234.50', 2 ' 1234.50' + NBSP, 3 '.', 4 '-',
+    5 'n/a', 6 '123450e-2', 7 '(1234.50)'.
+    """
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber",
+                                                      "l_extendedprice")
+    p = F.col("l_extendedprice")
+    cents = F.round(p * 100).cast("bigint").cast("string")
+    raw = (F.when(F.col("l_linenumber") == 1, F.concat(F.lit("$"), F.format_number(p, 2)))
+            .when(F.col("l_linenumber") == 2,
+                  F.concat(F.lit(" "), F.format_string("%.2f", p), F.lit(" ")))
+            .when(F.col("l_linenumber") == 3, F.lit(" . "))
+            .when(F.col("l_linenumber") == 4, F.lit("-"))
+            .when(F.col("l_linenumber") == 5, F.lit("n/a"))
+            .when(F.col("l_linenumber") == 6, F.concat(cents, F.lit("e-2")))
+            .otherwise(F.concat(F.lit("("), F.format_string("%.2f", p), F.lit(")"))))
+    return li.select("l_orderkey", "l_linenumber", clean_number(raw, F.lit("s")).alias("value"),
+                     is_suppressed(raw).alias("is_suppressed"))
+
+
+def _listing_sql() -> str:
+    return """listing AS (
+  SELECT DISTINCT
+    'data/QUASR_' || CASE l_returnflag WHEN 'R' THEN 'by_company_and_commercial_personal'
+                                       WHEN 'N' THEN 'by_company_and_policy_type'
+                                       ELSE 'misc_report' END
+    || '_' || CAST(year(l_shipdate) AS VARCHAR) || 'q' || CAST(quarter(l_shipdate) AS VARCHAR)
+    || '_' || strftime(l_shipdate, '%Y%m%d') || 't'
+    || CASE WHEN l_linestatus = 'O' THEN '120000' ELSE '090000' END || '.xlsx' AS path,
+    CASE l_returnflag WHEN 'R' THEN 'A' WHEN 'N' THEN 'B' END AS layout,
+    CAST(year(l_shipdate) AS VARCHAR) || 'Q' || CAST(quarter(l_shipdate) AS VARCHAR) AS period,
+    strftime(l_shipdate, '%Y%m%d') || 't'
+    || CASE WHEN l_linestatus = 'O' THEN '120000' ELSE '090000' END AS pull_ts
+  FROM lineitem
+)"""
+
+
+@register("newest_pull", f"""
+WITH {_listing_sql()}
+SELECT layout, period, arg_max(path, pull_ts) AS path, max(pull_ts) AS pull_ts,
+       count(*) AS n_pulls
+FROM listing WHERE layout IS NOT NULL GROUP BY layout, period""")
+def newest_pull(spark, sf_dir):
+    """SRC2-SRC5 over a file listing Spark derives from the ship dates: layout and
+    period from the name, newest pull per (layout, period), other names ignored."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_shipdate", "l_returnflag",
+                                                      "l_linestatus")
+    token = (F.when(F.col("l_returnflag") == "R", F.lit("by_company_and_commercial_personal"))
+              .when(F.col("l_returnflag") == "N", F.lit("by_company_and_policy_type"))
+              .otherwise(F.lit("misc_report")))
+    ts = F.concat(F.date_format("l_shipdate", "yyyyMMdd"), F.lit("t"),
+                  F.when(F.col("l_linestatus") == "O", F.lit("120000")).otherwise(F.lit("090000")))
+    names = li.select(F.concat(F.lit("data/QUASR_"), token, F.lit("_"),
+                               F.year("l_shipdate").cast("string"), F.lit("q"),
+                               F.quarter("l_shipdate").cast("string"), F.lit("_"), ts,
+                               F.lit(".xlsx")).alias("path")).distinct()
+    d = FS.describe_files(names)
+    counts = (d.filter(F.col("layout").isNotNull() & F.col("period").isNotNull())
+               .groupBy("layout", "period").agg(F.count(F.lit(1)).alias("n_pulls")))
+    return (FS.newest_pulls(d).join(counts, ["layout", "period"])
+              .select("layout", "period", "path", "pull_ts", "n_pulls"))
+
+
+@register("observations_long", O.with_panel(f"""
+SELECT period, naic AS naic_code, company AS company_name, line, policy_type,
+       CASE WHEN col LIKE '%\\_incl\\_wind' ESCAPE '\\' THEN 'incl'
+            WHEN col LIKE '%\\_excl\\_wind' ESCAPE '\\' THEN 'excl'
+            WHEN is_wind_only THEN 'wind_only' ELSE 'all' END AS wind_basis,
+       regexp_replace(col, '_(incl|excl)_wind$', '') AS metric, value,
+       (is_sup AND col IN ('pif', 'tiv')) AS is_suppressed, 'B' AS source_file_type
+FROM panel UNPIVOT INCLUDE NULLS (value FOR col IN ({METRIC_LIST}))"""))
+def observations_long(spark, sf_dir):
+    """Wide facts → long observations with the wind basis."""
+    long = RS.observations(filings(spark, sf_dir), BOUND_METRICS)
+    return long.drop("period_end_date", "source_file")
+
+
+@register("suppressed_counts", O.with_panel(f"""
+SELECT period, metric, CAST(sum(CAST(is_suppressed AS INTEGER)) AS BIGINT) AS n_suppressed,
+       count(CASE WHEN value IS NULL THEN 1 END) AS n_null, count(*) AS n_cells
+FROM (SELECT period, regexp_replace(col, '_(incl|excl)_wind$', '') AS metric, value,
+             (is_sup AND col IN ('pif', 'tiv')) AS is_suppressed
+      FROM panel UNPIVOT INCLUDE NULLS (value FOR col IN ({METRIC_LIST})))
+GROUP BY period, metric"""))
+def suppressed_counts(spark, sf_dir):
+    """Suppressed and null cells per period and metric."""
+    return Q.suppressed_counts(RS.observations(filings(spark, sf_dir), BOUND_METRICS))
+
+
+@register("checksum_totals", O.with_panel(f"""
+SELECT b.period, b.metric, b.body_sum, t.total, b.body_sum - t.total AS diff, b.rows,
+       CASE WHEN t.total IS NULL THEN 'no_total'
+            WHEN t.total = 0 AND b.body_sum <> 0 THEN 'mismatch'
+            WHEN t.total <> 0 AND abs(b.body_sum - t.total) / abs(t.total) > 0.0001 THEN 'mismatch'
+            ELSE 'ok' END AS status
+FROM (SELECT period, 'pif' AS metric, {O.xsum0('pif')} AS body_sum, count(*) AS rows
+      FROM panel GROUP BY period
+      UNION ALL
+      SELECT period, 'tiv', {O.xsum0('tiv')}, count(*) FROM panel GROUP BY period) b
+LEFT JOIN (SELECT CAST(year(l_shipdate) AS VARCHAR) || 'Q' || CAST(quarter(l_shipdate) AS VARCHAR)
+                    AS period,
+                  CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS pif,
+                  CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS tiv
+           FROM lineitem GROUP BY 1) tt ON tt.period = b.period
+CROSS JOIN LATERAL (SELECT CASE b.metric WHEN 'pif' THEN tt.pif ELSE tt.tiv END AS total) t"""))
+def checksum_totals(spark, sf_dir):
+    """Q-A: body sums (suppressed cells count 0) against the published totals
+    (the unsuppressed sums straight from the line items), per period and metric."""
+    fl = filings(spark, sf_dir)
+    li = read_table(spark, sf_dir, "lineitem")
+    from ..functions.text import period_of
+    totals = (li.groupBy(period_of(F.col("l_shipdate")).alias("period"))
+                .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("pif"),
+                     F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
+                     .alias("tiv")))
+    return Q.checksum(fl, totals, ["pif", "tiv"])
+
+
+@register("unknown_segments", O.with_panel("""
+SELECT period, policy_type, count(*) AS rows FROM panel WHERE line = 'Other'
+GROUP BY period, policy_type"""))
+def unknown_segments(spark, sf_dir):
+    """Q-C: segments with no known line prefix, counted per period."""
+    return Q.unknown_segments(filings(spark, sf_dir))
+
+
+@register("coverage", O.with_panel("""
+SELECT coalesce(b.period, a.period) AS period, coalesce(a.n, 0) > 0 AS has_A,
+       coalesce(b.n, 0) > 0 AS has_B, coalesce(a.n, 0) AS facts_a, coalesce(b.n, 0) AS facts_b
+FROM (SELECT period, count(*) AS n FROM panel GROUP BY period) b
+FULL JOIN (SELECT period, count(*) AS n FROM summary GROUP BY period) a ON a.period = b.period""",
+    summary=True))
+def coverage(spark, sf_dir):
+    """Q-B / J5: which layouts have facts in each period."""
+    return Q.coverage(filings(spark, sf_dir), summary_from_tables(spark, sf_dir))
+
+
+@register("summary_counts", O.with_panel("""
+SELECT count(DISTINCT period) AS periods, count(CASE WHEN layout = 'B' THEN 1 END) AS facts_b,
+       count(CASE WHEN layout = 'A' THEN 1 END) AS facts_a, count(DISTINCT naic) AS entities,
+       count(DISTINCT CASE WHEN layout = 'B' AND policy_type <> '' THEN policy_type END) AS segments
+FROM (SELECT period, naic, policy_type, 'B' AS layout FROM panel
+      UNION ALL SELECT period, naic, NULL, 'A' FROM summary)""", summary=True))
+def summary_counts(spark, sf_dir):
+    """A15 / Q-F: dataset counts over both layouts."""
+    return Q.summary_counts(filings(spark, sf_dir), summary_from_tables(spark, sf_dir))
+
+
+@register("reconcile_summary", O.with_panel(f"""
+SELECT coalesce(a.period, b.period) AS period, coalesce(a.naic, b.naic) AS naic,
+       coalesce(a.line, b.line) AS line, a.a_value, b.b_value, a.a_value - b.b_value AS diff,
+       CASE WHEN b.b_value IS NULL THEN 'only_a' WHEN a.a_value IS NULL THEN 'only_b'
+            WHEN b.b_value = 0 AND a.a_value = 0 THEN 'match'
+            WHEN abs(a.a_value - b.b_value) <= abs(b.b_value) * 0.0001 THEN 'match'
+            ELSE 'differ' END AS status
+FROM (SELECT period, naic, line, {O.xsum0('value')} AS a_value FROM (
+        SELECT period, naic, 'Commercial Residential' AS line, a_pif_commercial AS value FROM summary
+        UNION ALL
+        SELECT period, naic, 'Personal Residential', a_pif_personal FROM summary)
+      GROUP BY period, naic, line) a
+FULL JOIN (SELECT period, naic, line, {O.xsum0('pif')} AS b_value FROM panel
+           GROUP BY period, naic, line) b
+  ON a.period = b.period AND a.naic = b.naic AND a.line = b.line""", summary=True))
+def reconcile_summary(spark, sf_dir):
+    """J6 + N14: Layout A (split by customer) against Layout B rolled up by line."""
+    fl = filings(spark, sf_dir)
+    a_long = RS.observations_a(summary_from_tables(spark, sf_dir))
+    return Q.reconcile(fl, a_long, "pif")
+
+
+@register("breakdown_line", O.with_panel(f"""
+SELECT period, line, {O.xsum('tiv')} AS value FROM panel GROUP BY period, line"""))
+def breakdown_line(spark, sf_dir):
+    """TIV by line per period (the data behind stacked bars)."""
+    return M.breakdown(filings(spark, sf_dir), "tiv", "line")
+
+
+@register("breakdown_wind", O.with_panel(f"""
+SELECT period, 'incl' AS basis, {O.xsum('tiv_incl_wind')} AS value FROM panel GROUP BY period"""))
+def breakdown_wind(spark, sf_dir):
+    """TIV split by wind basis (only the columns present in the data)."""
+    return M.breakdown(filings(spark, sf_dir), "tiv", wind_split=True)
+
+
+@register("rollup_cube", O.with_panel(f"""
+SELECT period, line, CAST(grouping(period, line) AS INTEGER) AS grouping_id,
+       {O.xsum('tiv')} AS tiv,
+       {O.xsum0('new_written')} + {O.xsum0('received_in')} - {O.xsum0('cancelled')}
+         - {O.xsum0('nonrenewed')} - {O.xsum0('transferred_out')} AS net_flow
+FROM panel GROUP BY ROLLUP (period, line)"""))
+def rollup_cube(spark, sf_dir):
+    """Free rollup with subtotals (period → line → grand total)."""
+    out = M.free_rollup(filings(spark, sf_dir), ["period", "line"], ["tiv", "net_flow"], "rollup")
+    return out.withColumn("grouping_id", F.col("grouping_id").cast("int"))
+
+
+@register("entity_search_history", O.with_panel(f"""
+SELECT p.naic, p.period, p.company, {O.xsum('p.tiv')} AS tiv
+FROM panel p
+WHERE p.naic IN (SELECT naic FROM companies
+                 WHERE contains(lower(name), 'supplier#00000004') OR contains(naic, 'supplier#00000004')
+                    OR list_bool_or(list_transform(names, lambda n: contains(lower(n), 'supplier#00000004'))))
+GROUP BY p.naic, p.period, p.company""", COMPANIES_SQL))
+def entity_search_history(spark, sf_dir):
+    """P7 + P9: search names (current or historic) and keys, then the full history."""
+    fl = filings(spark, sf_dir)
+    hits = SE.search_entities(D.companies(fl), "Supplier#00000004")
+    hist = SE.entity_history(fl, hits)
+    return hist.groupBy("naic", "period", "company").agg(M.exact_sum("tiv").alias("tiv"))
+
+
+@register("segment_search", O.with_panel("""
+SELECT DISTINCT policy_type, line, is_wind_only,
+       CASE WHEN is_wind_only THEN '〜 ' ELSE '' END
+       || replace(replace(policy_type, 'Commercial Residential - ', 'C: '),
+                  'Personal Residential - ', 'P: ') AS label
+FROM panel WHERE line = 'Personal Residential' AND is_wind_only
+  AND contains(lower(policy_type), 'la')"""))
+def segment_search(spark, sf_dir):
+    """P8 + F15/F16: wind-only personal segments whose text contains 'la'."""
+    segs = D.segments(filings(spark, sf_dir))
+    return SE.search_segments(segs, "La", "Personal Residential", True)
+
+
+@register("labels_money_pct", O.with_panel(f"""
+SELECT period, naic, value, share,
+       '$' || CASE WHEN abs(value) >= 1e3
+                   THEN regexp_replace(regexp_replace(
+                          format('{{:,.2f}}', round(CAST(value / d AS DECIMAL(38,10)), 2)),
+                          '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || suf
+                   ELSE format('{{:,.0f}}', round(CAST(value AS DECIMAL(38,10)), 0)) END
+         AS value_label,
+       CASE WHEN share IS NULL THEN '—'
+            ELSE format('{{:,.1f}}', round(CAST(share * 100 AS DECIMAL(38,10)), 1)) || '%' END
+         AS share_label,
+       format('{{:,.0f}}', floor(value / 1000 + 0.5)) AS count_label
+FROM (SELECT *, CASE WHEN abs(value) >= 1e12 THEN 1e12 WHEN abs(value) >= 1e9 THEN 1e9
+                     WHEN abs(value) >= 1e6 THEN 1e6 ELSE 1e3 END AS d,
+                CASE WHEN abs(value) >= 1e12 THEN 'T' WHEN abs(value) >= 1e9 THEN 'B'
+                     WHEN abs(value) >= 1e6 THEN 'M' ELSE 'K' END AS suf
+      FROM (SELECT v.period, v.naic, v.value,
+                   CASE WHEN t.total <> 0 THEN v.value / t.total END AS share
+            FROM vals v JOIN (SELECT period, {O.xsum0('value')} AS total FROM vals GROUP BY period) t
+              ON v.period = t.period))""",
+    f"vals AS ({base_values_sql('dpw')} HAVING {O.xsum('dpw')} IS NOT NULL)"))
+def labels_money_pct(spark, sf_dir):
+    """Money (auto T/B/M/K), percent and count labels on every entity's DPW share."""
+    sh = S.shares(filings(spark, sf_dir), "dpw")
+    return sh.select("period", "naic", "value", "share",
+                     L.money_label(F.col("value")).alias("value_label"),
+                     L.or_dash(L.pct_label(F.col("share"))).alias("share_label"),
+                     L.count_label(F.col("value") / 1000).alias("count_label"))

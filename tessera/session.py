@@ -66,3 +66,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written intermediate."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tessera/{name}"
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+
+    Used where two branches of one plan must see the *same* rows (for example
+    a range partitioning whose sampled bounds would differ on recomputation);
+    unlike a cache, the files survive the loss of an executor.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
