@@ -273,7 +273,7 @@ def panel_to_cells(panel: DataFrame, metrics: list[str], folder: str = "grid") -
                             F.col("c.col_no").cast("int").alias("col_no"),
                             F.col("c.kind").alias("kind"), F.col("c.raw").alias("raw"))
                     .filter(F.col("raw").isNotNull()))
-    periods = panel.groupBy("period").agg(
+    periods = numbered.groupBy("period").agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.sum(F.when(~F.array_contains(F.col("suppressed"), m), F.col(m))).alias(m)
           for m in metrics])

@@ -257,11 +257,7 @@ FROM (SELECT *, {derived_parts_sql()} FROM panel WHERE line = 'Commercial Reside
 GROUP BY period, nw, ri, cn, nr, tr_out, pif_s, dpw_s, tiv_s, tivw_s"""))
 def slice_totals(spark, sf_dir):
     fl = slice_filings(filings(spark, sf_dir), line="Commercial Residential")
-    out = None
-    for mid in TOTAL_METRICS:
-        t = M.slice_totals(fl, mid, value=mid)
-        out = t if out is None else out.join(t, "period")
-    return out
+    return M.slice_totals_many(fl, TOTAL_METRICS)
 
 
 # The SQL above groups "SELECT *" which is not what we want; replace with a clean form.
@@ -489,13 +485,16 @@ from ..functions import labels as L  # noqa: E402
 from ..functions.numbers import clean_number, is_suppressed  # noqa: E402
 from ..sources import files as FS  # noqa: E402
 from ..sources.tables import BOUND_METRICS, read_table, summary_from_tables  # noqa: E402
+from ..session import materialize  # noqa: E402
 
 METRIC_LIST = ", ".join(BOUND_METRICS)
 
 
 def _grid(spark, sf_dir):
     fl = filings(spark, sf_dir)
-    cells = G.panel_to_cells(fl, BOUND_METRICS)
+    # The cell table is the persisted unit of the ingest (one pass over the
+    # source, read by every later step), so it is materialised once.
+    cells = materialize(G.panel_to_cells(fl, BOUND_METRICS))
     files = FS.describe_files(cells.select("path").distinct())
     return fl, cells, files
 
@@ -599,6 +598,9 @@ def newest_pull(spark, sf_dir):
                                F.year("l_shipdate").cast("string"), F.lit("q"),
                                F.quarter("l_shipdate").cast("string"), F.lit("_"), ts,
                                F.lit(".xlsx")).alias("path")).distinct()
+    # A listing is a small table: written once, so the name parsing below runs
+    # on its rows instead of being pushed under the distinct onto every line item.
+    names = materialize(names)
     d = FS.describe_files(names)
     counts = (d.filter(F.col("layout").isNotNull() & F.col("period").isNotNull())
                .groupBy("layout", "period").agg(F.count(F.lit(1)).alias("n_pulls")))

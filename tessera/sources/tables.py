@@ -53,6 +53,11 @@ def _dec2(c) -> F.Column:
     return c.cast("decimal(18,2)")
 
 
+def _units(c, digits: int) -> F.Column:
+    """A value with ``digits`` decimals as an exact integer count of units."""
+    return F.round(c * F.lit(10 ** digits)).cast("bigint")
+
+
 def filings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout-B filings panel from lineitem, part and supplier.
 
@@ -66,21 +71,25 @@ def filings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
 
     j = li.join(part, li.l_partkey == part.p_partkey)
-    price = _dec2(F.col("l_extendedprice"))
+    # Money and quantities are exact two-decimal numbers: sum them as integer
+    # hundredths (premium as ten-thousandths), which is exact like a DECIMAL sum
+    # but runs on 64-bit longs inside generated code.
+    price = _units(F.col("l_extendedprice"), 2)
     agg = (j.groupBy(F.year("l_shipdate").alias("year"),
                      F.quarter("l_shipdate").alias("quarter"),
                      F.col("l_suppkey").alias("suppkey"),
                      segment_text(F.col("p_type"), F.col("p_size")).alias("policy_type"))
             .agg(F.count(F.lit(1)).alias("n_lines"),
-                 F.sum(_dec2(F.col("l_quantity"))).alias("pif"),
+                 F.sum(_units(F.col("l_quantity"), 2)).alias("pif"),
                  F.sum(price).alias("tiv"),
                  F.sum(F.when(F.col("p_size") % 3 == 0, price)).alias("tiv_incl_wind"),
-                 F.sum(price * F.col("l_discount").cast("decimal(6,2)")).alias("dpw"),
+                 F.sum(price * _units(F.col("l_discount"), 2)).alias("dpw"),
                  F.count(F.when(F.col("l_linestatus") == "O", 1)).alias("new_written"),
                  F.count(F.when(F.col("l_returnflag") == "N", 1)).alias("received_in"),
                  F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("cancelled"),
                  F.count(F.when(F.col("l_returnflag") == "A", 1)).alias("nonrenewed"),
                  F.count(F.when(F.col("l_tax") == 0.08, 1)).alias("transferred_out")))
+    scale = {"pif": 100.0, "tiv": 100.0, "tiv_incl_wind": 100.0, "dpw": 10000.0}
 
     named = agg.join(supplier, agg.suppkey == supplier.s_suppkey, "left")
     naic = naic_text(F.col("suppkey"))
@@ -90,6 +99,8 @@ def filings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = []
     for m in BOUND_METRICS:
         v = F.col(m).cast("double")
+        if m in scale:
+            v = v / F.lit(scale[m])
         if m in ("pif", "tiv"):
             v = F.when(~suppressed, v)
         metrics.append(v.alias(m))
@@ -125,8 +136,8 @@ def summary_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (li.join(orders, li.l_orderkey == orders.o_orderkey)
            .join(customer, F.col("o_custkey") == customer.c_custkey))
     commercial = F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
-    qty = _dec2(F.col("l_quantity"))
-    prem = _dec2(F.col("l_extendedprice")) * F.col("l_discount").cast("decimal(6,2)")
+    qty = _units(F.col("l_quantity"), 2)
+    prem = _units(F.col("l_extendedprice"), 2) * _units(F.col("l_discount"), 2)
     agg = (j.groupBy(F.year("l_shipdate").alias("year"),
                      F.quarter("l_shipdate").alias("quarter"),
                      F.col("l_suppkey").alias("suppkey"))
@@ -140,11 +151,11 @@ def summary_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     period = period_text(F.col("year"), F.col("quarter"))
     company = F.when(F.col("year") < 1998, F.col("s_name")).otherwise(
         F.concat(F.col("s_name"), F.lit(" Mutual")))
-    cols = ["a_pif", "a_pif_commercial", "a_pif_personal", "a_dpw", "a_dpw_commercial",
-            "a_dpw_personal"]
+    cols = {"a_pif": 100.0, "a_pif_commercial": 100.0, "a_pif_personal": 100.0,
+            "a_dpw": 10000.0, "a_dpw_commercial": 10000.0, "a_dpw_personal": 10000.0}
     return named.select(period.alias("period"), period_end(period).alias("period_end"),
                         naic_text(F.col("suppkey")).alias("naic"), company.alias("company"),
-                        *[F.col(c).cast("double").alias(c) for c in cols])
+                        *[(F.col(c).cast("double") / F.lit(d)).alias(c) for c, d in cols.items()])
 
 
 def period_catalogue(spark: SparkSession, sf_dir: str) -> list[str]:
