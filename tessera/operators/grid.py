@@ -111,44 +111,56 @@ def file_warnings(files: DataFrame, hdr: DataFrame, hmap: DataFrame) -> DataFram
 
 
 def _pivot_rows(body: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
-    """One wide row per (path, row_no); every key has one column already."""
+    """One wide row per (path, row_no); every key has one column already.
+
+    Metric values and suppression flags aggregate in fixed-width buffers; the
+    three text dimensions are the only variable-width ones.
+    """
     aggs = []
     for d in dims:
         aggs.append(F.max(F.when(F.col("key") == d, F.col("raw"))).alias(f"_{d}"))
     for k in keys:
         aggs.append(F.max(F.when(F.col("key") == k, F.col("value"))).alias(k))
-    aggs.append(F.array_sort(F.collect_set(F.when(F.col("sup"), F.col("key")))).alias("suppressed"))
-    return body.groupBy("path", "row_no").agg(*aggs)
+        aggs.append(F.max(F.when((F.col("key") == k) & F.col("sup"), F.lit(1))).alias(f"_s_{k}"))
+    g = body.groupBy("path", "row_no").agg(*aggs)
+    sup = F.array_compact(F.array(*[F.when(F.col(f"_s_{k}") == 1, F.lit(k)) for k in keys]))
+    return g.withColumn("suppressed", F.array_sort(sup)).drop(*[f"_s_{k}" for k in keys])
 
 
-def parse_grid(cells: DataFrame, files: DataFrame, layout: str = "B"
-               ) -> dict[str, DataFrame]:
+def parse_grid(cells: DataFrame, files: DataFrame, layout: str = "B",
+               max_scan: int = C.HEADER_SCAN_ROWS) -> dict[str, DataFrame]:
     """Cells of one layout → facts, published totals, header report, warnings.
 
     ``files``: one row per workbook: path, layout, period (others ignored).
     Returns a dict with ``facts`` (wide), ``totals`` (path, period, metrics),
-    ``headers``, ``collisions``, ``warnings``, ``metrics_seen``.
+    ``headers``, ``collisions``, ``warnings``, ``metrics_seen``, ``header_rows``.
+
+    Everything per file is computed from the first ``max_scan`` rows (the
+    header must be there) and written once; that table has one row per file
+    and header column, so it is broadcast to the single join that keys the
+    body cells. The body then needs one shuffle: the pivot by (path, row_no).
     """
     files = files.filter(F.col("layout") == layout).select("path", "layout", "period")
-    cells = cells.join(files.select("path"), "path", "left_semi")
-    hdr = header_rows(cells)
-    headers = classify_headers(cells, files, hdr)
+    top = cells.filter(F.col("row_no") <= max_scan).join(files.select("path"), "path", "left_semi")
+    hdr = header_rows(top, max_scan=max_scan)
+    headers = classify_headers(top, files, hdr)
     hmap, collisions = header_map(headers)
     warnings = file_warnings(files, hdr, hmap)
-    dims = DIMS[layout]
     good = files.join(warnings.select("path"), "path", "left_anti")
+    # One row per good file × mapped header column: bounded by files × columns.
+    colmap = materialize(
+        hmap.join(good.select("path", "period"), "path").join(hdr, "path")
+            .select("path", "period", "header_row", "col_no", "key"), "colmap")
+    dims = DIMS[layout]
     keys = C.layout_b_metric_keys() if layout == "B" else C.layout_a_metric_keys()
-    body = (cells.join(hdr, "path")
+    body = (cells.join(F.broadcast(colmap), ["path", "col_no"])
                  .filter(F.col("row_no") > F.col("header_row"))
-                 .join(hmap.select("path", "col_no", "key"), ["path", "col_no"])
-                 .join(good.select("path"), "path", "left_semi")
                  .withColumn("value", F.when(F.col("key").isin(keys),
                                              clean_number(F.col("raw"), F.col("kind"))))
                  .withColumn("sup", F.col("key").isin(keys) & is_suppressed(F.col("raw"))))
-    if layout == "A":
-        # Q11 fix: suppression is tracked for Layout A as well.
-        pass
-    rows = _pivot_rows(body, keys, dims).join(good.select("path", "period"), "path")
+    # Q11 fix: suppression is tracked for Layout A as well as B.
+    periods = colmap.select("path", "period").distinct()
+    rows = _pivot_rows(body, keys, dims).join(F.broadcast(periods), "path")
     is_total = norm_header(F.col("_company")) == C.TOTAL_ROW_NAME
     rows = rows.withColumn("_is_total", is_total)
     # The footer; the last one of a file wins.
@@ -218,8 +230,10 @@ def number_rows(df: DataFrame, part: str, order: list[str], out: str = "n") -> D
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(part)] + [F.col(c) for c in order]
-    # Materialised once: the numbering and the counts must see one range split.
-    ranged = materialize(df.repartitionByRange(n, *cols).withColumn("_range", F.spark_partition_id()))
+    # The input is written once, so the range bounds Spark samples are the same
+    # for the numbering branch and the count branch (and after a lost executor).
+    base = materialize(df, "rows")
+    ranged = base.repartitionByRange(n, *cols).withColumn("_range", F.spark_partition_id())
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_range", part).orderBy(*order)))
     counts = ranged.groupBy("_range", part).agg(F.count(F.lit(1)).alias("_n"))

@@ -494,8 +494,10 @@ def _grid(spark, sf_dir):
     fl = filings(spark, sf_dir)
     # The cell table is the persisted unit of the ingest (one pass over the
     # source, read by every later step), so it is materialised once.
-    cells = materialize(G.panel_to_cells(fl, BOUND_METRICS))
-    files = FS.describe_files(cells.select("path").distinct())
+    cells = materialize(G.panel_to_cells(fl, BOUND_METRICS), "cells")
+    # One title cell per sheet gives the workbook list.
+    sheets = cells.filter((F.col("row_no") == 1) & (F.col("col_no") == 1)).select("path")
+    files = FS.describe_files(sheets)
     return fl, cells, files
 
 

@@ -68,12 +68,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tessera/{name}"
 
 
-def materialize(df):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+def materialize(df, name: str | None = None):
+    """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder
+    and read it back.
 
-    Used where two branches of one plan must see the *same* rows (for example
-    a range partitioning whose sampled bounds would differ on recomputation);
-    unlike a cache, the files survive the loss of an executor.
+    One job computes the rows once; later branches read the same files (so
+    two branches of a plan see identical rows, even after an executor is
+    lost), and the read carries file sizes, so the optimizer can size joins.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    path = shared_path(spark, f"{name or 'm'}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
