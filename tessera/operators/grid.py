@@ -230,10 +230,10 @@ def number_rows(df: DataFrame, part: str, order: list[str], out: str = "n") -> D
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(part)] + [F.col(c) for c in order]
-    # The input is written once, so the range bounds Spark samples are the same
-    # for the numbering branch and the count branch (and after a lost executor).
-    base = materialize(df, "rows")
-    ranged = base.repartitionByRange(n, *cols).withColumn("_range", F.spark_partition_id())
+    # The range id is written with the rows: the numbering branch and the count
+    # branch must read one split (a partition id is not stable across plans).
+    ranged = materialize(df.repartitionByRange(n, *cols)
+                           .withColumn("_range", F.spark_partition_id()), "rows")
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_range", part).orderBy(*order)))
     counts = ranged.groupBy("_range", part).agg(F.count(F.lit(1)).alias("_n"))

@@ -56,10 +56,10 @@ def distributed_rank(df: DataFrame, part: str, value: str, key: str,
     """
     order = [F.col(part).asc()] + _order(value, key)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The input is written once, so the range bounds Spark samples are the same
-    # for the numbering branch and the count branch (and after a lost executor).
-    base = materialize(df, "rank")
-    ranged = base.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    # The range id is written with the rows: the numbering branch and the count
+    # branch must read one split (a partition id is not stable across plans).
+    ranged = materialize(df.repartitionByRange(n, *order)
+                           .withColumn("_range", F.spark_partition_id()), "rank")
     w_local = Window.partitionBy("_range", part).orderBy(*_order(value, key))
     local = ranged.withColumn("_local", F.row_number().over(w_local))
     counts = ranged.groupBy("_range", part).agg(F.count(F.lit(1)).alias("_n"))

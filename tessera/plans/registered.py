@@ -799,3 +799,20 @@ def labels_money_pct(spark, sf_dir):
                      L.money_label(F.col("value")).alias("value_label"),
                      L.or_dash(L.pct_label(F.col("share"))).alias("share_label"),
                      L.count_label(F.col("value") / 1000).alias("count_label"))
+
+
+@register("rank_all", O.with_panel(f"""
+SELECT r.period, r.rank, r.naic, coalesce(c.name, r.naic) AS company, r.value
+FROM (SELECT period, naic, value,
+             CAST(row_number() OVER (PARTITION BY period ORDER BY value DESC, {tie()}) AS BIGINT)
+               AS rank
+      FROM ({base_values_sql('dpw')}) ev WHERE value IS NOT NULL) r
+LEFT JOIN companies c ON r.naic = c.naic""", COMPANIES_SQL))
+def rank_all(spark, sf_dir):
+    """W1 without a cut: every entity of every period ranked, without sending a
+    whole period through one task (range split + offsets)."""
+    fl = filings(spark, sf_dir)
+    vals = M.entity_values(fl, "dpw")
+    ranked = R.rank_top(vals, None)
+    return R.with_names(ranked, _companies(fl)).select("period", "rank", "naic", "company",
+                                                       "value")
