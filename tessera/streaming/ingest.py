@@ -24,6 +24,7 @@ from ..operators.grid import CELLS_SCHEMA
 from ..session import materialize
 
 FILES_SCHEMA = "path string, layout string, period string, pull_ts string"
+BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -75,6 +76,7 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
     job); otherwise it keeps watching the folder.
     """
     stream = (spark.readStream.format("binaryFile")
+                   .schema(BINARY_SCHEMA)
                    .option("pathGlobFilter", glob)
                    .load(folder))
     w = (stream.writeStream.foreachBatch(lambda df, _epoch: _process(df, out))
