@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..session import materialize
-from ..functions.numbers import clean_number, is_suppressed
+from ..functions.numbers import clean_number, exact_sum, is_suppressed
 from ..functions.text import (clean_key, norm_header, period_end, segment_line,
                               segment_wind_only)
 
@@ -289,7 +289,7 @@ def panel_to_cells(panel: DataFrame, metrics: list[str], folder: str = "grid") -
                     .filter(F.col("raw").isNotNull()))
     periods = numbered.groupBy("period").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.sum(F.when(~F.array_contains(F.col("suppressed"), m), F.col(m))).alias(m)
+        *[exact_sum(F.when(~F.array_contains(F.col("suppressed"), m), F.col(m))).alias(m)
           for m in metrics])
     end = F.date_format(period_end(F.col("period")), "M/d/yyyy")
     head = [F.struct(F.lit(1).alias("row_no"), F.lit(1).alias("col_no"), F.lit("s").alias("kind"),

@@ -100,3 +100,14 @@ def project(df: DataFrame, columns) -> DataFrame:
 
 def order_periods(df: DataFrame, col: str = "period") -> DataFrame:
     return df.orderBy(period_key(F.col(col)))
+
+
+def metrics_on_offer(metrics_catalogue: DataFrame, present: DataFrame) -> DataFrame:
+    """Catalogue metrics that are derived or whose column appears in the data.
+
+    ``present`` is N12's one-column table of metric keys seen in the headers.
+    """
+    seen = present.select(F.col(present.columns[0]).alias("id")).distinct()
+    derived = metrics_catalogue.filter(F.col("derived"))
+    in_data = metrics_catalogue.join(seen, "id", "left_semi")
+    return derived.unionByName(in_data)

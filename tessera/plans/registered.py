@@ -816,3 +816,39 @@ def rank_all(spark, sf_dir):
     ranked = R.rank_top(vals, None)
     return R.with_names(ranked, _companies(fl)).select("period", "rank", "naic", "company",
                                                        "value")
+
+
+@register("dim_periods", O.with_panel("""
+SELECT coalesce(b.period, a.period) AS period,
+       strftime(last_day(make_date(CAST(substr(coalesce(b.period, a.period), 1, 4) AS INTEGER),
+                                   CAST(right(coalesce(b.period, a.period), 1) AS INTEGER) * 3, 1)),
+                '%Y-%m-%d') AS period_end,
+       a.period IS NOT NULL AS has_A, b.period IS NOT NULL AS has_B
+FROM (SELECT DISTINCT period FROM panel) b
+FULL JOIN (SELECT DISTINCT period FROM summary) a ON a.period = b.period""", summary=True))
+def dim_periods(spark, sf_dir):
+    """SRC3 / J5: the period dimension with the layouts present."""
+    p = D.periods(filings(spark, sf_dir), summary_from_tables(spark, sf_dir))
+    return p.select("period", F.date_format("period_end", "yyyy-MM-dd").alias("period_end"),
+                    "has_A", "has_B")
+
+
+@register("metrics_seen", """
+SELECT key FROM (VALUES ('pif'), ('tiv'), ('tiv_incl_wind'), ('dpw'), ('new_written'),
+                        ('received_in'), ('cancelled'), ('nonrenewed'), ('transferred_out')) t(key)
+WHERE EXISTS (SELECT 1 FROM lineitem)""")
+def metrics_seen(spark, sf_dir):
+    """The metric keys found in the headers of all generated sheets."""
+    _, cells, files = _grid(spark, sf_dir)
+    return G.parse_grid(cells, files, "B")["metrics_seen"]
+
+
+@register("grid_totals", O.with_panel(f"""
+SELECT 'grid/QUASR_by_company_and_policy_type_' || substr(period, 1, 4) || 'q' || right(period, 1)
+         || '.xlsx' AS path, period,
+       {", ".join(f"{O.xsum(m)} AS {m}" for m in BOUND_METRICS)}
+FROM panel GROUP BY period"""))
+def grid_totals(spark, sf_dir):
+    """The published Total row of every sheet, split off from the body."""
+    _, cells, files = _grid(spark, sf_dir)
+    return G.parse_grid(cells, files, "B")["totals"].select("path", "period", *BOUND_METRICS)

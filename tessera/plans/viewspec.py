@@ -118,3 +118,8 @@ def context_rows(spec: ViewSpec, wind_applied: str | None = None) -> list[tuple[
     else:
         rows.append(("period", str(spec.period)))
     return rows
+
+
+def context_frame(spark, spec: ViewSpec, wind_applied: str | None = None):
+    """P11 as a small DataFrame (name, text) to ship beside a view."""
+    return spark.createDataFrame(context_rows(spec, wind_applied), "name string, text string")

@@ -52,3 +52,21 @@ def export_csv(df: DataFrame, path: str, labels: dict[str, str] | None = None,
         .option("nullValue", "")
         .option("emptyValue", "")
         .csv(path))
+
+
+class DatasetNotFoundError(FileNotFoundError):
+    """SRC8: the published dataset is missing; run the ingest first."""
+
+
+def load_dataset(spark, path: str, tables=("periods", "companies", "policy_types",
+                                           "metrics_b", "facts_b", "facts_a")) -> dict:
+    """SRC8: read a published dataset; a typed error names the missing table."""
+    from pyspark.errors import AnalysisException
+    out = {}
+    for name in tables:
+        try:
+            out[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+        except AnalysisException as e:
+            raise DatasetNotFoundError(
+                f"published table {name!r} not found under {path}; run the ingest first") from e
+    return out
