@@ -218,7 +218,7 @@ HEADER_ROW = 4
 def sheet_path(period: Column, folder: str = "grid") -> Column:
     y = F.substring(period, 1, 4)
     q = F.substring(period, -1, 1)
-    return F.concat(F.lit(folder + "/QUASR_by_company_and_policy_type_"), y, F.lit("q"), q,
+    return F.concat(F.lit(folder + "/filing_by_company_and_policy_type_"), y, F.lit("q"), q,
                     F.lit(".xlsx"))
 
 

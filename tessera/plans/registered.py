@@ -523,7 +523,7 @@ def _header_layout_sql() -> str:
 
 
 @register("header_classify", O.with_panel("""
-SELECT 'grid/QUASR_by_company_and_policy_type_' || substr(p.period, 1, 4) || 'q'
+SELECT 'grid/filing_by_company_and_policy_type_' || substr(p.period, 1, 4) || 'q'
          || right(p.period, 1) || '.xlsx' AS path,
        CAST(CASE WHEN CAST(right(p.period, 1) AS INTEGER) % 2 = 1 THEN c.col_odd ELSE c.col_even END
             AS INTEGER) AS col_no,
@@ -567,7 +567,7 @@ def clean_money(spark, sf_dir):
 def _listing_sql() -> str:
     return """listing AS (
   SELECT DISTINCT
-    'data/QUASR_' || CASE l_returnflag WHEN 'R' THEN 'by_company_and_commercial_personal'
+    'data/filing_' || CASE l_returnflag WHEN 'R' THEN 'by_company_and_commercial_personal'
                                        WHEN 'N' THEN 'by_company_and_policy_type'
                                        ELSE 'misc_report' END
     || '_' || CAST(year(l_shipdate) AS VARCHAR) || 'q' || CAST(quarter(l_shipdate) AS VARCHAR)
@@ -596,7 +596,7 @@ def newest_pull(spark, sf_dir):
               .otherwise(F.lit("misc_report")))
     ts = F.concat(F.date_format("l_shipdate", "yyyyMMdd"), F.lit("t"),
                   F.when(F.col("l_linestatus") == "O", F.lit("120000")).otherwise(F.lit("090000")))
-    names = li.select(F.concat(F.lit("data/QUASR_"), token, F.lit("_"),
+    names = li.select(F.concat(F.lit("data/filing_"), token, F.lit("_"),
                                F.year("l_shipdate").cast("string"), F.lit("q"),
                                F.quarter("l_shipdate").cast("string"), F.lit("_"), ts,
                                F.lit(".xlsx")).alias("path")).distinct()
@@ -844,7 +844,7 @@ def metrics_seen(spark, sf_dir):
 
 
 @register("grid_totals", O.with_panel(f"""
-SELECT 'grid/QUASR_by_company_and_policy_type_' || substr(period, 1, 4) || 'q' || right(period, 1)
+SELECT 'grid/filing_by_company_and_policy_type_' || substr(period, 1, 4) || 'q' || right(period, 1)
          || '.xlsx' AS path, period,
        {", ".join(f"{O.xsum(m)} AS {m}" for m in BOUND_METRICS)}
 FROM panel GROUP BY period"""))

@@ -11,7 +11,7 @@ from tessera.sources import files as FS
 B_HEAD = ["NAIC Code", "Company Name", "Policy Type",
           "Total Number of Policies in Force\n(as of 6/30/2024)",
           "Total Value of Exposure ($)", "Direct Premium Written ($)"]
-PATH_B = "d/QUASR_by_company_and_policy_type_2024q2_20240720t101010.xlsx"
+PATH_B = "d/filing_by_company_and_policy_type_2024q2_20240720t101010.xlsx"
 
 
 def files_for(spark, *paths):
@@ -94,7 +94,7 @@ def test_two_total_rows_last_wins(spark):
 
 
 def test_missing_dims_rejects_file_only(spark):
-    other = "d/QUASR_by_company_and_policy_type_2024q1.xlsx"
+    other = "d/filing_by_company_and_policy_type_2024q1.xlsx"
     bad = cells_df(spark, PATH_B, [["Company Name", "Policy Type", "Direct Premium Written"],
                                    ["A", "Personal Residential - X", 1]])
     good = cells_df(spark, other, [B_HEAD, ["1", "A", "Personal Residential - X", 1, 1, 1]])
@@ -105,7 +105,7 @@ def test_missing_dims_rejects_file_only(spark):
 
 
 def test_layout_a_premium_headers_fixed(spark):
-    path = "d/QUASR_by_company_and_commercial_personal_2024q2.xlsx"
+    path = "d/filing_by_company_and_commercial_personal_2024q2.xlsx"
     head = ["Rank by Total PIF", "Company Name", "NAIC Code",
             "Total Number of Policies in Force",
             "Number of Policies in Force that are Commercial",

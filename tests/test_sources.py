@@ -32,20 +32,20 @@ def b_sheet(period, rows, pulled="7/20/2024"):
 
 
 def make_folder(d):
-    write_xlsx(os.path.join(d, "QUASR_by_company_and_policy_type_2024q1_20240420t080000.xlsx"),
+    write_xlsx(os.path.join(d, "filing_by_company_and_policy_type_2024q1_20240420t080000.xlsx"),
                b_sheet("2024Q1", [(10064, "Acme", "Personal Residential - HO3", 10, 100.0, 5.5),
                                   ("00123", "Beta Mutual", "Commercial Residential - Condo", ".", 50.0, 1.0)]))
     # an older pull of the same quarter: must be ignored
-    write_xlsx(os.path.join(d, "QUASR_by_company_and_policy_type_2024q1_20240401t080000.xlsx"),
+    write_xlsx(os.path.join(d, "filing_by_company_and_policy_type_2024q1_20240401t080000.xlsx"),
                b_sheet("2024Q1", [(10064, "Acme OLD", "Personal Residential - HO3", 999, 1.0, 1.0)]))
-    write_xlsx(os.path.join(d, "QUASR_by_company_and_policy_type_2024q2_20240720t080000.xlsx"),
+    write_xlsx(os.path.join(d, "filing_by_company_and_policy_type_2024q2_20240720t080000.xlsx"),
                b_sheet("2024Q2", [(10064, "Acme Ins", "Personal Residential - HO3", 12, 120.0, 6.0),
                                   (9, "Gamma", "Personal Residential - HO3 - Wind Only", 3, 30.0, True)]))
-    write_xlsx(os.path.join(d, "QUASR_by_company_and_commercial_personal_2024q2.xlsx"),
+    write_xlsx(os.path.join(d, "filing_by_company_and_commercial_personal_2024q2.xlsx"),
                [["A report"], [None], A_HEAD, [1, "Acme", 10064, 12, 2, 10, 6.0, 1.0, 5.0],
                 [None, "TOTAL", None, 12, 2, 10, 6.0, 1.0, 5.0]])
     write_xlsx(os.path.join(d, "notes_2024q2.xlsx"), [["not a filing"]])
-    write_xlsx(os.path.join(d, "QUASR_by_company_and_policy_type_undated.xlsx"), [["x"]])
+    write_xlsx(os.path.join(d, "filing_by_company_and_policy_type_undated.xlsx"), [["x"]])
     open(os.path.join(d, "readme.txt"), "w").write("ignore me")
 
 
@@ -60,9 +60,9 @@ def test_ingest_folder(spark, tmpdir_path):
     make_folder(tmpdir_path)
     ds = WB.ingest_folder(spark, tmpdir_path)
     files = sorted((r.layout, r.period, os.path.basename(r.path)) for r in ds["files"].collect())
-    assert files == [("A", "2024Q2", "QUASR_by_company_and_commercial_personal_2024q2.xlsx"),
-                     ("B", "2024Q1", "QUASR_by_company_and_policy_type_2024q1_20240420t080000.xlsx"),
-                     ("B", "2024Q2", "QUASR_by_company_and_policy_type_2024q2_20240720t080000.xlsx")]
+    assert files == [("A", "2024Q2", "filing_by_company_and_commercial_personal_2024q2.xlsx"),
+                     ("B", "2024Q1", "filing_by_company_and_policy_type_2024q1_20240420t080000.xlsx"),
+                     ("B", "2024Q2", "filing_by_company_and_policy_type_2024q2_20240720t080000.xlsx")]
     fb = {(r.period, r.naic): r for r in ds["facts_b"].collect()}
     assert set(fb) == {("2024Q1", "10064"), ("2024Q1", "00123"), ("2024Q2", "10064"), ("2024Q2", "9")}
     assert fb[("2024Q1", "10064")].pif == 10.0 and fb[("2024Q1", "10064")].company == "Acme"
@@ -126,14 +126,14 @@ def test_stream_ingest_new_quarters_and_repull(spark, tmpdir_path):
     out = os.path.join(tmpdir_path, "pub")
     ck = os.path.join(tmpdir_path, "ck")
     os.makedirs(src)
-    write_xlsx(os.path.join(src, "QUASR_by_company_and_policy_type_2024q1_20240420t080000.xlsx"),
+    write_xlsx(os.path.join(src, "filing_by_company_and_policy_type_2024q1_20240420t080000.xlsx"),
                b_sheet("2024Q1", [(1, "A", "Personal Residential - X", 1, 1.0, 1.0)]))
     ingest_stream(spark, src, out, ck).awaitTermination()
     assert spark.read.parquet(os.path.join(out, "facts_b")).count() == 1
     # a new quarter and a newer pull of Q1 arrive
-    write_xlsx(os.path.join(src, "QUASR_by_company_and_policy_type_2024q2_20240720t080000.xlsx"),
+    write_xlsx(os.path.join(src, "filing_by_company_and_policy_type_2024q2_20240720t080000.xlsx"),
                b_sheet("2024Q2", [(1, "A", "Personal Residential - X", 2, 2.0, 2.0)]))
-    write_xlsx(os.path.join(src, "QUASR_by_company_and_policy_type_2024q1_20240501t080000.xlsx"),
+    write_xlsx(os.path.join(src, "filing_by_company_and_policy_type_2024q1_20240501t080000.xlsx"),
                b_sheet("2024Q1", [(1, "A", "Personal Residential - X", 5, 5.0, 5.0),
                                   (2, "B", "Personal Residential - X", 1, 1.0, 1.0)]))
     ingest_stream(spark, src, out, ck).awaitTermination()
@@ -141,7 +141,7 @@ def test_stream_ingest_new_quarters_and_repull(spark, tmpdir_path):
     got = sorted((r.period, r.naic, r.pif) for r in fb.collect())
     assert got == [("2024Q1", "1", 5.0), ("2024Q1", "2", 1.0), ("2024Q2", "1", 2.0)]
     # an older pull arriving late changes nothing
-    write_xlsx(os.path.join(src, "QUASR_by_company_and_policy_type_2024q1_20240301t080000.xlsx"),
+    write_xlsx(os.path.join(src, "filing_by_company_and_policy_type_2024q1_20240301t080000.xlsx"),
                b_sheet("2024Q1", [(1, "A", "Personal Residential - X", 99, 9.0, 9.0)]))
     ingest_stream(spark, src, out, ck).awaitTermination()
     fb = spark.read.parquet(os.path.join(out, "facts_b"))
