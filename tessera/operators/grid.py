@@ -141,7 +141,11 @@ def parse_grid(cells: DataFrame, files: DataFrame, layout: str = "B",
     body cells. The body then needs one shuffle: the pivot by (path, row_no).
     """
     files = files.filter(F.col("layout") == layout).select("path", "layout", "period")
-    top = cells.filter(F.col("row_no") <= max_scan).join(files.select("path"), "path", "left_semi")
+    # The header region (files × max_scan rows) is written once: the per-file
+    # steps below read it several times and must not rescan the cell table.
+    top = materialize(cells.filter(F.col("row_no") <= max_scan)
+                           .join(files.select("path"), "path", "left_semi"), "top")
+    files = materialize(files, "files")
     hdr = header_rows(top, max_scan=max_scan)
     headers = classify_headers(top, files, hdr)
     hmap, collisions = header_map(headers)
@@ -222,26 +226,27 @@ def sheet_path(period: Column, folder: str = "grid") -> Column:
                     F.lit(".xlsx"))
 
 
-def number_rows(df: DataFrame, part: str, order: list[str], out: str = "n") -> DataFrame:
-    """Dense 1..k numbering per ``part`` in ``order`` without one task per part.
+def number_rows(df: DataFrame, part: str, order: list[str], out: str = "n",
+                buckets: int | None = None) -> DataFrame:
+    """Dense 1..k numbering per ``part`` without one task per part.
 
-    Range-partition on (part, order), number inside each range slice, add the
-    counts of earlier ranges of the same part.
+    Rows are spread over ``buckets`` hash buckets of their (unique) order key,
+    numbered inside each (part, bucket) and shifted by the sizes of the
+    part's earlier buckets. The sheet order is (bucket, order): not sorted, but
+    deterministic, so a recomputed partition gets the same numbers, and a hot
+    key cannot pile up in one bucket because the hash covers the whole key.
+    The offsets table has parts × buckets rows.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(part)] + [F.col(c) for c in order]
-    # The range id is written with the rows: the numbering branch and the count
-    # branch must read one split (a partition id is not stable across plans).
-    ranged = materialize(df.repartitionByRange(n, *cols)
-                           .withColumn("_range", F.spark_partition_id()), "rows")
-    local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_range", part).orderBy(*order)))
-    counts = ranged.groupBy("_range", part).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_range", part, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (local.join(offsets, ["_range", part])
+    b = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(b)))
+    local = keyed.withColumn(
+        "_local", F.row_number().over(Window.partitionBy(part, "_bucket").orderBy(*order)))
+    counts = keyed.groupBy(part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(part, "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (local.join(offsets, [part, "_bucket"])
                  .withColumn(out, (F.col("_local") + F.col("_off")).cast("int"))
-                 .drop("_range", "_local", "_off"))
+                 .drop("_bucket", "_local", "_off"))
 
 
 def panel_to_cells(panel: DataFrame, metrics: list[str], folder: str = "grid") -> DataFrame:

@@ -34,28 +34,42 @@ def _sup(df: DataFrame) -> F.Column:
     return F.lit(False)
 
 
+def _split_metric(col: str) -> tuple[str, str | None]:
+    """'tiv_incl_wind' → ('tiv', 'incl'); 'pif' → ('pif', None). Resolved on the driver."""
+    for basis in ("incl", "excl"):
+        suffix = f"_{basis}_wind"
+        if col.endswith(suffix):
+            return col[: -len(suffix)], basis
+    return col, None
+
+
 def observations(filings: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     """Layout-B wide facts → one row per fact × metric column (nulls kept).
 
     wind_basis: ``_incl_wind`` → incl, ``_excl_wind`` → excl, a wind-only
-    segment → wind_only, otherwise all.
+    segment → wind_only, otherwise all. Metric names and bases are literals
+    fixed when the plan is built (one struct per metric column, exploded), so
+    no text is parsed per output row.
     """
     metrics = metrics or sorted(present_metrics(filings))
-    ids = [c for c in ["period", "period_end", "naic", "company", "line", "policy_type",
-                       "is_wind_only", "suppressed", "source_file"] if c in filings.columns]
-    long = filings.select(*ids, *[F.col(m).cast("double") for m in metrics]).unpivot(
-        ids, metrics, "_col", "value")
-    basis = (F.when(F.col("_col").endswith("_incl_wind"), F.lit("incl"))
-              .when(F.col("_col").endswith("_excl_wind"), F.lit("excl"))
-              .when(F.col("is_wind_only"), F.lit("wind_only"))
-              .otherwise(F.lit("all")))
-    metric = F.regexp_replace(F.col("_col"), r"_(incl|excl)_wind$", "")
+    sup = (F.col("suppressed") if "suppressed" in filings.columns
+           else F.array().cast("array<string>"))
+    cells = []
+    for m in metrics:
+        base, basis = _split_metric(m)
+        b = (F.lit(basis) if basis else
+             F.when(F.col("is_wind_only"), F.lit("wind_only")).otherwise(F.lit("all")))
+        cells.append(F.struct(F.lit(base).alias("metric"), b.alias("wind_basis"),
+                              F.col(m).cast("double").alias("value"),
+                              F.coalesce(F.array_contains(sup, F.lit(m)), F.lit(False))
+                              .alias("is_suppressed")))
+    long = filings.select("*", F.explode(F.array(*cells)).alias("_o"))
     return long.select(
         "period", F.col("period_end").alias("period_end_date"), F.col("naic").alias("naic_code"),
         F.col("company").alias("company_name"), "line", "policy_type",
-        basis.alias("wind_basis"), metric.alias("metric"), "value",
-        _sup(long).alias("is_suppressed"), F.lit("B").alias("source_file_type"),
-        _src(long).alias("source_file"))
+        F.col("_o.wind_basis").alias("wind_basis"), F.col("_o.metric").alias("metric"),
+        F.col("_o.value").alias("value"), F.col("_o.is_suppressed").alias("is_suppressed"),
+        F.lit("B").alias("source_file_type"), _src(filings).alias("source_file"))
 
 
 def observations_a(summary: DataFrame) -> DataFrame:

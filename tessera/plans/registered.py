@@ -657,11 +657,12 @@ def checksum_totals(spark, sf_dir):
     (the unsuppressed sums straight from the line items), per period and metric."""
     fl = filings(spark, sf_dir)
     li = read_table(spark, sf_dir, "lineitem")
-    from ..functions.text import period_of
-    totals = (li.groupBy(period_of(F.col("l_shipdate")).alias("period"))
+    from ..functions.text import period_text
+    totals = (li.groupBy(F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"))
                 .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("pif"),
                      F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
-                     .alias("tiv")))
+                     .alias("tiv"))
+                .select(period_text(F.col("y"), F.col("q")).alias("period"), "pif", "tiv"))
     return Q.checksum(fl, totals, ["pif", "tiv"])
 
 
