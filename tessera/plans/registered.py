@@ -103,25 +103,17 @@ def derived_values_sql(metric_id: str, where: str = "TRUE", by: str = "period, n
             f"SELECT {by}, {derived_parts_sql()} FROM panel WHERE {where} GROUP BY {by})")
 
 
-def rank_sql(values_sql: str, n: int, named: bool = True) -> str:
-    body = f"""
-, ev AS ({values_sql}),
+def rank_sql(values_sql: str, n: int) -> str:
+    ranked = f"""
 ranked AS (
   SELECT period, naic, value,
          CAST(row_number() OVER (PARTITION BY period ORDER BY value DESC, {tie()}) AS BIGINT) AS rank
-  FROM ev WHERE value IS NOT NULL
-)
-SELECT r.period, r.rank, r.naic, {'coalesce(c.name, r.naic)' if named else 'r.naic'} AS company,
-       r.value
-FROM ranked r {'LEFT JOIN companies c ON r.naic = c.naic' if named else ''}
-WHERE r.rank <= {n}"""
-    return O.with_panel("," + COMPANIES_SQL.strip() + body if named else body)
-
-
-def _fix_with(sql: str) -> str:
-    # with_panel(",companies...") would produce "panel),companies" — fine; and
-    # "panel)\n, ev AS" when unnamed — also fine. Normalise the double comma.
-    return sql.replace("\n,", ",\n").replace(",,", ",")
+  FROM ({values_sql}) ev WHERE value IS NOT NULL
+)"""
+    return O.with_panel(f"""
+SELECT r.period, r.rank, r.naic, coalesce(c.name, r.naic) AS company, r.value
+FROM ranked r LEFT JOIN companies c ON r.naic = c.naic
+WHERE r.rank <= {n}""", COMPANIES_SQL, ranked)
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +150,7 @@ def _reg_rank(name, spec: ViewSpec, all_periods: bool, metric_col: str):
                    None if all_periods else spec.period)
     m = C.metric(spec.metric)
     vals = derived_values_sql(spec.metric, where) if m.derived else base_values_sql(metric_col, where)
-    register(name, _fix_with(rank_sql(vals, spec.topn)))(_rank_query(spec, all_periods))
+    register(name, rank_sql(vals, spec.topn))(_rank_query(spec, all_periods))
 
 
 _reg_rank("rank_topn", ViewSpec(metric="tiv", topn=20), True, "tiv")
@@ -179,8 +171,13 @@ _reg_rank("wind_concentration", ViewSpec(metric="wind_concentration", topn=20),
 SHARE_N = 10
 
 
-@register("share_topn_others", _fix_with(O.with_panel("," + COMPANIES_SQL.strip() + f"""
-, ev AS ({base_values_sql('tiv')}),
+@register("share_topn_others", O.with_panel(f"""
+SELECT period, CAST(rank AS DOUBLE) AS rank, naic, company, value, share FROM top
+UNION ALL
+SELECT o.period, CAST(o.rank AS DOUBLE), o.naic, o.company, o.value,
+       CASE WHEN t.total <> 0 THEN o.value / t.total END AS share
+FROM others o JOIN tot t ON o.period = t.period WHERE o.value > 0""", COMPANIES_SQL, f"""
+ev AS ({base_values_sql('tiv')}),
 present AS (SELECT * FROM ev WHERE value IS NOT NULL),
 tot AS (SELECT period, {O.xsum0('value')} AS total FROM present GROUP BY period),
 ranked AS (
@@ -198,12 +195,7 @@ others AS (
   SELECT r.period, CAST(NULL AS BIGINT) AS rank, CAST(NULL AS VARCHAR) AS naic,
          'All others' AS company, {O.xsum0('r.value')} AS value
   FROM ranked r WHERE r.rank > {SHARE_N} GROUP BY r.period
-)
-SELECT period, CAST(rank AS DOUBLE) AS rank, naic, company, value, share FROM top
-UNION ALL
-SELECT o.period, CAST(o.rank AS DOUBLE), o.naic, o.company, o.value,
-       CASE WHEN t.total <> 0 THEN o.value / t.total END AS share
-FROM others o JOIN tot t ON o.period = t.period WHERE o.value > 0""")))
+)"""))
 def share_topn_others(spark, sf_dir):
     fl = filings(spark, sf_dir)
     spec = ViewSpec(mode="share", metric="tiv", topn=SHARE_N)
@@ -216,23 +208,23 @@ def _rank_as_double(df):
     return df.withColumn("rank", F.col("rank").cast("double"))
 
 
-@register("share_ratio_metric", _fix_with(O.with_panel("," + COMPANIES_SQL.strip() + f"""
-, ev AS ({derived_values_sql('rate_on_line', "line = 'Personal Residential'")}),
-ranked AS (
-  SELECT period, naic, value,
-         CAST(row_number() OVER (PARTITION BY period ORDER BY value DESC, {tie()}) AS BIGINT) AS rank
-  FROM ev WHERE value IS NOT NULL
-),
-others AS (
-  SELECT period, {O.xsum0('value')} AS value FROM ranked WHERE rank > {SHARE_N} GROUP BY period
-)
+@register("share_ratio_metric", O.with_panel(f"""
 SELECT r.period, CAST(r.rank AS DOUBLE) AS rank, r.naic, coalesce(c.name, r.naic) AS company,
        r.value, CAST(NULL AS DOUBLE) AS share
 FROM ranked r LEFT JOIN companies c ON r.naic = c.naic WHERE r.rank <= {SHARE_N}
 UNION ALL
 SELECT period, CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), 'All others', value,
        CAST(NULL AS DOUBLE)
-FROM others WHERE value > 0""")))
+FROM others WHERE value > 0""", COMPANIES_SQL, f"""
+ranked AS (
+  SELECT period, naic, value,
+         CAST(row_number() OVER (PARTITION BY period ORDER BY value DESC, {tie()}) AS BIGINT) AS rank
+  FROM ({derived_values_sql('rate_on_line', "line = 'Personal Residential'")}) ev
+  WHERE value IS NOT NULL
+),
+others AS (
+  SELECT period, {O.xsum0('value')} AS value FROM ranked WHERE rank > {SHARE_N} GROUP BY period
+)"""))
 def share_ratio_metric(spark, sf_dir):
     """Q3 fix: a ratio metric in share mode has no share."""
     fl = filings(spark, sf_dir)
@@ -247,28 +239,17 @@ TOTAL_METRICS = ["tiv", "pif", "dpw", "net_flow", "avg_premium", "rate_on_line",
 
 
 @register("slice_totals", O.with_panel(f"""
-SELECT period, {O.xsum0('tiv')} AS tiv, {O.xsum0('pif')} AS pif, {O.xsum0('dpw')} AS dpw,
-       nw + ri - cn - nr - tr_out AS net_flow,
-       CASE WHEN pif_s <> 0 THEN dpw_s / pif_s END AS avg_premium,
-       CASE WHEN tiv_s <> 0 THEN dpw_s / tiv_s END AS rate_on_line,
-       CASE WHEN tiv_s <> 0 THEN tivw_s / tiv_s END AS wind_concentration
-FROM (SELECT *, {derived_parts_sql()} FROM panel WHERE line = 'Commercial Residential'
-      GROUP BY ALL) AS x
-GROUP BY period, nw, ri, cn, nr, tr_out, pif_s, dpw_s, tiv_s, tivw_s"""))
-def slice_totals(spark, sf_dir):
-    fl = slice_filings(filings(spark, sf_dir), line="Commercial Residential")
-    return M.slice_totals_many(fl, TOTAL_METRICS)
-
-
-# The SQL above groups "SELECT *" which is not what we want; replace with a clean form.
-SQL["slice_totals"] = O.with_panel(f"""
 SELECT period, tiv, pif, dpw, nw + ri - cn - nr - tr_out AS net_flow,
        CASE WHEN pif_s <> 0 THEN dpw_s / pif_s END AS avg_premium,
        CASE WHEN tiv_s <> 0 THEN dpw_s / tiv_s END AS rate_on_line,
        CASE WHEN tiv_s <> 0 THEN tivw_s / tiv_s END AS wind_concentration
 FROM (SELECT period, {O.xsum0('tiv')} AS tiv, {O.xsum0('pif')} AS pif, {O.xsum0('dpw')} AS dpw,
              {derived_parts_sql()}
-      FROM panel WHERE line = 'Commercial Residential' GROUP BY period)""")
+      FROM panel WHERE line = 'Commercial Residential' GROUP BY period)"""))
+def slice_totals(spark, sf_dir):
+    """Whole-slice totals of seven metrics, one aggregation."""
+    fl = slice_filings(filings(spark, sf_dir), line="Commercial Residential")
+    return M.slice_totals_many(fl, TOTAL_METRICS)
 
 
 @register("entity_and_total_groupingsets", O.with_panel(f"""
@@ -294,9 +275,9 @@ def multi_metric(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- dimensions
-@register("dim_companies", O.with_panel("," + COMPANIES_SQL.strip() + """
+@register("dim_companies", O.with_panel("""
 SELECT naic, name, array_to_string(names, '|') AS names, first, last, n_periods
-FROM companies"""))
+FROM companies""", COMPANIES_SQL))
 def dim_companies(spark, sf_dir):
     c = D.companies(filings(spark, sf_dir))
     return c.select("naic", "name", F.array_join("names", "|").alias("names"), "first", "last",
@@ -309,12 +290,6 @@ def dim_segments(spark, sf_dir):
     return D.segments(filings(spark, sf_dir))
 
 
-def _fix_all():
-    for k, v in list(SQL.items()):
-        SQL[k] = _fix_with(v)
-
-
-_fix_all()
 
 
 # ---------------------------------------------------------------- series / growth
