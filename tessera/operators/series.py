@@ -27,7 +27,7 @@ def prev_period(p, years: int = 0, quarters: int = 0) -> F.Column:
     return period_text(F.floor(k / 4).cast("int"), (k % 4 + 1).cast("int"))
 
 
-def _calendar_shift(p: str, steps: int) -> str:
+def calendar_shift(p: str, steps: int) -> str:
     k = int(p[:4]) * 4 + int(p[-1]) - 1 - steps
     return f"{k // 4}Q{k % 4 + 1}"
 
@@ -74,7 +74,7 @@ def series(sl: DataFrame, metric_id: str, wind: str, periods: list[str], period_
     need = list(rng)
     if transform != "abs" and basis == "calendar":
         step = 1 if transform == "qoq" else 4
-        need = sorted(set(rng) | {_calendar_shift(p, step) for p in rng})
+        need = sorted(set(rng) | {calendar_shift(p, step) for p in rng})
     vals, targets = target_values(sl, metric_id, wind, need, entities)
     grid = spine(targets, rng).join(vals, ["target", "period"], "left")
     if transform == "abs":
@@ -139,7 +139,7 @@ def growth_rank(sl: DataFrame, metric_id: str, period: str, transform: str = "qo
                 companies: DataFrame | None = None) -> DataFrame:
     """Growth of every entity at ``period`` against the calendar base, ranked."""
     step = 1 if transform == "qoq" else 4
-    base_p = _calendar_shift(period, step)
+    base_p = calendar_shift(period, step)
     vals = M.entity_values(select_values(sl, "period", [period, base_p]), metric_id, wind)
     now = vals.filter(F.col("period") == period)
     base = vals.filter(F.col("period") == base_p).select("naic", F.col("value").alias("base"))

@@ -128,7 +128,10 @@ def _companies(fl: DataFrame) -> DataFrame:
 def _rank_query(spec: ViewSpec, all_periods: bool):
     def run(spark, sf_dir):
         fl = filings(spark, sf_dir)
-        return snapshot_view(fl, spec, companies=_companies(fl), all_periods=all_periods)
+        # One period: its panel is built from the line items of that quarter
+        # only (ship-date range pushed into the scan); names need all periods.
+        sl = fl if all_periods else filings_from_tables(spark, sf_dir, periods=[spec.period])
+        return snapshot_view(sl, spec, companies=_companies(fl), all_periods=all_periods)
     return run
 
 
@@ -302,8 +305,16 @@ def _series_query(metric_id, entities, rng, transform="abs", basis="position",
                   segments=(), line="all"):
     def run(spark, sf_dir):
         fl = filings(spark, sf_dir)
-        sl = slice_filings(fl, line=line, segments=segments)
-        return S.series(sl, metric_id, "all", _periods(spark, sf_dir), rng[0], rng[1],
+        periods = _periods(spark, sf_dir)
+        # Values are needed for the range (and, on the calendar basis, the
+        # quarters it compares with): only those line items are scanned.
+        need = set(S.periods_between(periods, rng[0], rng[1]))
+        if transform != "abs" and basis == "calendar":
+            step = 1 if transform == "qoq" else 4
+            need |= {S.calendar_shift(p, step) for p in need}
+        sl = slice_filings(filings_from_tables(spark, sf_dir, periods=sorted(need)),
+                           line=line, segments=segments)
+        return S.series(sl, metric_id, "all", periods, rng[0], rng[1],
                         entities=entities, transform=transform, basis=basis,
                         companies=_companies(fl))
     return run
@@ -431,7 +442,8 @@ WHERE r.rank <= 20""", COMPANIES_SQL,
 def growth_rank(spark, sf_dir):
     """Year-on-year TIV growth of every entity in one period, ranked."""
     fl = filings(spark, sf_dir)
-    return S.growth_rank(fl, "tiv", SNAP_PERIOD, "yoy", 20, companies=_companies(fl))
+    sl = filings_from_tables(spark, sf_dir, periods=[SNAP_PERIOD, "1999Q2"])
+    return S.growth_rank(sl, "tiv", SNAP_PERIOD, "yoy", 20, companies=_companies(fl))
 
 
 @register("new_dropped", O.with_panel(f"""

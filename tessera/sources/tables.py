@@ -58,15 +58,38 @@ def _units(c, digits: int) -> F.Column:
     return F.round(c * F.lit(10 ** digits)).cast("bigint")
 
 
-def filings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shipdate_window(periods) -> F.Column | None:
+    """A scan predicate on ``l_shipdate`` covering the given periods.
+
+    A period is derived from the ship date, so a filter on the period text is
+    evaluated per row; this range is pushed into the Parquet scan and skips
+    row groups whose dates fall outside.
+    """
+    keys = sorted({(int(p[:4]), int(p[-1])) for p in periods})
+    if not keys:
+        return None
+    (y0, q0), (y1, q1) = keys[0], keys[-1]
+    start = f"{y0:04d}-{3 * q0 - 2:02d}-01 00:00:00"
+    ny, nq = (y1 + 1, 1) if q1 == 4 else (y1, q1 + 1)
+    end = f"{ny:04d}-{3 * nq - 2:02d}-01 00:00:00"
+    ts = F.col("l_shipdate")
+    return (ts >= F.to_timestamp_ntz(F.lit(start))) & (ts < F.to_timestamp_ntz(F.lit(end)))
+
+
+def filings_from_tables(spark: SparkSession, sf_dir: str, periods=None) -> DataFrame:
     """Layout-B filings panel from lineitem, part and supplier.
 
     Columns: period, period_end, naic, company, policy_type, line,
     is_wind_only, the BOUND_METRICS as DOUBLE, n_lines, suppressed ARRAY<STRING>.
+    ``periods`` (optional) restricts the panel to those periods with a ship-date
+    range pushed into the lineitem scan.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    if periods is not None:
+        window = shipdate_window(periods)
+        li = li.filter(window) if window is not None else li.limit(0)
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
 
@@ -105,7 +128,7 @@ def filings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
             v = F.when(~suppressed, v)
         metrics.append(v.alias(m))
     period = period_text(F.col("year"), F.col("quarter"))
-    return named.select(
+    out = named.select(
         period.alias("period"),
         period_end(period).alias("period_end"),
         naic.alias("naic"),
@@ -118,6 +141,9 @@ def filings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(suppressed, F.array(F.lit("pif"), F.lit("tiv")))
          .otherwise(F.array().cast("array<string>")).alias("suppressed"),
     )
+    if periods is not None:
+        out = out.filter(F.col("period").isin(sorted(set(periods))))
+    return out
 
 
 def summary_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
