@@ -162,7 +162,7 @@ def parse_grid(cells: DataFrame, files: DataFrame, layout: str = "B",
                  .withColumn("value", F.when(F.col("key").isin(keys),
                                              clean_number(F.col("raw"), F.col("kind"))))
                  .withColumn("sup", F.col("key").isin(keys) & is_suppressed(F.col("raw"))))
-    # Q11 fix: suppression is tracked for Layout A as well as B.
+    # Q11 fix: suppression is tracked for Layout A as well as B (``sup`` above).
     periods = colmap.select("path", "period").distinct()
     rows = _pivot_rows(body, keys, dims).join(F.broadcast(periods), "path")
     is_total = norm_header(F.col("_company")) == C.TOTAL_ROW_NAME

@@ -113,7 +113,6 @@ def entity_and_totals(df: DataFrame, metric_id: str, wind: str = "all",
     null key. Base metrics keep A1's null rule per entity and A7's 0 for totals.
     """
     m = C.metric(metric_id)
-    is_total = F.grouping(key) == 1
     if m.derived:
         g = (df.groupingSets([[part, key], [part]], part, key)
                .agg(*derived_parts(df, metric_id), F.grouping(key).alias("_g")))
@@ -123,7 +122,6 @@ def entity_and_totals(df: DataFrame, metric_id: str, wind: str = "all",
         g = (df.groupingSets([[part, key], [part]], part, key)
                .agg(exact_sum(col).alias("_v"), F.grouping(key).alias("_g")))
         val = F.when(F.col("_g") == 1, F.coalesce(F.col("_v"), F.lit(0.0))).otherwise(F.col("_v"))
-    del is_total
     return g.select(part, key, (F.col("_g") == 1).alias("is_total"), val.alias("value"))
 
 

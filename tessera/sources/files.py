@@ -78,7 +78,8 @@ def title_and_pulled(cells: DataFrame) -> DataFrame:
         "path", F.col("raw").alias("_p"))
     m = F.regexp_extract(F.col("_p"), C.PULLED_ON, 1)
     pulled = F.when(m != "", F.trim(m)).otherwise(F.coalesce(F.trim(F.col("_p")), F.lit("")))
-    paths = cells.select("path").distinct()
+    # Only the first two rows are read (a pushed filter), never the whole grid.
+    paths = cells.filter(F.col("row_no") <= 2).select("path").distinct()
     return (paths.join(a1, "path", "left").join(a2, "path", "left")
                  .select("path", F.coalesce("title", F.lit("")).alias("title"),
                          pulled.alias("pulled")))
@@ -91,12 +92,10 @@ def title_period(title) -> F.Column:
     stays authoritative, this is a cross-check column.
     """
     t = F.col(title) if isinstance(title, str) else title
-    num = F.regexp_extract(t, r"(\d{1,2})/(\d{1,2})/(\d{4})\s*\)?\s*$", 0)
     d1 = F.try_to_timestamp(F.regexp_extract(t, r"-\s*(\d{1,2}/\d{1,2}/\d{4})", 1),
                             F.lit("M/d/yyyy"))
     d2 = F.try_to_timestamp(F.regexp_extract(t, r"-\s*([A-Za-z]+ \d{1,2}, \d{4})", 1),
                             F.lit("MMMM d, yyyy"))
     d = F.coalesce(d1, d2)
-    del num
     return F.when(d.isNotNull(), F.concat(F.year(d).cast("string"), F.lit("Q"),
                                           F.quarter(d).cast("string")))
