@@ -40,12 +40,18 @@ def spine(targets: DataFrame, periods: list[str], target: str = "target") -> Dat
 
 def target_values(sl: DataFrame, metric_id: str, wind: str, periods: list[str],
                   entities=()) -> tuple[DataFrame, DataFrame]:
-    """Values per (target, period) for the chosen entities, or the ALL target.
+    """Values per (target, period) for the chosen entities, ``"all"`` entities,
+    or the ALL target (W9) when none is chosen.
 
     Returns (values, targets).
     """
     spark = sl.sparkSession
     sl = select_values(sl, "period", periods)
+    if isinstance(entities, str) and entities == "all":
+        # Every entity with a fact in the slice: one grouped pass, targets from it.
+        vals = M.entity_values(sl, metric_id, wind).withColumnRenamed("naic", "target")
+        targets = vals.select("target").distinct()
+        return vals.select("target", "period", "value"), targets
     if isinstance(entities, DataFrame) or len(entities) > 0:
         vals = (M.entity_values(select_entities(sl, entities), metric_id, wind)
                   .withColumnRenamed("naic", "target"))

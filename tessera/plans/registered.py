@@ -840,3 +840,20 @@ def grid_totals(spark, sf_dir):
     """The published Total row of every sheet, split off from the body."""
     _, cells, files = _grid(spark, sf_dir)
     return G.parse_grid(cells, files, "B")["totals"].select("path", "period", *BOUND_METRICS)
+
+
+@register("series_every_entity_yoy", O.with_panel(f"""
+SELECT g.target, coalesce(c.name, g.target) AS name, g.period, g.value,
+       {GROWTH.format(v='g.value', b='lag(g.value, 4) OVER (PARTITION BY g.target ORDER BY g.pos)')}
+         AS display
+FROM (SELECT t.target, r.period, r.pos, v.value
+      FROM (SELECT DISTINCT target FROM vals) t CROSS JOIN rng r
+      LEFT JOIN vals v ON v.target = t.target AND v.period = r.period) g
+LEFT JOIN companies c ON c.naic = g.target""", COMPANIES_SQL, _rng_sql(("1995Q1", "2001Q4")),
+    f"vals AS (SELECT naic AS target, period, value FROM ({base_values_sql('dpw')}) "
+    f"WHERE period IN (SELECT period FROM rng))"))
+def series_every_entity_yoy(spark, sf_dir):
+    """W7 + W8 for every entity: dense entity × quarter spine, YoY by position."""
+    fl = filings(spark, sf_dir)
+    return S.series(fl, "dpw", "all", _periods(spark, sf_dir), "1995Q1", "2001Q4",
+                    entities="all", transform="yoy", companies=_companies(fl))
