@@ -103,11 +103,12 @@ def _cells_batches(batches):
 
 
 def read_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """SRC6: the chosen workbooks → cells, one task per file batch."""
+    """SRC6: the chosen workbooks → cells, parallel over files."""
     if not paths:
         return spark.createDataFrame([], CELLS_SCHEMA)
-    raw = (spark.read.format("binaryFile").load(paths).select("path", "content")
-                .repartition(max(1, len(paths)), "path"))
+    # Spark packs files into scan partitions by size (no shuffle of file bytes);
+    # each task parses the workbooks of its partition.
+    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
     return raw.mapInPandas(_cells_batches, CELLS_SCHEMA)
 
 
