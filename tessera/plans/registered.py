@@ -13,12 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import catalog as C
+from ..functions import labels as L
+from ..functions.numbers import clean_number, is_suppressed
 from ..operators import dims as D
+from ..operators import grid as G
 from ..operators import metrics as M
+from ..operators import quality as Q
 from ..operators import ranking as R
+from ..operators import reshape as RS
+from ..operators import search as SE
 from ..operators import series as S
 from ..operators.slicing import slice_filings
-from ..sources.tables import filings_from_tables
+from ..session import materialize
+from ..sources import files as FS
+from ..sources.tables import (BOUND_METRICS, filings_from_tables, read_table,
+                              summary_from_tables)
 from . import oracle as O
 from .viewspec import ViewSpec
 from .views import snapshot_view
@@ -293,8 +302,6 @@ def dim_segments(spark, sf_dir):
     return D.segments(filings(spark, sf_dir))
 
 
-
-
 # ---------------------------------------------------------------- series / growth
 def _periods(spark, sf_dir):
     from ..sources.tables import period_catalogue
@@ -464,15 +471,6 @@ def new_dropped(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- grids and cells
-from ..operators import grid as G  # noqa: E402
-from ..operators import quality as Q  # noqa: E402
-from ..operators import reshape as RS  # noqa: E402
-from ..operators import search as SE  # noqa: E402
-from ..functions import labels as L  # noqa: E402
-from ..functions.numbers import clean_number, is_suppressed  # noqa: E402
-from ..sources import files as FS  # noqa: E402
-from ..sources.tables import BOUND_METRICS, read_table, summary_from_tables  # noqa: E402
-from ..session import materialize  # noqa: E402
 
 METRIC_LIST = ", ".join(BOUND_METRICS)
 
