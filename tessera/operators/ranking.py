@@ -92,38 +92,49 @@ def period_totals(values: DataFrame, part: str = "period", value: str = "value")
 
 
 def snapshot(values: DataFrame, n: int, metric_id: str, share: bool = False,
-             companies: DataFrame | None = None, totals: DataFrame | None = None,
-             part: str = "period", key: str = "naic") -> DataFrame:
+             companies: DataFrame | None = None, part: str = "period",
+             key: str = "naic") -> DataFrame:
     """Rank or share view of per-entity values for each period.
 
     Columns: period, rank, naic, company, value[, share]. With ``share`` an
     "All others" row (rank and naic null) carries the sum beyond rank n when it
-    is > 0. For ratio metrics the share is null (Q3 fix) and ``totals`` should
-    be the slice ratio (A7).
+    is > 0. For ratio metrics the share is null (Q3 fix); their slice value is
+    the ratio of sums (``metrics.slice_totals``), not a sum of ratios.
+
+    Two branches only: the top-n rows, and one ``groupBy(period)`` giving the
+    exact sum and count of all values (one row per period, broadcast). The
+    others value is that sum minus the top rows' sum, in DECIMAL — exactly the
+    sum of the rest — and its row is emitted next to rank 1, so no branch
+    re-reads the values beyond n.
     """
     m = C.metric(metric_id)
-    top = rank_top(values, n, part, "value", key)
-    top = with_names(top, companies, key)
+    top = with_names(rank_top(values, n, part, "value", key), companies, key)
     cols = [part, "rank", key, "company", "value"]
     if not share:
         return top.select(*cols)
-    present = values.filter(F.col("value").isNotNull())
-    tot = totals if totals is not None else period_totals(present, part)
-    # Periods are few (one row per quarter): a proven bound for a broadcast.
-    tot_b = F.broadcast(tot.select(part, "total"))
-    share_col = F.lit(None).cast("double") if m.ratio else safe_ratio(F.col("value"), F.col("total"))
-    top_rows = top.join(tot_b, part, "left").select(*cols, share_col.alias("share"))
-    # Rows beyond n: anti-join against the top keys (n rows per period).
-    rest = present.join(top.select(part, key), [part, key], "left_anti")
-    others = (rest.groupBy(part).agg(exact_sum0("value").alias("value"))
-                  .filter(F.col("value") > 0)
-                  .join(tot_b, part, "left"))
-    others_rows = others.select(
-        part, F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("string").alias(key),
-        F.lit(C.OTHERS_LABEL).alias("company"), "value",
-        (F.lit(None).cast("double") if m.ratio else safe_ratio(F.col("value"), F.col("total")))
-        .alias("share"))
-    return top_rows.unionByName(others_rows)
+    dec = "decimal(38,4)"
+    stats = (values.filter(F.col("value").isNotNull()).groupBy(part)
+                   .agg(F.sum(F.col("value").cast(dec)).alias("_all"),
+                        F.count(F.lit(1)).alias("_n")))
+    # One row per period: a bound that does not grow with the entities.
+    t = top.join(F.broadcast(stats), part, "left")
+    top_sum = F.sum(F.col("value").cast(dec)).over(Window.partitionBy(part))  # ≤ n rows
+    others = (F.col("_all").cast("decimal(37,4)") - top_sum.cast("decimal(37,4)")).cast("double")
+    t = t.withColumn("_others", F.when(F.col("_n") > n, others))
+    total = F.coalesce(F.col("_all").cast("double"), F.lit(0.0))
+
+    def share_of(v):
+        return F.lit(None).cast("double") if m.ratio else safe_ratio(v, total)
+
+    main = F.struct(F.col(part).alias(part), F.col("rank").alias("rank"), F.col(key).alias(key),
+                    F.col("company").alias("company"), F.col("value").alias("value"),
+                    share_of(F.col("value")).alias("share"))
+    rest = F.struct(F.col(part).alias(part), F.lit(None).cast("bigint").alias("rank"),
+                    F.lit(None).cast("string").alias(key), F.lit(C.OTHERS_LABEL).alias("company"),
+                    F.col("_others").alias("value"), share_of(F.col("_others")).alias("share"))
+    with_rest = (F.col("rank") == 1) & F.coalesce(F.col("_others") > 0, F.lit(False))
+    rows = F.when(with_rest, F.array(main, rest)).otherwise(F.array(main))
+    return t.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def resort(df: DataFrame, col: str, direction: int = -1) -> DataFrame:

@@ -23,12 +23,8 @@ def snapshot_view(filings: DataFrame, spec: ViewSpec, companies: DataFrame | Non
     sl = slice_filings(filings, period=None if all_periods else spec.period, line=spec.line,
                        wind_only=spec.wind_only, segments=spec.segments)
     values = M.entity_values(sl, spec.metric, spec.wind)
-    share = spec.mode == "share"
-    totals = None
-    if share and spec.metric_info.ratio:
-        totals = M.slice_totals(sl, spec.metric, spec.wind)
-    out = R.snapshot(values, spec.topn, spec.metric, share=share, companies=companies,
-                     totals=totals)
+    out = R.snapshot(values, spec.topn, spec.metric, share=spec.mode == "share",
+                     companies=companies)
     if spec.sort_col:
         out = R.resort(out, spec.sort_col, spec.sort_dir)
     return out

@@ -68,7 +68,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tessera/{name}"
 
 
-def materialize(df, name: str | None = None):
+def materialize(df, name: str | None = None, partition_by: str | None = None):
     """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder
     and read it back.
 
@@ -79,5 +79,8 @@ def materialize(df, name: str | None = None):
     import uuid
     spark = df.sparkSession
     path = shared_path(spark, f"{name or 'm'}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
