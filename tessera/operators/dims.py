@@ -35,27 +35,33 @@ def companies(filings: DataFrame, summary: DataFrame | None = None) -> DataFrame
 
     Display name = most frequent non-empty name; ties → the one seen first.
     Entities without any name show their key.
+
+    One chain of two aggregations: (entity, name) with its count, first seen
+    and periods, then per entity. The per-entity arrays hold names and periods,
+    bounded by the calendar and the renames of one entity, not by data volume.
     """
     facts = stack_facts(filings, summary)
-    names = (facts.filter(F.col("company") != "")
-                  .groupBy("naic", "company")
-                  .agg(F.count(F.lit(1)).alias("cnt"), F.min("seq").alias("first_seq")))
-    # max_by over (count, -first seen): one row per entity, no sort of all names.
-    best = (names.groupBy("naic")
-                 .agg(F.max_by("company", F.struct(F.col("cnt"),
-                                                   F.struct(-F.col("first_seq.layout"),
-                                                            -F.col("first_seq.pk"),
-                                                            -F.col("first_seq.row_no"))))
-                      .alias("name"),
-                      F.array_sort(F.collect_set("company")).alias("names")))
-    spans = (facts.groupBy("naic")
-                  .agg(F.min_by("period", period_key(F.col("period"))).alias("first"),
-                       F.max_by("period", period_key(F.col("period"))).alias("last"),
-                       F.countDistinct("period").alias("n_periods")))
-    return (spans.join(best, "naic", "left")
-                 .select("naic", F.coalesce(F.col("name"), F.col("naic")).alias("name"),
-                         F.coalesce(F.col("names"), F.array().cast("array<string>")).alias("names"),
-                         "first", "last", "n_periods"))
+    pk = period_key(F.col("period"))
+    per_name = (facts.groupBy("naic", "company")
+                     .agg(F.count(F.lit(1)).alias("cnt"), F.min("seq").alias("first_seq"),
+                          F.min_by("period", pk).alias("first"),
+                          F.max_by("period", pk).alias("last"),
+                          F.collect_set("period").alias("periods")))
+    named = F.col("company") != ""
+    rank_key = F.struct(F.col("cnt"), F.struct(-F.col("first_seq.layout"),
+                                               -F.col("first_seq.pk"),
+                                               -F.col("first_seq.row_no")))
+    out = (per_name.groupBy("naic")
+                   .agg(F.max_by(F.when(named, F.col("company")), F.when(named, rank_key))
+                        .alias("name"),
+                        F.array_sort(F.collect_set(F.when(named, F.col("company"))))
+                        .alias("names"),
+                        F.min_by("first", period_key(F.col("first"))).alias("first"),
+                        F.max_by("last", period_key(F.col("last"))).alias("last"),
+                        F.size(F.array_distinct(F.flatten(F.collect_list("periods"))))
+                        .cast("bigint").alias("n_periods")))
+    return out.select("naic", F.coalesce(F.col("name"), F.col("naic")).alias("name"), "names",
+                      "first", "last", "n_periods")
 
 
 def segments(filings: DataFrame, col: str = "policy_type") -> DataFrame:
