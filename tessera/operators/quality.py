@@ -101,3 +101,33 @@ def reconcile(filings: DataFrame, summary_long: DataFrame, metric: str = "pif",
                .otherwise(F.lit("differ")))
     return j.select("period", "naic", "line", "a_value", "b_value", diff.alias("diff"),
                     status.alias("status"))
+
+
+def render_report(periods_rows, checksum_rows, warning_rows, segment_rows, counts_row) -> str:
+    """SNK3: the validation report as text, from the small report tables.
+
+    Every argument is already collected (one row per period, file, warning or
+    segment); nothing here touches the facts.
+    """
+    out = ["INGEST VALIDATION REPORT", ""]
+    c = counts_row
+    out.append(f"periods: {c['periods']}  facts B: {c['facts_b']}  facts A: {c['facts_a']}  "
+               f"entities: {c['entities']}  segments: {c['segments']}")
+    out += ["", "PERIOD COVERAGE:"]
+    for r in sorted(periods_rows, key=lambda r: r["period"]):
+        out.append(f"  {r['period']}  A={'Y' if r['has_A'] else '-'}  "
+                   f"B={'Y' if r['has_B'] else '-'}  pulled={r.get('pulled_at') or ''}")
+    out += ["", "CHECKSUM (body sum vs published total):"]
+    for r in sorted(checksum_rows, key=lambda r: (r["period"], r.get("layout") or "", r["metric"])):
+        tot = "" if r["total"] is None else f"{r['total']:,.0f}"
+        flag = "  <-- MISMATCH" if r["status"] == "mismatch" else ""
+        out.append(f"  {r.get('layout') or '':2} {r['period']} {r['metric']:6} "
+                   f"{r['body_sum']:>16,.0f} {tot:>16} {r['rows']:>6}{flag}")
+    out += ["", f"WARNINGS ({len(warning_rows)}):" if warning_rows else "WARNINGS: none"]
+    for r in warning_rows:
+        out.append(f"  - [{r['layout']}] {r['path']}: {r['detail']}")
+    out += ["", "SEGMENTS:"]
+    for r in sorted(segment_rows, key=lambda r: r["policy_type"]):
+        wind = " WIND" if r["is_wind_only"] else "     "
+        out.append(f"  [{r['line'][:4]}{wind}] {r['policy_type']}")
+    return "\n".join(out) + "\n"

@@ -149,3 +149,24 @@ def resort(df: DataFrame, col: str, direction: int = -1) -> DataFrame:
     else:
         k = F.coalesce(F.col(col).cast("double"), F.lit(0.0))
     return df.orderBy(k.asc() if direction > 0 else k.desc())
+
+
+def suppressed_entities(sl: DataFrame, metric_col: str, part: str = "period",
+                        key: str = "naic") -> DataFrame:
+    """Q12: entities of the slice with no value for the metric, and how many of
+    their cells were suppressed — shown unranked beside a ranking, never as 0."""
+    sup = (F.array_contains(F.col("suppressed"), F.lit(metric_col)).cast("int")
+           if "suppressed" in sl.columns else F.lit(0))
+    g = sl.groupBy(part, key).agg(F.count(F.col(metric_col)).alias("_vals"),
+                                  F.sum(sup).cast("bigint").alias("n_suppressed"))
+    return g.filter((F.col("_vals") == 0) & (F.col("n_suppressed") > 0)).drop("_vals")
+
+
+def append_unranked(view: DataFrame, unranked: DataFrame, companies: DataFrame | None = None,
+                    part: str = "period", key: str = "naic") -> DataFrame:
+    """Q12 flag: append fully suppressed entities with no rank and no value."""
+    rows = with_names(unranked, companies, key).select(
+        part, F.lit(None).cast("bigint").alias("rank"), key, "company",
+        F.lit(None).cast("double").alias("value"), *(
+            [F.lit(None).cast("double").alias("share")] if "share" in view.columns else []))
+    return view.unionByName(rows)

@@ -123,3 +123,21 @@ def context_rows(spec: ViewSpec, wind_applied: str | None = None) -> list[tuple[
 def context_frame(spark, spec: ViewSpec, wind_applied: str | None = None):
     """P11 as a small DataFrame (name, text) to ship beside a view."""
     return spark.createDataFrame(context_rows(spec, wind_applied), "name string, text string")
+
+
+def change(spec: ViewSpec, **kw) -> ViewSpec:
+    """A user change with the view's state rules applied.
+
+    A new line clears the chosen segments; a new mode or metric clears the
+    column sort; a metric without the wind split resets wind to 'all'.
+    """
+    if "line" in kw and kw["line"] != spec.line and "segments" not in kw:
+        kw["segments"] = ()
+    if (("mode" in kw and kw["mode"] != spec.mode)
+            or ("metric" in kw and kw["metric"] != spec.metric)) and "sort_col" not in kw:
+        kw["sort_col"] = None
+    new = spec.with_(**kw)
+    m = new.metric_info
+    if (not m.wind or m.derived) and new.wind != "all":
+        new = new.with_(wind="all")
+    return new

@@ -43,3 +43,44 @@ def test_context_frame_captions_and_labels(spark):
 def test_load_dataset_missing(spark, tmpdir_path):
     with pytest.raises(SK.DatasetNotFoundError):
         SK.load_dataset(spark, os.path.join(tmpdir_path, "nothing"))
+
+
+def test_state_rules():
+    from tessera.plans.viewspec import change
+    s = ViewSpec(metric="tiv", wind="incl", line="Personal Residential",
+                 segments=("Personal Residential - X",), sort_col="value")
+    s2 = change(s, line="Commercial Residential")
+    assert s2.segments == () and s2.sort_col == "value"
+    s3 = change(s, metric="net_flow")
+    assert s3.sort_col is None and s3.wind == "all" and s3.segments == s.segments
+    assert change(s, mode="share").sort_col is None
+
+
+def test_suppressed_entities_unranked(spark):
+    from tessera.operators import ranking as R
+    p = spark.createDataFrame(
+        [("2024Q1", "1", "A", 5.0, []), ("2024Q1", "2", "B", None, ["tiv"]),
+         ("2024Q1", "2", "B", None, ["tiv"]), ("2024Q1", "3", "C", None, [])],
+        "period string, naic string, company string, tiv double, suppressed array<string>")
+    un = R.suppressed_entities(p, "tiv")
+    assert [(r.naic, r.n_suppressed) for r in un.collect()] == [("2", 2)]
+    view = snapshot_view(p.withColumn("line", F.lit("x")).withColumn("is_wind_only", F.lit(False))
+                          .withColumn("policy_type", F.lit("x")),
+                         ViewSpec(metric="tiv", period="2024Q1"))
+    out = R.append_unranked(view, un)
+    assert sorted((r.naic, r.rank) for r in out.collect()) == [("1", 1), ("2", None)]
+
+
+def test_render_report():
+    from tessera.operators.quality import render_report
+    text = render_report(
+        [{"period": "2024Q1", "has_A": False, "has_B": True, "pulled_at": "7/20/2024"}],
+        [{"period": "2024Q1", "layout": "B", "metric": "pif", "body_sum": 10.0,
+          "total": 12.0, "rows": 2, "status": "mismatch"}],
+        [{"layout": "B", "path": "x.xlsx", "detail": "missing dim columns: naic"}],
+        [{"policy_type": "Personal Residential - X - WIND ONLY", "line": "Personal Residential",
+          "is_wind_only": True}],
+        {"periods": 1, "facts_b": 2, "facts_a": 0, "entities": 2, "segments": 1})
+    assert "2024Q1  A=-  B=Y  pulled=7/20/2024" in text
+    assert "<-- MISMATCH" in text and "missing dim columns: naic" in text
+    assert "[Pers WIND] Personal Residential - X - WIND ONLY" in text
