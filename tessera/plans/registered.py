@@ -855,3 +855,18 @@ def series_every_entity_yoy(spark, sf_dir):
     fl = filings(spark, sf_dir)
     return S.series(fl, "dpw", "all", _periods(spark, sf_dir), "1995Q1", "2001Q4",
                     entities="all", transform="yoy", companies=_companies(fl))
+
+
+@register("suppressed_unranked", O.with_panel(f"""
+SELECT s.period, s.naic, coalesce(c.name, s.naic) AS company, s.n_suppressed
+FROM (SELECT period, naic, CAST(sum(CAST(is_sup AS INTEGER)) AS BIGINT) AS n_suppressed
+      FROM panel WHERE {_where(segments=(GAP_SEGMENT,))}
+      GROUP BY period, naic HAVING count(tiv) = 0) s
+LEFT JOIN companies c ON c.naic = s.naic
+WHERE s.n_suppressed > 0""", COMPANIES_SQL))
+def suppressed_unranked(spark, sf_dir):
+    """Q12: entities whose TIV is fully suppressed in the slice, listed without rank."""
+    fl = filings(spark, sf_dir)
+    sl = slice_filings(fl, segments=(GAP_SEGMENT,))
+    un = R.suppressed_entities(sl, "tiv")
+    return R.with_names(un, _companies(fl)).select("period", "naic", "company", "n_suppressed")
