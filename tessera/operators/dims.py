@@ -20,8 +20,10 @@ def stack_facts(filings: DataFrame, summary: DataFrame | None = None) -> DataFra
     """
     def part(df: DataFrame, layout: int) -> DataFrame:
         row = F.col("row_no").cast("bigint") if "row_no" in df.columns else F.lit(0).cast("bigint")
-        seq = F.struct(F.lit(layout).alias("layout"), period_key(F.col("period")).alias("pk"),
-                       row.alias("row_no"))
+        # One sortable long (layout, period key < 10^6, sheet row < 10^9), so
+        # "first seen" is a plain min() inside a hash aggregation.
+        seq = (F.lit(layout).cast("bigint") * F.lit(10 ** 15)
+               + period_key(F.col("period")).cast("bigint") * F.lit(10 ** 9) + row)
         return df.select("naic", "company", "period", seq.alias("seq"))
 
     out = part(filings, 0)
@@ -48,9 +50,7 @@ def companies(filings: DataFrame, summary: DataFrame | None = None) -> DataFrame
                           F.max_by("period", pk).alias("last"),
                           F.collect_set("period").alias("periods")))
     named = F.col("company") != ""
-    rank_key = F.struct(F.col("cnt"), F.struct(-F.col("first_seq.layout"),
-                                               -F.col("first_seq.pk"),
-                                               -F.col("first_seq.row_no")))
+    rank_key = F.struct(F.col("cnt"), -F.col("first_seq"))
     out = (per_name.groupBy("naic")
                    .agg(F.max_by(F.when(named, F.col("company")), F.when(named, rank_key))
                         .alias("name"),
