@@ -257,6 +257,9 @@ def panel_to_cells(panel: DataFrame, metrics: list[str], folder: str = "grid") -
     as numeric cells; odd quarters list the metric columns in reverse order.
     """
     dims = ["naic", "company", "policy_type"]
+    # The panel is read by the numbering (two branches) and by the footer sums:
+    # written once so none of them recomputes it.
+    panel = materialize(panel.select("period", *dims, *metrics, "suppressed"), "panel")
     numbered = number_rows(panel, "period", ["naic", "policy_type"], "body_no")
     q_odd = (F.substring(F.col("period"), -1, 1).cast("int") % 2) == 1
     n_m = len(metrics)
