@@ -57,12 +57,15 @@ def derived_value(metric_id: str) -> Column:
     raise ValueError(f"not a derived metric: {metric_id}")
 
 
-def _base_col(df: DataFrame, metric_id: str, wind: str) -> str:
-    return metric_column(metric_id, wind, df.columns)
+def _base_col(df: DataFrame, metric_id: str, wind: str, available=None) -> str:
+    """The column for the wind basis. ``available`` is the set of metric keys
+    seen in the headers (N12); by default the panel's own columns (a bound panel
+    carries only the metrics it has, a parsed grid carries all keys)."""
+    return metric_column(metric_id, wind, df.columns if available is None else available)
 
 
 def entity_values(df: DataFrame, metric_id: str, wind: str = "all",
-                  by=("period", "naic"), value: str = "value") -> DataFrame:
+                  by=("period", "naic"), value: str = "value", available=None) -> DataFrame:
     """A1/A2: one value per group (default entity × period)."""
     m = C.metric(metric_id)
     by = list(by)
@@ -70,19 +73,19 @@ def entity_values(df: DataFrame, metric_id: str, wind: str = "all",
         parts = derived_parts(df, metric_id)
         return (df.groupBy(*by).agg(*parts)
                   .select(*by, derived_value(metric_id).alias(value)))
-    col = _base_col(df, metric_id, wind)
+    col = _base_col(df, metric_id, wind, available)
     return df.groupBy(*by).agg(exact_sum(col).alias(value))
 
 
 def slice_totals(df: DataFrame, metric_id: str, wind: str = "all", by=("period",),
-                 value: str = "total") -> DataFrame:
+                 value: str = "total", available=None) -> DataFrame:
     """Whole-slice scalar per group: sum (0 when empty) or ratio of sums."""
     m = C.metric(metric_id)
     by = list(by)
     if m.derived:
         return (df.groupBy(*by).agg(*derived_parts(df, metric_id))
                   .select(*by, derived_value(metric_id).alias(value)))
-    col = _base_col(df, metric_id, wind)
+    col = _base_col(df, metric_id, wind, available)
     return df.groupBy(*by).agg(exact_sum0(col).alias(value))
 
 

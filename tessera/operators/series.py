@@ -39,7 +39,7 @@ def spine(targets: DataFrame, periods: list[str], target: str = "target") -> Dat
 
 
 def target_values(sl: DataFrame, metric_id: str, wind: str, periods: list[str],
-                  entities=()) -> tuple[DataFrame, DataFrame]:
+                  entities=(), available=None) -> tuple[DataFrame, DataFrame]:
     """Values per (target, period) for the chosen entities, ``"all"`` entities,
     or the ALL target (W9) when none is chosen.
 
@@ -49,11 +49,13 @@ def target_values(sl: DataFrame, metric_id: str, wind: str, periods: list[str],
     sl = select_values(sl, "period", periods)
     if isinstance(entities, str) and entities == "all":
         # Every entity with a fact in the slice: one grouped pass, targets from it.
-        vals = M.entity_values(sl, metric_id, wind).withColumnRenamed("naic", "target")
+        vals = (M.entity_values(sl, metric_id, wind, available=available)
+                  .withColumnRenamed("naic", "target"))
         targets = vals.select("target").distinct()
         return vals.select("target", "period", "value"), targets
     if isinstance(entities, DataFrame) or len(entities) > 0:
-        vals = (M.entity_values(select_entities(sl, entities), metric_id, wind)
+        vals = (M.entity_values(select_entities(sl, entities), metric_id, wind,
+                                available=available)
                   .withColumnRenamed("naic", "target"))
         if isinstance(entities, DataFrame):
             targets = entities.select(F.col(entities.columns[0]).alias("target")).distinct()
@@ -61,7 +63,7 @@ def target_values(sl: DataFrame, metric_id: str, wind: str, periods: list[str],
             targets = spark.createDataFrame([(e,) for e in dict.fromkeys(entities)],
                                             "target string")
     else:
-        vals = (M.slice_totals(sl, metric_id, wind, value="value")
+        vals = (M.slice_totals(sl, metric_id, wind, value="value", available=available)
                   .withColumn("target", F.lit(C.ALL_TARGET)))
         targets = spark.createDataFrame([(C.ALL_TARGET,)], "target string")
     return vals.select("target", "period", "value"), targets
@@ -69,7 +71,7 @@ def target_values(sl: DataFrame, metric_id: str, wind: str, periods: list[str],
 
 def series(sl: DataFrame, metric_id: str, wind: str, periods: list[str], period_from: str,
            period_to: str, entities=(), transform: str = "abs", basis: str = "position",
-           companies: DataFrame | None = None) -> DataFrame:
+           companies: DataFrame | None = None, available=None) -> DataFrame:
     """W8/W9 with W6/W7: columns target, name, period, value, display.
 
     ``basis='position'`` steps back by rows of the selected range (Q5 KEEP);
@@ -81,7 +83,7 @@ def series(sl: DataFrame, metric_id: str, wind: str, periods: list[str], period_
     if transform != "abs" and basis == "calendar":
         step = 1 if transform == "qoq" else 4
         need = sorted(set(rng) | {calendar_shift(p, step) for p in rng})
-    vals, targets = target_values(sl, metric_id, wind, need, entities)
+    vals, targets = target_values(sl, metric_id, wind, need, entities, available)
     grid = spine(targets, rng).join(vals, ["target", "period"], "left")
     if transform == "abs":
         disp = F.col("value")

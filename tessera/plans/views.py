@@ -18,11 +18,12 @@ from .viewspec import ViewSpec
 
 
 def snapshot_view(filings: DataFrame, spec: ViewSpec, companies: DataFrame | None = None,
-                  all_periods: bool = False) -> DataFrame:
-    """Rank or share view (3.2). ``all_periods`` ranks every period at once."""
+                  all_periods: bool = False, available=None) -> DataFrame:
+    """Rank or share view (3.2). ``all_periods`` ranks every period at once;
+    ``available`` is N12's set of metric keys for the wind fallback (P2)."""
     sl = slice_filings(filings, period=None if all_periods else spec.period, line=spec.line,
                        wind_only=spec.wind_only, segments=spec.segments)
-    values = M.entity_values(sl, spec.metric, spec.wind)
+    values = M.entity_values(sl, spec.metric, spec.wind, available=available)
     out = R.snapshot(values, spec.topn, spec.metric, share=spec.mode == "share",
                      companies=companies)
     if spec.sort_col:
@@ -31,25 +32,34 @@ def snapshot_view(filings: DataFrame, spec: ViewSpec, companies: DataFrame | Non
 
 
 def series_view(filings: DataFrame, spec: ViewSpec, periods: list[str],
-                companies: DataFrame | None = None) -> DataFrame:
+                companies: DataFrame | None = None, available=None) -> DataFrame:
     """Series view (3.3): targets × range on a dense spine, optional QoQ/YoY."""
     sl = slice_filings(filings, line=spec.line, wind_only=spec.wind_only,
                        segments=spec.segments)
     return S.series(sl, spec.metric, spec.wind, periods, spec.period_from, spec.period_to,
                     entities=spec.entities, transform=spec.transform, basis=spec.basis,
-                    companies=companies)
+                    companies=companies, available=available)
 
 
-def wind_applied(filings: DataFrame, spec: ViewSpec) -> str:
+def wind_applied(filings: DataFrame, spec: ViewSpec, available=None) -> str:
     """Q13: the column the wind choice resolved to."""
-    return metric_column(spec.metric, spec.wind, filings.columns)
+    return metric_column(spec.metric, spec.wind,
+                         filings.columns if available is None else available)
 
 
-def captions(view: DataFrame, kind: str = "snapshot") -> DataFrame:
-    """One-row summary per period for a snapshot (carriers with a value, total)."""
-    if kind == "snapshot":
-        body = view.filter(F.col("rank").isNotNull())
-        return body.groupBy("period").agg(F.count("value").alias("carriers"),
-                                          F.sum("value").alias("shown_total"))
-    return view.agg(F.countDistinct("target").alias("series"),
-                    F.min("period").alias("first"), F.max("period").alias("last"))
+def captions(filings: DataFrame, spec: ViewSpec, all_periods: bool = False,
+             available=None) -> DataFrame:
+    """P14 for a snapshot: per period, carriers with a value and the slice total.
+
+    The slice total (Q4: named for what it is, not a published figure) is the
+    sum over all entities, or the ratio of sums for a ratio metric (Q3).
+    """
+    sl = slice_filings(filings, period=None if all_periods else spec.period, line=spec.line,
+                       wind_only=spec.wind_only, segments=spec.segments)
+    values = M.entity_values(sl, spec.metric, spec.wind, available=available)
+    carriers = values.groupBy("period").agg(F.count("value").alias("carriers"),
+                                            M.exact_sum0("value").alias("_sum"))
+    if spec.metric_info.ratio:
+        tot = M.slice_totals(sl, spec.metric, spec.wind, value="slice_total", available=available)
+        return carriers.join(tot, "period").drop("_sum")
+    return carriers.withColumnRenamed("_sum", "slice_total")

@@ -33,9 +33,16 @@ def test_context_rows():
 def test_context_frame_captions_and_labels(spark):
     assert context_frame(spark, ViewSpec()).count() >= 4
     fl = filings_from_tables(spark, "/root/testdata/sf0.001")
-    snap = snapshot_view(fl, ViewSpec(mode="share", metric="dpw", topn=3, period="1998Q1"))
-    cap = captions(snap).first()
-    assert cap.carriers == 3
+    spec = ViewSpec(mode="share", metric="dpw", topn=3, period="1998Q1")
+    snap = snapshot_view(fl, spec)
+    cap = captions(fl, spec).first()
+    n_ent = fl.filter((F.col("period") == "1998Q1") & F.col("dpw").isNotNull()) \
+              .select("naic").distinct().count()
+    assert cap.carriers == n_ent and cap.carriers > 3
+    shares = {r.company: r.value for r in snap.collect()}
+    assert cap.slice_total == pytest.approx(sum(shares.values()))
+    ratio = captions(fl, spec.with_(metric="rate_on_line")).first()
+    assert 0 < ratio.slice_total < 1
     lab = labelled(snap, "dpw", share_col="share").filter(F.col("rank") == 1).first()
     assert lab.value_label.startswith("$") and lab.share_label.endswith("%")
 
@@ -84,3 +91,25 @@ def test_render_report():
     assert "2024Q1  A=-  B=Y  pulled=7/20/2024" in text
     assert "<-- MISMATCH" in text and "missing dim columns: naic" in text
     assert "[Pers WIND] Personal Residential - X - WIND ONLY" in text
+
+
+def test_wind_fallback_uses_headers_seen(spark):
+    """A parsed grid has every key as a column; P2 must follow the headers seen."""
+    from conftest import cells_df
+    from tessera.operators import grid as G
+    from tessera.plans.views import wind_applied
+    from tessera.sources import files as FS
+    path = "d/filing_by_company_and_policy_type_2024q2.xlsx"
+    rows = [["NAIC Code", "Company Name", "Policy Type", "Total Value of Exposure",
+             "Value of Exposure for policies that Include Wind"],
+            ["1", "A", "Personal Residential - X", 10, 4], ["2", "B", "Personal Residential - X", 5, 5]]
+    files = FS.describe_files(spark.createDataFrame([(path,)], "path string"))
+    res = G.parse_grid(cells_df(spark, path, rows), files, "B")
+    seen = {r.key for r in res["metrics_seen"].collect()}
+    assert "tiv_excl_wind" in res["facts"].columns and "tiv_excl_wind" not in seen
+    spec = ViewSpec(metric="tiv", wind="excl", period="2024Q2")
+    assert wind_applied(res["facts"], spec, seen) == "tiv"
+    got = [(r.naic, r.value) for r in snapshot_view(res["facts"], spec, available=seen).collect()]
+    assert got == [("1", 10.0), ("2", 5.0)]
+    incl = snapshot_view(res["facts"], spec.with_(wind="incl"), available=seen).collect()
+    assert [(r.naic, r.value) for r in incl] == [("2", 5.0), ("1", 4.0)]
