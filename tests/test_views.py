@@ -159,3 +159,20 @@ def test_wind_fallback_and_resort(spark):
     out = snapshot_view(p, ViewSpec(metric="tiv", period="2024Q1", sort_col="company",
                                     sort_dir=1))
     assert [r.company for r in out.collect()] == ["0", "1", "2"]
+
+
+def test_distributed_rank_hot_period_is_split(spark):
+    """One period holds most rows: the range split spreads it over several
+    ranges, and the numbering stays exact."""
+    from pyspark.sql import Window
+    rows = [("2024Q1" if i % 10 else "2024Q2", f"{i:05d}", float((i * 7919) % 1013))
+            for i in range(3000)]
+    vals = spark.createDataFrame(rows, "period string, naic string, value double")
+    ranked = R.distributed_rank(vals, "period", "value", "naic", partitions=8)
+    w = Window.partitionBy("period").orderBy(F.col("value").desc(), F.col("naic"))
+    want = vals.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    assert ranked.select("period", "naic", "rank").exceptAll(
+        want.select("period", "naic", "rank")).count() == 0
+    hot = vals.filter(F.col("period") == "2024Q1").repartitionByRange(
+        8, F.col("period"), F.col("value").desc(), F.col("naic"))
+    assert hot.select(F.spark_partition_id().alias("p")).distinct().count() > 1
