@@ -7,8 +7,6 @@ the shared folder for materialised intermediates.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 # Settings the operators are written for. AQE re-plans joins from runtime sizes
@@ -42,11 +40,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names a shared file system; it is only set here
-    when the session has none (tests, a laptop), in a fresh scratch folder.
+    Executors on other machines cannot see a folder of the driver's machine, so a
+    session on a cluster without the setting is refused. In local mode, where
+    all tasks run in the driver's process, an unset folder becomes a scratch one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -54,12 +53,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if fallback is None:
-        import tempfile
-        fallback = tempfile.mkdtemp(prefix="tessera-ckpt-")
-    os.makedirs(fallback, exist_ok=True)
-    sc.setCheckpointDir(fallback)
-    return fallback
+    if not is_single_process(sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share; "
+                         "intermediates are written there")
+    import tempfile
+    scratch = tempfile.mkdtemp(prefix="tessera-ckpt-")
+    sc.setCheckpointDir(scratch)
+    return scratch
+
+
+def is_single_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
