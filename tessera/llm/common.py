@@ -69,9 +69,10 @@ def rolling(values: np.ndarray, size: int, base: int) -> np.ndarray:
     return out
 
 
-def record_batches(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows[f.name], f.type) for f in schema], schema=schema)
+def arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def texts_in(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:

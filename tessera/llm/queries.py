@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, langid
+from tessera.llm import exact_dedup, langid, token_planes, warc
 from tessera.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,12 @@ SQL: dict[str, str] = {}
 SEP_RE = r"[\x20\x09-\x0D]"
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE that the contracts name."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -57,3 +63,21 @@ def exact_dedup_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = exact_dedup.mark(docs, settle_hash=True)
     return told.select(F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"),
                        "group_size", "kept", F.col("full_hash").alias("text_sha256"))
+
+
+@query("op3_token_planes")
+def token_planes_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written in key order with end id 2, read back from the files."""
+    docs = table(spark, sf_dir, "documents")
+    files = token_planes.write(docs, tokenizer_path(), end_id=2)
+    told = token_planes.read(files, token_planes.crc32_of, "ids_crc32 long")
+    return told.withColumnRenamed("key", "doc_id")
+
+
+@query("op10_warc_segments")
+def warc_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as segmented archives and read back."""
+    pages = table(spark, sf_dir, "pages")
+    told = warc.read(warc.write(pages, revisit_bytes=0), with_payload=False)
+    return told.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest",
+                       "record_type", "refers_to")
