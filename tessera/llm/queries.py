@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, langid, token_planes, warc
+from tessera.llm import exact_dedup, langid, simhash, token_planes, warc
 from tessera.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,12 @@ def warc_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = warc.read(warc.write(pages, revisit_bytes=0), with_payload=False)
     return told.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest",
                        "record_type", "refers_to")
+
+
+@query("op4_simhash")
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of 3-word SimHash fingerprints at 2 or fewer differing bits."""
+    told = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, limit=2)
+    return told.select(F.col("key").alias("doc_id"),
+                       F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
+                       F.col("component").alias("component_id"))
