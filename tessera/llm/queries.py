@@ -11,7 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, langid, simhash, token_planes, warc
+from tessera.llm import (
+    decontaminate,
+    exact_dedup,
+    langid,
+    simhash,
+    token_planes,
+    url_reputation,
+    warc,
+)
 from tessera.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +98,90 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(F.col("key").alias("doc_id"),
                        F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
                        F.col("component").alias("component_id"))
+
+
+#: The rules of the contract: host, path, verdict.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"),
+             ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def _url_sql() -> str:
+    by_length = sorted(URL_RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
+
+    def case(value):
+        return "CASE " + " ".join(
+            f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') "
+            f"THEN '{value(h, p, v)}'" for h, p, v in by_length) + " END"
+
+    two = ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL)
+    lo, hi = url_reputation.STRENGTH
+
+    def strength(level):
+        return f"""(SELECT least(greatest(CASE WHEN rho > 0 THEN (1 - rho) / rho ELSE {hi} END,
+                          {lo}), {hi}) FROM (
+          SELECT (yy - t * p * p - p * (1 - p) * (k - 1))
+                 / nullif(greatest(p * (1 - p) * (t - t2 / t - (k - 1)), 0), 0) AS rho FROM (
+            SELECT *, y / t AS p FROM (
+              SELECT sum(bad)::DOUBLE AS y, sum(n)::DOUBLE AS t, count(*) AS k,
+                     sum(n * n)::DOUBLE AS t2, sum(bad * bad / n) AS yy
+              FROM {level} WHERE n > 0) WHERE t > 0)))"""
+
+    def tail(labels):
+        return f"array_to_string(list_slice(labels, -{labels}, -1), '.')"
+
+    return rf"""
+WITH told AS (
+  SELECT doc_id AS page_id, sum(bad)::BIGINT AS bad, count(*) AS n FROM (
+    SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1
+                        WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END AS bad FROM labels)
+  WHERE bad IS NOT NULL GROUP BY doc_id),
+p AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+hosts0 AS (
+  SELECT host, coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(bad), 0)::BIGINT AS bad
+  FROM p LEFT JOIN told USING (page_id) GROUP BY host),
+hosts1 AS (
+  SELECT *, string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') AS labels FROM hosts0),
+hosts AS (
+  SELECT host, n, bad,
+    CASE WHEN {tail(2)} IN ({two}) THEN {tail(3)} ELSE {tail(2)} END AS domain,
+    CASE WHEN {tail(2)} IN ({two}) THEN {tail(2)} ELSE {tail(1)} END AS suffix FROM hosts1),
+domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad
+            FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY ALL),
+m AS (SELECT (SELECT (sum(bad) + 1)::DOUBLE / (sum(n) + 2) FROM suffixes) AS p0,
+             coalesce({strength('suffixes')}, {hi}) AS ms,
+             coalesce({strength('domains')}, {hi}) AS md, coalesce({strength('hosts')}, {hi}) AS mh),
+s AS (SELECT suffix, (bad + ms * p0) / (n + ms) AS above FROM suffixes, m),
+d AS (SELECT domain, suffix, (bad + md * above) / (n + md) AS above
+      FROM domains JOIN s USING (suffix), m),
+h AS (SELECT host, (bad + mh * above) / (n + mh) AS mean, n + mh AS size
+      FROM hosts JOIN d USING (domain, suffix), m),
+j AS (SELECT page_id, host, path,
+        greatest(mean - {url_reputation.Z} * sqrt(mean * (1 - mean) / (size + 1)), 0.0) AS lower
+      FROM p JOIN h USING (host))
+SELECT page_id, host, path, {case(lambda h, p, v: h + p)} AS rule,
+  coalesce({case(lambda h, p, v: v)},
+           CASE WHEN lower > {url_reputation.BLOCK_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict
+FROM j"""
+
+
+@query("op5_url_reputation", _url_sql())
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is bad if its label says low quality or toxic."""
+    bad = (F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1)
+           .when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0))
+    outcomes = table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad"))
+    told = url_reputation.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    return told.select(F.col("key").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op9_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items it holds."""
+    told = decontaminate.mark(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                              table(spark, sf_dir, "benchmark"))
+    return told.select("doc_id", "contaminated", "items", "longest_run", "cover")
