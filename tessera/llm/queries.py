@@ -15,6 +15,8 @@ from tessera.llm import (
     decontaminate,
     exact_dedup,
     langid,
+    packing,
+    quality_knn,
     simhash,
     token_planes,
     url_reputation,
@@ -185,3 +187,29 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = decontaminate.mark(table(spark, sf_dir, "documents").select("doc_id", "text"),
                               table(spark, sf_dir, "benchmark"))
     return told.select("doc_id", "contaminated", "items", "longest_run", "cover")
+
+
+@query("op2_quality_knn")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labels of rows whose key's CRC mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = id_crc() % 3 == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    known = labels.where(~held).join(docs.where(~held), "doc_id")
+    told = quality_knn.score(docs, quality_knn.fit(known))
+    return told.select("doc_id", held.alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_retrieval_packing")
+def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 ids, end id 0."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of documents, in the columns of the packing contract."""
+    told = packing.pack(docs, tokenizer_path(), end_id=0, size=1024,
+                        tell=packing.crc32_of, schema="ids_crc32 long")
+    return told.withColumnRenamed("key", "doc_id").select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
