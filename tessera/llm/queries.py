@@ -18,6 +18,7 @@ from tessera.llm import (
     packing,
     quality_knn,
     simhash,
+    substring_dedup,
     token_planes,
     url_reputation,
     warc,
@@ -213,3 +214,11 @@ def packed(docs: DataFrame) -> DataFrame:
                         tell=packing.crc32_of, schema="ids_crc32 long")
     return told.withColumnRenamed("key", "doc_id").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op1_substring_dedup")
+def substring_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of 20 words and more."""
+    told = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20,
+                                          with_text=False)
+    return told.select(F.col("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
