@@ -158,3 +158,13 @@ def identify(docs: DataFrame, model: Model, text: str | Column = "text",
     col = F.col(text) if isinstance(text, str) else text
     told = docs.withColumn("_told", predictor(docs.sparkSession, model)(col))
     return told.withColumns({lang: F.col("_told.lang"), score: F.col("_told.score")}).drop("_told")
+
+
+def keep_identified(docs: DataFrame, model: Model, text: str = "text",
+                    min_score: float = 0.5) -> DataFrame:
+    """The rows whose language was told with a posterior of ``min_score`` or more, with all
+    their columns; texts without a letter go."""
+    own = docs.select(F.struct("*").alias("_row"), F.col(f"`{text}`").alias("_text"))
+    told = identify(own, model, "_text", "_lang", "_score")
+    return told.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= min_score)).select(
+        "_row.*")
