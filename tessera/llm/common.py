@@ -56,6 +56,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Growing:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, kind) -> None:
+        self.data, self.n = np.zeros(1024, kind), 0
+
+    def extend(self, values: list) -> None:
+        need = self.n + len(values)
+        if need > len(self.data):
+            wider = np.zeros(max(need, 2 * len(self.data)), self.data.dtype)
+            wider[:self.n] = self.data[:self.n]
+            self.data = wider
+        self.data[self.n:need] = values
+        self.n = need
+
+
 def rolling(values: np.ndarray, size: int, base: int) -> np.ndarray:
     """Polynomial hash of every window of ``size`` consecutive 64-bit values."""
     n = len(values) - size + 1

@@ -34,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, rolling
+from tessera.llm.common import Growing, mix64, rolling
 
 WINDOW, MIN_LITERAL, MIN_RUN, MIN_COVER = 8, 5, 12, 0.6
 BLOCK_CHARS = 8 << 20
-VOCABULARY = 400_000
+VOCABULARY = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 
 # Units and spelled numbers.
@@ -54,6 +54,9 @@ NUMBER_WORDS = frozenset(
     "fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy "
     "eighty ninety hundred thousand million billion".split())
 
+SPECIAL = UNITS | NUMBER_WORDS
+CLOSING = ".,;:!?\"')]”’"
+
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 #: Words of a raw, white-space-free string: figures, or runs of letters.
 PIECE = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -82,53 +85,55 @@ class Vocabulary:
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.first, self.count, self.ends = [], [], []
-        self.hash, self.kind = [], []
-        self.arrays = None
-
-    def _add(self, word: str) -> int:
-        pieces = PIECE.findall(word)
-        self.first.append(len(self.hash))
-        self.count.append(len(pieces))
-        self.ends.append(ENDS.search(word) is not None)
-        for p in pieces:
-            self.hash.append(_hash(p.lower()))
-            self.kind.append(_kind(p, len(pieces) == 1))
-        self.ids[word] = len(self.ids)
-        self.arrays = None
-        return self.ids[word]
+        self.first, self.count = Growing(np.int64), Growing(np.int64)
+        self.ends = Growing(bool)
+        self.hash, self.kind = Growing(np.uint64), Growing(np.int8)
+
+    def _learn(self, words: set[str]) -> None:
+        first, count, ends, hashes, kinds = [], [], [], [], []
+        at = self.hash.n
+        for word in words:
+            self.ids[word] = len(self.ids)
+            first.append(at + len(hashes))
+            stem = word.rstrip(CLOSING)
+            ends.append(len(stem) < len(word) and ENDS.search(word) is not None)
+            if stem.isalpha():  # the common case: one run of letters
+                low = stem.lower()
+                count.append(1)
+                hashes.append(_hash(low))
+                kinds.append(LITERAL if low == stem and low not in SPECIAL else _kind(stem, True))
+                continue
+            pieces = PIECE.findall(word)
+            count.append(len(pieces))
+            for p in pieces:
+                hashes.append(_hash(p.lower()))
+                kinds.append(_kind(p, len(pieces) == 1))
+        for array, values in ((self.first, first), (self.count, count), (self.ends, ends),
+                              (self.hash, hashes), (self.kind, kinds)):
+            array.extend(values)
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Value hash and kind of every token of a text."""
         words = text.split() if text else []
         if len(self.ids) > self.size:
             self.clear()
-        known, add = self.ids, self._add
-        for w in set(words).difference(known):
-            add(w)
-        if self.arrays is None:
-            self.arrays = _Grown.of(self)
-        first, count, ends, value, kind = self.arrays
-        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        n = count[ids]
+        ids = list(map(self.ids.get, words))
+        if None in ids:
+            self._learn({w for w, i in zip(words, ids, strict=True) if i is None})
+            ids = list(map(self.ids.__getitem__, words))
+        ids = np.array(ids, np.int64)
+        n = self.count.data[ids]
         total = int(n.sum())
         if not total:
             return np.zeros(0, np.uint64), np.zeros(0, np.int8)
         begin = np.cumsum(n) - n
-        place = np.repeat(first[ids] - begin, n) + np.arange(total)
-        out = kind[place]
+        place = np.repeat(self.first.data[ids] - begin, n) + np.arange(total)
+        out = self.kind.data[place]
         # The first token after a word that ends a sentence is no name.
-        opening = np.concatenate([[True], ends[ids[:-1]]]) & (n > 0)
+        opening = np.concatenate([[True], self.ends.data[ids[:-1]]]) & (n > 0)
         at = begin[opening]
         out[at[out[at] == NAME]] = LITERAL
-        return value[place], out
-
-
-class _Grown:
-    @staticmethod
-    def of(v: Vocabulary):
-        return (np.array(v.first, np.int64), np.array(v.count, np.int64),
-                np.array(v.ends, bool), np.array(v.hash, np.uint64), np.array(v.kind, np.int8))
+        return self.hash.data[place], out
 
 
 def template(value: np.ndarray, kind: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ are broken by the order of the labelled rows' hashes.
 
 from __future__ import annotations
 
-import re
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import Growing
+
 WORDS, SHAPES, PAIRS, REPEATS = 2048, 512, 1024, 16
 FEATURES = WORDS + SHAPES + PAIRS + REPEATS
 MAX_LABELLED, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 64, 25, 4.0
 BLOCK = 256
-VOCABULARY = 300_000
+VOCABULARY = 1_000_000
 #: Weight of each group of features after it is scaled to length one.
 WEIGHTS = (1.0, 2.0, 2.0, 1.5)
 
@@ -41,18 +43,29 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 11)
 
 
-SIGN_RUNS = re.compile(r"([^\w\s])\1+")
+@functools.lru_cache(1 << 14)
+def _shape_hash(form: str) -> int:
+    return _hash(form)
+
+
+SIGNS = ".,;:!?\"'()[]*#$%&|"
 
 
 def shape(word: str) -> str:
     """Upper, lower, digits and signs of a word, runs as one."""
-    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-             for c in word[:256])
-    out = []
-    for k in kinds:
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
+    if word.isalpha():
+        if word.islower():
+            return "a"
+        if word.isupper():
+            return "A"
+        if word[1:].islower():
+            return "Aa"
+    out = ""
+    for c in word:
+        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        if out[-1:] != k:
+            out += k
+    return out
 
 
 class Vocabulary:
@@ -64,23 +77,21 @@ class Vocabulary:
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.word, self.shape = [], []
-        self.arrays = None
+        self.word, self.shape = Growing(np.int64), Growing(np.uint64)
 
     def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, word buckets and shape hashes of words."""
         if len(self.ids) > self.size:
             self.clear()
-        for w in set(words).difference(self.ids):
-            self.ids[w] = len(self.ids)
-            core = w.strip(".,;:!?\"'()[]*#$%&|").lower() or w
-            self.word.append(_hash(core) % WORDS)
-            self.shape.append(_hash(shape(w)))
-            self.arrays = None
-        if self.arrays is None:
-            self.arrays = np.array(self.word, np.int64), np.array(self.shape, np.uint64)
-        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        return ids, self.arrays[0][ids], self.arrays[1][ids]
+        ids = list(map(self.ids.get, words))
+        if None in ids:
+            new = {w for w, i in zip(words, ids, strict=True) if i is None}
+            self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+            self.word.extend([_hash(w.strip(SIGNS).lower() or w) % WORDS for w in new])
+            self.shape.extend([_shape_hash(shape(w)) for w in new])
+            ids = list(map(self.ids.__getitem__, words))
+        ids = np.array(ids, np.int64)
+        return ids, self.word.data[ids], self.shape.data[ids]
 
 
 def _scaled(counts: np.ndarray, weight: float) -> np.ndarray:
