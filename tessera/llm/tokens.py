@@ -13,8 +13,12 @@ import functools
 import os
 from array import array
 
-MAX_PIECES = 500_000
+MAX_PIECES = 1_000_000
 MAX_PIECE_CHARS = 64
+#: Signs that end a word without being letters, figures, white space or apostrophes.
+CLOSING = ".,;:!?%$#&*)]"
+#: Letters up to here have been letters in every version of Unicode.
+LAST_SETTLED = "\u024f"
 
 
 def _edge_safe(c: str) -> bool:
@@ -22,60 +26,114 @@ def _edge_safe(c: str) -> bool:
     return "!" <= c <= "~" or c.isalnum()
 
 
+def _byte_characters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the
+    characters from 256 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     def __init__(self, path: str, max_pieces: int = MAX_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.model = self.tokenizer.model
+        self.characters = _byte_characters()
         self.max_pieces = max_pieces
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}   # a part, meant with a space before it
+        self.atoms: dict[str, bytes] = {}   # a piece as it stands
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, text: str) -> bytes:
+        """Ids of a string that the tokenizer's splitter leaves whole."""
+        shown = text.encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        head, *rest = text.split(" ")
-        cache = self.cache
-        missing = {p for p in rest if p not in cache}
-        if missing:
-            if not all(p and len(p) <= MAX_PIECE_CHARS and _edge_safe(p[0]) and _edge_safe(p[-1])
-                       for p in missing):
-                return self._encode_uneven([head, *rest])
-            if len(cache) + len(missing) > self.max_pieces:
-                cache.clear()
-                missing = set(rest)
-            order = list(missing)
-            cache.update(zip(order, self._plain([" " + p for p in order]), strict=True))
-        if head and rest and not _edge_safe(head[-1]):
-            return self._encode_uneven([head, *rest])
-        first = self._plain([head])[0] if head else b""
-        if not head and rest and not (rest[0] and _edge_safe(rest[0][0])):
-            return self._encode_uneven([head, *rest])
-        return first + b"".join([cache[p] for p in rest])
+        parts = text.split(" ")
+        if len(parts) == 1:
+            return self._plain(parts)[0]
+        head = parts[0]
+        if not (head and _edge_safe(head[-1]) and parts[1] and _edge_safe(parts[1][0])):
+            return self._encode_uneven(parts)
+        del parts[0]
+        found = list(map(self.cache.get, parts))
+        if None in found:
+            missing = {p for p, f in zip(parts, found, strict=True) if f is None}
+            if len(self.cache) + len(missing) > self.max_pieces:
+                self.cache, self.atoms = {}, {}
+                missing = set(parts)
+            if not self._learn(missing):
+                return self._encode_uneven([head, *parts])
+            found = map(self.cache.__getitem__, parts)
+        return self._plain([head])[0] + b"".join(found)
+
+    def _learn(self, parts: set[str]) -> bool:
+        """Add parts to the cache; false if one of them cannot be cut out safely (an empty
+        part, white space at an edge) or is too long to keep.
+
+        Words are looked up without closing signs and line by line: a line feed between
+        two characters that are not white space is a token of its own."""
+        cache, plain, cut = self.cache, [], []
+        for p in parts:
+            if p.isalpha() and max(p) <= LAST_SETTLED and len(p) <= MAX_PIECE_CHARS:
+                cache[p] = self._piece(" " + p)
+            elif not p or len(p) > MAX_PIECE_CHARS or not (_edge_safe(p[0]) and _edge_safe(p[-1])):
+                return False
+            else:
+                cut.append(p)
+        for p in cut:
+            told = self._from_atoms(p)
+            if told is None:
+                plain.append(p)
+            else:
+                cache[p] = told
+        if plain:
+            cache.update(zip(plain, self._plain([" " + p for p in plain]), strict=True))
+        return True
+
+    def _from_atoms(self, part: str) -> bytes | None:
+        atoms, out, lead = self.atoms, [], " "
+        for line in part.split("\n"):
+            stem = line.rstrip(CLOSING)
+            if not stem.isalpha() or max(stem) > LAST_SETTLED:
+                return None
+            pieces = [lead + stem] if lead == " " else ["\n", stem]
+            if len(stem) < len(line):
+                pieces.append(line[len(stem):])
+            for piece in pieces:
+                told = atoms.get(piece)
+                if told is None:
+                    told = self.cache.get(stem) if piece[0] == " " else None
+                    told = atoms[piece] = self._piece(piece) if told is None else told
+                out.append(told)
+            lead = ""
+        return b"".join(out)
 
     def _encode_uneven(self, parts: list[str]) -> bytes:
         """Parts with white space at an edge, empty or long ones: these are joined to
         their neighbours, up to the next safe cut."""
-        cache, out, waiting = self.cache, [], []
-        run = parts[0]
+        waiting, run = [], parts[0]
         for before, part in zip(parts, parts[1:], strict=False):
-            safe = bool(before and part) and _edge_safe(before[-1]) and _edge_safe(part[0])
-            if safe:
+            if before and part and _edge_safe(before[-1]) and _edge_safe(part[0]):
                 waiting.append(run)
                 run = " " + part
             else:
                 run += " " + part
         waiting.append(run)
-        new = [w for w in waiting if w[:1] != " " or w[1:] not in cache]
+        cache = self.cache
+        new = list({w for w in waiting if w[:1] != " " or w[1:] not in cache or w == " "})
         told = dict(zip(new, self._plain(new), strict=True))
-        for w in waiting:
-            out.append(told[w] if w in told else cache[w[1:]])
-        return b"".join(out)
+        return b"".join([told[w] if w in told else cache[w[1:]] for w in waiting])
 
 
 @functools.cache
