@@ -46,19 +46,22 @@ def money_label(c, scale: str | int = "auto") -> Column:
     return F.when(v.isNotNull(), F.concat(F.lit("$"), body, suf))
 
 
+def _one_decimal(x: Column) -> Column:
+    """One decimal, no grouping of thousands."""
+    return F.round(_dec(x), 1).cast("decimal(38,1)").cast("string")
+
+
 def pct_label(c) -> Column:
-    """fraction → percent with one decimal, e.g. 0.1234 → '12.3%'."""
+    """fraction → percent with one decimal, e.g. 0.1234 → '12.3%', 12.345 → '1234.5%'."""
     v = _col(c)
-    return F.when(v.isNotNull(),
-                  F.concat(F.format_number(F.round(_dec(v * 100), 1), 1), F.lit("%")))
+    return F.when(v.isNotNull(), F.concat(_one_decimal(v * 100), F.lit("%")))
 
 
 def growth_label(c) -> Column:
     """signed percent with one decimal, '+' when ≥ 0."""
     v = _col(c)
     sign = F.when(v >= 0, F.lit("+")).otherwise(F.lit(""))
-    return F.when(v.isNotNull(),
-                  F.concat(sign, F.format_number(F.round(_dec(v), 1), 1), F.lit("%")))
+    return F.when(v.isNotNull(), F.concat(sign, _one_decimal(v), F.lit("%")))
 
 
 def count_label(c) -> Column:

@@ -12,9 +12,9 @@ from .text import _col
 # Python's float() or Spark's string cast would take some of them.
 NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
-# Exact accumulator for money and counts: sums do not depend on task order, so
-# a total is the same on every run and every cluster size.
-EXACT_SCALE = 4
+# Decimals of the exact accumulator: a double with this many decimals or fewer
+# (and up to 10^26) is summed without any rounding.
+EXACT_DECIMALS = 12
 
 
 def stripped(c) -> Column:
@@ -44,17 +44,23 @@ def clean_number(raw, kind=None) -> Column:
              .otherwise(parsed))
 
 
-def exact_sum(c, scale: int = EXACT_SCALE) -> Column:
-    """Null-skipping sum accumulated in DECIMAL(38, scale), returned as DOUBLE.
+def exact_sum(c, decimals: int = EXACT_DECIMALS) -> Column:
+    """Null-skipping sum as DOUBLE; null when every input is null (A1's rule).
 
-    Null when every input is null (A1's rule).
+    Inputs that a DECIMAL of ``decimals`` places holds exactly are summed there, so
+    the result does not depend on the order in which tasks finish. If one input of
+    the group is not held exactly (finer, larger, not finite), or the sum leaves the
+    DECIMAL, the group's sum is a plain DOUBLE sum: no digit is cut, nothing fails.
     """
-    return F.sum(_col(c).cast(f"decimal(38,{scale})")).cast("double")
+    x = _col(c).cast("double")
+    d = x.try_cast(f"decimal(38,{decimals})")
+    lost = F.count_if(x.isNotNull() & ~d.cast("double").eqNullSafe(x))
+    return F.coalesce(F.when(lost == 0, F.try_sum(d).cast("double")), F.sum(x))
 
 
-def exact_sum0(c, scale: int = EXACT_SCALE) -> Column:
+def exact_sum0(c, decimals: int = EXACT_DECIMALS) -> Column:
     """F8 / A2: the same sum with null → 0 (empty → 0)."""
-    return F.coalesce(exact_sum(c, scale), F.lit(0.0))
+    return F.coalesce(exact_sum(c, decimals), F.lit(0.0))
 
 
 def safe_ratio(num, den) -> Column:

@@ -96,7 +96,27 @@ def marked_segment(segment, wind_only) -> Column:
 
 
 def naic_sort_keys(c) -> list[Column]:
-    """Q10: deterministic tie order — integer-like keys ascending, then text."""
+    """Q10: deterministic tie order — integer-like keys ascending, then text.
+
+    Integers without leading zeros compare by their number of digits, then digit by
+    digit, whatever their length.
+    """
     x = _col(c)
-    as_int = F.when(x.rlike(r"^(0|[1-9][0-9]*)$") & (F.length(x) <= 18), x.cast("bigint"))
-    return [as_int.asc_nulls_last(), x.asc()]
+    digits = F.when(x.rlike(r"^(0|[1-9][0-9]*)$"), F.length(x))
+    return [digits.asc_nulls_last(), x.asc()]
+
+
+def title_period(title) -> Column:
+    """SRC10: period from an explicit date range in the title (end date), if any.
+
+    Recognises 'M/D/YYYY' and 'Month D, YYYY' end dates; the file-name period
+    stays authoritative, this is a cross-check column.
+    """
+    t = _col(title)
+    d1 = F.try_to_timestamp(F.regexp_extract(t, r"-\s*(\d{1,2}/\d{1,2}/\d{4})", 1),
+                            F.lit("M/d/yyyy"))
+    d2 = F.try_to_timestamp(F.regexp_extract(t, r"-\s*([A-Za-z]+ \d{1,2}, \d{4})", 1),
+                            F.lit("MMMM d, yyyy"))
+    d = F.coalesce(d1, d2)
+    return F.when(d.isNotNull(), F.concat(F.year(d).cast("string"), F.lit("Q"),
+                                          F.quarter(d).cast("string")))

@@ -1,33 +1,51 @@
-"""Sheet grids → wide filings (N1-N12, N15, F1-F3, Q-D) and the reverse.
-
-Input is a ``cells`` DataFrame: ``path, row_no, col_no, kind, raw`` — one row
-per non-empty cell, physical 1-based row / column numbers, ``kind`` one of
-``s`` (text), ``n`` (number), ``b`` (boolean), ``d`` (date). Workbooks,
-CSV grids or Parquet grids all arrive in this form.
-
-Plan: header rows and header maps are per file (a table of files × columns,
-small next to the cells); the one large shuffle is the pivot of body cells by
-(path, row_no). Duplicate header keys are resolved on the header map first
-(right-most column wins, Q6), so every key maps to one column and a missing
-cell is a null.
+"""Sheet grids → wide filings (N1-N12, N15, F1-F3, Q-D).
+
+A grid has one row per sheet row: ``path, row_no, cells``, where ``cells`` maps the
+physical 1-based column number to the cell's ``kind`` (``s`` text, ``n`` number,
+``b`` boolean, ``d`` date) and ``raw`` text; empty cells and rows are left out. This is
+what the workbook reader emits. Cells that come one per row (``path, row_no, col_no, kind,
+raw``) are gathered by ``rows_of`` first.
+
+Plan: header rows and header maps come from the first rows of each file. They end in one
+row per file with a map from key to column number (duplicate keys are resolved there,
+right-most column wins, Q6). The body meets that small table once, by path, and
+every key is a look-up in the row's own cells: no sheet row is shuffled or pivoted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..session import materialize
-from ..functions.numbers import clean_number, exact_sum, is_suppressed
+from ..functions.numbers import clean_number, is_suppressed
 from ..functions.text import (clean_key, norm_header, period_end, segment_line,
                               segment_wind_only)
 
 CELLS_SCHEMA = "path string, row_no int, col_no int, kind string, raw string"
+ROWS_SCHEMA = "path string, row_no int, cells map<int, struct<kind: string, raw: string>>"
 
 DIMS = {"B": ["naic", "company", "policy_type"], "A": ["naic", "company"]}
 
 
+def rows_of(grid: DataFrame) -> DataFrame:
+    """A grid in its row form, from either form (one shuffle for single cells)."""
+    if "cells" in grid.columns:
+        return grid
+    cell = F.struct("col_no", F.struct("kind", "raw").alias("c"))
+    return grid.groupBy("path", "row_no").agg(
+        F.map_from_entries(F.collect_list(cell)).alias("cells"))
+
+
+def cells_of(grid: DataFrame) -> DataFrame:
+    """One row per cell, from either form."""
+    if "cells" not in grid.columns:
+        return grid
+    return (grid.select("path", "row_no", F.explode("cells").alias("col_no", "c"))
+                .select("path", "row_no", "col_no", "c.kind", "c.raw"))
+
+
 def rule_expr(hn: Column, layout: str) -> Column:
     """Compile the ordered header rules into one CASE expression (first match wins)."""
     expr = None
@@ -51,7 +69,7 @@ def rule_role(key: Column, layout: str) -> Column:
 def header_rows(cells: DataFrame, anchor: str = C.HEADER_ANCHOR,
                 max_scan: int = C.HEADER_SCAN_ROWS) -> DataFrame:
     """Per path, the first of the first ``max_scan`` rows with a cell equal to the anchor."""
-    return (cells.filter((F.col("row_no") <= max_scan) & (norm_header(F.col("raw")) == anchor))
+    return (cells_of(cells).filter((F.col("row_no") <= max_scan) & (norm_header(F.col("raw")) == anchor))
                  .groupBy("path").agg(F.min("row_no").alias("header_row")))
 
 
@@ -61,6 +79,7 @@ def classify_headers(cells: DataFrame, layout_of: DataFrame | str, hdr: DataFram
 
     ``layout_of`` is a layout letter for all paths or a DataFrame (path, layout).
     """
+    cells = cells_of(cells)
     hdr = hdr if hdr is not None else header_rows(cells)
     h = (cells.join(hdr, "path")
               .filter(F.col("row_no") == F.col("header_row"))
@@ -110,61 +129,50 @@ def file_warnings(files: DataFrame, hdr: DataFrame, hmap: DataFrame) -> DataFram
     return no_header.unionByName(missing)
 
 
-def _pivot_rows(body: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
-    """One wide row per (path, row_no); every key has one column already.
-
-    Metric values and suppression flags aggregate in fixed-width buffers; the
-    three text dimensions are the only variable-width ones.
-    """
-    aggs = []
-    for d in dims:
-        aggs.append(F.max(F.when(F.col("key") == d, F.col("raw"))).alias(f"_{d}"))
-    for k in keys:
-        aggs.append(F.max(F.when(F.col("key") == k, F.col("value"))).alias(k))
-        aggs.append(F.max(F.when((F.col("key") == k) & F.col("sup"), F.lit(1))).alias(f"_s_{k}"))
-    g = body.groupBy("path", "row_no").agg(*aggs)
-    sup = F.array_compact(F.array(*[F.when(F.col(f"_s_{k}") == 1, F.lit(k)) for k in keys]))
-    return g.withColumn("suppressed", F.array_sort(sup)).drop(*[f"_s_{k}" for k in keys])
-
-
-def parse_grid(cells: DataFrame, files: DataFrame, layout: str = "B",
+def parse_grid(grid: DataFrame, files: DataFrame, layout: str = "B",
                max_scan: int = C.HEADER_SCAN_ROWS) -> dict[str, DataFrame]:
-    """Cells of one layout → facts, published totals, header report, warnings.
+    """A grid of one layout → facts, published totals, header report, warnings.
 
     ``files``: one row per workbook: path, layout, period (others ignored).
-    Returns a dict with ``facts`` (wide), ``totals`` (path, period, metrics),
+    Returns a dict with ``facts`` (wide, with ``suppressed`` and ``present``: the
+    metric keys that the sheet has a column for), ``totals`` (path, period, metrics),
     ``headers``, ``collisions``, ``warnings``, ``metrics_seen``, ``header_rows``.
-
-    Everything per file is computed from the first ``max_scan`` rows (the
-    header must be there) and written once; that table has one row per file
-    and header column, so it is broadcast to the single join that keys the
-    body cells. The body then needs one shuffle: the pivot by (path, row_no).
     """
+    rows = rows_of(grid)
     files = files.filter(F.col("layout") == layout).select("path", "layout", "period")
     # The header region (files × max_scan rows) is written once: the per-file
-    # steps below read it several times and must not rescan the cell table.
-    top = materialize(cells.filter(F.col("row_no") <= max_scan)
-                           .join(files.select("path"), "path", "left_semi"), "top")
+    # steps below read it several times and must not rescan the grid.
+    top = materialize(cells_of(rows.filter(F.col("row_no") <= max_scan)
+                                   .join(files.select("path"), "path", "left_semi")), "top")
     files = materialize(files, "files")
     hdr = header_rows(top, max_scan=max_scan)
     headers = classify_headers(top, files, hdr)
     hmap, collisions = header_map(headers)
     warnings = file_warnings(files, hdr, hmap)
     good = files.join(warnings.select("path"), "path", "left_anti")
-    # One row per good file × mapped header column: bounded by files × columns.
+    metric = F.when(F.col("role") == "metric", F.col("key"))
+    # One row per good file. Spark broadcasts it if it measures small, else joins by path.
     colmap = materialize(
         hmap.join(good.select("path", "period"), "path").join(hdr, "path")
-            .select("path", "period", "header_row", "col_no", "key"), "colmap")
+            .groupBy("path", "period", "header_row")
+            .agg(F.map_from_entries(F.collect_list(F.struct("key", "col_no"))).alias("cols"),
+                 F.array_sort(F.collect_set(metric)).alias("present")), "colmap")
     dims = DIMS[layout]
     keys = C.layout_b_metric_keys() if layout == "B" else C.layout_a_metric_keys()
-    body = (cells.join(F.broadcast(colmap), ["path", "col_no"])
-                 .filter(F.col("row_no") > F.col("header_row"))
-                 .withColumn("value", F.when(F.col("key").isin(keys),
-                                             clean_number(F.col("raw"), F.col("kind"))))
-                 .withColumn("sup", F.col("key").isin(keys) & is_suppressed(F.col("raw"))))
-    # Q11 fix: suppression is tracked for Layout A as well as B (``sup`` above).
-    periods = colmap.select("path", "period").distinct()
-    rows = _pivot_rows(body, keys, dims).join(F.broadcast(periods), "path")
+    body = rows.join(colmap, "path").filter(F.col("row_no") > F.col("header_row"))
+
+    def cell(key: str) -> Column:
+        return F.try_element_at(F.col("cells"), F.try_element_at(F.col("cols"), F.lit(key)))
+
+    body = body.select("path", "period", "row_no", "present",
+                       *[cell(k).alias(f"_c_{k}") for k in dims + keys])
+    # Q11 fix: suppression is tracked for Layout A as well as B.
+    sup = F.array_compact(F.array(*[F.when(is_suppressed(F.col(f"_c_{k}.raw")), F.lit(k))
+                                    for k in sorted(keys)]))
+    rows = body.select(
+        "path", "period", "row_no", "present", *[F.col(f"_c_{d}.raw").alias(f"_{d}") for d in dims],
+        *[clean_number(F.col(f"_c_{k}.raw"), F.col(f"_c_{k}.kind")).alias(k) for k in keys],
+        sup.alias("suppressed"))
     is_total = norm_header(F.col("_company")) == C.TOTAL_ROW_NAME
     rows = rows.withColumn("_is_total", is_total)
     # The footer; the last one of a file wins.
@@ -183,149 +191,13 @@ def parse_grid(cells: DataFrame, files: DataFrame, layout: str = "B",
                          company.alias("company"), "policy_type",
                          segment_line(F.col("policy_type")).alias("line"),
                          segment_wind_only(F.col("policy_type")).alias("is_wind_only"),
-                         *keys, "suppressed", F.col("path").alias("source_file"), "row_no"))
+                         *keys, "suppressed", "present", F.col("path").alias("source_file"),
+                         "row_no"))
     else:
         facts = (body_rows.withColumn("naic", naic).filter(F.col("naic") != "")
                  .select("period", period_end(F.col("period")).alias("period_end"), "naic",
-                         company.alias("company"), *keys, "suppressed",
+                         company.alias("company"), *keys, "suppressed", "present",
                          F.col("path").alias("source_file"), "row_no"))
     metrics_seen = hmap.filter(F.col("role") == "metric").select("key").distinct()
     return {"facts": facts, "totals": totals, "headers": headers, "collisions": collisions,
             "warnings": warnings, "metrics_seen": metrics_seen, "header_rows": hdr}
-
-
-# --------------------------------------------------------------------------- #
-# Panel → cells (test fixtures and the round-trip check)
-# --------------------------------------------------------------------------- #
-
-# Header text per key for generated Layout-B sheets. Each matches its rule
-# after normalisation; the period's end date, line breaks and non-breaking
-# spaces vary the raw text the way drifting filings do.
-HEADER_TEXT = {
-    "naic": "NAIC Code",
-    "company": "Company Name",
-    "policy_type": "Policy Type",
-    "pif": "Total Number of Policies in Force\n(as of {end})",
-    "tiv": "Total Value of Exposure ($)  as of {end}",
-    "tiv_incl_wind": "Value of Exposure for Policies in Force that Include Wind",
-    "dpw": "Direct Premium Written ($)\nfor quarter ending {end}",
-    "new_written": "Number of New Policies Written",
-    "received_in": "Number of Policies Received from Other Insurers",
-    "cancelled": "Number of Policies Canceled",
-    "nonrenewed": "Number of Policies Nonrenewed",
-    "transferred_out": "Number of Policies Transferred to Other Insurers",
-}
-MONEY_DIGITS = {"tiv": 2, "tiv_incl_wind": 2, "dpw": 4}
-HEADER_ROW = 4
-
-
-def sheet_path(period: Column, folder: str = "grid") -> Column:
-    y = F.substring(period, 1, 4)
-    q = F.substring(period, -1, 1)
-    return F.concat(F.lit(folder + "/filing_by_company_and_policy_type_"), y, F.lit("q"), q,
-                    F.lit(".xlsx"))
-
-
-def number_rows(df: DataFrame, part: str, order: list[str], out: str = "n",
-                buckets: int | None = None) -> DataFrame:
-    """Dense 1..k numbering per ``part`` without one task per part.
-
-    Rows are spread over ``buckets`` hash buckets of their (unique) order key,
-    numbered inside each (part, bucket) and shifted by the sizes of the
-    part's earlier buckets. The sheet order is (bucket, order): not sorted, but
-    deterministic, so a recomputed partition gets the same numbers, and a hot
-    key cannot pile up in one bucket because the hash covers the whole key.
-    The offsets table has parts × buckets rows.
-    """
-    b = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(b)))
-    local = keyed.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(part, "_bucket").orderBy(*order)))
-    counts = keyed.groupBy(part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(part, "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (local.join(offsets, [part, "_bucket"])
-                 .withColumn(out, (F.col("_local") + F.col("_off")).cast("int"))
-                 .drop("_bucket", "_local", "_off"))
-
-
-def panel_to_cells(panel: DataFrame, metrics: list[str], folder: str = "grid") -> DataFrame:
-    """Explode a Layout-B panel into sheet cells, one sheet per period.
-
-    Title in row 1, pull note in row 2, headers in row 4, body from row 5, a
-    Total row last. Money as ``$1,234.50`` text, ``.`` where suppressed, counts
-    as numeric cells; odd quarters list the metric columns in reverse order.
-    """
-    dims = ["naic", "company", "policy_type"]
-    # The panel is read by the numbering (two branches) and by the footer sums:
-    # written once so none of them recomputes it.
-    panel = materialize(panel.select("period", *dims, *metrics, "suppressed"), "panel")
-    numbered = number_rows(panel, "period", ["naic", "policy_type"], "body_no")
-    q_odd = (F.substring(F.col("period"), -1, 1).cast("int") % 2) == 1
-    n_m = len(metrics)
-
-    def col_no_of(i: int) -> Column:
-        return F.when(q_odd, F.lit(3 + n_m - i)).otherwise(F.lit(4 + i))
-
-    def metric_cell(m: str) -> Column:
-        v = F.col(m)
-        sup = F.array_contains(F.col("suppressed"), m)
-        if m in MONEY_DIGITS:
-            raw = F.concat(F.lit("$"), F.format_number(v, MONEY_DIGITS[m]))
-            kind = F.lit("s")
-        else:
-            raw = v.cast("string")
-            kind = F.lit("n")
-        return F.struct(F.lit(0).alias("col_no"),
-                        F.when(sup, F.lit("s")).otherwise(kind).alias("kind"),
-                        F.when(sup, F.lit(".")).otherwise(raw).alias("raw"))
-
-    cells = []
-    for i, d in enumerate(dims):
-        cells.append(F.struct(F.lit(i + 1).alias("col_no"), F.lit("s").alias("kind"),
-                              F.col(d).cast("string").alias("raw")))
-    for i, m in enumerate(metrics):
-        c = metric_cell(m)
-        cells.append(F.struct(col_no_of(i).alias("col_no"), c["kind"].alias("kind"),
-                              c["raw"].alias("raw")))
-    body = (numbered.select(sheet_path(F.col("period"), folder).alias("path"),
-                            (F.col("body_no") + HEADER_ROW).alias("row_no"),
-                            F.explode(F.array(*cells)).alias("c"))
-                    .select("path", F.col("row_no").cast("int").alias("row_no"),
-                            F.col("c.col_no").cast("int").alias("col_no"),
-                            F.col("c.kind").alias("kind"), F.col("c.raw").alias("raw"))
-                    .filter(F.col("raw").isNotNull()))
-    periods = numbered.groupBy("period").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[exact_sum(F.when(~F.array_contains(F.col("suppressed"), m), F.col(m))).alias(m)
-          for m in metrics])
-    end = F.date_format(period_end(F.col("period")), "M/d/yyyy")
-    head = [F.struct(F.lit(1).alias("row_no"), F.lit(1).alias("col_no"), F.lit("s").alias("kind"),
-                     F.concat(F.lit("Residential Market Share by Company and Policy Type ("),
-                              F.col("period"), F.lit(")")).alias("raw")),
-            F.struct(F.lit(2).alias("row_no"), F.lit(1).alias("col_no"), F.lit("s").alias("kind"),
-                     F.concat(F.lit("(Data pulled on "), end, F.lit(")")).alias("raw"))]
-    for i, d in enumerate(dims):
-        head.append(F.struct(F.lit(HEADER_ROW).alias("row_no"), F.lit(i + 1).alias("col_no"),
-                             F.lit("s").alias("kind"), F.lit(HEADER_TEXT[d]).alias("raw")))
-    for i, m in enumerate(metrics):
-        text = HEADER_TEXT[m].split("{end}")
-        raw = F.lit(text[0]) if len(text) == 1 else F.concat(F.lit(text[0]), end, F.lit(text[1]))
-        head.append(F.struct(F.lit(HEADER_ROW).alias("row_no"), col_no_of(i).alias("col_no"),
-                             F.lit("s").alias("kind"), raw.alias("raw")))
-    total_row = F.col("n_rows") + HEADER_ROW + 1
-    head.append(F.struct(total_row.alias("row_no"), F.lit(2).alias("col_no"),
-                         F.lit("s").alias("kind"), F.lit(" TOTAL ").alias("raw")))
-    for i, m in enumerate(metrics):
-        raw = (F.concat(F.lit("$"), F.format_number(F.col(m), MONEY_DIGITS[m]))
-               if m in MONEY_DIGITS else F.col(m).cast("string"))
-        head.append(F.struct(total_row.alias("row_no"), col_no_of(i).alias("col_no"),
-                             F.lit("s" if m in MONEY_DIGITS else "n").alias("kind"),
-                             raw.alias("raw")))
-    frame = (periods.select(sheet_path(F.col("period"), folder).alias("path"),
-                            F.explode(F.array(*head)).alias("c"))
-                    .select("path", F.col("c.row_no").cast("int").alias("row_no"),
-                            F.col("c.col_no").cast("int").alias("col_no"),
-                            F.col("c.kind").alias("kind"), F.col("c.raw").alias("raw"))
-                    .filter(F.col("raw").isNotNull()))
-    return body.unionByName(frame)

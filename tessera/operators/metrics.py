@@ -1,14 +1,16 @@
 """Metric aggregation.
 
-Three null rules, written once here (Q1):
+Three null rules, written once in ``_plan`` (Q1):
 * a base metric per entity is the sum of non-null values, null when none;
 * derived metrics sum their parts with null → 0, then combine;
 * a whole-slice total is 0 when empty.
-Ratios are ratios of sums (Q2). Sums accumulate in DECIMAL (exact, independent
-of task order) and are returned as DOUBLE.
+Ratios are ratios of sums (Q2).
 
-All aggregations are a single ``groupBy`` (partial aggregation before the
-shuffle); nothing here uses a window without ``partitionBy``.
+Every operator is a single ``groupBy`` (partial aggregation before the shuffle) that
+sums each source column once, whatever the number of metrics built on it. ``available``
+is the set of metric keys seen in the headers (N12): it decides the wind fallback
+(P2). By default it is the panel's own columns — a bound panel carries only the metrics
+it has, a parsed grid carries all keys.
 """
 
 from __future__ import annotations
@@ -17,178 +19,152 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.numbers import exact_sum, exact_sum0, safe_ratio
+from ..functions.numbers import exact_sum, safe_ratio
 from .slicing import metric_column
 
-# Short names for the derived-metric parts.
-_PARTS = {"dpw": "dpw", "pif": "pif", "tiv": "tiv", "tiv_incl": "tiv_incl_wind",
-          "nw": "new_written", "ri": "received_in", "cn": "cancelled",
-          "nr": "nonrenewed", "to": "transferred_out"}
-_NEEDS = {
-    "net_flow": ["nw", "ri", "cn", "nr", "to"],
-    "avg_premium": ["dpw", "pif"],
-    "rate_on_line": ["dpw", "tiv"],
-    "wind_concentration": ["tiv_incl", "tiv"],
-}
+# Derived metrics by metric key: signed terms, or numerator and denominator.
+FLOWS = {"net_flow": {"new_written": 1, "received_in": 1, "cancelled": -1, "nonrenewed": -1,
+                      "transferred_out": -1}}
+RATIOS = {"avg_premium": ("dpw", "pif"), "rate_on_line": ("dpw", "tiv"),
+          "wind_concentration": ("tiv_incl_wind", "tiv")}
 
 
-def _part_col(df: DataFrame, name: str) -> Column:
-    """A part column; a part absent from the panel contributes 0."""
-    col = _PARTS[name]
-    return F.col(col) if col in df.columns else F.lit(None).cast("double")
+def parts_of(metric_id: str) -> list[str]:
+    """A2: the metric keys a derived metric is built from."""
+    return list(FLOWS[metric_id]) if metric_id in FLOWS else list(RATIOS[metric_id])
 
 
-def derived_parts(df: DataFrame, metric_id: str) -> list[Column]:
-    """A2: component sums with null → 0, only the parts the metric needs."""
-    return [exact_sum0(_part_col(df, p)).alias(f"_{p}") for p in _NEEDS[metric_id]]
+def _sum_name(key: str) -> str:
+    return f"_sum_{key}"
+
+
+def _part(key: str) -> Column:
+    return F.coalesce(F.col(_sum_name(key)), F.lit(0.0))
 
 
 def derived_value(metric_id: str) -> Column:
-    """A3-A6 on the component sums."""
-    p = lambda n: F.col(f"_{n}")
-    if metric_id == "net_flow":
-        return p("nw") + p("ri") - p("cn") - p("nr") - p("to")
-    if metric_id == "avg_premium":
-        return safe_ratio(p("dpw"), p("pif"))
-    if metric_id == "rate_on_line":
-        return safe_ratio(p("dpw"), p("tiv"))
-    if metric_id == "wind_concentration":
-        return safe_ratio(p("tiv_incl"), p("tiv"))
+    """A3-A6 on the summed parts."""
+    if metric_id in FLOWS:
+        value = None
+        for key, sign in FLOWS[metric_id].items():
+            term = _part(key)
+            value = term if value is None else value + term if sign > 0 else value - term
+        return value
+    if metric_id in RATIOS:
+        num, den = RATIOS[metric_id]
+        return safe_ratio(_part(num), _part(den))
     raise ValueError(f"not a derived metric: {metric_id}")
 
 
-def _base_col(df: DataFrame, metric_id: str, wind: str, available=None) -> str:
-    """The column for the wind basis. ``available`` is the set of metric keys
-    seen in the headers (N12); by default the panel's own columns (a bound panel
-    carries only the metrics it has, a parsed grid carries all keys)."""
-    return metric_column(metric_id, wind, df.columns if available is None else available)
+def _plan(df: DataFrame, metric_ids, wind: str, available,
+          empty_is_zero: bool) -> tuple[list[Column], list[Column]]:
+    """(aggregates, output columns) of several metrics: one sum per source column."""
+    available = df.columns if available is None else available
+    sums: dict[str, Column] = {}
+    out = []
 
+    def add(key: str) -> None:
+        # A part that the panel does not have contributes nothing.
+        source = F.col(key) if key in df.columns else F.lit(None).cast("double")
+        sums.setdefault(_sum_name(key), exact_sum(source).alias(_sum_name(key)))
 
-def entity_values(df: DataFrame, metric_id: str, wind: str = "all",
-                  by=("period", "naic"), value: str = "value", available=None) -> DataFrame:
-    """A1/A2: one value per group (default entity × period)."""
-    m = C.metric(metric_id)
+    for metric_id in metric_ids:
+        m = C.metric(metric_id)
+        if m.derived:
+            for key in parts_of(metric_id):
+                add(key)
+            value = derived_value(metric_id)
+        else:
+            key = metric_column(metric_id, wind, available)
+            add(key)
+            value = _part(key) if empty_is_zero else F.col(_sum_name(key))
+        out.append(value.alias(metric_id))
+    return list(sums.values()), out
+
+
+def _aggregate(df: DataFrame, by, metric_ids, wind: str, available,
+               empty_is_zero: bool = False, keep_parts: bool = False) -> DataFrame:
     by = list(by)
-    if m.derived:
-        parts = derived_parts(df, metric_id)
-        return (df.groupBy(*by).agg(*parts)
-                  .select(*by, derived_value(metric_id).alias(value)))
-    col = _base_col(df, metric_id, wind, available)
-    return df.groupBy(*by).agg(exact_sum(col).alias(value))
+    sums, out = _plan(df, metric_ids, wind, available, empty_is_zero)
+    g = df.groupBy(*by).agg(*sums)
+    kept = [c for c in g.columns if c not in by] if keep_parts else []
+    return g.select(*by, *out, *kept)
+
+
+def entity_values(df: DataFrame, metric_id: str, wind: str = "all",
+                  by=("period", "naic"), value: str = "value", available=None,
+                  keep_parts: bool = False) -> DataFrame:
+    """A1/A2: one value per group (default entity × period). ``keep_parts`` keeps the
+    sums a derived metric is built from, for values of several entities together."""
+    out = _aggregate(df, by, [metric_id], wind, available, keep_parts=keep_parts)
+    return out.withColumnRenamed(metric_id, value)
 
 
 def slice_totals(df: DataFrame, metric_id: str, wind: str = "all", by=("period",),
                  value: str = "total", available=None) -> DataFrame:
     """Whole-slice scalar per group: sum (0 when empty) or ratio of sums."""
-    m = C.metric(metric_id)
-    by = list(by)
-    if m.derived:
-        return (df.groupBy(*by).agg(*derived_parts(df, metric_id))
-                  .select(*by, derived_value(metric_id).alias(value)))
-    col = _base_col(df, metric_id, wind, available)
-    return df.groupBy(*by).agg(exact_sum0(col).alias(value))
+    out = _aggregate(df, by, [metric_id], wind, available, empty_is_zero=True)
+    return out.withColumnRenamed(metric_id, value)
 
 
-def slice_totals_many(df: DataFrame, metric_ids, wind: str = "all", by=("period",)) -> DataFrame:
+def slice_totals_many(df: DataFrame, metric_ids, wind: str = "all", by=("period",),
+                      available=None) -> DataFrame:
     """A7 for several metrics in one aggregation (one pass, one shuffle)."""
-    by = list(by)
-    aggs, outs, seen = [], [], set()
-    for mid in metric_ids:
-        m = C.metric(mid)
-        if m.derived:
-            for p in _NEEDS[mid]:
-                if p not in seen:
-                    seen.add(p)
-                    aggs.append(exact_sum0(_part_col(df, p)).alias(f"_{p}"))
-            outs.append(derived_value(mid).alias(mid))
-        else:
-            col = _base_col(df, mid, wind)
-            aggs.append(exact_sum0(col).alias(f"_b_{mid}"))
-            outs.append(F.col(f"_b_{mid}").alias(mid))
-    return df.groupBy(*by).agg(*aggs).select(*by, *outs)
+    return _aggregate(df, by, metric_ids, wind, available, empty_is_zero=True)
+
+
+def multi_metric(df: DataFrame, metric_ids, wind: str = "all", by=("period", "naic"),
+                 available=None) -> DataFrame:
+    """Several metrics in one aggregation (one shuffle)."""
+    return _aggregate(df, by, metric_ids, wind, available)
 
 
 def entity_and_totals(df: DataFrame, metric_id: str, wind: str = "all",
-                      part: str = "period", key: str = "naic") -> DataFrame:
+                      part: str = "period", key: str = "naic", available=None) -> DataFrame:
     """Per-entity values and the whole-slice value in one pass.
 
     GROUPING SETS ((part, key), (part)); the total rows carry ``is_total`` and a
     null key. Base metrics keep A1's null rule per entity and A7's 0 for totals.
     """
-    m = C.metric(metric_id)
-    if m.derived:
-        g = (df.groupingSets([[part, key], [part]], part, key)
-               .agg(*derived_parts(df, metric_id), F.grouping(key).alias("_g")))
-        val = derived_value(metric_id)
-    else:
-        col = _base_col(df, metric_id, wind)
-        g = (df.groupingSets([[part, key], [part]], part, key)
-               .agg(exact_sum(col).alias("_v"), F.grouping(key).alias("_g")))
-        val = F.when(F.col("_g") == 1, F.coalesce(F.col("_v"), F.lit(0.0))).otherwise(F.col("_v"))
-    return g.select(part, key, (F.col("_g") == 1).alias("is_total"), val.alias("value"))
-
-
-def multi_metric(df: DataFrame, metric_ids, wind: str = "all", by=("period", "naic")) -> DataFrame:
-    """Several metrics in one aggregation (one shuffle)."""
-    by = list(by)
-    aggs, outs = [], []
-    for mid in metric_ids:
-        m = C.metric(mid)
-        if m.derived:
-            for p in _NEEDS[mid]:
-                alias = f"_{p}"
-                if alias not in [a for a, _ in aggs]:
-                    aggs.append((alias, exact_sum0(_part_col(df, p)).alias(alias)))
-            outs.append(derived_value(mid).alias(mid))
-        else:
-            col = _base_col(df, mid, wind)
-            aggs.append((f"_b_{mid}", exact_sum(col).alias(f"_b_{mid}")))
-            outs.append(F.col(f"_b_{mid}").alias(mid))
-    return df.groupBy(*by).agg(*[a for _, a in aggs]).select(*by, *outs)
-
-
-def free_rollup(df: DataFrame, dims, metric_ids, kind: str = "groupby", wind: str = "all") -> DataFrame:
+    sums, out = _plan(df, [metric_id], wind, available, False)
+    g = (df.groupingSets([[part, key], [part]], part, key)
+           .agg(*sums, F.grouping(key).alias("_g"))
+           .select(part, key, (F.col("_g") == 1).alias("is_total"), out[0].alias("value")))
+    if C.metric(metric_id).derived:
+        return g
+    zero = F.when(F.col("is_total"), F.coalesce("value", F.lit(0.0))).otherwise(F.col("value"))
+    return g.withColumn("value", zero)
+
+
+def free_rollup(df: DataFrame, dims, metric_ids, kind: str = "groupby", wind: str = "all",
+                available=None) -> DataFrame:
     """Any dimensions; ``kind`` = groupby | rollup | cube (subtotals get null keys
     and a ``grouping_id``)."""
     dims = list(dims)
-    aggs = []
-    outs = []
-    for mid in metric_ids:
-        m = C.metric(mid)
-        if m.derived:
-            for p in _NEEDS[mid]:
-                if f"_{p}" not in [a[0] for a in aggs]:
-                    aggs.append((f"_{p}", exact_sum0(_part_col(df, p)).alias(f"_{p}")))
-            outs.append(derived_value(mid).alias(mid))
-        else:
-            col = _base_col(df, mid, wind)
-            aggs.append((f"_b_{mid}", exact_sum(col).alias(f"_b_{mid}")))
-            outs.append(F.col(f"_b_{mid}").alias(mid))
-    if kind == "rollup":
-        g = df.rollup(*dims)
-    elif kind == "cube":
-        g = df.cube(*dims)
-    else:
-        g = df.groupBy(*dims)
-    cols = [a for _, a in aggs]
-    if kind in ("rollup", "cube"):
-        cols.append(F.grouping_id(*dims).alias("grouping_id"))
-        return g.agg(*cols).select(*dims, "grouping_id", *outs)
-    return g.agg(*cols).select(*dims, *outs)
+    if kind == "groupby":
+        return _aggregate(df, dims, metric_ids, wind, available)
+    if kind not in ("rollup", "cube"):
+        raise ValueError(f"kind must be groupby, rollup or cube, not {kind!r}")
+    sums, out = _plan(df, metric_ids, wind, available, False)
+    g = df.rollup(*dims) if kind == "rollup" else df.cube(*dims)
+    return g.agg(*sums, F.grouping_id(*dims).alias("grouping_id")).select(
+        *dims, "grouping_id", *out)
 
 
 def breakdown(df: DataFrame, metric_id: str, by: str = "line", wind_split: bool = False,
-              part: str = "period") -> DataFrame:
+              part: str = "period", available=None) -> DataFrame:
     """Data behind stacked bars — by line, or incl vs excl wind.
 
-    ``wind_split`` unpivots the metric's wind columns present in the panel into
-    (basis, value) rows.
+    ``wind_split`` unpivots the metric's wind columns that are available into
+    (basis, value) rows; without any, the whole metric has basis ``all``.
     """
     if not wind_split:
-        return entity_values(df, metric_id, "all", by=(part, by))
-    cols = [c for c in (metric_id + "_incl_wind", metric_id + "_excl_wind") if c in df.columns]
+        return entity_values(df, metric_id, "all", by=(part, by), available=available)
+    seen = set(df.columns if available is None else available) & set(df.columns)
+    cols = [c for c in (metric_id + "_incl_wind", metric_id + "_excl_wind") if c in seen]
     if not cols:
-        return entity_values(df, metric_id, "all", by=(part,)).withColumn("basis", F.lit("all"))
+        return entity_values(df, metric_id, "all", by=(part,),
+                             available=available).withColumn("basis", F.lit("all"))
     sums = df.groupBy(part).agg(*[exact_sum(c).alias(c) for c in cols])
     long = sums.unpivot([part], cols, "column", "value")
     basis = F.regexp_extract(F.col("column"), r"_(incl|excl)_wind$", 1)

@@ -20,10 +20,7 @@ from .. import catalog as C
 from ..session import materialize
 from ..functions.numbers import exact_sum0, safe_ratio
 from ..functions.text import naic_sort_keys
-
-# Limits up to this size use the window + WindowGroupLimit plan.
-WINDOW_LIMIT_MAX = 10000
-
+from .metrics import parts_of
 
 def _order(value: str, key: str):
     return [F.col(value).desc()] + naic_sort_keys(key)
@@ -33,12 +30,12 @@ def rank_top(values: DataFrame, n: int | None, part: str = "period", value: str
              key: str = "naic", rank: str = "rank") -> DataFrame:
     """Drop null values, order by value desc (ties: Q10 key order), rank 1..n.
 
-    ``n=None`` ranks every row (distributed, see ``distributed_rank``).
+    ``n=None`` ranks every row (distributed, see ``distributed_rank``); a number is
+    what a report shows, and map partitions ship that many rows per period at most.
     """
     v = values.filter(F.col(value).isNotNull())
-    if n is None or n > WINDOW_LIMIT_MAX:
-        ranked = distributed_rank(v, part, value, key, rank)
-        return ranked if n is None else ranked.filter(F.col(rank) <= n)
+    if n is None:
+        return distributed_rank(v, part, value, key, rank)
     w = Window.partitionBy(part).orderBy(*_order(value, key))
     return (v.withColumn(rank, F.row_number().over(w).cast("bigint"))
              .filter(F.col(rank) <= n))
@@ -91,50 +88,45 @@ def period_totals(values: DataFrame, part: str = "period", value: str = "value")
     return values.groupBy(part).agg(exact_sum0(value).alias("total"))
 
 
-def snapshot(values: DataFrame, n: int, metric_id: str, share: bool = False,
+def snapshot(values: DataFrame, n: int | None, metric_id: str, share: bool = False,
              companies: DataFrame | None = None, part: str = "period",
              key: str = "naic") -> DataFrame:
-    """Rank or share view of per-entity values for each period.
-
-    Columns: period, rank, naic, company, value[, share]. With ``share`` an
-    "All others" row (rank and naic null) carries the sum beyond rank n when it
-    is > 0. For ratio metrics the share is null (Q3 fix); their slice value is
-    the ratio of sums (``metrics.slice_totals``), not a sum of ratios.
-
-    Two branches only: the top-n rows, and one ``groupBy(period)`` giving the
-    exact sum and count of all values (one row per period, broadcast). The
-    others value is that sum minus the top rows' sum, in DECIMAL — exactly the
-    sum of the rest — and its row is emitted next to rank 1, so no branch
-    re-reads the values beyond n.
+    """Rank or share view of per-entity values for each period, ordered by period and rank.
+
+    Columns: period, rank, naic, company, value[, share]. ``n=None`` shows all. With
+    ``share`` an "All others" row (rank and naic null) carries the rest of the slice
+    when it is > 0: the sum beyond rank n, or for a ratio metric the ratio of the
+    rest's sums (the values then carry their parts, ``entity_values(keep_parts=True)``).
+    For ratio metrics the share is null (Q3 fix).
+
+    The values are written once: they are read for the top rows and for the rest.
     """
-    m = C.metric(metric_id)
-    top = with_names(rank_top(values, n, part, "value", key), companies, key)
+    ratio = C.metric(metric_id).ratio
     cols = [part, "rank", key, "company", "value"]
     if not share:
-        return top.select(*cols)
-    dec = "decimal(38,4)"
-    stats = (values.filter(F.col("value").isNotNull()).groupBy(part)
-                   .agg(F.sum(F.col("value").cast(dec)).alias("_all"),
-                        F.count(F.lit(1)).alias("_n")))
-    # One row per period: a bound that does not grow with the entities.
-    t = top.join(F.broadcast(stats), part, "left")
-    top_sum = F.sum(F.col("value").cast(dec)).over(Window.partitionBy(part))  # ≤ n rows
-    others = (F.col("_all").cast("decimal(37,4)") - top_sum.cast("decimal(37,4)")).cast("double")
-    t = t.withColumn("_others", F.when(F.col("_n") > n, others))
-    total = F.coalesce(F.col("_all").cast("double"), F.lit(0.0))
-
-    def share_of(v):
-        return F.lit(None).cast("double") if m.ratio else safe_ratio(v, total)
-
-    main = F.struct(F.col(part).alias(part), F.col("rank").alias("rank"), F.col(key).alias(key),
-                    F.col("company").alias("company"), F.col("value").alias("value"),
-                    share_of(F.col("value")).alias("share"))
-    rest = F.struct(F.col(part).alias(part), F.lit(None).cast("bigint").alias("rank"),
-                    F.lit(None).cast("string").alias(key), F.lit(C.OTHERS_LABEL).alias("company"),
-                    F.col("_others").alias("value"), share_of(F.col("_others")).alias("share"))
-    with_rest = (F.col("rank") == 1) & F.coalesce(F.col("_others") > 0, F.lit(False))
-    rows = F.when(with_rest, F.array(main, rest)).otherwise(F.array(main))
-    return t.select(F.explode(rows).alias("r")).select("r.*")
+        top = with_names(rank_top(values, n, part, "value", key), companies, key)
+        return top.select(*cols).orderBy(part, "rank")
+    values = materialize(values, "values")
+    top = rank_top(values, n, part, "value", key)
+    shown = with_names(top, companies, key).select(*cols)
+    if n is not None:
+        rest = values.join(top.select(part, key), [part, key], "left_anti").groupBy(part)
+        if ratio:
+            num, den = (f"_sum_{k}" for k in parts_of(metric_id))
+            rest = rest.agg(exact_sum0(num).alias("_n"), exact_sum0(den).alias("_d")).select(
+                part, safe_ratio("_n", "_d").alias("value"))
+        else:
+            rest = rest.agg(exact_sum0("value").alias("value"))
+        shown = shown.unionByName(rest.where("value > 0").select(
+            part, F.lit(None).cast("bigint").alias("rank"),
+            F.lit(None).cast("string").alias(key), F.lit(C.OTHERS_LABEL).alias("company"),
+            "value"))
+    if ratio:
+        out = shown.withColumn("share", F.lit(None).cast("double"))
+    else:
+        out = shown.join(period_totals(values, part), part).select(
+            *cols, safe_ratio(F.col("value"), F.col("total")).alias("share"))
+    return out.orderBy(part, F.col("rank").asc_nulls_last())
 
 
 def resort(df: DataFrame, col: str, direction: int = -1) -> DataFrame:

@@ -49,7 +49,8 @@ def observations(filings: DataFrame, metrics: list[str] | None = None) -> DataFr
     wind_basis: ``_incl_wind`` → incl, ``_excl_wind`` → excl, a wind-only
     segment → wind_only, otherwise all. Metric names and bases are literals
     fixed when the plan is built (one struct per metric column, exploded), so
-    no text is parsed per output row.
+    no text is parsed per output row. Facts of a parsed grid say in ``present`` which
+    metrics their sheet has a column for: an absent column gives no row.
     """
     metrics = metrics or sorted(present_metrics(filings))
     sup = (F.col("suppressed") if "suppressed" in filings.columns
@@ -59,11 +60,17 @@ def observations(filings: DataFrame, metrics: list[str] | None = None) -> DataFr
         base, basis = _split_metric(m)
         b = (F.lit(basis) if basis else
              F.when(F.col("is_wind_only"), F.lit("wind_only")).otherwise(F.lit("all")))
-        cells.append(F.struct(F.lit(base).alias("metric"), b.alias("wind_basis"),
-                              F.col(m).cast("double").alias("value"),
-                              F.coalesce(F.array_contains(sup, F.lit(m)), F.lit(False))
-                              .alias("is_suppressed")))
-    long = filings.select("*", F.explode(F.array(*cells)).alias("_o"))
+        cell = F.struct(F.lit(base).alias("metric"), b.alias("wind_basis"),
+                        F.col(m).cast("double").alias("value"),
+                        F.coalesce(F.array_contains(sup, F.lit(m)), F.lit(False))
+                        .alias("is_suppressed"))
+        if "present" in filings.columns:
+            cell = F.when(F.array_contains("present", m), cell)
+        cells.append(cell)
+    array = F.array(*cells)
+    if "present" in filings.columns:
+        array = F.array_compact(array)
+    long = filings.select("*", F.explode(array).alias("_o"))
     return long.select(
         "period", F.col("period_end").alias("period_end_date"), F.col("naic").alias("naic_code"),
         F.col("company").alias("company_name"), "line", "policy_type",
@@ -75,9 +82,11 @@ def observations(filings: DataFrame, metrics: list[str] | None = None) -> DataFr
 def observations_a(summary: DataFrame) -> DataFrame:
     """Layout-A facts → long rows with the line per column, null segment."""
     cols = [c for c in A_LINES if c in summary.columns]
-    ids = [c for c in ["period", "period_end", "naic", "company", "suppressed", "source_file"]
-           if c in summary.columns]
+    ids = [c for c in ["period", "period_end", "naic", "company", "suppressed", "present",
+                       "source_file"] if c in summary.columns]
     long = summary.select(*ids, *cols).unpivot(ids, cols, "_col", "value")
+    if "present" in ids:
+        long = long.filter(F.array_contains("present", F.col("_col")))
     mapping = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(A_LINES[c][0]))])
     lines = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(A_LINES[c][1]))])
     pe = F.col("period_end") if "period_end" in ids else F.lit(None).cast("date")

@@ -11,7 +11,7 @@ from ..functions.text import marked_segment, short_name
 def search_entities(companies: DataFrame, query: str = "") -> DataFrame:
     """Case-insensitive substring in the display name, any historic name, or the key.
 
-    Columns: naic, name, label ('<short name> · <naic>'); empty query = all.
+    Columns: naic, name, label ('<short name> · <naic>'), by name; empty query = all.
     """
     q = (query or "").lower()
     out = companies
@@ -20,7 +20,7 @@ def search_entities(companies: DataFrame, query: str = "") -> DataFrame:
                | F.exists(F.col("names"), lambda n: F.lower(n).contains(q)))
         out = out.filter(hit)
     label = F.concat(short_name(F.col("name")), F.lit(" · "), F.col("naic"))
-    return out.select("naic", "name", label.alias("label"))
+    return out.select("naic", "name", label.alias("label")).orderBy(F.lower("name"), "naic")
 
 
 def entity_history(filings: DataFrame, matches: DataFrame) -> DataFrame:
@@ -39,4 +39,5 @@ def search_segments(segments: DataFrame, query: str = "", line: str = "all",
     if query:
         out = out.filter(F.lower(F.col("policy_type")).contains(query.lower()))
     label = marked_segment(F.col("policy_type"), F.col("is_wind_only"))
-    return out.select("policy_type", "line", "is_wind_only", label.alias("label"))
+    return out.select("policy_type", "line", "is_wind_only", label.alias("label")).orderBy(
+        "policy_type")

@@ -2,7 +2,8 @@
 
 Filters are plain Column predicates so Catalyst pushes them into the scan
 (partition pruning on ``period`` when the panel is stored partitioned by it).
-Large selections arrive as DataFrames and become left-semi joins.
+A selection is a list of values, which stays a pushed predicate whatever its length,
+or a DataFrame, which becomes a left-semi join.
 """
 
 from __future__ import annotations
@@ -13,9 +14,6 @@ from pyspark.sql import functions as F
 from .. import catalog as C
 from ..functions.text import period_key
 
-# Above this many literal values a selection is joined instead of inlined.
-MAX_INLINE_VALUES = 1000
-
 
 def metric_column(metric_id: str, wind: str, available) -> str:
     """The panel column for a metric and wind basis.
@@ -45,11 +43,6 @@ def select_values(df: DataFrame, col: str, values) -> DataFrame:
     if isinstance(values, DataFrame):
         keys = values.select(F.col(values.columns[0]).alias(col)).distinct()
         return df.join(keys, col, "left_semi")
-    values = list(values)
-    if len(values) > MAX_INLINE_VALUES:
-        spark = df.sparkSession
-        keys = spark.createDataFrame([(v,) for v in values], f"{col} string")
-        return df.join(keys, col, "left_semi")
     return df.filter(_in(col, values))
 
 
@@ -76,14 +69,28 @@ def period_range(df: DataFrame, a: str, b: str, col: str = "period") -> DataFram
     Written on the text itself (YYYYQn sorts as text), so the predicate is a
     pushable range on the partition column.
     """
-    lo, hi = (a, b) if (int(a[:4]) * 10 + int(a[-1])) <= (int(b[:4]) * 10 + int(b[-1])) else (b, a)
+    lo, hi = ordered_ends(a, b)
     return df.filter((F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi)))
 
 
-def periods_between(periods: list[str], a: str, b: str) -> list[str]:
-    lo, hi = sorted([a, b], key=lambda p: int(p[:4]) * 10 + int(p[-1]))
-    key = lambda p: int(p[:4]) * 10 + int(p[-1])
-    return sorted([p for p in periods if key(lo) <= key(p) <= key(hi)], key=key)
+def ordered_ends(a: str, b: str) -> tuple[str, str]:
+    """The two ends of a range, swapped when reversed (YYYYQn sorts as text)."""
+    return (a, b) if a <= b else (b, a)
+
+
+def periods_between(periods, a: str, b: str) -> Column:
+    """The ordered periods of a range as an array column.
+
+    ``periods`` is a list, a table with a ``period`` column, or an array column.
+    """
+    lo, hi = ordered_ends(a, b)
+    if isinstance(periods, DataFrame):
+        from .dims import period_array
+        return period_array(periods, lo, hi)
+    if not isinstance(periods, Column):
+        periods = F.array_sort(F.array(*[F.lit(p) for p in dict.fromkeys(periods)])
+                               .cast("array<string>"))
+    return F.filter(periods, lambda p: (p >= F.lit(lo)) & (p <= F.lit(hi)))
 
 
 def select_entities(df: DataFrame, entities) -> DataFrame:

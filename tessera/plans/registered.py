@@ -2,7 +2,8 @@
 panel binding) and has an independent SQL twin in ``SQL`` for the oracle check.
 
 Parameters are fixed per query so both sides compute the same thing at any
-scale; every query reads whole tables.
+scale. A query that needs the panel more than once (values, names, the period
+catalogue) writes it once to the shared folder: the line items are read once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import labels as L
-from ..functions.numbers import clean_number, is_suppressed
+from ..functions.numbers import clean_number, growth_pct, is_suppressed
 from ..operators import dims as D
 from ..operators import grid as G
 from ..operators import metrics as M
@@ -23,14 +24,15 @@ from ..operators import ranking as R
 from ..operators import reshape as RS
 from ..operators import search as SE
 from ..operators import series as S
-from ..operators.slicing import slice_filings
+from ..operators.slicing import select_entities, slice_filings
 from ..session import materialize
 from ..sources import files as FS
-from ..sources.tables import (BOUND_METRICS, filings_from_tables, read_table,
+from ..sources import sheet_fixtures as SF
+from ..sources.tables import (BOUND_METRICS, filings_from_tables, naic_text, read_table,
                               summary_from_tables)
 from . import oracle as O
 from .viewspec import ViewSpec
-from .views import snapshot_view
+from .views import captions, dataset_caption, series_captions, snapshot_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,8 +56,8 @@ RANGE = ("1998Q1", "2000Q4")
 
 # ---------------------------------------------------------------- SQL pieces
 PK = "(CAST(substr({p}, 1, 4) AS INTEGER) * 10 + CAST(right({p}, 1) AS INTEGER))"
-TIE = ("CASE WHEN regexp_full_match({k}, '^(0|[1-9][0-9]*)$') AND length({k}) <= 18 "
-       "THEN CAST({k} AS BIGINT) END ASC NULLS LAST, {k} ASC")
+TIE = ("CASE WHEN regexp_full_match({k}, '^(0|[1-9][0-9]*)$') THEN length({k}) END "
+       "ASC NULLS LAST, {k} ASC")
 
 
 def pk(p="period"):
@@ -73,7 +75,7 @@ co_names AS (
 ),
 co_best AS (
   SELECT naic, company AS name FROM (
-    SELECT *, row_number() OVER (PARTITION BY naic ORDER BY cnt DESC, first_pk ASC) AS rn
+    SELECT *, row_number() OVER (PARTITION BY naic ORDER BY cnt DESC, first_pk ASC, company ASC) AS rn
     FROM co_names) WHERE rn = 1
 ),
 companies AS (
@@ -92,19 +94,20 @@ def base_values_sql(metric_col: str, where: str = "TRUE") -> str:
 
 
 DERIVED_SQL = {
-    "net_flow": ("nw + ri - cn - nr - tr_out"),
+    "net_flow": ("s_new + s_received - s_cancelled - s_nonrenewed - s_moved"),
     "avg_premium": "CASE WHEN pif_s <> 0 THEN dpw_s / pif_s END",
     "rate_on_line": "CASE WHEN tiv_s <> 0 THEN dpw_s / tiv_s END",
     "wind_concentration": "CASE WHEN tiv_s <> 0 THEN tivw_s / tiv_s END",
 }
 
 
+DERIVED_PARTS = {"dpw_s": "dpw", "pif_s": "pif", "tiv_s": "tiv", "tivw_s": "tiv_incl_wind",
+                 "s_new": "new_written", "s_received": "received_in", "s_cancelled": "cancelled",
+                 "s_nonrenewed": "nonrenewed", "s_moved": "transferred_out"}
+
+
 def derived_parts_sql() -> str:
-    return ", ".join([
-        f"{O.xsum0('dpw')} AS dpw_s", f"{O.xsum0('pif')} AS pif_s", f"{O.xsum0('tiv')} AS tiv_s",
-        f"{O.xsum0('tiv_incl_wind')} AS tivw_s", f"{O.xsum0('new_written')} AS nw",
-        f"{O.xsum0('received_in')} AS ri", f"{O.xsum0('cancelled')} AS cn",
-        f"{O.xsum0('nonrenewed')} AS nr", f"{O.xsum0('transferred_out')} AS tr_out"])
+    return ", ".join(f"{O.xsum0(col)} AS {name}" for name, col in DERIVED_PARTS.items())
 
 
 def derived_values_sql(metric_id: str, where: str = "TRUE", by: str = "period, naic") -> str:
@@ -112,7 +115,7 @@ def derived_values_sql(metric_id: str, where: str = "TRUE", by: str = "period, n
             f"SELECT {by}, {derived_parts_sql()} FROM panel WHERE {where} GROUP BY {by})")
 
 
-def rank_sql(values_sql: str, n: int) -> str:
+def rank_sql(values_sql: str, n: int | None) -> str:
     ranked = f"""
 ranked AS (
   SELECT period, naic, value,
@@ -122,25 +125,23 @@ ranked AS (
     return O.with_panel(f"""
 SELECT r.period, r.rank, r.naic, coalesce(c.name, r.naic) AS company, r.value
 FROM ranked r LEFT JOIN companies c ON r.naic = c.naic
-WHERE r.rank <= {n}""", COMPANIES_SQL, ranked)
+WHERE {'TRUE' if n is None else f'r.rank <= {n}'}""", COMPANIES_SQL, ranked)
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings_from_tables(spark, sf_dir)
 
 
-def _companies(fl: DataFrame) -> DataFrame:
-    return D.companies(fl)
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel, written once."""
+    return materialize(filings(spark, sf_dir), "panel")
 
 
 # ---------------------------------------------------------------- rankings
 def _rank_query(spec: ViewSpec, all_periods: bool):
     def run(spark, sf_dir):
-        fl = filings(spark, sf_dir)
-        # One period: its panel is built from the line items of that quarter
-        # only (ship-date range pushed into the scan); names need all periods.
-        sl = fl if all_periods else filings_from_tables(spark, sf_dir, periods=[spec.period])
-        return snapshot_view(sl, spec, companies=_companies(fl), all_periods=all_periods)
+        fl = panel(spark, sf_dir)
+        return snapshot_view(fl, spec, companies=D.companies(fl), all_periods=all_periods)
     return run
 
 
@@ -209,9 +210,9 @@ others AS (
   FROM ranked r WHERE r.rank > {SHARE_N} GROUP BY r.period
 )"""))
 def share_topn_others(spark, sf_dir):
-    fl = filings(spark, sf_dir)
+    fl = panel(spark, sf_dir)
     spec = ViewSpec(mode="share", metric="tiv", topn=SHARE_N)
-    return _rank_as_double(snapshot_view(fl, spec, companies=_companies(fl), all_periods=True))
+    return _rank_as_double(snapshot_view(fl, spec, companies=D.companies(fl), all_periods=True))
 
 
 def _rank_as_double(df):
@@ -225,24 +226,47 @@ SELECT r.period, CAST(r.rank AS DOUBLE) AS rank, r.naic, coalesce(c.name, r.naic
        r.value, CAST(NULL AS DOUBLE) AS share
 FROM ranked r LEFT JOIN companies c ON r.naic = c.naic WHERE r.rank <= {SHARE_N}
 UNION ALL
-SELECT period, CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), 'All others', value,
+SELECT period, CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), 'All others', dpw / tiv,
        CAST(NULL AS DOUBLE)
-FROM others WHERE value > 0""", COMPANIES_SQL, f"""
+FROM others WHERE tiv <> 0 AND dpw / tiv > 0""", COMPANIES_SQL, f"""
+parts AS (
+  SELECT period, naic, {O.xsum0('dpw')} AS dpw, {O.xsum0('tiv')} AS tiv FROM panel
+  WHERE line = 'Personal Residential' GROUP BY period, naic
+),
 ranked AS (
-  SELECT period, naic, value,
-         CAST(row_number() OVER (PARTITION BY period ORDER BY value DESC, {tie()}) AS BIGINT) AS rank
-  FROM ({derived_values_sql('rate_on_line', "line = 'Personal Residential'")}) ev
-  WHERE value IS NOT NULL
+  SELECT period, naic, dpw / tiv AS value,
+         CAST(row_number() OVER (PARTITION BY period ORDER BY dpw / tiv DESC, {tie()}) AS BIGINT)
+           AS rank
+  FROM parts WHERE tiv <> 0
 ),
 others AS (
-  SELECT period, {O.xsum0('value')} AS value FROM ranked WHERE rank > {SHARE_N} GROUP BY period
+  SELECT period, {O.xsum0('dpw')} AS dpw, {O.xsum0('tiv')} AS tiv FROM parts p
+  WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.period = p.period AND r.naic = p.naic
+                    AND r.rank <= {SHARE_N})
+  GROUP BY period
 )"""))
 def share_ratio_metric(spark, sf_dir):
-    """Q3 fix: a ratio metric in share mode has no share."""
-    fl = filings(spark, sf_dir)
+    """Q3 fix: a ratio metric in share mode has no share; the rest's value is the ratio
+    of the rest's sums."""
+    fl = panel(spark, sf_dir)
     spec = ViewSpec(mode="share", metric="rate_on_line", topn=SHARE_N,
                     line="Personal Residential")
-    return _rank_as_double(snapshot_view(fl, spec, companies=_companies(fl), all_periods=True))
+    return _rank_as_double(snapshot_view(fl, spec, companies=D.companies(fl), all_periods=True))
+
+
+@register("share_all", O.with_panel(f"""
+SELECT v.period, CAST(row_number() OVER (PARTITION BY v.period ORDER BY v.value DESC, {tie('v.naic')})
+                      AS DOUBLE) AS rank,
+       v.naic, coalesce(c.name, v.naic) AS company, v.value,
+       CASE WHEN t.total <> 0 THEN v.value / t.total END AS share
+FROM vals v JOIN (SELECT period, {O.xsum('value')} AS total FROM vals GROUP BY period) t
+  ON v.period = t.period LEFT JOIN companies c ON c.naic = v.naic""", COMPANIES_SQL,
+    f"vals AS ({base_values_sql('pif')} HAVING {O.xsum('pif')} IS NOT NULL)"))
+def share_all(spark, sf_dir):
+    """W2 without a cut: every entity with its share and no row of others."""
+    fl = panel(spark, sf_dir)
+    spec = ViewSpec(mode="share", metric="pif", topn=None)
+    return _rank_as_double(snapshot_view(fl, spec, companies=D.companies(fl), all_periods=True))
 
 
 # ---------------------------------------------------------------- totals
@@ -251,7 +275,7 @@ TOTAL_METRICS = ["tiv", "pif", "dpw", "net_flow", "avg_premium", "rate_on_line",
 
 
 @register("slice_totals", O.with_panel(f"""
-SELECT period, tiv, pif, dpw, nw + ri - cn - nr - tr_out AS net_flow,
+SELECT period, tiv, pif, dpw, s_new + s_received - s_cancelled - s_nonrenewed - s_moved AS net_flow,
        CASE WHEN pif_s <> 0 THEN dpw_s / pif_s END AS avg_premium,
        CASE WHEN tiv_s <> 0 THEN dpw_s / tiv_s END AS rate_on_line,
        CASE WHEN tiv_s <> 0 THEN tivw_s / tiv_s END AS wind_concentration
@@ -296,34 +320,25 @@ def dim_companies(spark, sf_dir):
                     "n_periods")
 
 
-@register("dim_segments", O.with_panel("""
-SELECT DISTINCT policy_type, line, is_wind_only FROM panel WHERE policy_type <> ''"""))
+@register("dim_segments", O.with_panel(r"""
+SELECT DISTINCT policy_type, line, is_wind_only,
+       trim(regexp_replace(regexp_replace(policy_type,
+              '^(commercial residential|personal residential)\s*-?\s*', '', 'i'),
+            '\s*-?\s*wind only.*$', '', 'i')) AS family
+FROM panel WHERE policy_type <> ''"""))
 def dim_segments(spark, sf_dir):
     return D.segments(filings(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- series / growth
-def _periods(spark, sf_dir):
-    from ..sources.tables import period_catalogue
-    return period_catalogue(spark, sf_dir)
-
-
 def _series_query(metric_id, entities, rng, transform="abs", basis="position",
                   segments=(), line="all"):
     def run(spark, sf_dir):
-        fl = filings(spark, sf_dir)
-        periods = _periods(spark, sf_dir)
-        # Values are needed for the range (and, on the calendar basis, the
-        # quarters it compares with): only those line items are scanned.
-        need = set(S.periods_between(periods, rng[0], rng[1]))
-        if transform != "abs" and basis == "calendar":
-            step = 1 if transform == "qoq" else 4
-            need |= {S.calendar_shift(p, step) for p in need}
-        sl = slice_filings(filings_from_tables(spark, sf_dir, periods=sorted(need)),
-                           line=line, segments=segments)
-        return S.series(sl, metric_id, "all", periods, rng[0], rng[1],
+        fl = panel(spark, sf_dir)
+        sl = slice_filings(fl, line=line, segments=segments)
+        return S.series(sl, metric_id, "all", fl.select("period"), rng[0], rng[1],
                         entities=entities, transform=transform, basis=basis,
-                        companies=_companies(fl))
+                        companies=D.companies(fl))
     return run
 
 
@@ -391,19 +406,36 @@ _reg_series("growth_net_flow_qoq", "net_flow", SERIES_ENTITIES, ("1996Q1", "2001
             line="Commercial Residential")
 
 
-@register("series_all", O.with_panel(f"""
-SELECT '{C.ALL_TARGET}' AS target, '{C.ALL_TARGET_NAME}' AS name, r.period,
-       coalesce(v.value, 0.0) AS value, coalesce(v.value, 0.0) AS display
-FROM rng r LEFT JOIN (SELECT period, {O.xsum0('dpw')} AS value FROM panel
-                      WHERE line = 'Personal Residential' GROUP BY period) v
-  ON v.period = r.period""", _rng_sql(("1996Q1", "2001Q4"))))
+def _all_sql(where: str, display: str, *ctes: str) -> str:
+    return O.with_panel(f"""
+SELECT '{C.ALL_TARGET}' AS target, '{C.ALL_TARGET_NAME}' AS name, period, value,
+       {display} AS display FROM grid""", *ctes, f"""
+grid AS (SELECT r.period, r.pos, coalesce(v.value, 0.0) AS value
+         FROM rng r LEFT JOIN (SELECT period, {O.xsum0('dpw')} AS value FROM panel
+                               WHERE {where} GROUP BY period) v ON v.period = r.period)""")
+
+
+@register("series_all", _all_sql("line = 'Personal Residential'", "value",
+                                 _rng_sql(("1996Q1", "2001Q4"))))
 def series_all(spark, sf_dir):
     """No entity chosen → the slice total per period (0 when empty)."""
-    fl = filings(spark, sf_dir)
+    fl = panel(spark, sf_dir)
     sl = slice_filings(fl, line="Personal Residential")
-    out = S.series(sl, "dpw", "all", _periods(spark, sf_dir), "1996Q1", "2001Q4")
-    return out.select("target", "name", "period", F.coalesce("value", F.lit(0.0)).alias("value"),
-                      F.coalesce("display", F.lit(0.0)).alias("display"))
+    return S.series(sl, "dpw", "all", fl.select("period"), "1996Q1", "2001Q4")
+
+
+GAP_ENTITY = "00012"
+
+
+@register("series_all_gap_qoq", _all_sql(
+    f"policy_type = '{GAP_SEGMENT}' AND naic = '{GAP_ENTITY}'",
+    GROWTH.format(v="value", b="lag(value, 1) OVER (ORDER BY pos)"),
+    _rng_sql(("1996Q1", "2001Q4"))))
+def series_all_gap_qoq(spark, sf_dir):
+    """W9 + W6 on a slice with empty quarters: 0 there, −100 % into the gap."""
+    fl = panel(spark, sf_dir)
+    sl = slice_filings(fl, segments=(GAP_SEGMENT,)).where(F.col("naic") == GAP_ENTITY)
+    return S.series(sl, "dpw", "all", fl.select("period"), "1996Q1", "2001Q4", transform="qoq")
 
 
 @register("share_over_time", O.with_panel(f"""
@@ -430,8 +462,9 @@ LEFT JOIN sh s ON s.naic = g.naic AND s.period = g.period""",
                 ON v.period = t.period)"""))
 def share_delta(spark, sf_dir):
     """Share change against the previous period of the range (gaps stay null)."""
-    sl = slice_filings(filings(spark, sf_dir), segments=(GAP_SEGMENT,))
-    return S.share_delta(sl, "tiv", _periods(spark, sf_dir), RANGE[0], RANGE[1])
+    fl = panel(spark, sf_dir)
+    sl = slice_filings(fl, segments=(GAP_SEGMENT,))
+    return S.share_delta(sl, "tiv", fl.select("period"), RANGE[0], RANGE[1])
 
 
 @register("growth_rank", O.with_panel(f"""
@@ -448,9 +481,8 @@ WHERE r.rank <= 20""", COMPANIES_SQL,
              WHERE n.period = '{SNAP_PERIOD}')"""))
 def growth_rank(spark, sf_dir):
     """Year-on-year TIV growth of every entity in one period, ranked."""
-    fl = filings(spark, sf_dir)
-    sl = filings_from_tables(spark, sf_dir, periods=[SNAP_PERIOD, "1999Q2"])
-    return S.growth_rank(sl, "tiv", SNAP_PERIOD, "yoy", 20, companies=_companies(fl))
+    fl = panel(spark, sf_dir)
+    return S.growth_rank(fl, "tiv", SNAP_PERIOD, "yoy", 20, companies=D.companies(fl))
 
 
 @register("new_dropped", O.with_panel(f"""
@@ -466,8 +498,8 @@ WHERE NOT EXISTS (SELECT 1 FROM ents x WHERE x.period = p.period AND x.naic = e.
                  FROM (SELECT DISTINCT period FROM panel) QUALIFY prev IS NOT NULL)"""))
 def new_dropped(spark, sf_dir):
     """Entities new or dropped against the previous quarter."""
-    sl = slice_filings(filings(spark, sf_dir), segments=(GAP_SEGMENT,))
-    return S.new_and_dropped(sl, _periods(spark, sf_dir))
+    fl = panel(spark, sf_dir)
+    return S.new_and_dropped(slice_filings(fl, segments=(GAP_SEGMENT,)), fl.select("period"))
 
 
 # ---------------------------------------------------------------- grids and cells
@@ -476,14 +508,11 @@ METRIC_LIST = ", ".join(BOUND_METRICS)
 
 
 def _grid(spark, sf_dir):
-    fl = filings(spark, sf_dir)
-    # The cell table is the persisted unit of the ingest (one pass over the
-    # source, read by every later step), so it is materialised once.
-    cells = materialize(G.panel_to_cells(fl, BOUND_METRICS), "cells")
-    # One title cell per sheet gives the workbook list.
-    sheets = cells.filter((F.col("row_no") == 1) & (F.col("col_no") == 1)).select("path")
-    files = FS.describe_files(sheets)
-    return fl, cells, files
+    # The grid is the persisted unit of the ingest (one pass over the source, read by
+    # every later step), so it is materialised once.
+    grid = materialize(SF.panel_to_rows(filings(spark, sf_dir), BOUND_METRICS), "grid")
+    # One title row per sheet gives the workbook list.
+    return grid, FS.describe_files(grid.filter(F.col("row_no") == 1).select("path"))
 
 
 @register("grid_to_wide", O.with_panel(f"""
@@ -493,8 +522,8 @@ FROM panel"""))
 def grid_to_wide(spark, sf_dir):
     """N1-N10 round trip: panel → sheet cells → header detection, rules, cleaning,
     footer split, pivot → the panel again."""
-    _, cells, files = _grid(spark, sf_dir)
-    facts = G.parse_grid(cells, files, "B")["facts"]
+    grid, files = _grid(spark, sf_dir)
+    facts = G.parse_grid(grid, files, "B")["facts"]
     return facts.select("period", "naic", "company", "policy_type", "line", "is_wind_only",
                         *BOUND_METRICS, F.array_join("suppressed", "|").alias("suppressed"))
 
@@ -516,8 +545,8 @@ SELECT 'grid/filing_by_company_and_policy_type_' || substr(p.period, 1, 4) || 'q
 FROM (SELECT DISTINCT period FROM panel) p CROSS JOIN cols c""", _header_layout_sql()))
 def header_classify(spark, sf_dir):
     """N1 + N3: every generated header text maps back to the key it was written for."""
-    _, cells, files = _grid(spark, sf_dir)
-    h = G.classify_headers(cells, files)
+    grid, files = _grid(spark, sf_dir)
+    h = G.classify_headers(grid, files)
     return h.select("path", "col_no", "key", "role")
 
 
@@ -678,7 +707,8 @@ FROM (SELECT period, naic, policy_type, 'B' AS layout FROM panel
       UNION ALL SELECT period, naic, NULL, 'A' FROM summary)""", summary=True))
 def summary_counts(spark, sf_dir):
     """A15 / Q-F: dataset counts over both layouts."""
-    return Q.summary_counts(filings(spark, sf_dir), summary_from_tables(spark, sf_dir))
+    return Q.summary_counts(panel(spark, sf_dir),
+                            materialize(summary_from_tables(spark, sf_dir), "summary"))
 
 
 @register("reconcile_summary", O.with_panel(f"""
@@ -738,7 +768,7 @@ WHERE p.naic IN (SELECT naic FROM companies
 GROUP BY p.naic, p.period, p.company""", COMPANIES_SQL))
 def entity_search_history(spark, sf_dir):
     """P7 + P9: search names (current or historic) and keys, then the full history."""
-    fl = filings(spark, sf_dir)
+    fl = panel(spark, sf_dir)
     hits = SE.search_entities(D.companies(fl), "Supplier#00000004")
     hist = SE.entity_history(fl, hits)
     return hist.groupBy("naic", "period", "company").agg(M.exact_sum("tiv").alias("tiv"))
@@ -766,7 +796,7 @@ SELECT period, naic, value, share,
                    ELSE format('{{:,.0f}}', round(CAST(value AS DECIMAL(38,10)), 0)) END
          AS value_label,
        CASE WHEN share IS NULL THEN '—'
-            ELSE format('{{:,.1f}}', round(CAST(share * 100 AS DECIMAL(38,10)), 1)) || '%' END
+            ELSE format('{{:.1f}}', round(CAST(share * 100 AS DECIMAL(38,10)), 1)) || '%' END
          AS share_label,
        format('{{:,.0f}}', floor(value / 1000 + 0.5)) AS count_label
 FROM (SELECT *, CASE WHEN abs(value) >= 1e12 THEN 1e12 WHEN abs(value) >= 1e9 THEN 1e9
@@ -797,10 +827,10 @@ LEFT JOIN companies c ON r.naic = c.naic""", COMPANIES_SQL))
 def rank_all(spark, sf_dir):
     """W1 without a cut: every entity of every period ranked, without sending a
     whole period through one task (range split + offsets)."""
-    fl = filings(spark, sf_dir)
+    fl = panel(spark, sf_dir)
     vals = M.entity_values(fl, "dpw")
     ranked = R.rank_top(vals, None)
-    return R.with_names(ranked, _companies(fl)).select("period", "rank", "naic", "company",
+    return R.with_names(ranked, D.companies(fl)).select("period", "rank", "naic", "company",
                                                        "value")
 
 
@@ -825,8 +855,8 @@ SELECT key FROM (VALUES ('pif'), ('tiv'), ('tiv_incl_wind'), ('dpw'), ('new_writ
 WHERE EXISTS (SELECT 1 FROM lineitem)""")
 def metrics_seen(spark, sf_dir):
     """The metric keys found in the headers of all generated sheets."""
-    _, cells, files = _grid(spark, sf_dir)
-    return G.parse_grid(cells, files, "B")["metrics_seen"]
+    grid, files = _grid(spark, sf_dir)
+    return G.parse_grid(grid, files, "B")["metrics_seen"]
 
 
 @register("grid_totals", O.with_panel(f"""
@@ -836,8 +866,8 @@ SELECT 'grid/filing_by_company_and_policy_type_' || substr(period, 1, 4) || 'q'
 FROM panel GROUP BY period"""))
 def grid_totals(spark, sf_dir):
     """The published Total row of every sheet, split off from the body."""
-    _, cells, files = _grid(spark, sf_dir)
-    return G.parse_grid(cells, files, "B")["totals"].select("path", "period", *BOUND_METRICS)
+    grid, files = _grid(spark, sf_dir)
+    return G.parse_grid(grid, files, "B")["totals"].select("path", "period", *BOUND_METRICS)
 
 
 @register("series_every_entity_yoy", O.with_panel(f"""
@@ -852,9 +882,9 @@ LEFT JOIN companies c ON c.naic = g.target""", COMPANIES_SQL, _rng_sql(("1995Q1"
     f"WHERE period IN (SELECT period FROM rng))"))
 def series_every_entity_yoy(spark, sf_dir):
     """W7 + W8 for every entity: dense entity × quarter spine, YoY by position."""
-    fl = filings(spark, sf_dir)
-    return S.series(fl, "dpw", "all", _periods(spark, sf_dir), "1995Q1", "2001Q4",
-                    entities="all", transform="yoy", companies=_companies(fl))
+    fl = panel(spark, sf_dir)
+    return S.series(fl, "dpw", "all", fl.select("period"), "1995Q1", "2001Q4",
+                    entities="all", transform="yoy", companies=D.companies(fl))
 
 
 @register("suppressed_unranked", O.with_panel(f"""
@@ -866,7 +896,134 @@ LEFT JOIN companies c ON c.naic = s.naic
 WHERE s.n_suppressed > 0""", COMPANIES_SQL))
 def suppressed_unranked(spark, sf_dir):
     """Q12: entities whose TIV is fully suppressed in the slice, listed without rank."""
-    fl = filings(spark, sf_dir)
+    fl = panel(spark, sf_dir)
     sl = slice_filings(fl, segments=(GAP_SEGMENT,))
     un = R.suppressed_entities(sl, "tiv")
-    return R.with_names(un, _companies(fl)).select("period", "naic", "company", "n_suppressed")
+    return R.with_names(un, D.companies(fl)).select("period", "naic", "company", "n_suppressed")
+
+
+@register("growth_labels", O.with_panel(f"""
+SELECT target, period, growth,
+       CASE WHEN growth IS NULL THEN '—'
+            ELSE CASE WHEN growth >= 0 THEN '+' ELSE '' END
+                 || format('{{:.1f}}', round(CAST(growth AS DECIMAL(38,10)), 1)) || '%' END AS growth_label,
+       CASE WHEN growth IS NULL THEN '—'
+            ELSE format('{{:.1f}}', round(CAST(growth * 100 AS DECIMAL(38,10)), 1)) || '%' END
+         AS pct_label
+FROM (SELECT naic AS target, period,
+             {GROWTH.format(v='value', b='lag(value) OVER (PARTITION BY naic ORDER BY ' + pk() + ')')}
+               AS growth
+      FROM ({base_values_sql('tiv')}) v)"""))
+def growth_labels(spark, sf_dir):
+    """F10, F11, F13 on quarter-on-quarter growth over the quarters an entity filed in;
+    far over 1000 % for small bases, and never grouped."""
+    from pyspark.sql import Window
+    vals = M.entity_values(filings(spark, sf_dir), "tiv")
+    w = Window.partitionBy("naic").orderBy("period")
+    growth = growth_pct(F.col("value"), F.lag("value").over(w))
+    return vals.select(F.col("naic").alias("target"), "period", growth.alias("growth")).select(
+        "*", L.or_dash(L.growth_label("growth")).alias("growth_label"),
+        L.or_dash(L.pct_label("growth")).alias("pct_label"))
+
+
+@register("fine_decimals", """
+SELECT l_suppkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(6,2))
+                           * CAST(l_tax AS DECIMAL(6,2)) * 0.00001) AS DOUBLE) AS total
+FROM lineitem GROUP BY l_suppkey""")
+def fine_decimals(spark, sf_dir):
+    """F8 / A1: eleven decimals survive a sum."""
+    li = read_table(spark, sf_dir, "lineitem")
+    fine = (F.col("l_extendedprice").cast("decimal(12,2)") * F.col("l_discount").cast("decimal(4,2)")
+            * F.col("l_tax").cast("decimal(4,2)") * F.lit("0.00001").cast("decimal(5,5)"))
+    return li.groupBy("l_suppkey").agg(M.exact_sum(fine.cast("double")).alias("total"))
+
+
+@register("history_of_a_table", O.with_panel(f"""
+SELECT period, naic, {O.xsum('dpw')} AS dpw FROM panel
+WHERE naic IN (SELECT lpad(CAST(s_suppkey AS VARCHAR), 5, '0') FROM supplier WHERE s_suppkey % 3 = 1)
+GROUP BY period, naic"""))
+def history_of_a_table(spark, sf_dir):
+    """Entities chosen by a table of keys (a semi join)."""
+    keys = (read_table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 1")
+            .select(naic_text(F.col("s_suppkey")).alias("naic")))
+    return M.multi_metric(select_entities(filings(spark, sf_dir), keys), ["dpw"],
+                          by=("period", "naic"))
+
+
+@register("cube_line_wind", O.with_panel(f"""
+SELECT line, is_wind_only, CAST(grouping(line, is_wind_only) AS INTEGER) AS grouping_id,
+       {O.xsum('pif')} AS pif,
+       CASE WHEN {O.xsum0('tiv')} <> 0 THEN {O.xsum0('tiv_incl_wind')} / {O.xsum0('tiv')} END
+         AS wind_concentration
+FROM panel GROUP BY CUBE (line, is_wind_only)"""))
+def cube_line_wind(spark, sf_dir):
+    """Cube over line and wind-only flag."""
+    out = M.free_rollup(filings(spark, sf_dir), ["line", "is_wind_only"],
+                        ["pif", "wind_concentration"], "cube")
+    return out.withColumn("grouping_id", F.col("grouping_id").cast("int"))
+
+
+@register("captions_snapshot", O.with_panel(f"""
+SELECT period, count(value) AS carriers, {O.xsum0('value')} AS slice_total
+FROM ({base_values_sql('tiv', "line = 'Personal Residential'")}) v GROUP BY period"""))
+def captions_snapshot(spark, sf_dir):
+    """Carriers with a value and the slice total of every period."""
+    spec = ViewSpec(metric="tiv", line="Personal Residential")
+    return captions(filings(spark, sf_dir), spec, all_periods=True)
+
+
+@register("captions_series", O.with_panel(f"""
+SELECT period, count(CASE WHEN tiv <> 0 THEN 1 END) AS carriers,
+       CASE WHEN {O.xsum0('tiv')} <> 0 THEN {O.xsum0('dpw')} / {O.xsum0('tiv')} END AS slice_total
+FROM (SELECT period, naic, {O.xsum0('dpw')} AS dpw, {O.xsum0('tiv')} AS tiv FROM panel
+      WHERE period BETWEEN '{RANGE[0]}' AND '{RANGE[1]}' GROUP BY period, naic) v
+GROUP BY period"""))
+def captions_series(spark, sf_dir):
+    """P14 of a series: a ratio metric's total is the ratio of sums."""
+    spec = ViewSpec(mode="series", metric="rate_on_line", period_from=RANGE[1],
+                    period_to=RANGE[0])
+    return series_captions(filings(spark, sf_dir), spec)
+
+
+@register("caption_dataset", O.with_panel("""
+SELECT min(period) AS first, max(period) AS last, count(DISTINCT period) AS periods,
+       CAST(count(*) AS BIGINT) AS facts, count(DISTINCT naic) AS entities
+FROM (SELECT period, naic FROM panel UNION ALL SELECT period, naic FROM summary)""", summary=True))
+def caption_dataset(spark, sf_dir):
+    """The coverage line."""
+    return dataset_caption(filings(spark, sf_dir), summary_from_tables(spark, sf_dir))
+
+
+@register("entity_labels", O.with_panel("""
+SELECT naic, name, CASE WHEN length(name) > 34 THEN substr(name, 1, 32) || '…' ELSE name END
+                   || ' · ' || naic AS label
+FROM companies""", COMPANIES_SQL))
+def entity_labels(spark, sf_dir):
+    """P7 + F14: every entity with its picker label."""
+    return SE.search_entities(D.companies(filings(spark, sf_dir)))
+
+
+@register("labelled_rank", O.with_panel(f"""
+SELECT period, rank, naic, value, format('{{:,.0f}}', floor(value + 0.5)) AS value_label
+FROM (SELECT period, naic, value,
+             CAST(row_number() OVER (PARTITION BY period ORDER BY value DESC, {tie()}) AS BIGINT) AS rank
+      FROM ({base_values_sql('pif')}) v WHERE value IS NOT NULL) r WHERE rank <= 5"""))
+def labelled_rank(spark, sf_dir):
+    """F17 + W5: a ranking with label columns, sorted again by entity."""
+    spec = ViewSpec(metric="pif", topn=5, sort_col="naic", sort_dir=1)
+    view = snapshot_view(filings(spark, sf_dir), spec, all_periods=True)
+    return L.labelled(view, "pif").drop("company")
+
+
+@register("summary_companies", O.with_panel("""
+SELECT naic, arg_min(period, pk) AS first, arg_max(period, pk) AS last,
+       count(DISTINCT period) AS n_periods,
+       array_to_string(list_sort(list_distinct(list(company))), '|') AS names
+FROM (SELECT naic, company, period, CAST(substr(period, 1, 4) AS INTEGER) * 10
+             + CAST(right(period, 1) AS INTEGER) AS pk
+      FROM (SELECT naic, company, period FROM panel UNION ALL
+            SELECT naic, company, period FROM summary)) GROUP BY naic""", summary=True))
+def summary_companies(spark, sf_dir):
+    """T1 + A12, A13: the entity dimension over both layouts."""
+    c = D.companies(filings(spark, sf_dir), summary_from_tables(spark, sf_dir))
+    return c.select("naic", "first", "last", "n_periods", F.array_join("names", "|").alias("names"))

@@ -7,7 +7,7 @@ normalises wind / segment choices before any plan is built.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from .. import catalog as C
 
@@ -30,7 +30,7 @@ class ViewSpec:
     period_to: str | None = None
     entities: tuple[str, ...] = ()
     scale: str | int = "auto"
-    topn: int = 20
+    topn: int | None = 20  # None: all
     transform: str = "abs"
     basis: str = "position"
     sort_col: str | None = None
@@ -45,8 +45,8 @@ class ViewSpec:
             raise ValueError(f"transform must be one of {TRANSFORMS}")
         if self.basis not in BASES:
             raise ValueError(f"basis must be one of {BASES}")
-        if self.topn < 1:
-            raise ValueError("topn must be positive")
+        if self.topn is not None and self.topn < 1:
+            raise ValueError("topn must be positive, or None for all")
         C.metric(self.metric)
         object.__setattr__(self, "segments", tuple(self.segments))
         object.__setattr__(self, "entities", tuple(self.entities))
@@ -97,26 +97,24 @@ def resolve(spec: ViewSpec, periods: list[str], segment_lines: dict[str, str] |
 
 
 def context_rows(spec: ViewSpec, wind_applied: str | None = None) -> list[tuple[str, str]]:
-    """The active filters as (name, text) pairs."""
-    m = spec.metric_info
-    rows = [("view", {"rank": "Ranking", "share": "Market share", "series": "Time series"}[spec.mode]),
-            ("metric", m.label)]
-    if m.wind:
-        rows.append(("wind", spec.wind))
-        if wind_applied is not None:
-            rows.append(("wind_applied", wind_applied))
-    rows.append(("line", "all" if spec.line == "all" else spec.line.split(" ")[0]))
-    if spec.wind_only:
-        rows.append(("wind_only", "wind-only types"))
-    if spec.segments:
-        rows.append(("segments", f"{len(spec.segments)} policy type(s)"))
-    if spec.mode == "series":
-        rows.append(("range", f"{spec.period_from} → {spec.period_to}"))
-        rows.append(("entities", f"{len(spec.entities) or 'all'} carrier(s)"))
-        if spec.transform != "abs":
-            rows.append(("transform", spec.transform.upper()))
-    else:
-        rows.append(("period", str(spec.period)))
+    """The fields that shape the view, as (name, text) pairs.
+
+    Mode and metric always; then every field that differs from its default. Fields of the
+    other kind of view (a snapshot's or a series') are left out.
+    """
+    only = {"series": ("period_from", "period_to", "entities", "transform", "basis"),
+            "snapshot": ("period", "topn", "sort_col", "sort_dir")}
+    hidden = only["snapshot" if spec.mode == "series" else "series"]
+    plain = ViewSpec()
+    rows = [("mode", spec.mode), ("metric", spec.metric_info.label)]
+    for f in fields(spec):
+        value = getattr(spec, f.name)
+        if f.name in ("mode", "metric") or f.name in hidden or value == getattr(plain, f.name):
+            continue
+        rows.append((f.name, ", ".join(map(str, value)) if isinstance(value, tuple)
+                     else "all" if value is None else str(value)))
+    if wind_applied is not None and spec.wind != plain.wind:
+        rows.append(("wind column", wind_applied))
     return rows
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.text import period_end
+from ..functions.text import period_end, title_period  # noqa: F401
 
 
 class NoWorkbooksError(RuntimeError):
@@ -69,33 +69,17 @@ def require_files(chosen: DataFrame) -> DataFrame:
     return chosen
 
 
-def title_and_pulled(cells: DataFrame) -> DataFrame:
+def title_and_pulled(grid: DataFrame) -> DataFrame:
     """SRC7: title = cell (1,1); pull date = text after 'data pulled on ' up to ')',
     else the whole cell (2,1). Returns path, title, pulled."""
-    a1 = cells.filter((F.col("row_no") == 1) & (F.col("col_no") == 1)).select(
-        "path", F.col("raw").alias("title"))
-    a2 = cells.filter((F.col("row_no") == 2) & (F.col("col_no") == 1)).select(
-        "path", F.col("raw").alias("_p"))
+    from ..operators.grid import cells_of
+    # Only the first two rows are read, never the whole grid.
+    top = cells_of(grid.filter(F.col("row_no") <= 2))
+    first = top.filter(F.col("col_no") == 1).groupBy("path").agg(
+        F.max(F.when(F.col("row_no") == 1, F.col("raw"))).alias("title"),
+        F.max(F.when(F.col("row_no") == 2, F.col("raw"))).alias("_p"))
     m = F.regexp_extract(F.col("_p"), C.PULLED_ON, 1)
     pulled = F.when(m != "", F.trim(m)).otherwise(F.coalesce(F.trim(F.col("_p")), F.lit("")))
-    # Only the first two rows are read (a pushed filter), never the whole grid.
-    paths = cells.filter(F.col("row_no") <= 2).select("path").distinct()
-    return (paths.join(a1, "path", "left").join(a2, "path", "left")
-                 .select("path", F.coalesce("title", F.lit("")).alias("title"),
-                         pulled.alias("pulled")))
-
-
-def title_period(title) -> F.Column:
-    """SRC10: period from an explicit date range in the title (end date), if any.
-
-    Recognises 'M/D/YYYY' and 'Month D, YYYY' end dates; the file-name period
-    stays authoritative, this is a cross-check column.
-    """
-    t = F.col(title) if isinstance(title, str) else title
-    d1 = F.try_to_timestamp(F.regexp_extract(t, r"-\s*(\d{1,2}/\d{1,2}/\d{4})", 1),
-                            F.lit("M/d/yyyy"))
-    d2 = F.try_to_timestamp(F.regexp_extract(t, r"-\s*([A-Za-z]+ \d{1,2}, \d{4})", 1),
-                            F.lit("MMMM d, yyyy"))
-    d = F.coalesce(d1, d2)
-    return F.when(d.isNotNull(), F.concat(F.year(d).cast("string"), F.lit("Q"),
-                                          F.quarter(d).cast("string")))
+    return (top.select("path").distinct().join(first, "path", "left")
+               .select("path", F.coalesce("title", F.lit("")).alias("title"),
+                       pulled.alias("pulled")))

@@ -1,17 +1,39 @@
 """Sinks (SNK1-SNK4).
 
-* SNK1 / SNK4: the dataset as Parquet tables, facts partitioned by period and
-  written with dynamic partition overwrite, so re-ingesting a quarter replaces
-  only that quarter and a new quarter needs no code change;
+* SNK1 / SNK4: a dataset is published as a new version beside the old ones: every table
+  under ``out/data/<version>/``, facts and totals partitioned by period, and at the very
+  end one row in ``out/versions``. Readers take the newest version named there, so a
+  publish that dies halfway is never seen, a repeated one changes nothing, and what
+  left the source (a quarter, an entity) is gone. Old versions stay until the user drops them.
 * SNK2: CSV export with a header of labels, RFC-4180 quoting, null → empty;
-* SNK3: report tables as Parquet (text rendering is the caller's).
+* SNK3: report tables are part of the dataset; ``quality.render_report`` writes them as text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PARTITIONED = {"facts_b", "facts_a", "totals_b", "totals_a"}
+VERSIONS = "version long, folder string, published timestamp"
+
+
+class DatasetNotFoundError(FileNotFoundError):
+    """SRC8: the published dataset is missing; run the ingest first."""
+
+
+def read_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A Parquet table, or None if there is none at the path. Other errors are raised."""
+    try:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -22,27 +44,72 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> No
     w.parquet(path)
 
 
-def publish(dataset: dict[str, DataFrame], out: str, tables=None) -> list[str]:
-    """SNK1: write every table of an ingest under ``out/<name>``."""
-    written = []
-    for name, df in dataset.items():
-        if name == "cells" or (tables and name not in tables):
-            continue
-        write_table(df, f"{out.rstrip('/')}/{name}", "period" if name in PARTITIONED else None)
-        written.append(name)
-    return written
+def newest_version(spark: SparkSession, out: str) -> tuple[int, str | None]:
+    """(number, folder) of the newest published version; (0, None) without any."""
+    versions = read_or_none(spark, f"{out.rstrip('/')}/versions", VERSIONS)
+    row = None if versions is None else versions.orderBy(
+        F.col("version").desc(), F.col("folder").desc()).first()
+    return (0, None) if row is None else (row.version, row.folder)
+
+
+def publish(dataset: dict[str, DataFrame], out: str, tables=None) -> str:
+    """SNK1: write the tables of an ingest as a new version; returns its folder."""
+    out = out.rstrip("/")
+    chosen = {n: df for n, df in dataset.items()
+              if (tables is None and n != "grid") or (tables is not None and n in tables)}
+    spark = next(iter(chosen.values())).sparkSession
+    number = newest_version(spark, out)[0] + 1
+    folder = f"data/{number:08d}-{uuid.uuid4().hex[:12]}"
+    for name, df in chosen.items():
+        write_table(df, f"{out}/{folder}/{name}", "period" if name in PARTITIONED else None)
+    mark = spark.range(1).select(F.lit(number).cast("long").alias("version"),
+                                 F.lit(folder).alias("folder"),
+                                 F.current_timestamp().alias("published"))
+    mark.write.mode("append").parquet(f"{out}/versions")
+    return folder
+
+
+def load_dataset(spark: SparkSession, out: str,
+                 tables=("periods", "companies", "policy_types", "metrics_b", "facts_b",
+                         "facts_a")) -> dict[str, DataFrame]:
+    """SRC8: the newest published version; a typed error names what is missing."""
+    out = out.rstrip("/")
+    folder = newest_version(spark, out)[1]
+    if folder is None:
+        raise DatasetNotFoundError(f"no published dataset under {out}; run the ingest first")
+    found = {}
+    for name in tables:
+        df = read_or_none(spark, f"{out}/{folder}/{name}")
+        if df is None:
+            raise DatasetNotFoundError(
+                f"published table {name!r} not found under {out}; run the ingest first")
+        # The partition column is text, whatever its values look like.
+        found[name] = df.withColumn("period", F.col("period").cast("string")) \
+            if "period" in df.columns else df
+    return found
+
+
+def _plain(df: DataFrame, name: str):
+    """Plain decimal text of a floating-point column: full precision, no exponent."""
+    c = F.col(f"`{name}`")
+    exact = c.try_cast("decimal(38,15)")
+    text = F.regexp_replace(F.regexp_replace(exact.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    # Beyond 23 integer digits or 15 decimals the shortest exact text is the double's own.
+    return F.when(exact.cast("double") == c, text).otherwise(c.cast("string")).alias(name)
 
 
 def export_csv(df: DataFrame, path: str, labels: dict[str, str] | None = None,
                single_file: bool = False) -> None:
     """SNK2: CSV with label headers, quotes doubled (``A"b,c`` → ``"A""b,c"``), null → empty.
 
-    Numbers keep full precision. ``single_file`` coalesces to one task: only for
-    views already cut to a report size (top-N tables, series tables).
+    Numbers are plain decimals of full precision, text is written as it is, and rows keep
+    the order of an ordered view. ``single_file`` writes one file: only for views already
+    cut to a report size (top-N tables, series tables).
     """
-    out = df
+    out = df.select(*[_plain(df, n) if t in ("double", "float") else F.col(f"`{n}`")
+                      for n, t in df.dtypes])
     if labels:
-        out = out.select(*[out[c].alias(labels.get(c, c)) for c in out.columns])
+        out = out.select(*[F.col(f"`{c}`").alias(labels.get(c, c)) for c in out.columns])
     if single_file:
         out = out.coalesce(1)
     (out.write.mode("overwrite")
@@ -51,22 +118,6 @@ def export_csv(df: DataFrame, path: str, labels: dict[str, str] | None = None,
         .option("escape", '"')
         .option("nullValue", "")
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path))
-
-
-class DatasetNotFoundError(FileNotFoundError):
-    """SRC8: the published dataset is missing; run the ingest first."""
-
-
-def load_dataset(spark, path: str, tables=("periods", "companies", "policy_types",
-                                           "metrics_b", "facts_b", "facts_a")) -> dict:
-    """SRC8: read a published dataset; a typed error names the missing table."""
-    from pyspark.errors import AnalysisException
-    out = {}
-    for name in tables:
-        try:
-            out[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}")
-        except AnalysisException as e:
-            raise DatasetNotFoundError(
-                f"published table {name!r} not found under {path}; run the ingest first") from e
-    return out

@@ -182,14 +182,3 @@ def summary_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(period.alias("period"), period_end(period).alias("period_end"),
                         naic_text(F.col("suppkey")).alias("naic"), company.alias("company"),
                         *[(F.col(c).cast("double") / F.lit(d)).alias(c) for c, d in cols.items()])
-
-
-def period_catalogue(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The periods present in the data, ordered (one row per quarter reaches the driver).
-
-    Read from the ship dates alone (a one-column scan), not from the panel.
-    """
-    li = read_table(spark, sf_dir, "lineitem")
-    rows = (li.select(F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"))
-              .distinct().collect())
-    return [f"{y}Q{q}" for y, q in sorted((r.y, r.q) for r in rows if r.y is not None)]

@@ -1,34 +1,38 @@
-"""Workbooks → cells (SRC6) and the whole ingest (§3.1).
+"""Workbooks → sheet rows (SRC6) and the whole ingest (§3.1).
 
 A workbook is not splittable, so the scan is parallel over files: Spark lists
 the folder, keeps the newest pull per (layout, period), reads the chosen files
-as binary rows and a ``mapInPandas`` task turns each into cell rows. Only the
+as binary rows and a ``mapInArrow`` task turns each into sheet rows. Only the
 first sheet is read, with cached values (no formulas are evaluated).
 
 The OOXML reading is a small per-file helper (standard library ``zipfile`` +
 ``xml.etree``): shared and inline strings, numbers, booleans, formula
-results, physical row / column numbers from the cell references.
+results, physical row / column numbers from the cell references or, without them, from
+the cells' order.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.grid import CELLS_SCHEMA
+from ..operators.grid import ROWS_SCHEMA
 from ..session import materialize
 from . import files as FS
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
        "pr": "http://schemas.openxmlformats.org/package/2006/relationships"}
+_ROW, _CELL = (f"{{{_NS['m']}}}{x}" for x in ("row", "c"))
 _REF = re.compile(r"^([A-Z]+)(\d+)$")
+ROWS_PER_BATCH = 1000
 
 
 def _col_number(letters: str) -> int:
@@ -61,55 +65,66 @@ def workbook_cells(content: bytes):
     if "xl/sharedStrings.xml" in z.namelist():
         root = ET.fromstring(z.read("xl/sharedStrings.xml"))
         shared = [_text_of(si) for si in root.findall("m:si", _NS)]
-    member = _first_sheet_member(z)
-    c_tag = f"{{{_NS['m']}}}c"
-    with z.open(member) as fh:
-        for _, el in ET.iterparse(fh, events=("end",)):
-            if el.tag != c_tag:
-                continue
-            m = _REF.match(el.get("r", ""))
-            t = el.get("t", "n")
-            v = el.find("m:v", _NS)
-            if t == "inlineStr":
-                raw, kind = _text_of(el), "s"
-            elif v is None or v.text is None:
+    row_no = col_no = 0
+    with z.open(_first_sheet_member(z)) as fh:
+        for event, el in ET.iterparse(fh, events=("start", "end")):
+            if el.tag == _ROW and event == "start":
+                # References are optional: without one, a row or cell follows the last.
+                row_no, col_no = int(el.get("r") or row_no + 1), 0
+            elif el.tag == _ROW:
                 el.clear()
-                continue
-            elif t == "s":
-                raw, kind = shared[int(v.text)], "s"
-            elif t == "str":
-                raw, kind = v.text, "s"
-            elif t == "b":
-                raw, kind = ("TRUE" if v.text.strip() == "1" else "FALSE"), "b"
-            elif t == "e":
-                raw, kind = v.text, "e"
-            elif t == "d":
-                raw, kind = v.text, "d"
-            else:
-                raw, kind = v.text, "n"
-            el.clear()
-            if m and raw is not None and raw != "":
-                yield int(m.group(2)), _col_number(m.group(1)), kind, raw
-
-
-def _cells_batches(batches):
-    for pdf in batches:
-        out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            for r, c, k, raw in workbook_cells(bytes(content)):
-                out.append((path, r, c, k, raw))
-        yield pd.DataFrame(out, columns=["path", "row_no", "col_no", "kind", "raw"]).astype(
-            {"row_no": "int32", "col_no": "int32"})
-
-
-def read_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """SRC6: the chosen workbooks → cells, parallel over files."""
+            elif el.tag == _CELL and event == "end":
+                m = _REF.match(el.get("r", ""))
+                col_no = _col_number(m.group(1)) if m else col_no + 1
+                kind, raw = _value(el, shared)
+                if raw is not None and raw != "":
+                    yield int(m.group(2)) if m else row_no, col_no, kind, raw
+
+
+def _value(el, shared: list[str]) -> tuple[str, str | None]:
+    """Kind and raw text of a cell element; the raw text is None without a value."""
+    t = el.get("t", "n")
+    if t == "inlineStr":
+        return "s", _text_of(el)
+    v = el.find("m:v", _NS)
+    if v is None or v.text is None:
+        return "s", None
+    if t == "s":
+        return "s", shared[int(v.text)]
+    if t == "b":
+        return "b", "TRUE" if v.text.strip() == "1" else "FALSE"
+    return {"str": "s", "e": "e", "d": "d"}.get(t, "n"), v.text
+
+
+def workbook_rows(content: bytes):
+    """Yield (row_no, [(col_no, cell), ...]) for every sheet row that has a cell."""
+    for row_no, cells in itertools.groupby(workbook_cells(content), key=lambda c: c[0]):
+        yield row_no, [(c, {"kind": k, "raw": raw}) for _, c, k, raw in cells]
+
+
+def rows_batches(batches):
+    """Arrow batches of (path, content) → batches of sheet rows, one workbook at a time."""
+    schema = pa.schema([("path", pa.string()), ("row_no", pa.int32()),
+                        ("cells", pa.map_(pa.int32(), pa.struct([("kind", pa.string()),
+                                                                 ("raw", pa.string())])))])
+    for batch in batches:
+        for at in range(batch.num_rows):
+            path, content = (batch.column(i)[at] for i in (0, 1))
+            rows = workbook_rows(content.as_buffer().to_pybytes())
+            while part := list(itertools.islice(rows, ROWS_PER_BATCH)):
+                yield pa.RecordBatch.from_pylist(
+                    [{"path": path.as_py(), "row_no": r, "cells": c} for r, c in part],
+                    schema=schema)
+
+
+def read_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """SRC6: the chosen workbooks → sheet rows, parallel over files."""
     if not paths:
-        return spark.createDataFrame([], CELLS_SCHEMA)
+        return spark.createDataFrame([], ROWS_SCHEMA)
     # Spark packs files into scan partitions by size (no shuffle of file bytes);
     # each task parses the workbooks of its partition.
     raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return raw.mapInPandas(_cells_batches, CELLS_SCHEMA)
+    return raw.mapInArrow(rows_batches, ROWS_SCHEMA)
 
 
 def choose_workbooks(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,36 +134,52 @@ def choose_workbooks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The whole ingest (§3.1): files → cells → facts, totals, dimensions, checks.
+    """The whole ingest (§3.1): files → sheet rows → facts, totals, dimensions, checks.
 
-    The cells are written once (Q20: each workbook is read a single time).
-    Returns DataFrames: files, cells, facts_b, facts_a, totals_b, totals_a,
-    warnings, collisions, metrics_b, periods, companies, policy_types, checksums.
+    Sheet rows, facts and totals are written once; every table below reads those.
+    Returns DataFrames: files (with title and pull date), grid, facts_b, facts_a,
+    totals_b, totals_a, warnings, collisions, metrics_b, periods, companies,
+    policy_types, and the report tables (``quality.REPORT``).
     """
     from ..operators import dims as D
     from ..operators import grid as G
     from ..operators import quality as Q
+    from ..operators import reshape as RS
+    from ..operators import series as S
 
     chosen = materialize(choose_workbooks(spark, folder), "files")
     paths = [r.path for r in chosen.select("path").collect()]  # the file list: one row per workbook
-    cells = materialize(read_cells(spark, paths), "cells")
-    b = G.parse_grid(cells, chosen, "B")
-    a = G.parse_grid(cells, chosen, "A")
-    meta = FS.title_and_pulled(cells).join(chosen.select("path", "period", "layout"), "path")
-    facts_b, facts_a = b["facts"], a["facts"]
-    periods = D.periods(facts_b, facts_a, meta)
-    companies = D.companies(facts_b, facts_a)
-    policy_types = D.segments(facts_b)
-    b_sums = facts_b.withColumn("path", F.col("source_file"))
-    a_sums = facts_a.withColumn("path", F.col("source_file"))
-    checks = Q.checksum(b_sums, b["totals"], ["pif"], keys=("path", "period")).withColumn(
-        "layout", F.lit("B")).unionByName(
-        Q.checksum(a_sums.withColumnRenamed("a_pif", "pif"),
-                   a["totals"].withColumnRenamed("a_pif", "pif"), ["pif"],
-                   keys=("path", "period")).withColumn("layout", F.lit("A")))
-    return {"files": chosen, "cells": cells, "facts_b": facts_b, "facts_a": facts_a,
-            "totals_b": b["totals"], "totals_a": a["totals"],
+    grid = materialize(read_rows(spark, paths), "grid")
+    files = materialize(chosen.join(FS.title_and_pulled(grid), "path", "left"), "files")
+    b = G.parse_grid(grid, files, "B")
+    a = G.parse_grid(grid, files, "A")
+    facts_b, facts_a = materialize(b["facts"], "facts"), materialize(a["facts"], "facts")
+    totals_b, totals_a = materialize(b["totals"], "totals"), materialize(a["totals"], "totals")
+
+    def checks(facts, totals, layout, metrics):
+        # Every chosen workbook of the layout, also one that was rejected.
+        return Q.checksum(facts.withColumnRenamed("source_file", "path"), totals, metrics,
+                          keys=("path", "period"),
+                          files=files.where(F.col("layout") == layout)).withColumn(
+            "layout", F.lit(layout))
+
+    b_keys = [r.key for r in b["metrics_seen"].orderBy("key").collect()]  # ≤ 23 keys
+    a_keys = [r.key for r in a["metrics_seen"].orderBy("key").collect()]  # ≤ 6 keys
+    checksums = checks(facts_b, totals_b, "B", b_keys or ["pif"]).unionByName(
+        checks(facts_a, totals_a, "A", a_keys or ["a_pif"]))
+    periods = D.periods(facts_b, facts_a, files)
+    segments = D.segments(facts_b)
+    changes = S.new_and_dropped(facts_b, files.where("layout = 'B'").select("period"))
+    return {"files": files, "grid": grid, "facts_b": facts_b, "facts_a": facts_a,
+            "totals_b": totals_b, "totals_a": totals_a,
             "warnings": b["warnings"].unionByName(a["warnings"]),
             "collisions": b["collisions"].unionByName(a["collisions"]),
-            "metrics_b": b["metrics_seen"], "periods": periods, "companies": companies,
-            "policy_types": policy_types, "checksums": checks}
+            "metrics_b": b["metrics_seen"], "periods": periods,
+            "companies": D.companies(facts_b, facts_a), "policy_types": segments,
+            "checksums": checksums, "coverage": Q.coverage(facts_b, facts_a, files),
+            "totals": Q.summary_counts(facts_b, facts_a, files),
+            "suppressed": Q.suppressed_counts(RS.observations(facts_b).unionByName(
+                RS.observations_a(facts_a))),
+            "unknown_segments": Q.unknown_segments(facts_b), "segments": segments,
+            "entity_changes": changes.groupBy("period", "change").agg(
+                F.count(F.lit(1)).alias("entities"))}

@@ -1,71 +1,95 @@
 """Incremental ingest of new workbook drops with Structured Streaming.
 
-The batch tool re-ingests everything; here a file-stream source sees only new
-workbooks. Each micro-batch keeps, per (layout, period), a workbook only when
-its pull stamp is newer than the one already published (SRC5 across batches),
-parses it, and overwrites exactly the affected ``period`` partitions of the
-fact tables (dynamic partition overwrite, SNK4). The published ``files`` table
-is the operator's state: one row per (layout, period), small by construction.
-The stream's checkpoint folder makes the whole thing restartable: a batch that
-dies is replayed from the same file list, and the writes are idempotent.
+A file-stream source sees only new workbooks. Each micro-batch keeps a workbook when its
+pull stamp is newer than any seen for its (layout, period), parses it, and writes what it
+found under the batch's own number: facts, totals, warnings, metrics. The batch's row
+in the log comes last and makes it count. A batch that is replayed overwrites its own
+folders and its own log entry with the same content; a batch that died halfway has no log
+entry and is not read. No state is ever changed in place.
+
+``load_stream`` reads the current dataset: per (layout, period) what the newest pull gave.
+The newest pull decides also when it was rejected: its quarter then has no facts and
+a warning, as in the batch ingest.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import dims as D
 from ..operators import grid as G
-from ..sources import files as FS
-from ..sources.workbooks import _cells_batches
-from ..operators.grid import CELLS_SCHEMA
 from ..session import materialize
+from ..sources import files as FS
+from ..sources.sinks import read_or_none
+from ..sources.workbooks import rows_batches
 
-FILES_SCHEMA = "path string, layout string, period string, pull_ts string"
+LOG_SCHEMA = ("path string, layout string, period string, pull_ts string, title string, "
+              "pulled string, batch long")
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+TABLES = ("facts_b", "facts_a", "totals_b", "totals_a", "warnings", "metrics_b")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    if path.startswith("file:") or "://" not in path:
-        return os.path.exists(path.replace("file:", "", 1))
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except Exception:  # noqa: BLE001
-        return False
+def read_log(spark: SparkSession, out: str) -> DataFrame:
+    """One row per workbook that a finished batch took."""
+    log = read_or_none(spark, f"{out.rstrip('/')}/log", LOG_SCHEMA)
+    return spark.createDataFrame([], LOG_SCHEMA) if log is None else log
 
 
-def _process(batch: DataFrame, out: str) -> None:
+def process_batch(batch: DataFrame, number: int, out: str) -> None:
     spark = batch.sparkSession
     out = out.rstrip("/")
     listing = FS.describe_files(batch.select("path", "modificationTime", "length"))
     chosen = FS.newest_pulls(listing).select("path", "layout", "period", "pull_ts")
-    files_path = f"{out}/files"
-    if _exists(spark, files_path):
-        known = spark.read.parquet(files_path)
-    else:
-        known = spark.createDataFrame([], FILES_SCHEMA)
-    k = known.select("layout", "period", F.col("pull_ts").alias("_known"))
+    # Only earlier batches: a replay must choose what the first run chose.
+    known = (read_log(spark, out).where(F.col("batch") < number)
+             .groupBy("layout", "period").agg(F.max("pull_ts").alias("_known")))
     newer = materialize(
-        chosen.join(k, ["layout", "period"], "left")
-              .filter(F.col("_known").isNull() | (F.col("pull_ts") > F.col("_known")))
+        chosen.join(known, ["layout", "period"], "left")
+              .where(F.col("_known").isNull() | (F.col("pull_ts") > F.col("_known")))
               .drop("_known"), "stream-files")
-    if not newer.take(1):
+    if newer.isEmpty():
         return
     content = batch.select("path", "content").join(newer.select("path"), "path", "left_semi")
-    cells = materialize(content.mapInPandas(_cells_batches, CELLS_SCHEMA), "stream-cells")
-    for layout, name in (("B", "facts_b"), ("A", "facts_a")):
-        res = G.parse_grid(cells, newer, layout)
-        facts = res["facts"]
-        (facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy("period").parquet(f"{out}/{name}"))
-        (res["warnings"].write.mode("append").parquet(f"{out}/warnings"))
-    state = (known.join(newer.select("layout", "period"), ["layout", "period"], "left_anti")
-                  .unionByName(newer.select("path", "layout", "period", "pull_ts")))
-    state = materialize(state, "stream-state")
-    state.write.mode("overwrite").parquet(files_path)
+    grid = materialize(content.mapInArrow(rows_batches, G.ROWS_SCHEMA), "stream-grid")
+    parsed = {x: G.parse_grid(grid, newer, x) for x in "BA"}
+    tables = {
+        "facts_b": parsed["B"]["facts"], "facts_a": parsed["A"]["facts"],
+        "totals_b": parsed["B"]["totals"], "totals_a": parsed["A"]["totals"],
+        "warnings": parsed["B"]["warnings"].unionByName(parsed["A"]["warnings"]),
+        "metrics_b": parsed["B"]["metrics_seen"],
+    }
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+    log = newer.join(FS.title_and_pulled(grid), "path", "left")
+    log.write.mode("overwrite").parquet(f"{out}/log/batch={number}")
+
+
+def load_stream(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The current dataset of a stream, in the tables of the batch ingest (for ``publish``)."""
+    out = out.rstrip("/")
+    newest = Window.partitionBy("layout", "period").orderBy(F.col("pull_ts").desc(),
+                                                            F.col("batch").desc(), "path")
+    files = materialize(read_log(spark, out).withColumn("_n", F.row_number().over(newest))
+                        .where("_n = 1").drop("_n"), "stream-log")
+    found = {}
+    for name in TABLES:
+        df = read_or_none(spark, f"{out}/{name}")
+        if df is None:
+            continue
+        if name == "metrics_b":
+            found[name] = df.join(files.select("batch").distinct(), "batch", "left_semi").select(
+                "key").distinct()
+            continue
+        path = "source_file" if "source_file" in df.columns else "path"
+        current = files.select("batch", F.col("path").alias(path))
+        found[name] = df.join(current, ["batch", path], "left_semi").drop("batch")
+    if not found:
+        return {"files": files}
+    found |= {"files": files, "periods": D.periods(found["facts_b"], found["facts_a"], files),
+              "companies": D.companies(found["facts_b"], found["facts_a"]),
+              "policy_types": D.segments(found["facts_b"])}
+    return found
 
 
 def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
@@ -79,7 +103,7 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
                    .schema(BINARY_SCHEMA)
                    .option("pathGlobFilter", glob)
                    .load(folder))
-    w = (stream.writeStream.foreachBatch(lambda df, _epoch: _process(df, out))
+    w = (stream.writeStream.foreachBatch(lambda df, number: process_batch(df, number, out))
                .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -21,17 +21,21 @@ def test_metrics_on_offer(spark):
 
 
 def test_context_rows():
-    rows = dict(context_rows(ViewSpec(mode="series", metric="tiv", wind="incl",
+    rows = dict(context_rows(ViewSpec(mode="series", metric="tiv", wind="incl", topn=5,
                                       period_from="2023Q1", period_to="2024Q1",
                                       transform="yoy", line="Commercial Residential"),
                              "tiv_incl_wind"))
-    assert rows["view"] == "Time series" and rows["wind_applied"] == "tiv_incl_wind"
-    assert rows["line"] == "Commercial" and rows["transform"] == "YOY"
-    assert rows["range"] == "2023Q1 → 2024Q1" and rows["entities"] == "all carrier(s)"
+    assert rows == {"mode": "series", "metric": "Exposure / TIV ($)", "wind": "incl",
+                    "wind column": "tiv_incl_wind", "line": "Commercial Residential",
+                    "period_from": "2023Q1", "period_to": "2024Q1", "transform": "yoy"}
+    rows = dict(context_rows(ViewSpec(topn=None, segments=("a", "b"), period="2024Q1",
+                                      transform="qoq")))
+    assert rows == {"mode": "rank", "metric": "Exposure / TIV ($)", "topn": "all",
+                    "segments": "a, b", "period": "2024Q1"}
 
 
 def test_context_frame_captions_and_labels(spark):
-    assert context_frame(spark, ViewSpec()).count() >= 4
+    assert context_frame(spark, ViewSpec(period="1998Q1")).count() == 3
     fl = filings_from_tables(spark, "/root/testdata/sf0.001")
     spec = ViewSpec(mode="share", metric="dpw", topn=3, period="1998Q1")
     snap = snapshot_view(fl, spec)
@@ -78,19 +82,23 @@ def test_suppressed_entities_unranked(spark):
     assert sorted((r.naic, r.rank) for r in out.collect()) == [("1", 1), ("2", None)]
 
 
-def test_render_report():
-    from tessera.operators.quality import render_report
-    text = render_report(
-        [{"period": "2024Q1", "has_A": False, "has_B": True, "pulled_at": "7/20/2024"}],
-        [{"period": "2024Q1", "layout": "B", "metric": "pif", "body_sum": 10.0,
-          "total": 12.0, "rows": 2, "status": "mismatch"}],
-        [{"layout": "B", "path": "x.xlsx", "detail": "missing dim columns: naic"}],
-        [{"policy_type": "Personal Residential - X - WIND ONLY", "line": "Personal Residential",
-          "is_wind_only": True}],
-        {"periods": 1, "facts_b": 2, "facts_a": 0, "entities": 2, "segments": 1})
-    assert "2024Q1  A=-  B=Y  pulled=7/20/2024" in text
-    assert "<-- MISMATCH" in text and "missing dim columns: naic" in text
-    assert "[Pers WIND] Personal Residential - X - WIND ONLY" in text
+def test_report_tables_and_text(spark):
+    from tessera.operators.quality import render_report, report_tables
+    tables = report_tables({
+        "totals": spark.createDataFrame([(1, 2)], "periods long, files long"),
+        "checksums": spark.createDataFrame(
+            [("2024Q1", "B", "tiv", 10.0, 12.5, 2, "mismatch", 1.0),
+             ("2024Q1", "B", "pif", 3.0, None, 2, "no_total", None)],
+            "period string, layout string, metric string, body_sum double, total double, "
+            "rows long, status string, diff double"),
+        "warnings": spark.createDataFrame([("B", "a|b.xlsx", "no_header", "none")],
+                                          "layout string, path string, code string, detail string"),
+        "facts_b": spark.range(3)})
+    assert list(tables) == ["totals", "checksums", "warnings"]
+    text = render_report(tables).split("\n")
+    assert "| 2024Q1 | B | pif | 3 |  | 2 | no_total |" in text
+    assert "| 2024Q1 | B | tiv | 10 | 12.5 | 2 | mismatch |" in text
+    assert "| B | a\\|b.xlsx | no_header | none |" in text and "## Dataset (1)" in text
 
 
 def test_wind_fallback_uses_headers_seen(spark):
@@ -113,3 +121,42 @@ def test_wind_fallback_uses_headers_seen(spark):
     assert got == [("1", 10.0), ("2", 5.0)]
     incl = snapshot_view(res["facts"], spec.with_(wind="incl"), available=seen).collect()
     assert [(r.naic, r.value) for r in incl] == [("2", 5.0), ("1", 4.0)]
+
+
+def test_headers_seen_reach_every_operator(spark):
+    """One quarter lacks the wind column, the other the whole metric: no zero totals."""
+    from conftest import cells_df
+    from tessera.operators import grid as G
+    from tessera.operators import metrics as M
+    from tessera.operators import reshape as RS
+    from tessera.operators import series as S
+    from tessera.sources import files as FS
+    one, two = (f"d/filing_by_company_and_policy_type_2024q{q}.xlsx" for q in (1, 2))
+    pt = "Personal Residential - X"
+    cells = cells_df(spark, one, [["NAIC Code", "Company Name", "Policy Type",
+                                   "Total Value of Exposure"], ["1", "A", pt, 7], ["2", "B", pt, None]])
+    cells = cells.unionByName(cells_df(spark, two, [
+        ["NAIC Code", "Company Name", "Policy Type", "Total Number of Policies in Force"],
+        ["1", "A", pt, "."]]))
+    files = FS.describe_files(spark.createDataFrame([(one,), (two,)], "path string"))
+    res = G.parse_grid(cells, files, "B")
+    facts, seen = res["facts"], {r.key for r in res["metrics_seen"].collect()}
+    assert seen == {"tiv", "pif"}
+    kw = dict(wind="incl", available=seen)
+    first = facts.filter("period = '2024Q1'")
+    assert M.slice_totals(first, "tiv", **kw).first().total == 7.0
+    assert M.slice_totals_many(first, ["tiv"], **kw).first().tiv == 7.0
+    assert {r.value for r in M.entity_and_totals(first, "tiv", **kw).collect()} == {7.0, None}
+    assert M.multi_metric(first, ["tiv"], **kw).filter("naic = '1'").first().tiv == 7.0
+    assert M.free_rollup(first, ["line"], ["tiv"], **kw).first().tiv == 7.0
+    assert [r.share for r in S.shares(first, "tiv", **kw).collect()] == [1.0]
+    assert M.breakdown(first, "tiv", wind_split=True, available=seen).first().basis == "all"
+    delta = S.share_delta(facts, "tiv", ["2024Q1", "2024Q2"], "2024Q1", "2024Q2", **kw)
+    assert {(r.period, r.share) for r in delta.collect()} == {("2024Q1", 1.0), ("2024Q2", None)}
+    rank = S.growth_rank(facts, "tiv", "2024Q1", **kw).collect()
+    assert rank == []
+    # Absent column → no row; blank → null; '.' → null and flag.
+    long = {(r.period, r.naic_code, r.metric): (r.value, r.is_suppressed)
+            for r in RS.observations(facts).collect()}
+    assert long == {("2024Q1", "1", "tiv"): (7.0, False), ("2024Q1", "2", "tiv"): (None, False),
+                    ("2024Q2", "1", "pif"): (None, True)}

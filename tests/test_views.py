@@ -77,6 +77,75 @@ def test_ratio_metric_share_is_null(spark):
     assert tot == pytest.approx(0.2)
 
 
+def test_others_of_a_ratio_metric_is_the_ratio_of_sums(spark):
+    p = panel(spark, [{"naic": "1", "dpw": 8.0, "tiv": 10.0}, {"naic": "2", "dpw": 1.0, "tiv": 700.0},
+                      {"naic": "3", "dpw": 0.00044, "tiv": 0.3}, {"naic": "4", "dpw": 2.0}])
+    rows = snapshot_view(p, ViewSpec(mode="share", metric="rate_on_line", topn=1,
+                                     period="2024Q1")).collect()
+    assert [(r.naic, r.rank) for r in rows] == [("1", 1), (None, None)]
+    assert rows[1].value == pytest.approx(3.00044 / 700.3)
+
+
+def test_all_entities_and_order(spark):
+    p = panel(spark, [{"naic": str(i), "tiv": float(i % 7), "period": f"2024Q{1 + i % 2}"}
+                      for i in range(50)])
+    rows = snapshot_view(p, ViewSpec(mode="share", metric="tiv", topn=None),
+                         all_periods=True).collect()
+    assert len(rows) == 50 and all(r.naic is not None for r in rows)
+    assert [(r.period, r.rank) for r in rows] == sorted((r.period, r.rank) for r in rows)
+    assert ViewSpec(topn=None).topn is None
+    with pytest.raises(ValueError):
+        ViewSpec(topn=0)
+
+
+def test_selection_by_long_list_and_by_table(spark):
+    from tessera.operators.slicing import select_entities
+    p = panel(spark, [{"naic": str(i), "tiv": 1.0} for i in range(30)])
+    keys = [str(i) for i in range(0, 6000, 3)]
+    table = spark.createDataFrame([(k,) for k in keys], "k string")
+    for chosen in (keys, table):
+        assert {r.naic for r in select_entities(p, chosen).collect()} == {
+            str(i) for i in range(0, 30, 3)}
+
+
+def test_all_target_is_zero_in_an_empty_quarter(spark):
+    p = panel(spark, [{"period": "2024Q1", "tiv": 10.0, "dpw": 1.0},
+                      {"period": "2024Q3", "tiv": 5.0, "dpw": 1.0}])
+    periods = spark.createDataFrame([(f"2024Q{q}",) for q in (3, 1, 2)], "period string")
+    for basis in ("position", "calendar"):
+        out = S.series(p, "tiv", "all", periods, "2024Q1", "2024Q3", transform="qoq", basis=basis)
+        got = {r.period: (r.value, r.display) for r in out.collect()}
+        assert got["2024Q2"] == (0.0, -100.0) and got["2024Q3"] == (5.0, None)
+    ratio = S.series(p, "rate_on_line", "all", periods, "2024Q1", "2024Q3")
+    assert {r.period: r.value for r in ratio.collect()}["2024Q2"] is None
+
+
+def test_new_and_dropped(spark):
+    p = panel(spark, [{"period": q, "naic": k, "tiv": 1.0} for q, k in
+                      [("2023Q4", "a"), ("2024Q1", "a"), ("2024Q1", "b"), ("2024Q3", "a"),
+                       ("2024Q3", "c")]])
+    for periods in (["2023Q4", "2024Q1", "2024Q2", "2024Q3"],):
+        got = sorted(tuple(r) for r in S.new_and_dropped(p, periods).select(
+            "period", "naic", "change").collect())
+        assert got == [("2024Q1", "b", "new"), ("2024Q2", "a", "dropped"), ("2024Q2", "b", "dropped"),
+                       ("2024Q3", "a", "new"), ("2024Q3", "c", "new")]
+
+
+def test_series_captions(spark):
+    from tessera.plans.views import dataset_caption, series_captions
+    p = panel(spark, [{"period": "2024Q1", "naic": "1", "dpw": 2.0, "tiv": 10.0},
+                      {"period": "2024Q1", "naic": "2", "dpw": 4.0, "tiv": 20.0},
+                      {"period": "2024Q2", "naic": "1", "dpw": 2.0}])
+    spec = ViewSpec(mode="series", metric="dpw", period_from="2024Q2", period_to="2024Q1",
+                    entities=("1",))
+    assert {r.period: (r.carriers, r.slice_total) for r in series_captions(p, spec).collect()} == {
+        "2024Q1": (1, 2.0), "2024Q2": (1, 2.0)}
+    got = series_captions(p, spec.with_(metric="rate_on_line", entities=())).collect()
+    assert {r.period: (r.carriers, r.slice_total) for r in got} == {
+        "2024Q1": (2, pytest.approx(0.2)), "2024Q2": (0, None)}
+    assert tuple(dataset_caption(p).first()) == ("2024Q1", "2024Q2", 2, 3, 2)
+
+
 def test_gap_quarter_and_growth(spark):
     rows = [{"period": p, "naic": "1", "tiv": v} for p, v in
             [("2023Q1", 100.0), ("2023Q2", 110.0), ("2023Q4", 121.0), ("2024Q1", 0.0),
