@@ -62,6 +62,8 @@ def publish(dataset: dict[str, DataFrame], out: str, tables=None) -> str:
     folder = f"data/{number:08d}-{uuid.uuid4().hex[:12]}"
     for name, df in chosen.items():
         write_table(df, f"{out}/{folder}/{name}", "period" if name in PARTITIONED else None)
+        # A partitioned table without rows has no file to tell its columns.
+        write_table(df.limit(0), f"{out}/{folder}/schemas/{name}")
     mark = spark.range(1).select(F.lit(number).cast("long").alias("version"),
                                  F.lit(folder).alias("folder"),
                                  F.current_timestamp().alias("published"))
@@ -79,13 +81,12 @@ def load_dataset(spark: SparkSession, out: str,
         raise DatasetNotFoundError(f"no published dataset under {out}; run the ingest first")
     found = {}
     for name in tables:
-        df = read_or_none(spark, f"{out}/{folder}/{name}")
-        if df is None:
+        columns = read_or_none(spark, f"{out}/{folder}/schemas/{name}")
+        if columns is None:
             raise DatasetNotFoundError(
                 f"published table {name!r} not found under {out}; run the ingest first")
-        # The partition column is text, whatever its values look like.
-        found[name] = df.withColumn("period", F.col("period").cast("string")) \
-            if "period" in df.columns else df
+        found[name] = spark.read.schema(columns.schema).parquet(f"{out}/{folder}/{name}").select(
+            *columns.columns)
     return found
 
 
