@@ -100,6 +100,57 @@ def texts_in(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple
                              for c in columns), strict=True)
 
 
+def text_slices(texts: pa.Array, size: int = 128) -> Iterator[list[str | None]]:
+    """The values of an Arrow array, a few at a time."""
+    for at in range(0, len(texts), size):
+        yield texts.slice(at, size).to_pylist()
+
+
+# -- a bounded set of keys ------------------------------------------------------
+
+#: Bits of the whole set, and of one row of it: 2048 rows of 4 KB, 8 MB at most.
+SET_BITS, ROW_BITS = 1 << 26, 1 << 15
+
+
+def _bit_of(columns: Iterable[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(SET_BITS))
+
+
+def probable_set(keys: DataFrame, *columns: str) -> DataFrame:
+    """A set of keys as hash bits, of a fixed size whatever the number of keys."""
+    bit = keys.select(_bit_of(columns).alias("_bit"))
+    return bit.groupBy(F.floor(F.col("_bit") / ROW_BITS).alias("_set_row")).agg(
+        F.bitmap_construct_agg(F.col("_bit") % ROW_BITS).alias("_set_bits"))
+
+
+def with_probable(rows: DataFrame, key_set: DataFrame, *columns: str,
+                  name: str = "_probable") -> DataFrame:
+    """Adds whether a row's key may be in the set: false is certain, true is not.
+
+    The set is broadcast: its size is bounded by ``SET_BITS``. Nothing is shuffled."""
+    row, bit = F.floor(F.col("_bit") / ROW_BITS), F.col("_bit") % ROW_BITS
+    byte = F.conv(F.hex(F.substring("_set_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))),
+                  16, 10).cast("long")
+    held = rows.withColumn("_bit", _bit_of(columns)).withColumn("_set_row", row)
+    return (held.join(F.broadcast(key_set), "_set_row", "left")
+            .withColumn(name, F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False)))
+            .drop("_bit", "_set_row", "_set_bits"))
+
+
+def without_keys(docs: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
+    """The rows whose key (nulls are equal) is not in ``gone``, with all their columns.
+
+    Rows that are certainly not in it, by the bounded set of hashes, stay where they
+    are; only the others meet the exact keys in a join."""
+    named = gone.select(F.col(gone_key).alias("_gone"))
+    own = docs.withColumn("_key", F.col(f"`{key}`"))
+    marked = with_probable(own, probable_set(named, "_gone"), "_key")
+    sure = marked.where("NOT _probable")
+    doubtful = marked.where("_probable").join(
+        named, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
+    return sure.unionByName(doubtful).drop("_key", "_probable")
+
+
 # -- files in the shared folder ------------------------------------------------
 
 def new_folder(spark: SparkSession, name: str) -> str:

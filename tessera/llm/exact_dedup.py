@@ -7,11 +7,12 @@ Three rounds, each on what the one before could not settle:
 3. only rows that share length and prefix hash have their whole text hashed
    (SHA-256), and equal hashes are one group.
 
-Length and prefix hash are computed in one scan, so rounds 1 and 2 exchange a
-pair of numbers a row after a map-side count. Round 3 joins the rows with the
-surviving (length, prefix) pairs; a pair that a third of all rows share is a
-join key of one small row on the other side, which Spark's skew join splits.
-Everything is built from SQL functions.
+One scan computes length and prefix hash, and rounds 1 and 2 exchange these with a
+count after a map-side sum. Pairs that survive become a set of hash bits of a fixed size,
+which is broadcast; a second scan reads the whole content of the rows whose pair may be in it.
+So no text is ever shuffled; rounds 2 and 3 then decide exactly on rows of a few numbers.
+A group that holds a third of all rows is a join key whose other side is one small row
+of a written table, which Spark's skew join splits. Everything is built from SQL functions.
 
 Texts are equal when identical after deleting every separator character. Of a
 group, the row with most code points in its original text stays, then the one
@@ -25,7 +26,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SEPARATORS, text_or_empty
+from tessera.llm.common import (
+    SEPARATORS,
+    probable_set,
+    text_or_empty,
+    with_probable,
+    without_keys,
+)
 from tessera.session import materialize
 
 PREFIX_CHARS = 256
@@ -53,13 +60,18 @@ def refine(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # Round 1 settles rows alone in their length; round 2 counts the pairs of the rest.
     lengths = (pairs.groupBy("length").agg(F.sum("n").alias("rows"))
                .where("rows > 1").select("length"))
-    alive = (pairs.where("n > 1").join(lengths, "length", "left_semi")
-             .select("length", "prefix", F.lit(True).alias("alive")))
-    joined = rows.join(alive, ["length", "prefix"], "left")
+    alive = materialize(pairs.where("n > 1").join(lengths, "length", "left_semi")
+                        .select("length", "prefix", F.lit(True).alias("alive")), "exact-pairs")
+    told = with_probable(rows, probable_set(alive, "length", "prefix"), "length", "prefix")
     whole = _whole_hash()
-    return joined.select(
-        "key", "size", "length", "prefix", F.coalesce("alive", F.lit(False)).alias("alive"),
-        (whole if settle_hash else F.when(F.col("alive"), whole)).alias("full_hash"))
+    told = told.select(
+        "key", "size", "length", "prefix",
+        (whole if settle_hash else F.when(F.col("_probable"), whole)).alias("full_hash"))
+    told = told.join(alive, ["length", "prefix"], "left")
+    keep_hash = F.col("full_hash") if settle_hash else F.when(F.col("alive"), F.col("full_hash"))
+    return told.select("key", "size", "length", "prefix",
+                       F.coalesce("alive", F.lit(False)).alias("alive"),
+                       keep_hash.alias("full_hash"))
 
 
 def mark(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -74,8 +86,8 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text",
     copies = (rows.where("alive").groupBy("full_hash", "length", "prefix", "size", "key")
               .agg(F.count(F.lit(1)).alias("n")))
     order = F.struct((-F.col("size")).alias("shorter"), F.col("key").alias("key"))
-    groups = copies.groupBy("full_hash").agg(
-        F.min(order).alias("best"), F.sum("n").alias("group_size"))
+    groups = materialize(copies.groupBy("full_hash").agg(
+        F.min(order).alias("best"), F.sum("n").alias("group_size")), "exact-groups")
     first = ((F.col("size") == -F.col("best.shorter"))
              & F.col("key").eqNullSafe(F.col("best.key")))
     told = copies.join(groups, "full_hash").select(
@@ -98,12 +110,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text",
     marks = materialize(mark(docs, key, text, prefix_chars), "exact-marks")
     fates = marks.groupBy("key").agg(F.count_if("kept").alias("stay"),
                                      F.count_if(~F.col("kept")).alias("go"))
-    gone = materialize(fates.where("go > 0"), "exact-gone").withColumnRenamed("key", "_gone")
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_gone"))
-    kept = docs.join(gone.select("_gone"), same, "left_anti")
-    mixed = gone.where("stay > 0").select("_gone")
+    gone = materialize(fates.where("go > 0"), "exact-gone")
+    kept = without_keys(docs, key, gone, "key")
+    mixed = gone.where("stay > 0").select(F.col("key").alias("_gone"))
     if mixed.isEmpty():
         return kept
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_gone"))
     winners = marks.where("kept").select(
         F.col("key").alias("_key"), F.col("length").alias("_length"),
         F.col("prefix").alias("_prefix"), F.col("full_hash").alias("_hash"))
