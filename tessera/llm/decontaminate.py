@@ -29,16 +29,16 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Growing, mix64, rolling
+from tessera.llm.common import Growing, mix64, rolling, text_slices
 
 WINDOW, MIN_LITERAL, MIN_RUN, MIN_COVER = 8, 5, 12, 0.6
 BLOCK_CHARS = 8 << 20
-VOCABULARY = 1_000_000
+VOCABULARY = 400_000
 BASE = 0x9E3779B97F4A7C15
 
 # Units and spelled numbers.
@@ -254,18 +254,22 @@ def _finder(spark, table: Table):
     shared = spark.sparkContext.broadcast(table)
     vocabulary: list[Vocabulary] = []
 
-    @F.pandas_udf(FOUND)
-    def find(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(FOUND)
+    def find(texts: pa.Array) -> pa.Array:
         table = shared.value
         if not vocabulary:
             vocabulary.append(Vocabulary())
-        rows = []
-        for text in texts:
-            told = table.matches(*vocabulary[0].tokens(text))
-            rows.append((sorted({table.ids[i] for i, _, _ in told if table.ids[i] is not None}),
-                         max((r for _, r, _ in told), default=0),
-                         max((c for _, _, c in told), default=0.0)))
-        return pd.DataFrame(rows, columns=["items", "longest_run", "cover"])
+        items, runs, covers = [], [], []
+        for part in text_slices(texts):
+            for text in part:
+                told = table.matches(*vocabulary[0].tokens(text))
+                items.append(sorted({table.ids[i] for i, _, _ in told
+                                     if table.ids[i] is not None}))
+                runs.append(max((r for _, r, _ in told), default=0))
+                covers.append(max((c for _, _, c in told), default=0.0))
+        return pa.StructArray.from_arrays(
+            [pa.array(items, pa.list_(pa.int64())), pa.array(runs, pa.int32()),
+             pa.array(covers, pa.float64())], names=["items", "longest_run", "cover"])
 
     return find
 

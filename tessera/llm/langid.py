@@ -21,12 +21,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import texts_in
+from tessera.llm.common import text_slices, texts_in
+from tessera.session import materialize
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
@@ -106,6 +106,8 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang",
         for lab, txt in texts_in(batches, "label", "text"):
             if lab not in sums:
                 sums[lab], docs[lab] = np.zeros(buckets, np.int64), 0
+                if len(sums) > max_labels:
+                    raise ValueError(f"over {max_labels} labels: the model is bounded")
             docs[lab] += 1
             for grams in ngram_buckets(txt, buckets):
                 sums[lab] += np.bincount(grams, minlength=buckets)
@@ -119,12 +121,13 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang",
 
     used = rows.select(F.col(label).alias("label"), F.col(text).alias("text")).where(
         "label IS NOT NULL AND text IS NOT NULL")
-    counted = (used.mapInArrow(count, "label string, bucket int, n long")
-               .groupBy("label", "bucket").agg(F.sum("n").alias("n")))
-    counted = counted.toArrow()
-    names = sorted(set(counted.column("label").to_pylist()))
+    counted = materialize(used.mapInArrow(count, "label string, bucket int, n long")
+                          .groupBy("label", "bucket").agg(F.sum("n").alias("n")), "ngrams")
+    names = sorted(r.label for r in counted.select("label").distinct()
+                   .limit(max_labels + 1).collect())
     if len(names) > max_labels:
-        raise ValueError(f"{len(names)} labels; the model is bounded by {max_labels}")
+        raise ValueError(f"over {max_labels} labels: the model is bounded")
+    counted = counted.toArrow()  # labels x buckets numbers at most
     place = {n: i for i, n in enumerate(names)}
     if not names:
         return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0), buckets)
@@ -144,10 +147,13 @@ def predictor(spark: SparkSession, model: Model):
     """A column function: text -> struct<lang: string, score: double>."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         known = shared.value
-        return pd.DataFrame([known.predict(t) for t in texts], columns=["lang", "score"])
+        told = [known.predict(t) for part in text_slices(texts) for t in part]
+        return pa.StructArray.from_arrays(
+            [pa.array([x for x, _ in told], pa.string()),
+             pa.array([s for _, s in told], pa.float64())], names=["lang", "score"])
 
     return predict
 

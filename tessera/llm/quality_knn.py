@@ -23,18 +23,18 @@ import functools
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Growing
+from tessera.llm.common import Growing, text_slices
 
 WORDS, SHAPES, PAIRS, REPEATS = 2048, 512, 1024, 16
 FEATURES = WORDS + SHAPES + PAIRS + REPEATS
 MAX_LABELLED, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 64, 25, 4.0
 BLOCK = 256
-VOCABULARY = 1_000_000
+VOCABULARY = 400_000
 #: Weight of each group of features after it is scaled to length one.
 WEIGHTS = (1.0, 2.0, 2.0, 1.5)
 
@@ -170,16 +170,20 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     """Fit on the bounded sample of the labelled rows."""
     vocabulary: list[Vocabulary] = []
 
-    @F.pandas_udf("place array<int>, value array<float>")
-    def sparse(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("place array<int>, value array<float>")
+    def sparse(texts: pa.Array) -> pa.Array:
         if not vocabulary:
             vocabulary.append(Vocabulary())
-        made = []
-        for t in texts:
-            x = features(t, vocabulary[0])
-            hit = np.flatnonzero(x)
-            made.append((hit.tolist(), x[hit].tolist()))
-        return pd.DataFrame(made, columns=["place", "value"])
+        places, values = [], []
+        for part in text_slices(texts):
+            for t in part:
+                x = features(t, vocabulary[0])
+                hit = np.flatnonzero(x)
+                places.append(hit.tolist())
+                values.append(x[hit].tolist())
+        return pa.StructArray.from_arrays(
+            [pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+            names=["place", "value"])
 
     # Keys first: the sample is chosen without moving texts.
     used = rows.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"),
@@ -216,16 +220,14 @@ def scorer(spark: SparkSession, model: Model):
     shared = spark.sparkContext.broadcast(model)
     vocabulary: list[Vocabulary] = []
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         known = shared.value
         if not vocabulary:
             vocabulary.append(Vocabulary())
-        parts = []
-        for at in range(0, len(texts), BLOCK):
-            block = np.stack([features(t, vocabulary[0]) for t in texts.iloc[at:at + BLOCK]])
-            parts.append(known.score(block))
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        parts = [known.score(np.stack([features(t, vocabulary[0]) for t in part]))
+                 for part in text_slices(texts, BLOCK)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return score
 

@@ -27,11 +27,11 @@ Component ids come from ``components``. Rows with equal keys are one document fo
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import text_slices, without_keys
 from tessera.llm.components import connected_components
 from tessera.session import materialize
 
@@ -71,10 +71,10 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
 def fingerprints(text: str | Column = "text", shingle: int = 3, seed: int = SEED) -> Column:
     """The fingerprint of a text column as a signed 64-bit integer."""
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        made = np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64)
-        return pd.Series(made.view(np.int64))
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        made = [fingerprint(t, shingle, seed) for part in text_slices(texts) for t in part]
+        return pa.array(np.array(made, np.uint64).view(np.int64))
 
     return of(F.col(text) if isinstance(text, str) else text)
 
@@ -266,5 +266,4 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text",
     told = materialize(near_duplicates(docs, key, text, **settings), "simhash-told")
     gone = (told.groupBy("key").agg(F.bool_or(F.col("key").eqNullSafe(F.col("component")))
                                     .alias("stays")).where("NOT stays").select("key"))
-    gone = materialize(gone, "simhash-gone").withColumnRenamed("key", "_gone")
-    return docs.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("_gone")), "left_anti")
+    return without_keys(docs, key, materialize(gone, "simhash-gone"), "key")
