@@ -46,7 +46,7 @@ from tessera.llm.common import MASK64, arrow_schema, mix64, rolling, texts_in
 from tessera.session import materialize
 
 WINDOW = 20
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BUCKET_ENTRIES = 2 << 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NULL_KEY = -(1 << 63)
