@@ -31,54 +31,56 @@ from tessera.llm import tokens
 from tessera.llm.common import arrow_schema, texts_in
 from tessera.session import materialize
 
-SIZE, SHARD_IDS, QUERY_TERMS, CANDIDATES = 1024, 1 << 21, 24, 32
+SIZE, SHARD_IDS, QUERY_TERMS, CANDIDATES = 1024, 1 << 20, 24, 32
 K1, B = 1.2, 0.75
 
 
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
-           end_id: int | None = 0) -> DataFrame:
-    """key, part, row (its place in the input), n (ids) and ids, written once. Ids are two
-    bytes wide where all of a document's ids fit, else four."""
+           end_id: int | None = 0) -> tuple[DataFrame, DataFrame]:
+    """Documents, and document frequencies, written once by one pass.
+
+    Documents: key, part, row (their place in the input), n (ids) and ids, two bytes wide
+    where all of a document's ids fit, else four. Frequencies: term, docs, over all
+    documents; as many rows as the tokenizer has ids at most. Tasks add their counts up
+    and append them to the same table as rows of a term.
+    """
     tail = b"" if end_id is None else struct.pack("<I", end_id)
-    ddl = "key long, part int, row long, n long, ids binary"
+    ddl = "key long, part int, row long, n long, ids binary, term long"
     schema = arrow_schema(ddl)
 
     def run(batches):
         coder, part, row = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
-        rows, size = [], 0
+        rows, size, docs_with = [], 0, np.zeros(1 << 16, np.int64)
         for k, t in texts_in(batches, "key", "text"):
             ids = np.frombuffer(coder.encode(t) + tail, "<u4")
-            data = ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else ids.tobytes()
-            rows.append({"key": k, "part": part, "row": row, "n": len(ids), "ids": data})
-            row, size = row + 1, size + len(data)
+            if ids.max(initial=0) < 1 << 16:
+                ids = ids.astype("<u2")
+            terms = np.unique(ids)
+            if len(terms) and terms[-1] >= len(docs_with):
+                docs_with = np.concatenate([docs_with, np.zeros(int(terms[-1]) + 1, np.int64)])
+            docs_with[terms] += 1
+            rows.append({"key": k, "part": part, "row": row, "n": len(ids),
+                         "ids": ids.tobytes()})
+            row, size = row + 1, size + ids.nbytes
             if size > 1 << 20:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 rows, size = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        hit = np.flatnonzero(docs_with)
+        yield pa.RecordBatch.from_pylist([], schema=schema) if not len(hit) else \
+            pa.RecordBatch.from_arrays(
+                [pa.nulls(len(hit), f.type) for f in list(schema)[:3]]
+                + [pa.array(docs_with[hit]), pa.nulls(len(hit), pa.binary()), pa.array(hit)],
+                schema=schema)
 
-    return materialize(docs.select(F.col(key).cast("long").alias("key"),
-                                   F.col(text).alias("text")).mapInArrow(run, ddl), "pack-ids")
+    coded = materialize(docs.select(F.col(key).cast("long").alias("key"),
+                                    F.col(text).alias("text")).mapInArrow(run, ddl), "pack-ids")
+    frequencies = coded.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("docs"))
+    return coded.where("term IS NULL").drop("term"), frequencies
 
 
 def ids_of(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
-
-
-def document_frequencies(coded: DataFrame) -> DataFrame:
-    """(term, docs) over all documents; as many rows as the tokenizer has ids at most."""
-    def count(batches):
-        total = np.zeros(1 << 16, np.int64)
-        for data, n in texts_in(batches, "ids", "n"):
-            terms = np.unique(ids_of(data, n))
-            if len(terms) and terms[-1] >= len(total):
-                total = np.concatenate([total, np.zeros(int(terms[-1]) + 1, np.int64)])
-            total[terms] += 1
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])],
-                                         names=["term", "docs"])
-
-    return (coded.select("ids", "n").mapInArrow(count, "term long, docs long")
-            .groupBy("term").agg(F.sum("docs").alias("docs")))
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
 class Index:
@@ -190,9 +192,9 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     """One row per piece: key, start, length, doc_tokens, sequence_id, offset, and what
     ``tell`` makes of the piece's ids (by default the ids)."""
     tell = tell or (lambda ids: {"ids": ids.tolist()})
-    coded = encode(docs, tokenizer, key, text, end_id)
+    coded, frequencies = encode(docs, tokenizer, key, text, end_id)
     rows, total = coded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    found = document_frequencies(coded).toArrow()
+    found = frequencies.toArrow()
     term, many = found.column("term").to_numpy(), found.column("docs").to_numpy()
     idf = np.zeros(int(term.max(initial=0)) + 1, np.float32)
     idf[term] = np.log(1 + (rows - many + 0.5) / (many + 0.5))

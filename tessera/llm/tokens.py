@@ -13,7 +13,7 @@ import functools
 import os
 from array import array
 
-MAX_PIECES = 1_000_000
+MAX_PIECES = 1_600_000
 MAX_PIECE_CHARS = 64
 #: Signs that end a word without being letters, figures, white space or apostrophes.
 CLOSING = ".,;:!?%$#&*)]"
@@ -21,6 +21,10 @@ CLOSING = ".,;:!?%$#&*)]"
 LAST_SETTLED = "\u024f"
 
 
+#: How the byte-level alphabet shows a space.
+SPACE = chr(0x120)
+
+
 def _edge_safe(c: str) -> bool:
     """Plainly not white space for any regular expression library."""
     return "!" <= c <= "~" or c.isalnum()
@@ -34,6 +38,38 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class _Uneven(Exception):
+    """A part that cannot be looked up by itself."""
+
+
+class _Parts(dict):
+    """Ids of what stands between two single spaces, meant with the space before it. A part
+    not seen before is encoded when it is asked for."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isalpha() and part.isascii() and len(part) <= MAX_PIECE_CHARS:
+            told = self.encoder.shown(SPACE + part)  # ASCII letters stand for themselves
+        elif len(part) > MAX_PIECE_CHARS:
+            raise _Uneven
+        elif _is_word(part):
+            told = self.encoder.piece(" " + part)
+        elif part and _edge_safe(part[0]) and _edge_safe(part[-1]):
+            told = self.encoder.joined(part, " ")
+        else:
+            raise _Uneven
+        self[part] = told
+        return told
+
+
+def _is_word(text: str) -> bool:
+    """Letters only, and such that every version of Unicode calls letters."""
+    return text.isalpha() and (text.isascii() or max(text) <= LAST_SETTLED)
+
+
 class Encoder:
     def __init__(self, path: str, max_pieces: int = MAX_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,81 +79,62 @@ class Encoder:
         self.model = self.tokenizer.model
         self.characters = _byte_characters()
         self.max_pieces = max_pieces
-        self.cache: dict[str, bytes] = {}   # a part, meant with a space before it
-        self.atoms: dict[str, bytes] = {}   # a piece as it stands
+        self.parts = _Parts(self)
+        self.signs: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, text: str) -> bytes:
+    def piece(self, text: str) -> bytes:
         """Ids of a string that the tokenizer's splitter leaves whole."""
-        shown = text.encode().decode("latin-1").translate(self.characters)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return self.shown(text.encode().decode("latin-1").translate(self.characters))
+
+    def shown(self, text: str) -> bytes:
+        """Ids of a piece written in the byte-level alphabet."""
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def joined(self, text: str, lead: str) -> bytes:
+        """Ids of a string between two safe cuts, with or without a space before it.
+
+        Words are looked up without closing signs and line by line: a line feed between
+        two characters that are not white space is a token of its own."""
+        out, first = [], lead
+        for line in text.split("\n"):
+            word = line.rstrip(CLOSING)
+            if not _is_word(word):
+                return self._plain([first + text])[0]
+            if not lead and out:
+                out.append(self._sign("\n"))
+            out.append(self.parts[word] if lead else self.piece(word))
+            if len(word) < len(line):
+                out.append(self._sign(line[len(word):]))
+            lead = ""
+        return b"".join(out)
+
+    def _sign(self, text: str) -> bytes:
+        told = self.signs.get(text)
+        if told is None:
+            told = self.piece(text)
+            if len(self.signs) < 1 << 14:
+                self.signs[text] = told
+        return told
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         parts = text.split(" ")
-        if len(parts) == 1:
-            return self._plain(parts)[0]
+        if len(self.parts) > self.max_pieces:
+            self.parts = _Parts(self)
         head = parts[0]
-        if not (head and _edge_safe(head[-1]) and parts[1] and _edge_safe(parts[1][0])):
+        if not (head and _edge_safe(head[0]) and _edge_safe(head[-1])):
             return self._encode_uneven(parts)
         del parts[0]
-        found = list(map(self.cache.get, parts))
-        if None in found:
-            missing = {p for p, f in zip(parts, found, strict=True) if f is None}
-            if len(self.cache) + len(missing) > self.max_pieces:
-                self.cache, self.atoms = {}, {}
-                missing = set(parts)
-            if not self._learn(missing):
-                return self._encode_uneven([head, *parts])
-            found = map(self.cache.__getitem__, parts)
-        return self._plain([head])[0] + b"".join(found)
-
-    def _learn(self, parts: set[str]) -> bool:
-        """Add parts to the cache; false if one of them cannot be cut out safely (an empty
-        part, white space at an edge) or is too long to keep.
-
-        Words are looked up without closing signs and line by line: a line feed between
-        two characters that are not white space is a token of its own."""
-        cache, plain, cut = self.cache, [], []
-        for p in parts:
-            if p.isalpha() and max(p) <= LAST_SETTLED and len(p) <= MAX_PIECE_CHARS:
-                cache[p] = self._piece(" " + p)
-            elif not p or len(p) > MAX_PIECE_CHARS or not (_edge_safe(p[0]) and _edge_safe(p[-1])):
-                return False
-            else:
-                cut.append(p)
-        for p in cut:
-            told = self._from_atoms(p)
-            if told is None:
-                plain.append(p)
-            else:
-                cache[p] = told
-        if plain:
-            cache.update(zip(plain, self._plain([" " + p for p in plain]), strict=True))
-        return True
-
-    def _from_atoms(self, part: str) -> bytes | None:
-        atoms, out, lead = self.atoms, [], " "
-        for line in part.split("\n"):
-            stem = line.rstrip(CLOSING)
-            if not stem.isalpha() or max(stem) > LAST_SETTLED:
-                return None
-            pieces = [lead + stem] if lead == " " else ["\n", stem]
-            if len(stem) < len(line):
-                pieces.append(line[len(stem):])
-            for piece in pieces:
-                told = atoms.get(piece)
-                if told is None:
-                    told = self.cache.get(stem) if piece[0] == " " else None
-                    told = atoms[piece] = self._piece(piece) if told is None else told
-                out.append(told)
-            lead = ""
-        return b"".join(out)
+        try:
+            return self.joined(head, "") + b"".join(map(self.parts.__getitem__, parts))
+        except _Uneven:
+            return self._encode_uneven([head, *parts])
 
     def _encode_uneven(self, parts: list[str]) -> bytes:
         """Parts with white space at an edge, empty or long ones: these are joined to
@@ -130,10 +147,10 @@ class Encoder:
             else:
                 run += " " + part
         waiting.append(run)
-        cache = self.cache
-        new = list({w for w in waiting if w[:1] != " " or w[1:] not in cache or w == " "})
+        known = self.parts
+        new = list({w for w in waiting if w[:1] != " " or w[1:] not in known})
         told = dict(zip(new, self._plain(new), strict=True))
-        return b"".join([told[w] if w in told else cache[w[1:]] for w in waiting])
+        return b"".join([told[w] if w in told else known[w[1:]] for w in waiting])
 
 
 @functools.cache

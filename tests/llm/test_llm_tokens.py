@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from llm_util import awkward, awkward_rows, empty
 
 from tessera.llm import packing, token_planes
@@ -79,7 +80,11 @@ def test_written_files_read_back(spark, plain):
                                block=128, file_ids=3000)
     assert files.count() > 2
     got = sorted(token_planes.read(files).collect(), key=lambda r: r.start)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    def tie(text):
+        h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])))
     at = 0
     for r, (doc, text, *_) in zip(got, order, strict=True):
         assert (r.key, r.start, r.ids) == (doc, at, [*plain(text), 2])
@@ -135,8 +140,9 @@ def test_packing_is_a_partition_of_all_ids(spark, plain):
 
 
 def test_frequencies_cover_all_documents(spark, plain):
-    coded = packing.encode(awkward(spark), tokenizer_path())
-    got = {r.term: r.docs for r in packing.document_frequencies(coded).collect()}
+    coded, frequencies = packing.encode(awkward(spark), tokenizer_path())
+    assert coded.count() == len(awkward_rows())
+    got = {r.term: r.docs for r in frequencies.collect()}
     want = Counter(t for _, text, *_ in awkward_rows() for t in {*plain(text), 0})
     assert got == dict(want)
 
