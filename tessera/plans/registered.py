@@ -528,6 +528,20 @@ def grid_to_wide(spark, sf_dir):
                         *BOUND_METRICS, F.array_join("suppressed", "|").alias("suppressed"))
 
 
+A_METRICS = ["a_pif", "a_pif_commercial", "a_pif_personal", "a_dpw", "a_dpw_commercial",
+             "a_dpw_personal"]
+
+
+@register("grid_a_to_wide", O.with_panel(
+    f"SELECT period, naic, company, {', '.join(A_METRICS)} FROM summary", summary=True))
+def grid_a_to_wide(spark, sf_dir):
+    """N3 (every Layout-A rule) and the parse of Layout-A sheets: summary → sheets → summary."""
+    grid = materialize(SF.panel_to_rows(summary_from_tables(spark, sf_dir), A_METRICS,
+                                        layout="A"), "grid")
+    files = FS.describe_files(grid.filter(F.col("row_no") == 1).select("path"))
+    return G.parse_grid(grid, files, "A")["facts"].select("period", "naic", "company", *A_METRICS)
+
+
 def _header_layout_sql() -> str:
     n = len(BOUND_METRICS)
     rows = [f"({i + 1}, {i + 1}, '{d}', 'dim')" for i, d in enumerate(["naic", "company",

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import catalog as C
 from ..functions.numbers import exact_sum
 from ..functions.text import period_end
+from ..operators.grid import DIMS
 from ..session import materialize
 
 # Header text per key for generated Layout-B sheets. Each matches its rule
@@ -31,15 +33,26 @@ HEADER_TEXT = {
     "nonrenewed": "Number of Policies Nonrenewed",
     "transferred_out": "Number of Policies Transferred to Other Insurers",
 }
-MONEY_DIGITS = {"tiv": 2, "tiv_incl_wind": 2, "dpw": 4}
+HEADER_TEXT_A = {
+    "naic": "NAIC\nCode",
+    "company": "COMPANY NAME",
+    "a_pif": "Total Number of Policies in Force\n(as of {end})",
+    "a_pif_commercial": "Number of Policies in Force that are Commercial",
+    "a_pif_personal": "Number of  Policies in Force that are Personal",
+    "a_dpw": "Total Direct Premium Written for Policies in Force ($)",
+    "a_dpw_commercial": "Direct Premium Written for Policies in Force that are Commercial ($)",
+    "a_dpw_personal": "Direct Premium Written for\nPolicies in Force that are Personal ($)",
+}
+MONEY_DIGITS = {"tiv": 2, "tiv_incl_wind": 2, "dpw": 4, "a_dpw": 4, "a_dpw_commercial": 4,
+                "a_dpw_personal": 4}
 HEADER_ROW = 4
 
 
-def sheet_path(period: Column, folder: str = "grid") -> Column:
+def sheet_path(period: Column, folder: str = "grid", layout: str = "B") -> Column:
     y = F.substring(period, 1, 4)
     q = F.substring(period, -1, 1)
-    return F.concat(F.lit(folder + "/filing_by_company_and_policy_type_"), y, F.lit("q"), q,
-                    F.lit(".xlsx"))
+    token = C.LAYOUT_B_TOKEN if layout == "B" else C.LAYOUT_A_TOKEN
+    return F.concat(F.lit(f"{folder}/filing_{token}_"), y, F.lit("q"), q, F.lit(".xlsx"))
 
 
 def number_rows(df: DataFrame, part: str, order: list[str], out: str = "n",
@@ -78,23 +91,27 @@ def _cells(cells: list[Column]) -> Column:
     return F.map_from_entries(held).alias("cells")
 
 
-def panel_to_rows(panel: DataFrame, metrics: list[str], folder: str = "grid") -> DataFrame:
-    """A Layout-B panel as sheet rows (``grid.ROWS_SCHEMA``), one sheet per period.
+def panel_to_rows(panel: DataFrame, metrics: list[str], folder: str = "grid",
+                  layout: str = "B") -> DataFrame:
+    """A panel as sheet rows (``grid.ROWS_SCHEMA``) of a layout, one sheet per period.
 
     Title in row 1, pull note in row 2, headers in row 4, body from row 5, a
     Total row last. Money as ``$1,234.50`` text, ``.`` where suppressed, counts
     as numeric cells; odd quarters list the metric columns in reverse order.
     """
-    dims = ["naic", "company", "policy_type"]
+    dims = DIMS[layout]
+    text = HEADER_TEXT if layout == "B" else HEADER_TEXT_A
+    if "suppressed" not in panel.columns:
+        panel = panel.withColumn("suppressed", F.array().cast("array<string>"))
     # The panel is read by the numbering (two branches) and by the footer sums:
     # written once so none of them recomputes it.
     panel = materialize(panel.select("period", *dims, *metrics, "suppressed"), "panel")
-    numbered = number_rows(panel, "period", ["naic", "policy_type"], "body_no")
+    numbered = number_rows(panel, "period", [d for d in dims if d != "company"], "body_no")
     q_odd = (F.substring(F.col("period"), -1, 1).cast("int") % 2) == 1
-    n_m = len(metrics)
+    n_d, n_m = len(dims), len(metrics)
 
     def col_no_of(i: int) -> Column:
-        return F.when(q_odd, F.lit(3 + n_m - i)).otherwise(F.lit(4 + i))
+        return F.when(q_odd, F.lit(n_d + n_m - i)).otherwise(F.lit(n_d + 1 + i))
 
     def shown(m: str) -> tuple[str, Column]:
         if m in MONEY_DIGITS:
@@ -107,7 +124,7 @@ def panel_to_rows(panel: DataFrame, metrics: list[str], folder: str = "grid") ->
         return _cell(col_no_of(i), F.when(sup, F.lit("s")).otherwise(F.lit(kind)),
                      F.when(sup, F.lit(".")).otherwise(raw))
 
-    path = sheet_path(F.col("period"), folder).alias("path")
+    path = sheet_path(F.col("period"), folder, layout).alias("path")
     body = numbered.select(
         path, (F.col("body_no") + HEADER_ROW).cast("int").alias("row_no"),
         _cells([_cell(i + 1, "s", F.col(d).cast("string")) for i, d in enumerate(dims)]
@@ -131,8 +148,8 @@ def panel_to_rows(panel: DataFrame, metrics: list[str], folder: str = "grid") ->
             F.lit("Residential Market Share by Company and Policy Type ("), F.col("period"),
             F.lit(")")))]),
         row(2, [_cell(1, "s", F.concat(F.lit("(Data pulled on "), end, F.lit(")")))]),
-        row(HEADER_ROW, [_cell(i + 1, "s", HEADER_TEXT[d]) for i, d in enumerate(dims)]
-            + [_cell(col_no_of(i), "s", header(HEADER_TEXT[m])) for i, m in enumerate(metrics)]),
+        row(HEADER_ROW, [_cell(i + 1, "s", text[d]) for i, d in enumerate(dims)]
+            + [_cell(col_no_of(i), "s", header(text[m])) for i, m in enumerate(metrics)]),
         row(F.col("n_rows") + HEADER_ROW + 1, [_cell(2, "s", " TOTAL ")]
             + [_cell(col_no_of(i), *shown(m)) for i, m in enumerate(metrics)]),
     ]

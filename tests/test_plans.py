@@ -66,3 +66,28 @@ def test_distributed_rank_has_no_single_partition(spark):
     q = R.rank_top(vals, None)
     assert "SinglePartition" not in plan_of(q)
     assert q.filter(F.col("rank") == 1).count() == vals.select("period").distinct().count()
+
+
+VIEWS = ["rank_topn", "rank_commercial", "net_flow", "rate_on_line", "share_topn_others",
+         "share_ratio_metric", "share_all", "series_compare", "growth_qoq", "growth_calendar",
+         "series_all", "share_delta", "growth_rank", "new_dropped", "series_every_entity_yoy",
+         "suppressed_unranked", "entity_search_history", "rank_all", "summary_counts"]
+
+
+def test_views_read_the_line_items_once(spark, monkeypatch):
+    """The panel is written by one job; what a view returns reads only that."""
+    from tessera.plans import registered as Q
+    scans = []
+    write = Q.materialize
+
+    def counted(df, name=None, partition_by=None):
+        scans.append(plan_of(df).count("lineitem.parquet"))
+        return write(df, name, partition_by)
+
+    monkeypatch.setattr(Q, "materialize", counted)
+    for name in VIEWS:
+        scans.clear()
+        view = Q.QUERIES[name](spark, SF)
+        assert "lineitem.parquet" not in plan_of(view), name
+        assert all(n == 1 for n in scans) and scans, name
+        assert "CartesianProduct" not in plan_of(view), name
