@@ -11,6 +11,7 @@ Rules that hold for all operators of this subpackage:
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -72,6 +73,16 @@ class Growing:
         self.n = need
 
 
+@functools.cache
+def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    def up(b):
+        steps = np.full(size + 1, b & MASK64, np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=np.uint64)
+    return up(base | 1), up(pow(base | 1, -1, 1 << 64))
+
+
 def rolling(values: np.ndarray, size: int, base: int) -> np.ndarray:
     """Polynomial hash of every window of ``size`` consecutive 64-bit values."""
     n = len(values) - size + 1

@@ -38,7 +38,7 @@ from tessera.llm.common import Growing, mix64, rolling, text_slices
 
 WINDOW, MIN_LITERAL, MIN_RUN, MIN_COVER = 8, 5, 12, 0.6
 BLOCK_CHARS = 8 << 20
-VOCABULARY = 400_000
+VOCABULARY = 250_000
 BASE = 0x9E3779B97F4A7C15
 
 # Units and spelled numbers.

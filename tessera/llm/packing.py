@@ -17,7 +17,6 @@ equal keys are documents of their own. Ties go by key, then by place in the inpu
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Callable
 
@@ -44,15 +43,15 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     documents; as many rows as the tokenizer has ids at most. Tasks add their counts up
     and append them to the same table as rows of a term.
     """
-    tail = b"" if end_id is None else struct.pack("<I", end_id)
+    tail = np.array([] if end_id is None else [end_id], np.uint32)
     ddl = "key long, part int, row long, n long, ids binary, term long"
     schema = arrow_schema(ddl)
 
     def run(batches):
         coder, part, row = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
         rows, size, docs_with = [], 0, np.zeros(1 << 16, np.int64)
-        for k, t in texts_in(batches, "key", "text"):
-            ids = np.frombuffer(coder.encode(t) + tail, "<u4")
+        for k, ids in coder.rows(texts_in(batches, "key", "text")):
+            ids = np.concatenate([ids, tail])
             if ids.max(initial=0) < 1 << 16:
                 ids = ids.astype("<u2")
             terms = np.unique(ids)

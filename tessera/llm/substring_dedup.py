@@ -31,7 +31,6 @@ keys come first. A document is held by one task as a whole.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MASK64, arrow_schema, mix64, rolling, texts_in
+from tessera.llm.common import arrow_schema, mix64, powers, rolling, texts_in
 from tessera.session import materialize
 
 WINDOW = 20
@@ -87,16 +86,6 @@ def chunks_of(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> DataFra
                                    F.col(text).alias("text")).mapInArrow(run, CHUNK), "chunks")
 
 
-@functools.cache
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    def up(b):
-        steps = np.full(size + 1, b & MASK64, np.uint64)
-        steps[0] = 1
-        return np.cumprod(steps, dtype=np.uint64)
-    return up(base), up(pow(base, -1, 1 << 64))
-
-
 class Words:
     """The words of a chunk: places in the blob, document of each, hashes."""
 
@@ -117,9 +106,8 @@ class Words:
         self.last = np.searchsorted(self.doc, np.arange(self.docs), "right")
 
     def hashes(self, which: int) -> np.ndarray:
-        base = BASES[which] | 1
         size = 1 << max(16, (len(self.raw) - 1).bit_length())
-        power, back = _powers(base, size)
+        power, back = powers(BASES[which], size)
         sums = np.zeros(len(self.raw) + 1, np.uint64)
         np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * power[:len(self.raw)],
                   out=sums[1:])

@@ -1,35 +1,35 @@
 """Exact, cached encoding with a public byte-level BPE tokenizer.
 
 A byte-level BPE splits before a space that stands between two characters
-which are not white space: no token reaches across it. ``Encoder`` cuts a text at those spaces,
-looks the pieces up in a bounded cache and has the tokenizers library encode the
-pieces not seen before, so the ids equal those of the whole text encoded at once
-(tested against it) at a fraction of the time. The cache is emptied when full.
+which are not white space: no token reaches across it. ``Encoder`` cuts a batch of texts at
+those spaces, hashes all segments at once, looks them up in a sorted table of hashes and has
+the tokenizers library encode only segments not seen before. So the ids equal those of
+the whole text encoded at once (tested against it) at a fraction of the time. A segment
+is known by 96 bits of two independent hashes. The table is emptied when full.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-from array import array
+from collections.abc import Iterable, Iterator
 
-MAX_PIECES = 1_600_000
-MAX_PIECE_CHARS = 64
+import numpy as np
+
+from tessera.llm.common import Growing, mix64, powers
+
+MAX_SEGMENTS = 1_500_000
+MAX_SEGMENT_CHARS = 64
+BATCH_CHARS = 1 << 18
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Signs that end a word without being letters, figures, white space or apostrophes.
 CLOSING = ".,;:!?%$#&*)]"
 #: Letters up to here have been letters in every version of Unicode.
-LAST_SETTLED = "\u024f"
-
-
+LAST_SETTLED = "ɏ"
 #: How the byte-level alphabet shows a space.
 SPACE = chr(0x120)
 
 
-def _edge_safe(c: str) -> bool:
-    """Plainly not white space for any regular expression library."""
-    return "!" <= c <= "~" or c.isalnum()
-
-
 def _byte_characters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for the
     characters from 256 on, in order."""
@@ -38,119 +38,169 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class _Uneven(Exception):
-    """A part that cannot be looked up by itself."""
-
-
-class _Parts(dict):
-    """Ids of what stands between two single spaces, meant with the space before it. A part
-    not seen before is encoded when it is asked for."""
-
-    def __init__(self, encoder: Encoder) -> None:
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, part: str) -> bytes:
-        if part.isalpha() and part.isascii() and len(part) <= MAX_PIECE_CHARS:
-            told = self.encoder.shown(SPACE + part)  # ASCII letters stand for themselves
-        elif len(part) > MAX_PIECE_CHARS:
-            raise _Uneven
-        elif _is_word(part):
-            told = self.encoder.piece(" " + part)
-        elif part and _edge_safe(part[0]) and _edge_safe(part[-1]):
-            told = self.encoder.joined(part, " ")
-        else:
-            raise _Uneven
-        self[part] = told
-        return told
-
-
 def _is_word(text: str) -> bool:
     """Letters only, and such that every version of Unicode calls letters."""
     return text.isalpha() and (text.isascii() or max(text) <= LAST_SETTLED)
 
 
+def segments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where segments begin in the UTF-8 bytes of texts laid end to end.
+
+    A segment begins with a text or with a space between two characters that are
+    plainly not white space: printable ASCII, or a two-byte character from U+00C0 on."""
+    plain = (raw >= 0x21) & (raw <= 0x7E)
+    lead = (raw >= 0xC3) & (raw <= 0xC9)
+    before, after = plain.copy(), plain | lead
+    before[1:] |= ((raw[1:] & 0xC0) == 0x80) & lead[:-1]
+    begin = np.zeros(len(raw), bool)
+    begin[1:-1] = (raw[1:-1] == 0x20) & before[:-2] & after[2:]
+    some = ends > starts
+    begin[ends[some] - 1] = False  # the byte after belongs to the next text
+    begin[starts[some]] = True
+    return np.flatnonzero(begin)
+
+
 class Encoder:
-    def __init__(self, path: str, max_pieces: int = MAX_PIECES) -> None:
+    def __init__(self, path: str, max_segments: int = MAX_SEGMENTS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.tokenizer.model
         self.characters = _byte_characters()
-        self.max_pieces = max_pieces
-        self.parts = _Parts(self)
-        self.signs: dict[str, bytes] = {}
+        self.max_segments = max_segments
+        self.clear()
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def clear(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = Growing(np.uint32)
+        self.words: dict[str, list[int]] = {}
 
-    def piece(self, text: str) -> bytes:
+    # -- one string ----------------------------------------------------------------
+
+    def plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, text: str) -> list[int]:
         """Ids of a string that the tokenizer's splitter leaves whole."""
-        return self.shown(text.encode().decode("latin-1").translate(self.characters))
+        if text.isascii() and "\n" not in text:
+            shown = text.replace(" ", SPACE)
+        else:
+            shown = text.encode().decode("latin-1").translate(self.characters)
+        return [t.id for t in self.model.tokenize(shown)]
 
-    def shown(self, text: str) -> bytes:
-        """Ids of a piece written in the byte-level alphabet."""
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+    def _short(self, text: str) -> list[int]:
+        """``_piece``, remembered: line feeds, closing signs, words in front of them."""
+        told = self.words.get(text)
+        if told is None:
+            if len(self.words) > 1 << 16:
+                self.words = {}
+            told = self.words[text] = self._piece(text)
+        return told
 
-    def joined(self, text: str, lead: str) -> bytes:
-        """Ids of a string between two safe cuts, with or without a space before it.
+    def _segment(self, text: str) -> list[int] | None:
+        """Ids of a segment, or None if only the library's splitter can tell.
 
-        Words are looked up without closing signs and line by line: a line feed between
+        Words are looked at without closing signs and line by line: a line feed between
         two characters that are not white space is a token of its own."""
-        out, first = [], lead
-        for line in text.split("\n"):
+        if len(text) > MAX_SEGMENT_CHARS:
+            return None
+        lead, body = (" ", text[1:]) if text[0] == " " else ("", text)
+        if _is_word(body):
+            return self._piece(text)
+        out: list[int] = []
+        for k, line in enumerate(body.split("\n")):
             word = line.rstrip(CLOSING)
             if not _is_word(word):
-                return self._plain([first + text])[0]
-            if not lead and out:
-                out.append(self._sign("\n"))
-            out.append(self.parts[word] if lead else self.piece(word))
+                return None
+            if k:
+                out += self._short("\n")
+                lead = ""
+            out += self._short(lead + word)
             if len(word) < len(line):
-                out.append(self._sign(line[len(word):]))
-            lead = ""
-        return b"".join(out)
-
-    def _sign(self, text: str) -> bytes:
-        told = self.signs.get(text)
-        if told is None:
-            told = self.piece(text)
-            if len(self.signs) < 1 << 14:
-                self.signs[text] = told
-        return told
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        parts = text.split(" ")
-        if len(self.parts) > self.max_pieces:
-            self.parts = _Parts(self)
-        head = parts[0]
-        if not (head and _edge_safe(head[0]) and _edge_safe(head[-1])):
-            return self._encode_uneven(parts)
-        del parts[0]
-        try:
-            return self.joined(head, "") + b"".join(map(self.parts.__getitem__, parts))
-        except _Uneven:
-            return self._encode_uneven([head, *parts])
-
-    def _encode_uneven(self, parts: list[str]) -> bytes:
-        """Parts with white space at an edge, empty or long ones: these are joined to
-        their neighbours, up to the next safe cut."""
-        waiting, run = [], parts[0]
-        for before, part in zip(parts, parts[1:], strict=False):
-            if before and part and _edge_safe(before[-1]) and _edge_safe(part[0]):
-                waiting.append(run)
-                run = " " + part
-            else:
-                run += " " + part
-        waiting.append(run)
-        known = self.parts
-        new = list({w for w in waiting if w[:1] != " " or w[1:] not in known})
-        told = dict(zip(new, self._plain(new), strict=True))
-        return b"".join([told[w] if w in told else known[w[1:]] for w in waiting])
+                out += self._short(line[len(word):])
+        return out
+
+    # -- a batch ---------------------------------------------------------------------
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts as unsigned 32-bit integers."""
+        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        ends = np.cumsum([len(d) for d in data])
+        starts = ends - [len(d) for d in data]
+        blob = b"".join(data)
+        if not blob:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        if len(self.keys) > self.max_segments:
+            self.clear()
+        raw = np.frombuffer(blob, np.uint8)
+        at = segments(raw, starts, ends)
+        stop = np.append(at[1:], len(raw))
+        size = (stop - at).astype(np.uint64)
+        hashes = []
+        for base in BASES:
+            power, back = powers(base, 1 << max(16, (len(raw) - 1).bit_length()))
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:len(raw)], out=sums[1:])
+            hashes.append(mix64((sums[stop] - sums[at]) * back[at] + size))
+        key, check = hashes[0], (hashes[1] >> np.uint64(32)).astype(np.uint32)
+        known, first, each = np.unique(key, return_index=True, return_inverse=True)
+        if (check[first][each] != check).any():  # two segments of one hash in a batch
+            return [np.array(i, np.uint32) for i in self.plain([t or "" for t in texts])]
+        start, count = self._look_up(known, check[first], at[first], stop[first], blob)
+        count = count[each]
+        upto = np.cumsum(count)
+        ids = self.pool.data[np.repeat(start[each] - upto + count, count) + np.arange(upto[-1])]
+        # Ids before each text: those of the segments before its first.
+        before = np.concatenate([[0], upto])
+        edge = np.searchsorted(at, np.append(starts, len(raw)))
+        return [ids[before[i]:before[j]] for i, j in zip(edge[:-1], edge[1:], strict=True)]
+
+    def _look_up(self, key, check, at, stop, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of ids in the pool of distinct segments in hash order; new
+        ones are encoded and added."""
+        place = np.searchsorted(self.keys, key)
+        there = np.zeros(len(key), bool)
+        inside = place < len(self.keys)
+        there[inside] = self.keys[place[inside]] == key[inside]
+        same = there.copy()
+        same[there] = self.checks[place[there]] == check[there]
+        start, count = np.zeros(len(key), np.int64), np.zeros(len(key), np.int32)
+        start[same], count[same] = self.starts[place[same]], self.counts[place[same]]
+        new = np.flatnonzero(~same)
+        if len(new):
+            texts = [blob[i:j].decode("utf-8", "surrogatepass")
+                     for i, j in zip(at[new].tolist(), stop[new].tolist(), strict=True)]
+            told = [self._segment(t) for t in texts]
+            rest = [k for k, t in enumerate(told) if t is None]
+            for k, ids in zip(rest, self.plain([texts[k] for k in rest]), strict=True):
+                told[k] = ids
+            count[new] = [len(t) for t in told]
+            start[new] = self.pool.n + np.cumsum(count[new]) - count[new]
+            self.pool.extend([i for t in told for i in t])
+            add = np.flatnonzero(~there)
+            self.keys = np.insert(self.keys, place[add], key[add])
+            self.checks = np.insert(self.checks, place[add], check[add])
+            self.starts = np.insert(self.starts, place[add], start[add])
+            self.counts = np.insert(self.counts, place[add], count[add])
+        return start, count
+
+    def rows(self, rows: Iterable[tuple[object, str | None]]) -> Iterator[tuple[object, np.ndarray]]:
+        """(key, ids) of (key, text) rows, encoded a bounded batch at a time."""
+        keys, texts, size = [], [], 0
+        for key, text in rows:
+            keys.append(key)
+            texts.append(text)
+            size += len(text or "")
+            if size >= BATCH_CHARS:
+                yield from zip(keys, self.encode_many(texts), strict=True)
+                keys, texts, size = [], [], 0
+        if keys:
+            yield from zip(keys, self.encode_many(texts), strict=True)
 
 
 @functools.cache
