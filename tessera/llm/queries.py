@@ -216,7 +216,25 @@ def packed(docs: DataFrame) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                             lambda x: x <> '') AS ws FROM documents),
+word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM split),
+win AS (
+  SELECT doc_id, i, md5(string_agg(w, ' ') OVER f) AS h, count(*) OVER f AS n
+  FROM word WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+again AS (
+  SELECT doc_id, i FROM win WHERE n = 20
+  QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM again),
+kept AS (
+  SELECT word.doc_id, count(gone.i) AS n_removed,
+         string_agg(w, ' ' ORDER BY word.i) FILTER (WHERE gone.i IS NULL) AS t
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY word.doc_id)
+SELECT s.doc_id, len(s.ws) AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id""")
 def substring_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of 20 words and more."""
     told = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20,

@@ -94,3 +94,40 @@ def test_members_across_reads(monkeypatch):
     assert gzip.decompress(file.getvalue()) == b"".join(data)
     with pytest.raises(ValueError, match="ends inside"):
         list(warc.members_of(io.BytesIO(warc.gzipped(b"x" * 5000)[:-9])))
+
+
+# The digest in SQL. It is a test and no registered twin: clients read a column of whole
+# numbers that is null in every row in different types.
+DIGEST_SQL = r"""
+WITH raw AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hex AS (SELECT *, sha1(body) AS h, strlen(body) AS n, max(page_id) OVER (PARTITION BY body) AS holder FROM raw),
+bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
+    substr('0000000100100011010001010110011110001001101010111100110111101111',
+           4 * (instr('0123456789abcdef', substr(h, i, 1)) - 1) + 1, 4)), '') AS b FROM hex)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    list_sum(list_transform(range(1, 6), lambda j:
+      CAST(substr(b, 5 * i + j, 1) AS INTEGER) * CAST(2 ** (5 - j) AS INTEGER))) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM bits"""
+
+
+def test_query_matches_sql(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm.queries import QUERIES
+    rows = [r for r in ROWS[:9] if r[0] is not None]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(
+        f"{tmp_path}/pages.parquet")
+    told = QUERIES["op10_warc_segments"](spark, str(tmp_path))
+    cols = sorted(told.columns)
+    con = duckdb.connect()
+    for folder in (f"{tmp_path}/pages.parquet/*.parquet", "/root/testdata/sf0.01/pages.parquet"):
+        con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{folder}'")
+        if "testdata" in folder:
+            told = QUERIES["op10_warc_segments"](spark, "/root/testdata/sf0.01")
+        want = con.execute(f"SELECT {', '.join(cols)} FROM ({DIGEST_SQL})").fetchall()
+        assert sorted((tuple(r[c] for c in cols) for r in told.collect()), key=repr) == sorted(
+            want, key=repr)
