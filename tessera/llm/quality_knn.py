@@ -3,7 +3,8 @@
 Features of a whole text: counts of hashed words, of hashed word shapes (runs of upper
 case, lower case, digits, each other sign kept) and of shape pairs, each with the usual
 1 + log weighting, plus how much of the text repeats itself. Latent vectors come from a
-truncated singular value decomposition of the labelled rows' weighted feature matrix.
+truncated singular value decomposition (by subspace iteration) of the labelled rows'
+weighted feature matrix.
 
 The labelled rows are a bounded sample: the ``max_labelled`` rows with the least hash
 of their key. Tasks reduce their whole texts to sparse feature rows; the driver gets
@@ -34,7 +35,9 @@ WORDS, SHAPES, PAIRS, REPEATS = 2048, 512, 1024, 16
 FEATURES = WORDS + SHAPES + PAIRS + REPEATS
 MAX_LABELLED, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 64, 25, 4.0
 BLOCK = 256
-VOCABULARY = 400_000
+#: Of the subspace iteration: spare dimensions, rounds and the seed of its start.
+EXTRA, ROUNDS, SEED = 16, 6, 7
+VOCABULARY = 250_000
 #: Weight of each group of features after it is scaled to length one.
 WEIGHTS = (1.0, 2.0, 2.0, 1.5)
 
@@ -206,11 +209,15 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     idf = (np.log((n + 1) / ((x > 0).sum(axis=0) + 1)) + 0.5).astype(np.float32)
     idf[-REPEATS:] = 1
     x *= idf
-    # Right singular vectors of x, through the smaller of its two Gram matrices.
+    # Leading right singular vectors of x by subspace iteration: memory stays at a few
+    # times x, whatever the number of features.
     size = min(dimensions, FEATURES, n)
-    gram = x.T @ x
-    value, vector = np.linalg.eigh(gram.astype(np.float64))
-    projection = np.ascontiguousarray(vector[:, ::-1][:, :size], np.float32)
+    basis = np.random.default_rng(SEED).standard_normal(
+        (FEATURES, min(FEATURES, size + EXTRA))).astype(np.float32)
+    for _ in range(ROUNDS):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    turn = np.linalg.svd(x @ basis, full_matrices=False)[2]
+    projection = np.ascontiguousarray(basis @ turn[:size].T, np.float32)
     vectors = np.ascontiguousarray(_unit(x @ projection).T)
     return Model(idf, projection, vectors, y, float(y.mean()), neighbours, sharpness)
 
