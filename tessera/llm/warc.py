@@ -30,7 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, new_folder, open_file, texts_in, write_file
+from tessera.llm.common import (
+    arrow_schema,
+    new_folder,
+    open_file,
+    probable_set,
+    texts_in,
+    with_probable,
+    write_file,
+)
 from tessera.session import materialize
 
 SEGMENT_BYTES = 64 << 10
@@ -118,24 +126,31 @@ def response_records(fields: dict, block: bytes, segment_bytes: int) -> Iterator
 
 def plan_records(pages: DataFrame, key: str = "page_id", payload: str = "html",
                  url: str | None = "url", revisit_bytes: int = 0) -> DataFrame:
-    """key, url, payload (null for a revisit), length, sha1, refers_to.
+    """key, url, payload (null for a revisit), length, sha1, refers_to, revisit.
 
-    Only digests are exchanged to find equal payloads; the pages then meet the
-    digests that occur more than once (one small row for each)."""
+    Only digests are exchanged to find equal payloads. The digests that occur more than
+    once are a written table; a page whose digest is certainly not among them, by a
+    bounded set of hashes, stays in its partition, the others meet the table."""
     data = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(key).cast("long").alias("key"),
         (F.col(url) if url else F.lit(None)).cast("string").alias("url"), data.alias("payload"))
     rows = rows.withColumns({"length": F.octet_length("payload").cast("long"),
                              "digest": F.sha2("payload", 256)})
-    equal = (rows.where(F.col("length") >= revisit_bytes).groupBy("digest")
-             .agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("holder"))
-             .where("n > 1").select("digest", "holder", F.lit(True).alias("shared")))
+    equal = materialize(
+        rows.where(F.col("length") >= revisit_bytes).groupBy("digest")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("holder"))
+            .where("n > 1").select("digest", "holder"), "warc-equal")
+    marked = with_probable(rows, probable_set(equal, "digest"), "digest")
+    sure = marked.where("NOT _probable").withColumns(
+        {"holder": F.col("key"), "shared": F.lit(False)})
+    doubtful = marked.where("_probable").join(
+        equal.withColumn("shared", F.lit(True)), "digest", "left")
     again = F.coalesce("shared", F.lit(False)) & ~F.col("key").eqNullSafe(F.col("holder"))
-    return rows.join(equal, "digest", "left").select(
-        "key", "url", F.when(~again, F.col("payload")).alias("payload"), "length",
-        F.when(again, F.sha1("payload")).alias("sha1"),
-        F.when(again, F.col("holder")).alias("refers_to"), again.alias("revisit"))
+    return sure.unionByName(doubtful).withColumn("revisit", again).select(
+        "key", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "length",
+        F.when(F.col("revisit"), F.sha1("payload")).alias("sha1"),
+        F.when(F.col("revisit"), F.col("holder")).alias("refers_to"), "revisit")
 
 
 def write(pages: DataFrame, key: str = "page_id", payload: str = "html",
