@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.numbers import exact_sum, safe_ratio
+from ..functions.numbers import exact_sum, exact_sum0, safe_ratio  # noqa: F401  (users sum with these)
 from .slicing import metric_column
 
 # Derived metrics by metric key: signed terms, or numerator and denominator.
