@@ -1,7 +1,12 @@
 """Sequence packing by lexical retrieval.
 
-Documents are encoded once (ids plus an end id) and dealt at random into shards of about
-``shard_ids`` ids. A shard holds a BM25 inverted index of its documents: terms are token
+Documents are encoded once (ids plus an end id) and dealt by content into shards of at
+most about ``shard_ids`` ids: a binary tree of two-means splits over hashed sums of the ids'
+squared idf, learned from a bounded sample of all documents, gives leaves in an order in which like
+stands by like; small leaves next to each other share a shard, only a leaf that is too large
+is dealt by hash over several. A seed does not meet the documents of other shards, so its
+neighbours are those of all documents as far as the tree keeps them together (measured in
+the README). A shard holds a BM25 inverted index of its documents: terms are token
 ids, document frequencies and mean length are counted over **all** documents. A whole
 window of a document is a sequence by itself. What is left of a document at its end is
 placed by retrieval: the longest unplaced rest is a seed, its strongest
@@ -27,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.common import arrow_schema, texts_in
+from tessera.llm.common import arrow_schema, mix64, texts_in
 from tessera.session import materialize
 
 SIZE, SHARD_IDS, QUERY_TERMS, CANDIDATES = 1024, 1 << 20, 24, 32
 K1, B = 1.2, 0.75
+#: Width of a document's sketch; sampled documents per shard, at least and at most.
+SKETCH, SAMPLE_EACH, SAMPLE_MIN, SAMPLE_MAX = 256, 32, 4096, 1 << 17
 
 
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
@@ -82,6 +89,146 @@ def ids_of(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
+class Sketcher:
+    """Signed hashed sums of the squared idf of a document's ids, square-rooted, of length one."""
+
+    def __init__(self, idf: np.ndarray) -> None:
+        h = mix64(np.arange(1, len(idf) + 1))
+        self.slot = (h % np.uint64(SKETCH)).astype(np.int64)
+        self.weight = np.where(h >> np.uint64(63), idf, -idf) * idf
+
+    def __call__(self, docs: list[np.ndarray]) -> np.ndarray:
+        ids = np.concatenate(docs)
+        at = np.repeat(np.arange(len(docs)) * SKETCH, [len(d) for d in docs]) + self.slot[ids]
+        x = np.bincount(at, self.weight[ids], len(docs) * SKETCH).reshape(-1, SKETCH)
+        x = (np.sign(x) * np.sqrt(np.abs(x))).astype(np.float32)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def _split(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """Axis, bound and the rows beyond it of two clusters; None if all rows are alike."""
+    own = x - x.mean(axis=0)
+    away = np.einsum("ij,ij->i", own, own)
+    if len(x) < 2 or away.max() < 1e-6:
+        return None
+    axis = own[np.argmax(away)]
+    for _ in range(6):
+        axis = (own @ axis) @ own
+        axis /= max(float(np.linalg.norm(axis)), 1e-12)
+    bound = float(x.mean(axis=0) @ axis)
+    beyond = x @ axis > bound
+    for _ in range(6):
+        if beyond.all() or not beyond.any():
+            break
+        one, two = x[~beyond].mean(axis=0), x[beyond].mean(axis=0)
+        axis, bound = two - one, float(two @ two - one @ one) / 2
+        beyond = x @ axis > bound
+    # A few rows split from many would make a deep tree: half goes to each side then.
+    if min(beyond.sum(), (~beyond).sum()) * 32 < len(x):
+        bound = float(np.median(x @ axis))
+        beyond = x @ axis > bound
+    return None if beyond.all() or not beyond.any() else (axis, bound, beyond)
+
+
+class Tree:
+    """Two-means splits until a leaf stands for ``limit`` ids; leaves count from left to right."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, limit: float) -> None:
+        axes, bounds, children, self.leaves = [], [], [], 0
+        waiting = [(np.arange(len(x)), -1, 0)]
+        while waiting:
+            rows, parent, side = waiting.pop()
+            cut = _split(x[rows]) if ids[rows].sum() > limit else None
+            if cut is None:
+                place, self.leaves = -1 - self.leaves, self.leaves + 1
+            else:
+                place = len(axes)
+                axes.append(cut[0])
+                bounds.append(cut[1])
+                children.append([0, 0])
+                waiting += [(rows[cut[2]], place, 1), (rows[~cut[2]], place, 0)]
+            if parent >= 0:
+                children[parent][side] = place
+        self.axes = np.array(axes, np.float32).reshape(-1, x.shape[1])
+        self.bounds = np.array(bounds, np.float32)
+        self.children = np.array(children, np.int64).reshape(-1, 2)
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        at = np.full(len(x), 0 if len(self.axes) else -1)
+        while len(live := np.flatnonzero(at >= 0)):
+            node = at[live]
+            beyond = np.einsum("ij,ij->i", x[live], self.axes[node]) > self.bounds[node]
+            at[live] = self.children[node, beyond.astype(np.int64)]
+        return -1 - at
+
+
+def _groups(ids: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of each leaf: neighbours share one while it has room."""
+    first, parts, shard, held = [], [], 0, 0
+    for n in ids.tolist():
+        if held and held + n > limit:
+            shard, held = shard + 1, 0
+        first.append(shard)
+        parts.append(max(1, -(-n // limit)))
+        held += n
+        if parts[-1] > 1:
+            shard, held = shard + parts[-1], 0
+    return np.array(first, np.int64), np.array(parts, np.int64)
+
+
+def deal(coded: DataFrame, idf: np.ndarray, rows: int, total: int, shard_ids: int) -> DataFrame:
+    """The documents with their ``shard``: like documents share one."""
+    shards = -(-total // shard_ids)
+    if shards <= 1:
+        return coded.withColumn("shard", F.lit(0).cast("long"))
+    context = coded.sparkSession.sparkContext
+    sketcher = context.broadcast(Sketcher(idf))
+
+    def sketched(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield part, sketcher.value([ids_of(d, n) for d, n in zip(
+                    part.column("ids").to_pylist(), part.column("n").to_pylist(), strict=True)])
+
+    def sample(batches):
+        for part, x in sketched(batches):
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in ("part", "row", "n")),
+                 pa.array([r.tobytes() for r in x], pa.binary())], names=["part", "row", "n", "x"])
+
+    every = max(1, rows // min(max(SAMPLE_EACH * shards, SAMPLE_MIN), SAMPLE_MAX))
+    seen = coded.where(F.pmod(F.xxhash64("part", "row"), F.lit(every)) == 0).mapInArrow(
+        sample, "part int, row long, n long, x binary").toArrow()
+    seen = seen.sort_by([("part", "ascending"), ("row", "ascending")])
+    x = np.frombuffer(b"".join(seen.column("x").to_pylist()), np.float32).reshape(-1, SKETCH)
+    n = seen.column("n").to_numpy().astype(np.float64)
+    tree = context.broadcast(Tree(x, n * (total / max(n.sum(), 1)), shard_ids / 2))
+
+    def count(batches):
+        ids = np.zeros(tree.value.leaves, np.int64)
+        for part, x in sketched(batches):
+            np.add.at(ids, tree.value.leaf(x), part.column("n").to_numpy())
+        hit = np.flatnonzero(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(ids[hit])], names=["leaf", "n"])
+
+    counted = coded.mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    found, ids = counted.toArrow(), np.zeros(tree.value.leaves, np.int64)
+    ids[found.column("leaf").to_numpy()] = found.column("n").to_numpy()
+    first, parts = _groups(ids, shard_ids)
+
+    def route(batches):
+        for part, x in sketched(batches):
+            leaf = tree.value.leaf(x)
+            place = (part.column("part").to_numpy().astype(np.uint64) << np.uint64(40)) \
+                + part.column("row").to_numpy().astype(np.uint64)
+            shard = first[leaf] + (mix64(mix64(place)) % parts[leaf].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shard)],
+                                             names=[*part.schema.names, "shard"])
+
+    return coded.mapInArrow(route, "key long, part int, row long, n long, ids binary, shard long")
+
+
 class Index:
     """BM25 postings of a shard's documents; scores are added up term by term."""
 
@@ -217,6 +364,5 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                         | tell(ids[d][start:start + n]))
         return pa.Table.from_pylist(made, schema=out)
 
-    shards = max(1, -(-total // shard_ids))
-    dealt = coded.withColumn("shard", F.pmod(F.xxhash64("part", "row"), F.lit(shards)))
+    dealt = deal(coded, idf, rows, total, shard_ids)
     return dealt.groupBy("shard").applyInArrow(run, ddl)

@@ -177,3 +177,39 @@ def test_scores_are_bm25_and_neighbours_share_words():
     for d, _, _, s, _ in pieces:
         by_sequence[s].add(d % 2)
     assert all(len(x) == 1 for x in by_sequence.values()) and len(by_sequence) == 8
+
+
+def test_like_documents_share_a_shard(spark):
+    """Eight topics in shards of about one topic: retrieval meets its own topic, not a random slice."""
+    rng = random.Random(5)
+    topics = [["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+               for _ in range(60)] for _ in range(8)]
+    rows = [(i, " ".join(rng.choices(topics[i % 8], k=60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pieces = packing.pack(docs, tokenizer_path(), size=128, shard_ids=16_000).collect()
+    check_pieces(pieces, 128)
+    shards, sizes = defaultdict(Counter), Counter()
+    for p in pieces:
+        shards[p.sequence_id >> 32][p.key % 8] += p.length
+        sizes[p.sequence_id >> 32] += p.length
+    assert len(sizes) >= 4 and max(sizes.values()) <= 16_000
+    mixed = defaultdict(set)
+    for p in pieces:
+        mixed[p.sequence_id].add(p.key % 8)
+    assert np.mean([len(m) == 1 for m in mixed.values()]) > 0.9
+    best = Counter()
+    for counts in shards.values():
+        for topic, n in counts.items():
+            best[topic] = max(best[topic], n)
+    assert sum(best.values()) > 0.8 * sum(sizes.values())
+
+
+def test_equal_documents_fill_shards_of_bounded_size(spark):
+    docs = spark.createDataFrame([(i, "one and the same text " * 8) for i in range(600)],
+                                 "doc_id long, text string")
+    pieces = packing.pack(docs, tokenizer_path(), size=64, shard_ids=3000).collect()
+    check_pieces(pieces, 64)
+    sizes = Counter()
+    for p in pieces:
+        sizes[p.sequence_id >> 32] += p.length
+    assert max(sizes.values()) < 6000 and len(sizes) >= sum(sizes.values()) // 6000
