@@ -4,17 +4,20 @@ A text becomes a sequence of template tokens: numbers, units and names turn into
 typed placeholders, every other word into its lower-case form without punctuation.
 A name is a word with one capital at its front that does not begin a sentence.
 Windows of ``window`` template tokens of the benchmark form a hash table
-(window -> item and place) that documents probe with every window of their whole text.
+(window -> item and place) that documents probe with every window of their whole text. A second table holds the windows' raw values (words without case,
+figures, names and units as they stand).
 
 Hits on one diagonal of (document, item) are looked at together. Their slots must be
 consistent: over the alignment, one value of the item stands for one value of the document
 and the other way round. Windows with a slot that breaks the mapping are discarded.
 What remains must make up a run of at least ``min_run`` tokens (or the whole item,
 if shorter), or ``min_cover`` of the item. Such a document holds the item, verbatim
-or with other numbers, names and units.
+or with other numbers, names and units. Of the ways to read an alignment (plain
+template, all windows, raw values alone) the best one counts.
 
-Only windows with at least ``min_literal`` words that are not placeholders are used,
-so a list of names or figures matches nothing. Items with fewer than ``window``
+Only template windows with at least ``min_literal`` words that are not placeholders are
+used, so a list of other names or figures matches nothing; windows of raw values need no
+such words, so a verbatim list does. Items with fewer than ``window``
 tokens use windows of their own length, down to ``min_literal`` tokens; shorter items
 cannot be told from chance and match nothing.
 
@@ -112,8 +115,9 @@ class Vocabulary:
                               (self.hash, hashes), (self.kind, kinds)):
             array.extend(values)
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Value hash and kind of every token of a text."""
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Value hash of every token of a text, and its kind with the words that open a
+        sentence as literals, and as names."""
         words = text.split() if text else []
         if len(self.ids) > self.size:
             self.clear()
@@ -125,29 +129,33 @@ class Vocabulary:
         n = self.count.data[ids]
         total = int(n.sum())
         if not total:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int8)
         begin = np.cumsum(n) - n
         place = np.repeat(self.first.data[ids] - begin, n) + np.arange(total)
-        out = self.kind.data[place]
+        named = self.kind.data[place]
+        out = named.copy()
         # The first token after a word that ends a sentence is no name.
         opening = np.concatenate([[True], self.ends.data[ids[:-1]]]) & (n > 0)
         at = begin[opening]
         out[at[out[at] == NAME]] = LITERAL
-        return self.hash.data[place], out
+        return self.hash.data[place], out, named
 
 
-def template(value: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Hash of each template token: the word itself, or its placeholder."""
-    return np.where(kind == LITERAL, mix64(value), mix64(kind.astype(np.uint64)))
+PLACEHOLDERS = mix64(np.arange(4, dtype=np.uint64))
+PLAIN, NAMED, RAW = 0, 1, 2
 
 
-def window_hashes(value: np.ndarray, kind: np.ndarray, size: int, min_literal: int):
-    """Places and hashes of the windows that may be matched."""
-    hashes = rolling(template(value, kind), size, BASE)
-    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    enough = np.flatnonzero(literal[size:] - literal[:-size] >= min(size, min_literal)) \
-        if len(hashes) else np.zeros(0, np.int64)
-    return enough, mix64(hashes[enough])
+def window_hashes(value: np.ndarray, kinds: tuple, size: int, min_literal: int):
+    """Form, places and hashes of the windows that may be matched; raw values need no literals."""
+    if len(value) < size:
+        return
+    words = mix64(value)
+    for form, kind in enumerate(kinds[:1]):
+        hashes = rolling(np.where(kind == LITERAL, words, PLACEHOLDERS[kind]), size, BASE)
+        literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+        enough = np.flatnonzero(literal[size:] - literal[:-size] >= min(size, min_literal))
+        yield form, enough, hashes[enough]
+    yield RAW, np.arange(len(value) - size + 1), rolling(words, size, BASE)
 
 
 @dataclass(frozen=True)
@@ -158,65 +166,96 @@ class Settings:
     min_cover: float = MIN_COVER
 
 
+class Windows:
+    """Hashes of windows to items and places; a table of hash bits tells most of the others."""
+
+    def __init__(self, hashes: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        self.keys, self.start, self.n = np.unique(hashes[order], return_index=True,
+                                                  return_counts=True)
+        self.item, self.place = item[order], place[order]
+        self.shift = np.uint64(64 - min(max(12, (16 * len(self.keys)).bit_length()), 26))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[self.keys >> self.shift] = True
+
+    def find(self, at: np.ndarray, hashes: np.ndarray):
+        """Item, its place and the document's place of every hit."""
+        maybe = np.flatnonzero(self.seen[hashes >> self.shift])
+        if not len(maybe):
+            return None
+        at, hashes = at[maybe], hashes[maybe]
+        k = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[k] == hashes)
+        if not len(hit):
+            return None
+        many = self.n[k[hit]]
+        entry = np.repeat(self.start[k[hit]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return self.item[entry], self.place[entry], np.repeat(at[hit], many)
+
+
 class Table:
-    """Template windows of a block of benchmark items."""
+    """Windows of a block of benchmark items, by their size and form."""
 
     def __init__(self, items: list[tuple[int | None, str]], settings: Settings) -> None:
         self.settings = settings
         vocabulary = Vocabulary()
         self.ids = [i for i, _ in items]
-        self.values, self.kinds, self.sizes = [], [], []
-        by_size: dict[int, list] = {}
+        self.values, self.kinds = [], []
+        parts: dict[tuple[int, int], list] = {}
         for n, (_, text) in enumerate(items):
-            value, kind = vocabulary.tokens(text)
+            value, *kinds = vocabulary.tokens(text)
             size = min(settings.window, len(value))
             self.values.append(value)
-            self.kinds.append(kind)
+            self.kinds.append(kinds)
             if size < settings.min_literal:
                 continue
-            place, hashes = window_hashes(value, kind, size, settings.min_literal)
-            by_size.setdefault(size, []).append((hashes, np.full(len(place), n), place))
-        self.by_size = {}
-        for size, parts in by_size.items():
-            hashes, item, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.argsort(hashes, kind="stable")
-            keys, start, n = np.unique(hashes[order], return_index=True, return_counts=True)
-            self.by_size[size] = (keys, start, n, item[order], place[order])
-
-    def matches(self, value: np.ndarray, kind: np.ndarray) -> list[tuple[int, int, float]]:
+            for form, place, hashes in window_hashes(value, kinds, size, settings.min_literal):
+                if len(place):
+                    parts.setdefault((size, form), []).append(
+                        (hashes, np.full(len(place), n), place))
+        self.by_size: dict[int, dict[int, Windows]] = {}
+        for (size, form), found in parts.items():
+            self.by_size.setdefault(size, {})[form] = Windows(
+                *(np.concatenate(c) for c in zip(*found, strict=True)))
+
+    def matches(self, value: np.ndarray, *kinds: np.ndarray) -> list[tuple[int, int, float]]:
         """(item, longest run, share of the item) of each item that the document holds."""
         found: dict[int, tuple[int, float]] = {}
-        for size, (keys, start, n, item, place) in self.by_size.items():
-            at, hashes = window_hashes(value, kind, size, self.settings.min_literal)
-            if not len(at) or not len(keys):
+        for size, tables in self.by_size.items():
+            hits = []
+            for form, at, hashes in window_hashes(value, kinds, size, self.settings.min_literal):
+                hit = tables[form].find(at, hashes) if form in tables else None
+                if hit:
+                    hits.append((*hit, np.full(len(hit[0]), form)))
+            if not hits:
                 continue
-            k = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            hit = np.flatnonzero(keys[k] == hashes)
-            if not len(hit):
-                continue
-            many = n[k[hit]]
-            entry = np.repeat(start[k[hit]] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            doc_at = np.repeat(at[hit], many)
-            items, places = item[entry], place[entry]
+            items, places, doc_at, forms = (np.concatenate(c) for c in zip(*hits, strict=True))
             order = np.lexsort((places, doc_at - places, items))
-            items, places, doc_at = items[order], places[order], doc_at[order]
+            items, places, doc_at, forms = (c[order] for c in (items, places, doc_at, forms))
             diagonal = doc_at - places
             edge = np.flatnonzero((np.diff(items, prepend=-1) != 0)
                                   | (np.diff(diagonal, prepend=diagonal[0] - 1) != 0))
             for i, j in zip(edge, np.append(edge[1:], len(items)), strict=True):
-                told = self._aligned(int(items[i]), places[i:j], int(diagonal[i]), size,
-                                     value, kind)
+                told = self._aligned(int(items[i]), places[i:j], forms[i:j], int(diagonal[i]),
+                                     size, value)
                 if told and told > found.get(int(items[i]), (0, 0.0)):
                     found[int(items[i])] = told
         return [(i, *found[i]) for i in sorted(found)]
 
-    def _aligned(self, item, places, diagonal, size, value, kind):
-        """Longest run and cover of one alignment, or None if they do not suffice."""
-        own, own_kind = self.values[item], self.kinds[item]
+    def _aligned(self, item, places, forms, diagonal, size, value):
+        """Longest run and cover of the best reading of an alignment, or None if none suffices."""
+        own, (plain, named) = self.values[item], self.kinds[item]
+        readings = [(places[forms == PLAIN], plain), (places, named), (places[forms == RAW], None)]
+        told = [self._reading(own, kind, some, diagonal, size, value)
+                for some, kind in readings if len(some)]
+        return max((t for t in told if t), default=None)
+
+    def _reading(self, own, own_kind, places, diagonal, size, value):
         covered = np.zeros(len(own), bool)
         for p in places:
             covered[p:p + size] = True
-        slots = np.flatnonzero(covered & (own_kind != LITERAL))
+        # Raw values stand for themselves.
+        slots = np.flatnonzero(covered & (own_kind != LITERAL)) if own_kind is not None else places[:0]
         broken = np.zeros(len(own), bool)
         there: dict[tuple, int] = {}
         back: dict[tuple, int] = {}

@@ -163,6 +163,26 @@ def test_names_alone_match_nothing():
     assert not table.matches(*v.tokens("they saw Kim Lou Max Ned Oli Pat Quin Rob Sam and Tom at 7 km"))
 
 
+def told_of(item, text):
+    v = decontaminate.Vocabulary()
+    return decontaminate.Table([(1, item)], decontaminate.Settings()).matches(*v.tokens(text))
+
+
+DENSE = [
+    "Compute 3 + 4 * 5 - 6 / 2 + 8 * 9 - 1 when x = 7 and y = 2",
+    "On 12 May 1998 Anna Berg paid 340 dollars to Carl Holm in Oslo and on 3 June 1999 Carl Holm "
+    "paid 120 dollars to Anna Berg",
+    "What is 7 times 8?",
+]
+
+
+@pytest.mark.parametrize("item", DENSE)
+def test_verbatim_copies_of_dense_items(item):
+    for copy in (item, item.lower(), item.upper()):
+        assert told_of(item, f"some words of another text. {copy} and more of it")
+    assert not told_of(item, "On 3 July 2001 Kim Lund paid 77 cents. Compute 1 + 2. What is 6 plus 9?")
+
+
 def test_blocks_give_the_same_result(spark):
     texts = [t for _, t in ITEMS if t]
     one = found(spark, texts)
