@@ -2,9 +2,11 @@
 
 A text becomes a sequence of template tokens: numbers, units and names turn into
 typed placeholders, every other word into its lower-case form without punctuation.
-A name is a word with one capital at its front that does not begin a sentence.
+A name is a word with one capital at its front that does not begin a sentence; a second
+form of each text takes such words for names at the front of a sentence too.
 Windows of ``window`` template tokens of the benchmark form a hash table
-(window -> item and place) that documents probe with every window of their whole text. A second table holds the windows' raw values (words without case,
+(window -> item and place) that documents probe with every window of their whole text,
+each form its own. A third table holds the windows' raw values (words without case,
 figures, names and units as they stand).
 
 Hits on one diagonal of (document, item) are looked at together. Their slots must be
@@ -13,7 +15,7 @@ and the other way round. Windows with a slot that breaks the mapping are discard
 What remains must make up a run of at least ``min_run`` tokens (or the whole item,
 if shorter), or ``min_cover`` of the item. Such a document holds the item, verbatim
 or with other numbers, names and units. Of the ways to read an alignment (plain
-template, all windows, raw values alone) the best one counts.
+template, all windows with openers as names, raw values alone) the best one counts.
 
 Only template windows with at least ``min_literal`` words that are not placeholders are
 used, so a list of other names or figures matches nothing; windows of raw values need no
@@ -150,7 +152,7 @@ def window_hashes(value: np.ndarray, kinds: tuple, size: int, min_literal: int):
     if len(value) < size:
         return
     words = mix64(value)
-    for form, kind in enumerate(kinds[:1]):
+    for form, kind in enumerate(kinds):
         hashes = rolling(np.where(kind == LITERAL, words, PLACEHOLDERS[kind]), size, BASE)
         literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
         enough = np.flatnonzero(literal[size:] - literal[:-size] >= min(size, min_literal))

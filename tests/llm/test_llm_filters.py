@@ -183,6 +183,19 @@ def test_verbatim_copies_of_dense_items(item):
     assert not told_of(item, "On 3 July 2001 Kim Lund paid 77 cents. Compute 1 + 2. What is 6 plus 9?")
 
 
+TOM = ("Tom has 5 red apples. Mary has 3 green pears. Tom buys 2 more apples. How many apples does "
+       "Tom have now?")
+
+
+def test_names_that_open_sentences():
+    other = TOM.replace("Tom", "Ben").replace("Mary", "Ann").replace("5", "7").replace("3", "4")
+    assert told_of(TOM, f"it was so. {other} Nothing else was said.")
+    assert not told_of(TOM, "Tom has a car. Mary likes green tea. Now the pears are sold out again.")
+    german = ("Der Bauer fährt am Morgen mit dem Wagen in die Stadt und verkauft auf dem Markt "
+              "Äpfel, Birnen und Kartoffeln aus seinem Garten")
+    assert told_of(german, "und dann: " + german.lower())
+
+
 def test_blocks_give_the_same_result(spark):
     texts = [t for _, t in ITEMS if t]
     one = found(spark, texts)
