@@ -9,11 +9,12 @@ neighbours are those of all documents as far as the tree keeps them together (me
 the README). A shard holds a BM25 inverted index of its documents: terms are token
 ids, document frequencies and mean length are counted over **all** documents. A whole
 window of a document is a sequence by itself. What is left of a document at its end is
-placed by retrieval: the longest unplaced rest is a seed, its strongest
-``query_terms`` terms query the index, and the unplaced neighbours fill the seed's
-window in the order of their scores, first those that fit; the best one that
-does not fit is cut to close the window, and its rest stays in the index. Seeds without
-a neighbour take the next unplaced rest. So every sequence but the last of a
+placed by retrieval: the longest unplaced rest is a seed, all its terms (or its strongest
+``query_terms``) query the index, and the unplaced neighbours fill the seed's
+window in the order of their scores, ``candidates`` at a time and then twice as many: first
+those that fit; the best one that does not fit is cut to close the window, and its rest
+stays in the index. Only when no neighbour with a score is left does a window take the
+next unplaced rest. So every sequence but the last of a
 shard is full.
 
 Each id lies in exactly one piece. Empty and null texts are the end id alone. Rows with
@@ -35,10 +36,12 @@ from tessera.llm import tokens
 from tessera.llm.common import arrow_schema, mix64, texts_in
 from tessera.session import materialize
 
-SIZE, SHARD_IDS, QUERY_TERMS, CANDIDATES = 1024, 1 << 20, 24, 32
+SIZE, SHARD_IDS, QUERY_TERMS, CANDIDATES = 1024, 1 << 20, None, 32
 K1, B = 1.2, 0.75
 #: Width of a document's sketch; sampled documents per shard, at least and at most.
 SKETCH, SAMPLE_EACH, SAMPLE_MIN, SAMPLE_MAX = 256, 32, 4096, 1 << 17
+#: Terms of at least one document in so many are a row of weights over all documents.
+COMMON = 8
 
 
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
@@ -249,21 +252,32 @@ class Index:
         stop = np.append(start[1:], len(term))
         place = np.searchsorted(known, term)
         self.start, self.stop = start[place], stop[place]
+        wide = (stop - start) * COMMON >= len(docs)
+        self.line = np.where(wide, np.cumsum(wide) - 1, -1)[place]
+        self.lines = np.zeros((int(wide.sum()), len(docs)), np.float32)
+        held = self.line >= 0
+        self.lines[self.line[held], owner[held]] = weight[held]
 
-    def scores(self, doc: int, query_terms: int) -> np.ndarray:
+    def scores(self, doc: int, query_terms: int | None = None) -> np.ndarray:
         a, b = int(self.edge[doc]), int(self.edge[doc + 1])
         weight = self.weight[a:b]
-        if b - a > query_terms:
+        if query_terms is not None and b - a > query_terms:
             own = a + np.argpartition(-weight, query_terms - 1)[:query_terms]
         else:
             own = np.arange(a, b)
+        line = self.line[own]
+        own = own[line < 0]
         n = self.stop[own] - self.start[own]
         at = np.repeat(self.start[own] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        return np.bincount(self.posted[at], self.post_weight[at], minlength=len(self.edge) - 1)
+        rare = np.bincount(self.posted[at], self.post_weight[at], minlength=len(self.edge) - 1)
+        asked = np.zeros(len(self.lines), np.float32)
+        asked[line[line >= 0]] = 1
+        return rare + asked @ self.lines
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, size: int,
-               query_terms: int, candidates: int) -> list[tuple[int, int, int, int, int]]:
+               query_terms: int | None,
+               candidates: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece."""
     pieces, sequence = [], 0
     start = np.zeros(len(docs), np.int64)
@@ -298,19 +312,25 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, size: int,
             if fill < size:
                 score = index.scores(d, query_terms)
                 score[rest == 0] = 0
-                k = min(candidates, len(score))
-                near = np.argpartition(-score, k - 1)[:k]
-                near = near[score[near] > 0]
-                near = near[np.lexsort((near, -score[near]))].tolist()
-                for other in near:
-                    if rest[other] <= size - fill:
-                        place(other, rest[other])
-                        if fill == size:
-                            break
-                over = next((o for o in near if rest[o]), None)
-                if fill < size and over is not None:
-                    place(over, size - fill)
-                    again.append(over)
+                block = candidates
+                while fill < size:
+                    k = min(block, len(score))
+                    near = np.argpartition(-score, k - 1)[:k]
+                    near = near[score[near] > 0]
+                    if not len(near):
+                        break
+                    near = near[np.lexsort((near, -score[near]))]
+                    score[near], block = 0, 2 * block
+                    near = near.tolist()
+                    for other in near:
+                        if rest[other] <= size - fill:
+                            place(other, rest[other])
+                            if fill == size:
+                                break
+                    over = next((o for o in near if rest[o]), None)
+                    if fill < size and over is not None:
+                        place(over, size - fill)
+                        again.append(over)
                 ahead = seed
                 while fill < size and ahead < len(waiting):
                     other = waiting[ahead]
@@ -332,7 +352,7 @@ def crc32_of(ids: np.ndarray) -> dict:
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
          end_id: int | None = 0, size: int = SIZE, shard_ids: int = SHARD_IDS,
-         query_terms: int = QUERY_TERMS, candidates: int = CANDIDATES,
+         query_terms: int | None = QUERY_TERMS, candidates: int = CANDIDATES,
          tell: Callable[[np.ndarray], dict] | None = None,
          schema: str = "ids array<long>") -> DataFrame:
     """One row per piece: key, start, length, doc_tokens, sequence_id, offset, and what

@@ -213,3 +213,22 @@ def test_equal_documents_fill_shards_of_bounded_size(spark):
     for p in pieces:
         sizes[p.sequence_id >> 32] += p.length
     assert max(sizes.values()) < 6000 and len(sizes) >= sum(sizes.values()) // 6000
+
+
+def test_windows_are_filled_with_neighbours_beyond_the_first_candidates():
+    """Short documents of two topics: 64 of them fill a window, twice the first block."""
+    topics = [np.array([1 + k % 2, 10 + k % 2] * 2) for k in range(256)]
+    for candidates in (4, 32):
+        pieces = packing.pack_shard(topics, np.ones(50, np.float32), 4.0, 256, 24, candidates)
+        by_sequence = defaultdict(set)
+        for d, _, _, s, _ in pieces:
+            by_sequence[s].add(d % 2)
+        assert all(len(x) == 1 for x in by_sequence.values()) and len(by_sequence) == 4
+
+
+def test_a_query_holds_all_terms_of_a_document():
+    """Neighbours that share only the lighter terms have a score."""
+    docs = [np.arange(200), np.arange(150, 180), np.arange(300, 330)] + [np.arange(150, 200)] * 30
+    idf = np.linspace(5, 1, 400).astype(np.float32)
+    seen = packing.Index(docs, idf, 60.0).scores(0, packing.QUERY_TERMS)
+    assert seen[1] > 0 and seen[2] == 0 and (seen[3:] > 0).all()
