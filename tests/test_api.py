@@ -103,7 +103,7 @@ def test_report_tables_and_text(spark):
 
 def test_wind_fallback_uses_headers_seen(spark):
     """A parsed grid has every key as a column; P2 must follow the headers seen."""
-    from conftest import cells_df
+    from cells_util import cells_df
     from tessera.operators import grid as G
     from tessera.plans.views import wind_applied
     from tessera.sources import files as FS
@@ -125,7 +125,7 @@ def test_wind_fallback_uses_headers_seen(spark):
 
 def test_headers_seen_reach_every_operator(spark):
     """One quarter lacks the wind column, the other the whole metric: no zero totals."""
-    from conftest import cells_df
+    from cells_util import cells_df
     from tessera.operators import grid as G
     from tessera.operators import metrics as M
     from tessera.operators import reshape as RS

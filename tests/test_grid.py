@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import cells_df
+from cells_util import cells_df
 from tessera.operators import dims as D
 from tessera.operators import grid as G
 from tessera.operators import quality as Q
