@@ -177,6 +177,12 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def filesystem_path(uri: str):
+    """(file system, path in it) of a file's URI, as Spark names its input files."""
+    from urllib.parse import unquote
+    return _filesystem(unquote(uri))
+
+
 def write_file(folder: str, name: str, parts: Iterable[bytes]) -> int:
     """Write one file under the folder's URI, called inside a task.
 
