@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
+    conversation_trie,
     decontaminate,
     exact_dedup,
     hard_negatives,
@@ -25,6 +26,7 @@ from tessera.llm import (
     warc,
 )
 from tessera.llm.common import id_crc, table
+from tessera.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -269,3 +271,74 @@ def hard_negative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").withColumn("label", told)
     return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+#: Unsigned CRC-32 of a number's decimal text, byte by byte and bit by bit.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+      lambda t, i: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END)), 4294967295)"""
+
+
+@query("op12_conversation_trie", rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC_SQL} % 4 AS h, conv_id - conv_id % 20 AS base
+      FROM (SELECT DISTINCT conv_id FROM t)),
+u AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = base AND pos <= h
+  UNION ALL
+  SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+s AS (
+  SELECT conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY part, pos)
+                           FILTER (pos IS NOT NULL), []) AS s
+  FROM c LEFT JOIN u USING (conv_id) GROUP BY conv_id),
+p AS (SELECT conv_id, len(s) AS n, unnest(range(len(s) + 1)) AS depth, s FROM s),
+nodes AS (
+  SELECT list_slice(s, 1, depth) AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)
+                         FILTER (n = depth), '')) AS ends_sha256
+  FROM p GROUP BY node, depth),
+kids AS (SELECT list_slice(node, 1, depth - 1) AS node, count(*) AS n_children
+         FROM nodes WHERE depth > 0 GROUP BY 1),
+told AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN depth > 0 THEN (n_convs - 1) * len(list_filter(
+      regexp_split_to_array(node[-1].text, '{SEP_RE}+'), lambda x: x <> '')) ELSE 0 END AS saved
+  FROM nodes LEFT JOIN kids USING (node)),
+up AS (SELECT list_slice(node, 1, d) AS node, saved, n_children FROM (
+         SELECT node, saved, n_children, unnest(range(depth + 1)) AS d FROM told)),
+sums AS (SELECT node, sum(saved)::BIGINT AS saved_tokens,
+                count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY node)
+SELECT told.conv_id, told.depth, parent.conv_id AS parent_conv_id, told.n_convs, told.n_children,
+       n_leaves, saved_tokens, told.ends_sha256
+FROM told JOIN sums USING (node)
+LEFT JOIN nodes parent ON told.depth > 0 AND parent.depth = told.depth - 1
+                      AND parent.node = list_slice(told.node, 1, told.depth - 1)""")
+def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation begins with the first turns of the one that opens its score of ids."""
+    turns = conversation_trie.positions(table(spark, sf_dir, "conversations"))
+    members, rebuilt = shared_openings(turns)
+    return conversation_trie.trie(members, rebuilt)
+
+
+def shared_openings(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conversations, their turns) after the first h turns of conversation c - c % 20 have
+    taken the place of c's own first h; h is the CRC-32 of c's decimal text, modulo 4."""
+    members = materialize(turns.groupBy("conv_id").agg(F.max("pos").alias("n")).select(
+        "conv_id", "n", (id_crc("conv_id") % 4).alias("h"),
+        (F.col("conv_id") - F.col("conv_id") % 20).alias("base")), "trie-openings")
+    opening = turns.where("pos <= 3").withColumnRenamed("conv_id", "base")
+    heads = members.select("conv_id", "base", "h").join(opening, "base").where(
+        "pos <= h").select("conv_id", "pos", "a", "b", "words")
+    # Own turns move up where the opening is shorter than what it replaces.
+    bases = members.select(F.col("conv_id").alias("base"), F.col("n").alias("there"))
+    moved = members.join(bases, "base", "left").select(
+        "conv_id", (F.col("h") - F.least("h", F.coalesce("there", F.lit(0)))).alias("up"))
+    tails = (turns.where(F.col("pos") > id_crc("conv_id") % 4)
+             .join(moved.where("up > 0"), "conv_id", "left")
+             .select("conv_id", (F.col("pos") - F.coalesce("up", F.lit(0))).alias("pos"),
+                     "a", "b", "words"))
+    return members.select("conv_id"), heads.unionByName(tails)
