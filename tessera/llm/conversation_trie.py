@@ -84,11 +84,12 @@ def positions(conversations: DataFrame, key: str = "conv_id", turn: str = "turn"
               role: str = "role", text: str = "text") -> DataFrame:
     """One row per turn: conv_id, pos (from 1), a and b (its hashes), words."""
     said = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (role, text)]
-    rows = conversations.where(F.col(f"`{key}`").isNotNull()).select(
+    # Written before the ranges are sampled, so texts are read and hashed once.
+    rows = materialize(conversations.where(F.col(f"`{key}`").isNotNull()).select(
         F.col(f"`{key}`").cast("long").alias("conv_id"), F.col(f"`{turn}`").alias("turn"),
         said[0].alias("role"), F.xxhash64(*said).alias("a"),
         F.xxhash64(said[1], said[0], F.lit(1)).alias("b"),
-        F.regexp_count(said[1], F.lit(WORD)).cast("long").alias("words"))
+        F.regexp_count(said[1], F.lit(WORD)).cast("long").alias("words")), "trie-hashes")
     order = ["conv_id", F.col("turn").asc_nulls_first(), "role", "a", "b"]
     numbered = materialize(
         rows.repartitionByRange(_ranges(rows), *order).sortWithinPartitions(*order)
@@ -352,8 +353,8 @@ def trie(members: DataFrame, turns: DataFrame, width: int = WIDTH) -> DataFrame:
     under = _rollup(blocks.join(shares, "conv_id"), width,
                     "sum(other) AS other, sum(leaf) AS n_leaves")
     least = shares.select("conv_id", F.col("other").alias("least_other"))
-    told = (nodes.join(under.select("k1", "k2", "other", "n_leaves"), ["k1", "k2"])
-            .join(least, "conv_id"))
+    told = materialize(nodes.join(under.select("k1", "k2", "other", "n_leaves"), ["k1", "k2"])
+                       .join(least, "conv_id"), "trie-sums")
     parents = nodes.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"),
                            F.col("conv_id").alias("parent_conv_id"))
     # Children of the root meet one known row; only deeper nodes look their parent up.
