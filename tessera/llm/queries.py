@@ -22,6 +22,7 @@ from tessera.llm import (
     simhash,
     substring_dedup,
     token_planes,
+    toxicity,
     url_reputation,
     warc,
 )
@@ -342,3 +343,17 @@ def shared_openings(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
              .select("conv_id", (F.col("pos") - F.coalesce("up", F.lit(0))).alias("pos"),
                      "a", "b", "words"))
     return members.select("conv_id"), heads.unionByName(tails)
+
+
+@query("op11_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labels of rows whose key's CRC mod 4 is not 2; toxic from 0.3 on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = id_crc() % 4 == 2
+    labels = table(spark, sf_dir, "labels").where(~held).select(
+        "doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.where(~held), labels)
+    told = toxicity.judge(docs, model).withColumnRenamed("key", "doc_id")
+    return told.select("doc_id", held.alias("held_out"), "score",
+                       (F.col("score") >= 0.3).cast("int").alias("predicted"),
+                       F.size("found").alias("n_found"))
