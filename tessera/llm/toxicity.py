@@ -54,10 +54,12 @@ WINDOW = 6
 BASE = 0.1
 #: Entries of a worker's tables before they are emptied.
 MAX_WORDS, MAX_MOVES = 1_000_000, 400_000
-#: Weights that the fit is pulled towards: intercept, evidence, quoted evidence, evidence of
-#: misspelt terms, density.
-PRIOR = np.array([-2.2, 2.0, 0.3, 1.6, 1.0])
-PULL = np.array([0.05, 0.5, 1.0, 0.5, 1.0])
+#: Weights that the fit is pulled towards: intercept, evidence, quoted evidence, what
+#: misspelt terms alone would add, density. The fourth tells whether misspellings mislead.
+PRIOR = np.array([-2.5, 6.0, 0.5, 0.0, 1.0])
+PULL = np.array([0.05, 0.1, 0.5, 0.5, 1.0])
+#: Evidence of which two thirds count in full; share that one edit leaves.
+FULL, EDIT = 6.0, 0.85
 
 # Fixed values.
 QUOTES_OPEN = "\"'`“„«‹‘‚「『"
@@ -237,7 +239,7 @@ class Matcher(dict):
                  + 0.25 * any(w.endswith("!") for w in (words[at], *after))
                  + 0.5 * any(told[i] for i in range(max(0, at - WINDOW), min(len(words), at + WINDOW + 1))
                              if i != at))
-        weight = (self.lexicon.weights[number] * 0.6 ** edits
+        weight = (self.lexicon.weights[number] * EDIT ** edits
                   / (1 + math.exp(-(1.5 + 2 * abuse - 3 * quoted))))
         return Hit(at, words[at], self.lexicon.terms[number], edits, weight, quoted)
 
@@ -259,10 +261,10 @@ def features(hits: list[Hit], words: int) -> list[float]:
     density. Of a term the strongest hit of each kind counts."""
     kinds: tuple[dict[str, float], ...] = ({}, {}, {})
     for h in hits:
-        side = kinds[1 if h.quoted else 2 if h.edits else 0]
-        side[h.term] = max(h.weight, side.get(h.term, 0.0))
-    loud = sum(1 for h in hits if not h.quoted and not h.edits)
-    return [1.0, *(math.log1p(sum(k.values())) for k in kinds),
+        for side in (kinds[1],) if h.quoted else kinds[::2] if h.edits else kinds[:1]:
+            side[h.term] = max(h.weight, side.get(h.term, 0.0))
+    loud = sum(1 for h in hits if not h.quoted)
+    return [1.0, *(1 - math.exp(-sum(k.values()) / FULL) for k in kinds),
             math.sqrt(loud / words) if words else 0.0]
 
 
