@@ -1,9 +1,9 @@
 """Toxicity by a learned lexicon, its misspellings, and the context of each hit.
 
 * **Lexicon.** Document frequencies of words over *all* labelled rows, split by label, are
-  counted in tasks and summed by Spark, with the set of a word's contexts (neighbouring words)
-  as 64 hash bits. Copies of one text repeat contexts, so evidence counts different contexts. A
-  word becomes a term if the toxic share of its n contexts cannot be chance (Chernoff
+  counted in tasks and summed by Spark, with the set of a word's toxic contexts (neighbouring
+  words) as 64 hash bits. Copies of one text repeat contexts, so evidence counts different
+  ones. A word becomes a term if toxic contexts beside clean documents cannot be chance (Chernoff
   bound ``n * KL(share || base) >= EVIDENCE``) and its log odds are high. A prefix that many different words share, none of them half of its toxic
   documents, becomes a stem under the same rule with twice the evidence; the shortest counts. The lexicon is bounded by ``max_terms``,
   the strongest first.
@@ -272,9 +272,9 @@ def features(hits: list[Hit], words: int) -> list[float]:
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either label that hold a word, and the set of the word's contexts in
-    them, as 64 bits of hashes; the empty word counts the documents."""
-    names = ["word", "toxic", "clean", "toxic_bits", "clean_bits"]
-    held: dict[str, list[int]] = {"": [0, 0, 0, 0]}
+    toxic ones, as 64 bits of hashes; the empty word counts the documents."""
+    names = ["word", "toxic", "clean", "bits"]
+    held: dict[str, list[int]] = {"": [0, 0, 0]}
     forms: dict[str, str] = {}
 
     def flush():
@@ -282,7 +282,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(
             [pa.array(held.keys(), pa.string()), pa.array(columns[0], pa.int64()),
              pa.array(columns[1], pa.int64()),
-             *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[2:]]], names=names)
+             pa.array(np.array(columns[2], np.uint64).view(np.int64))], names=names)
 
     for label, text in texts_in(batches, "label", "text"):
         side = 0 if label else 1
@@ -299,28 +299,29 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             row = held.get(word)
             if row is None:
-                row = held[word] = [0, 0, 0, 0]
+                row = held[word] = [0, 0, 0]
             row[side] += 1
-            row[2 + side] |= 1 << (zlib.crc32(" ".join(words[max(0, i - 1):i + 2]).encode(
-                "utf-8", "surrogatepass")) & 63)
+            if not side:
+                row[2] |= 1 << (zlib.crc32(" ".join(words[max(0, i - 1):i + 2]).encode(
+                    "utf-8", "surrogatepass")) & 63)
         if len(held) > 200_000 or len(forms) > 400_000:
             yield flush()
-            held, forms = {"": [0, 0, 0, 0]}, {}
+            held, forms = {"": [0, 0, 0]}, {}
     yield flush()
 
 
-def _apart(bits: str, documents: str) -> Column:
-    """About how many different contexts a set of hash bits holds (linear counting);
-    the number of documents where the set is nearly full."""
-    ones = F.bit_count(bits)
+def _apart() -> Column:
+    """About how many different contexts the hash bits hold (linear counting); the number
+    of toxic documents where the set is nearly full."""
+    ones = F.bit_count("bits")
     told = -64 * F.log((64 - F.least(ones, F.lit(60))) / F.lit(64.0))
-    return F.when(ones >= 60, F.col(documents).cast("double")).otherwise(
-        F.least(told, F.col(documents).cast("double")))
+    documents = F.col("toxic").cast("double")
+    return F.when(ones >= 60, documents).otherwise(F.least(told, documents))
 
 
 def _strong(df: DataFrame, base: float, total, evidence: float, max_terms: int) -> DataFrame:
     """Rows whose contexts cannot be toxic that often by chance, strongest first."""
-    df = df.withColumns({"t": _apart("toxic_bits", "toxic"), "c": _apart("clean_bits", "clean")})
+    df = df.withColumns({"t": _apart(), "c": F.col("clean").cast("double")})
     n, share = F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c"))
     against = F.when((F.col("t") > 0) & (share > base), n * (
         share * F.log(share / base)
@@ -337,10 +338,10 @@ def _strong(df: DataFrame, base: float, total, evidence: float, max_terms: int)
 def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     """``rows``: label (0 or 1) and text of every labelled document."""
     both = [F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
-            F.bit_or("toxic_bits").alias("toxic_bits"), F.bit_or("clean_bits").alias("clean_bits")]
+            F.bit_or("bits").alias("bits")]
     counts = materialize(
         rows.select("label", "text").mapInArrow(
-            _count, "word string, toxic long, clean long, toxic_bits long, clean_bits long")
+            _count, "word string, toxic long, clean long, bits long")
         .groupBy("word").agg(*both), "toxic-words")
     total = counts.where("word = ''").first()
     if total is None or not total.toxic or not total.clean:
