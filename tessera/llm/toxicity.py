@@ -422,7 +422,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # Texts of unlabelled documents stay where they are.
     named = with_probable(own, probable_set(told, "key"), "key").where("_probable").select(
         "key", "text")
-    lexicon = learn_lexicon(told.join(named, "key").select("label", "text"), max_terms)
+    # Labels grow with the documents: one plan at every size, never a broadcast of them.
+    lexicon = learn_lexicon(told.hint("merge").join(named, "key").select("label", "text"), max_terms)
     sample = told.orderBy(F.xxhash64("key"), "key", "label").limit(max_labelled)
 
     def measured(batches):
