@@ -142,6 +142,7 @@ REPORT = {
     "checksums": ("Body sums and published totals",
                   ["period", "layout", "metric", "body_sum", "total", "rows", "status"]),
     "warnings": ("Rejected workbooks", ["layout", "path", "code", "detail"]),
+    "conflicts": ("Names and contents that do not agree", ["path", "code", "detail"]),
     "collisions": ("Columns with the same key", ["path", "key", "n_columns"]),
     "suppressed": ("Suppressed and empty cells",
                    ["period", "metric", "n_suppressed", "n_null", "n_cells"]),

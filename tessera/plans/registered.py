@@ -1041,3 +1041,7 @@ def summary_companies(spark, sf_dir):
     """T1 + A12, A13: the entity dimension over both layouts."""
     c = D.companies(filings(spark, sf_dir), summary_from_tables(spark, sf_dir))
     return c.select("naic", "first", "last", "n_periods", F.array_join("names", "|").alias("names"))
+
+
+# Queries over files and stored tables register themselves in the same tables.
+from . import registered_sources  # noqa: E402, F401

@@ -48,14 +48,17 @@ MONEY_DIGITS = {"tiv": 2, "tiv_incl_wind": 2, "dpw": 4, "a_dpw": 4, "a_dpw_comme
 HEADER_ROW = 4
 
 
-def sheet_path(period: Column, folder: str = "grid", layout: str = "B") -> Column:
+def sheet_path(period: Column, folder: str = "grid", layout: str = "B",
+               part: Column | None = None) -> Column:
     y = F.substring(period, 1, 4)
     q = F.substring(period, -1, 1)
     token = C.LAYOUT_B_TOKEN if layout == "B" else C.LAYOUT_A_TOKEN
-    return F.concat(F.lit(f"{folder}/filing_{token}_"), y, F.lit("q"), q, F.lit(".xlsx"))
+    tail = [] if part is None else [F.lit("_part"), part.cast("string")]
+    return F.concat(F.lit(f"{folder}/filing_{token}_" if folder else f"filing_{token}_"), y,
+                    F.lit("q"), q, *tail, F.lit(".xlsx"))
 
 
-def number_rows(df: DataFrame, part: str, order: list[str], out: str = "n",
+def number_rows(df: DataFrame, part: list[str], order: list[str], out: str = "n",
                 buckets: int | None = None) -> DataFrame:
     """Dense 1..k numbering per ``part`` without one task per part.
 
@@ -69,11 +72,11 @@ def number_rows(df: DataFrame, part: str, order: list[str], out: str = "n",
     b = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(b)))
     local = keyed.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(part, "_bucket").orderBy(*order)))
-    counts = keyed.groupBy(part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(part, "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (local.join(offsets, [part, "_bucket"])
+        "_local", F.row_number().over(Window.partitionBy(*part, "_bucket").orderBy(*order)))
+    counts = keyed.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*part, "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (local.join(offsets, [*part, "_bucket"])
                  .withColumn(out, (F.col("_local") + F.col("_off")).cast("int"))
                  .drop("_bucket", "_local", "_off"))
 
@@ -92,8 +95,9 @@ def _cells(cells: list[Column]) -> Column:
 
 
 def panel_to_rows(panel: DataFrame, metrics: list[str], folder: str = "grid",
-                  layout: str = "B") -> DataFrame:
-    """A panel as sheet rows (``grid.ROWS_SCHEMA``) of a layout, one sheet per period.
+                  layout: str = "B", parts: int = 1) -> DataFrame:
+    """A panel as sheet rows (``grid.ROWS_SCHEMA``) of a layout, one sheet per period, or
+    ``parts`` sheets that share the period's rows (a sheet's number of rows is bounded).
 
     Title in row 1, pull note in row 2, headers in row 4, body from row 5, a
     Total row last. Money as ``$1,234.50`` text, ``.`` where suppressed, counts
@@ -105,8 +109,13 @@ def panel_to_rows(panel: DataFrame, metrics: list[str], folder: str = "grid",
         panel = panel.withColumn("suppressed", F.array().cast("array<string>"))
     # The panel is read by the numbering (two branches) and by the footer sums:
     # written once so none of them recomputes it.
-    panel = materialize(panel.select("period", *dims, *metrics, "suppressed"), "panel")
-    numbered = number_rows(panel, "period", [d for d in dims if d != "company"], "body_no")
+    ids = [d for d in dims if d != "company"]
+    sheet = ["period"] if parts == 1 else ["period", "part"]
+    panel = panel.select("period", *dims, *metrics, "suppressed")
+    if parts > 1:
+        panel = panel.withColumn("part", F.pmod(F.xxhash64("period", *ids), F.lit(parts)))
+    panel = materialize(panel, "panel")
+    numbered = number_rows(panel, sheet, ids, "body_no")
     q_odd = (F.substring(F.col("period"), -1, 1).cast("int") % 2) == 1
     n_d, n_m = len(dims), len(metrics)
 
@@ -124,12 +133,13 @@ def panel_to_rows(panel: DataFrame, metrics: list[str], folder: str = "grid",
         return _cell(col_no_of(i), F.when(sup, F.lit("s")).otherwise(F.lit(kind)),
                      F.when(sup, F.lit(".")).otherwise(raw))
 
-    path = sheet_path(F.col("period"), folder, layout).alias("path")
+    path = sheet_path(F.col("period"), folder, layout,
+                      None if parts == 1 else F.col("part")).alias("path")
     body = numbered.select(
         path, (F.col("body_no") + HEADER_ROW).cast("int").alias("row_no"),
         _cells([_cell(i + 1, "s", F.col(d).cast("string")) for i, d in enumerate(dims)]
                + [body_cell(i, m) for i, m in enumerate(metrics)]))
-    periods = panel.groupBy("period").agg(
+    periods = panel.groupBy(*sheet).agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[exact_sum(F.when(~F.array_contains(F.col("suppressed"), m), F.col(m))).alias(m)
           for m in metrics])
@@ -156,3 +166,17 @@ def panel_to_rows(panel: DataFrame, metrics: list[str], folder: str = "grid",
     frame = (periods.select(path, F.explode(F.array(*frame)).alias("r"))
                     .select("path", "r.row_no", "r.cells"))
     return body.unionByName(frame)
+
+
+def sheet_heads(files: DataFrame, header_texts: dict[str, list[str]]) -> DataFrame:
+    """Heads of sheets (``grid.ROWS_SCHEMA`` with a row 0 per file): ``files`` has path, title
+    and kind; a file's header row 4 has the texts of its kind."""
+    headers = F.coalesce(*[
+        F.when(F.col("kind") == kind, _cells([_cell(i + 1, "s", t) for i, t in enumerate(texts)]))
+        for kind, texts in header_texts.items()])
+    none = F.map_from_arrays(F.array().cast("array<int>"),
+                             F.array().cast("array<struct<kind: string, raw: string>>"))
+    rows = [(0, none), (1, _cells([_cell(1, "s", F.col("title"))])), (HEADER_ROW, headers)]
+    return files.select("path", F.explode(F.array(*[
+        F.struct(F.lit(n).cast("int").alias("row_no"), c.alias("cells")) for n, c in rows]))
+        .alias("r")).select("path", "r.row_no", "r.cells")

@@ -1,9 +1,9 @@
 """Workbooks → sheet rows (SRC6) and the whole ingest (§3.1).
 
-A workbook is not splittable, so the scan is parallel over files: Spark lists
-the folder, keeps the newest pull per (layout, period), reads the chosen files
-as binary rows and a ``mapInArrow`` task turns each into sheet rows. Only the
-first sheet is read, with cached values (no formulas are evaluated).
+A workbook is not splittable, so the scan is parallel over files (``workbook_source``):
+the heads of all files tell layout and period, the newest pull per (layout, period) is
+chosen, and tasks open and read the chosen files. Only the first sheet is read, with cached
+values (no formulas are evaluated).
 
 The OOXML reading is a small per-file helper (standard library ``zipfile`` +
 ``xml.etree``): shared and inline strings, numbers, booleans, formula
@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.grid import ROWS_SCHEMA
+from .. import catalog as C
 from ..session import materialize
 from . import files as FS
+from .identify import conflicts, identify
+from .workbook_source import read_listed, read_workbooks
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
@@ -58,9 +60,12 @@ def _first_sheet_member(z: zipfile.ZipFile) -> str:
     raise ValueError("first sheet not found")
 
 
-def workbook_cells(content: bytes):
-    """Yield (row_no, col_no, kind, raw) for every non-empty cell of the first sheet."""
-    z = zipfile.ZipFile(io.BytesIO(content))
+def workbook_cells(content):
+    """Yield (row_no, col_no, kind, raw) for every non-empty cell of the first sheet.
+
+    ``content``: the bytes of a workbook, or an open file of it (parts that are not needed
+    are then not read)."""
+    z = zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content)
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         root = ET.fromstring(z.read("xl/sharedStrings.xml"))
@@ -96,7 +101,7 @@ def _value(el, shared: list[str]) -> tuple[str, str | None]:
     return {"str": "s", "e": "e", "d": "d"}.get(t, "n"), v.text
 
 
-def workbook_rows(content: bytes):
+def workbook_rows(content):
     """Yield (row_no, [(col_no, cell), ...]) for every sheet row that has a cell."""
     for row_no, cells in itertools.groupby(workbook_cells(content), key=lambda c: c[0]):
         yield row_no, [(c, {"kind": k, "raw": raw}) for _, c, k, raw in cells]
@@ -117,27 +122,22 @@ def rows_batches(batches):
                     schema=schema)
 
 
-def read_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """SRC6: the chosen workbooks → sheet rows, parallel over files."""
-    if not paths:
-        return spark.createDataFrame([], ROWS_SCHEMA)
-    # Spark packs files into scan partitions by size (no shuffle of file bytes);
-    # each task parses the workbooks of its partition.
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return raw.mapInArrow(rows_batches, ROWS_SCHEMA)
-
-
-def choose_workbooks(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC1-SRC5 + SRC9: the newest pull per (layout, period) in one folder."""
-    listing = FS.describe_files(FS.list_files(spark, folder))
-    return FS.require_files(FS.newest_pulls(listing))
+def choose_workbooks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """SRC1-SRC5, SRC9, SRC10: (the newest pull per (layout, period) of a folder, all files
+    as ``identify`` tells them). Layout and period come from the heads, then from the names."""
+    heads = materialize(read_workbooks(spark, folder, rows=C.HEADER_SCAN_ROWS), "heads")
+    found = materialize(identify(heads), "identified")
+    chosen = FS.newest_pulls(found.where("error IS NULL"))
+    return FS.require_files(materialize(chosen, "files")), found
 
 
 def ingest_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The whole ingest (§3.1): files → sheet rows → facts, totals, dimensions, checks.
 
-    Sheet rows, facts and totals are written once; every table below reads those.
-    Returns DataFrames: files (with title and pull date), grid, facts_b, facts_a,
+    The heads of all files, the sheet rows of the chosen ones, facts and totals are written
+    once; every table below reads those. The file list stays a table.
+    Returns DataFrames: files (with title and pull date), identified (every file of the
+    folder), conflicts (names and contents that do not agree), grid, facts_b, facts_a,
     totals_b, totals_a, warnings, collisions, metrics_b, periods, companies,
     policy_types, and the report tables (``quality.REPORT``).
     """
@@ -147,10 +147,8 @@ def ingest_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     from ..operators import reshape as RS
     from ..operators import series as S
 
-    chosen = materialize(choose_workbooks(spark, folder), "files")
-    paths = [r.path for r in chosen.select("path").collect()]  # the file list: one row per workbook
-    grid = materialize(read_rows(spark, paths), "grid")
-    files = materialize(chosen.join(FS.title_and_pulled(grid), "path", "left"), "files")
+    files, found = choose_workbooks(spark, folder)
+    grid = materialize(read_listed(files), "grid")
     b = G.parse_grid(grid, files, "B")
     a = G.parse_grid(grid, files, "A")
     facts_b, facts_a = materialize(b["facts"], "facts"), materialize(a["facts"], "facts")
@@ -170,7 +168,7 @@ def ingest_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     periods = D.periods(facts_b, facts_a, files)
     segments = D.segments(facts_b)
     changes = S.new_and_dropped(facts_b, files.where("layout = 'B'").select("period"))
-    return {"files": files, "grid": grid, "facts_b": facts_b, "facts_a": facts_a,
+    return {"files": files, "identified": found, "conflicts": conflicts(found), "grid": grid, "facts_b": facts_b, "facts_a": facts_a,
             "totals_b": totals_b, "totals_a": totals_a,
             "warnings": b["warnings"].unionByName(a["warnings"]),
             "collisions": b["collisions"].unionByName(a["collisions"]),

@@ -73,6 +73,9 @@ def test_ingest_folder(spark, tmpdir_path):
     per = {r.period: r for r in ds["periods"].collect()}
     assert (per["2024Q2"].has_A, per["2024Q2"].has_B) == (True, True)
     assert (per["2024Q1"].has_A, per["2024Q1"].pulled_at) == (False, "7/20/2024")
+    found = {(os.path.basename(r.path), r.code) for r in ds["conflicts"].collect()}
+    assert ("notes_2024q2.xlsx", "no_layout") in found
+    assert ("filing_by_company_and_policy_type_undated.xlsx", "no_period") in found
     assert per["2024Q2"].title == "A report"
     comp = {r.naic: r.name for r in ds["companies"].collect()}
     assert comp["10064"] == "Acme"
