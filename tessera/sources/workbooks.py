@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import catalog as C
+from ..operators.grid import ROWS_SCHEMA
 from ..session import materialize
 from . import files as FS
 from .identify import conflicts, identify
@@ -107,19 +108,34 @@ def workbook_rows(content):
         yield row_no, [(c, {"kind": k, "raw": raw}) for _, c, k, raw in cells]
 
 
+#: Sheet rows with a row 0 per workbook, which has the error of one that cannot be read.
+SHEETS_SCHEMA = ROWS_SCHEMA + ", error string"
+
+
 def rows_batches(batches):
     """Arrow batches of (path, content) → batches of sheet rows, one workbook at a time."""
     schema = pa.schema([("path", pa.string()), ("row_no", pa.int32()),
                         ("cells", pa.map_(pa.int32(), pa.struct([("kind", pa.string()),
-                                                                 ("raw", pa.string())])))])
+                                                                 ("raw", pa.string())]))),
+                        ("error", pa.string())])
+
+    def rows_of(path, part, error=None):
+        return pa.RecordBatch.from_pylist(
+            [{"path": path, "row_no": r, "cells": c, "error": error} for r, c in part],
+            schema=schema)
+
     for batch in batches:
         for at in range(batch.num_rows):
-            path, content = (batch.column(i)[at] for i in (0, 1))
-            rows = workbook_rows(content.as_buffer().to_pybytes())
-            while part := list(itertools.islice(rows, ROWS_PER_BATCH)):
-                yield pa.RecordBatch.from_pylist(
-                    [{"path": path.as_py(), "row_no": r, "cells": c} for r, c in part],
-                    schema=schema)
+            path, content = batch.column(0)[at].as_py(), batch.column(1)[at]
+            try:
+                rows = workbook_rows(content.as_buffer().to_pybytes())
+                part = list(itertools.islice(rows, ROWS_PER_BATCH))
+                yield rows_of(path, [(0, [])])
+                while part:
+                    yield rows_of(path, part)
+                    part = list(itertools.islice(rows, ROWS_PER_BATCH))
+            except Exception as e:  # any damage of an archive
+                yield rows_of(path, [(0, [])], f"{type(e).__name__}: {e}"[:500])
 
 
 def choose_workbooks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

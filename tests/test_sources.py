@@ -224,7 +224,7 @@ def test_stream_ingest_new_quarters_repulls_and_replay(spark, tmpdir_path):
     # A replayed batch writes the same rows again, not twice.
     files = spark.read.format("binaryFile").load(
         os.path.join(src, "filing_by_company_and_policy_type_2024q1_20240501t080000.xlsx"))
-    number = [r.batch for r in SI.read_log(spark, out).collect() if "20240501" in r.path][0]
+    number = [r.batch for r in SI.read_state(spark, out).collect() if "20240501" in r.path][0]
     SI.process_batch(files.unionByName(spark.read.format("binaryFile").load(
         os.path.join(src, "filing_by_company_and_policy_type_2024q2_20240720t080000.xlsx"))), number, out)
     ds = SI.load_stream(spark, out)
