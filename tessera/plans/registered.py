@@ -2,8 +2,9 @@
 panel binding) and has an independent SQL twin in ``SQL`` for the oracle check.
 
 Parameters are fixed per query so both sides compute the same thing at any
-scale. A query that needs the panel more than once (values, names, the period
-catalogue) writes it once to the shared folder: the line items are read once.
+scale. Values come from a scan with the view's ship-date window, entities and metric columns;
+the period catalogue and display names from passes over the columns they need, the names after
+the cut, for the entities shown. Only a view of every entity writes (those columns of) the panel.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from ..operators.slicing import select_entities, slice_filings
 from ..session import materialize
 from ..sources import files as FS
 from ..sources import sheet_fixtures as SF
-from ..sources.tables import (BOUND_METRICS, filings_from_tables, naic_text, read_table,
-                              summary_from_tables)
+from ..sources.tables import (BOUND_METRICS, filings_from_tables, naic_text, period_catalogue,
+                              quarters, read_table, summary_from_tables)
 from . import oracle as O
 from .viewspec import ViewSpec
 from .views import captions, dataset_caption, series_captions, snapshot_view
@@ -132,16 +133,35 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings_from_tables(spark, sf_dir)
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel, written once."""
-    return materialize(filings(spark, sf_dir), "panel")
+def panel(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the panel, written once: for views that show every entity, and so read
+    it for their values and for the names. Only what the columns need is scanned."""
+    return materialize(filings(spark, sf_dir).select(*columns), "panel")
+
+
+def names_of(spark: SparkSession, sf_dir: str, entities) -> DataFrame:
+    """The companies dimension of some entities, from a pass over their line items' keys."""
+    return D.companies(filings_from_tables(spark, sf_dir, entities=entities))
+
+
+def named(view: DataFrame, sf_dir: str) -> DataFrame:
+    """A view cut to a report's size, with display names in place of its keys.
+
+    The view's rows are written, and the names come from the line items of the entities
+    that it shows: what the view leaves out is never named, nor is a panel written."""
+    spark, order = view.sparkSession, [c for c in ("period", "rank") if c in view.columns]
+    shown = materialize(view, "view")
+    names = names_of(spark, sf_dir, shown.select("naic").where("naic IS NOT NULL").distinct())
+    labels = names.select("naic", F.col("name").alias("_name"))
+    told = shown.join(labels, "naic", "left").withColumn("company", F.coalesce("_name", "company"))
+    return told.select(*view.columns).orderBy(*[F.col(c).asc_nulls_last() for c in order])
 
 
 # ---------------------------------------------------------------- rankings
 def _rank_query(spec: ViewSpec, all_periods: bool):
     def run(spark, sf_dir):
-        fl = panel(spark, sf_dir)
-        return snapshot_view(fl, spec, companies=D.companies(fl), all_periods=all_periods)
+        fl = filings_from_tables(spark, sf_dir, None if all_periods else [spec.period])
+        return named(snapshot_view(fl, spec, all_periods=all_periods), sf_dir)
     return run
 
 
@@ -210,9 +230,9 @@ others AS (
   FROM ranked r WHERE r.rank > {SHARE_N} GROUP BY r.period
 )"""))
 def share_topn_others(spark, sf_dir):
-    fl = panel(spark, sf_dir)
     spec = ViewSpec(mode="share", metric="tiv", topn=SHARE_N)
-    return _rank_as_double(snapshot_view(fl, spec, companies=D.companies(fl), all_periods=True))
+    view = snapshot_view(filings(spark, sf_dir), spec, all_periods=True)
+    return _rank_as_double(named(view, sf_dir))
 
 
 def _rank_as_double(df):
@@ -248,10 +268,10 @@ others AS (
 def share_ratio_metric(spark, sf_dir):
     """Q3 fix: a ratio metric in share mode has no share; the rest's value is the ratio
     of the rest's sums."""
-    fl = panel(spark, sf_dir)
     spec = ViewSpec(mode="share", metric="rate_on_line", topn=SHARE_N,
                     line="Personal Residential")
-    return _rank_as_double(snapshot_view(fl, spec, companies=D.companies(fl), all_periods=True))
+    view = snapshot_view(filings(spark, sf_dir), spec, all_periods=True)
+    return _rank_as_double(named(view, sf_dir))
 
 
 @register("share_all", O.with_panel(f"""
@@ -264,7 +284,7 @@ FROM vals v JOIN (SELECT period, {O.xsum('value')} AS total FROM vals GROUP BY p
     f"vals AS ({base_values_sql('pif')} HAVING {O.xsum('pif')} IS NOT NULL)"))
 def share_all(spark, sf_dir):
     """W2 without a cut: every entity with its share and no row of others."""
-    fl = panel(spark, sf_dir)
+    fl = panel(spark, sf_dir, "period", "naic", "company", "pif")
     spec = ViewSpec(mode="share", metric="pif", topn=None)
     return _rank_as_double(snapshot_view(fl, spec, companies=D.companies(fl), all_periods=True))
 
@@ -334,11 +354,12 @@ def dim_segments(spark, sf_dir):
 def _series_query(metric_id, entities, rng, transform="abs", basis="position",
                   segments=(), line="all"):
     def run(spark, sf_dir):
-        fl = panel(spark, sf_dir)
+        back = {"qoq": 1, "yoy": 4}.get(transform, 0) if basis == "calendar" else 0
+        fl = filings_from_tables(spark, sf_dir, quarters(*rng, back), entities)
         sl = slice_filings(fl, line=line, segments=segments)
-        return S.series(sl, metric_id, "all", fl.select("period"), rng[0], rng[1],
+        return S.series(sl, metric_id, "all", period_catalogue(spark, sf_dir), rng[0], rng[1],
                         entities=entities, transform=transform, basis=basis,
-                        companies=D.companies(fl))
+                        companies=names_of(spark, sf_dir, entities))
     return run
 
 
@@ -419,9 +440,9 @@ grid AS (SELECT r.period, r.pos, coalesce(v.value, 0.0) AS value
                                  _rng_sql(("1996Q1", "2001Q4"))))
 def series_all(spark, sf_dir):
     """No entity chosen → the slice total per period (0 when empty)."""
-    fl = panel(spark, sf_dir)
+    fl = filings_from_tables(spark, sf_dir, quarters("1996Q1", "2001Q4"))
     sl = slice_filings(fl, line="Personal Residential")
-    return S.series(sl, "dpw", "all", fl.select("period"), "1996Q1", "2001Q4")
+    return S.series(sl, "dpw", "all", period_catalogue(spark, sf_dir), "1996Q1", "2001Q4")
 
 
 GAP_ENTITY = "00012"
@@ -433,9 +454,10 @@ GAP_ENTITY = "00012"
     _rng_sql(("1996Q1", "2001Q4"))))
 def series_all_gap_qoq(spark, sf_dir):
     """W9 + W6 on a slice with empty quarters: 0 there, −100 % into the gap."""
-    fl = panel(spark, sf_dir)
-    sl = slice_filings(fl, segments=(GAP_SEGMENT,)).where(F.col("naic") == GAP_ENTITY)
-    return S.series(sl, "dpw", "all", fl.select("period"), "1996Q1", "2001Q4", transform="qoq")
+    fl = filings_from_tables(spark, sf_dir, quarters("1996Q1", "2001Q4"), [GAP_ENTITY])
+    sl = slice_filings(fl, segments=(GAP_SEGMENT,))
+    return S.series(sl, "dpw", "all", period_catalogue(spark, sf_dir), "1996Q1", "2001Q4",
+                    transform="qoq")
 
 
 @register("share_over_time", O.with_panel(f"""
@@ -462,9 +484,8 @@ LEFT JOIN sh s ON s.naic = g.naic AND s.period = g.period""",
                 ON v.period = t.period)"""))
 def share_delta(spark, sf_dir):
     """Share change against the previous period of the range (gaps stay null)."""
-    fl = panel(spark, sf_dir)
-    sl = slice_filings(fl, segments=(GAP_SEGMENT,))
-    return S.share_delta(sl, "tiv", fl.select("period"), RANGE[0], RANGE[1])
+    sl = slice_filings(filings_from_tables(spark, sf_dir, quarters(*RANGE)), segments=(GAP_SEGMENT,))
+    return S.share_delta(sl, "tiv", period_catalogue(spark, sf_dir), RANGE[0], RANGE[1])
 
 
 @register("growth_rank", O.with_panel(f"""
@@ -481,8 +502,8 @@ WHERE r.rank <= 20""", COMPANIES_SQL,
              WHERE n.period = '{SNAP_PERIOD}')"""))
 def growth_rank(spark, sf_dir):
     """Year-on-year TIV growth of every entity in one period, ranked."""
-    fl = panel(spark, sf_dir)
-    return S.growth_rank(fl, "tiv", SNAP_PERIOD, "yoy", 20, companies=D.companies(fl))
+    fl = filings_from_tables(spark, sf_dir, [SNAP_PERIOD, S.calendar_shift(SNAP_PERIOD, 4)])
+    return named(S.growth_rank(fl, "tiv", SNAP_PERIOD, "yoy", 20), sf_dir)
 
 
 @register("new_dropped", O.with_panel(f"""
@@ -498,8 +519,8 @@ WHERE NOT EXISTS (SELECT 1 FROM ents x WHERE x.period = p.period AND x.naic = e.
                  FROM (SELECT DISTINCT period FROM panel) QUALIFY prev IS NOT NULL)"""))
 def new_dropped(spark, sf_dir):
     """Entities new or dropped against the previous quarter."""
-    fl = panel(spark, sf_dir)
-    return S.new_and_dropped(slice_filings(fl, segments=(GAP_SEGMENT,)), fl.select("period"))
+    sl = slice_filings(filings(spark, sf_dir), segments=(GAP_SEGMENT,))
+    return S.new_and_dropped(sl, period_catalogue(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- grids and cells
@@ -559,9 +580,10 @@ SELECT 'grid/filing_by_company_and_policy_type_' || substr(p.period, 1, 4) || 'q
 FROM (SELECT DISTINCT period FROM panel) p CROSS JOIN cols c""", _header_layout_sql()))
 def header_classify(spark, sf_dir):
     """N1 + N3: every generated header text maps back to the key it was written for."""
-    grid, files = _grid(spark, sf_dir)
-    h = G.classify_headers(grid, files)
-    return h.select("path", "col_no", "key", "role")
+    # Headers stand in the first rows: no body is made, and nothing else of the sheets is read.
+    heads = materialize(SF.panel_heads(period_catalogue(spark, sf_dir), BOUND_METRICS), "heads")
+    files = FS.describe_files(heads.filter(F.col("row_no") == 1).select("path"))
+    return G.classify_headers(heads, files).select("path", "col_no", "key", "role")
 
 
 @register("clean_money", """
@@ -721,8 +743,9 @@ FROM (SELECT period, naic, policy_type, 'B' AS layout FROM panel
       UNION ALL SELECT period, naic, NULL, 'A' FROM summary)""", summary=True))
 def summary_counts(spark, sf_dir):
     """A15 / Q-F: dataset counts over both layouts."""
-    return Q.summary_counts(panel(spark, sf_dir),
-                            materialize(summary_from_tables(spark, sf_dir), "summary"))
+    return Q.summary_counts(
+        panel(spark, sf_dir, "period", "naic", "policy_type"),
+        materialize(summary_from_tables(spark, sf_dir).select("period", "naic"), "summary"))
 
 
 @register("reconcile_summary", O.with_panel(f"""
@@ -782,9 +805,10 @@ WHERE p.naic IN (SELECT naic FROM companies
 GROUP BY p.naic, p.period, p.company""", COMPANIES_SQL))
 def entity_search_history(spark, sf_dir):
     """P7 + P9: search names (current or historic) and keys, then the full history."""
-    fl = panel(spark, sf_dir)
-    hits = SE.search_entities(D.companies(fl), "Supplier#00000004")
-    hist = SE.entity_history(fl, hits)
+    hits = materialize(SE.search_entities(D.companies(filings(spark, sf_dir)),
+                                          "Supplier#00000004"), "hits")
+    # Only the line items of the entities found are aggregated.
+    hist = SE.entity_history(filings_from_tables(spark, sf_dir, entities=hits), hits)
     return hist.groupBy("naic", "period", "company").agg(M.exact_sum("tiv").alias("tiv"))
 
 
@@ -841,7 +865,7 @@ LEFT JOIN companies c ON r.naic = c.naic""", COMPANIES_SQL))
 def rank_all(spark, sf_dir):
     """W1 without a cut: every entity of every period ranked, without sending a
     whole period through one task (range split + offsets)."""
-    fl = panel(spark, sf_dir)
+    fl = panel(spark, sf_dir, "period", "naic", "company", "dpw")
     vals = M.entity_values(fl, "dpw")
     ranked = R.rank_top(vals, None)
     return R.with_names(ranked, D.companies(fl)).select("period", "rank", "naic", "company",
@@ -863,14 +887,20 @@ def dim_periods(spark, sf_dir):
                     "has_A", "has_B")
 
 
-@register("metrics_seen", """
-SELECT key FROM (VALUES ('pif'), ('tiv'), ('tiv_incl_wind'), ('dpw'), ('new_written'),
-                        ('received_in'), ('cancelled'), ('nonrenewed'), ('transferred_out')) t(key)
-WHERE EXISTS (SELECT 1 FROM lineitem)""")
+@register("metrics_seen", O.with_panel(f"""
+SELECT col AS key, count(DISTINCT period) AS n_sheets
+FROM (SELECT * FROM panel WHERE policy_type = '{GAP_SEGMENT}')
+  UNPIVOT (value FOR col IN ({METRIC_LIST}))
+GROUP BY col"""))
 def metrics_seen(spark, sf_dir):
-    """The metric keys found in the headers of all generated sheets."""
-    grid, files = _grid(spark, sf_dir)
-    return G.parse_grid(grid, files, "B")["metrics_seen"]
+    """The metrics that sheets have a column for, and in how many. A quarter's sheet has
+    a column for the metrics that its rows of one segment have a value for."""
+    sl = slice_filings(filings(spark, sf_dir), segments=(GAP_SEGMENT,))
+    held = sl.groupBy("period").agg(*[(F.count(m) > 0).alias(m) for m in BOUND_METRICS])
+    heads = materialize(SF.panel_heads(held, BOUND_METRICS), "heads")
+    parsed = G.parse_grid(heads, FS.describe_files(heads.where("row_no = 1").select("path")), "B")
+    sheets = parsed["headers"].groupBy("key").agg(F.countDistinct("path").alias("n_sheets"))
+    return parsed["metrics_seen"].join(sheets, "key")
 
 
 @register("grid_totals", O.with_panel(f"""
@@ -896,7 +926,7 @@ LEFT JOIN companies c ON c.naic = g.target""", COMPANIES_SQL, _rng_sql(("1995Q1"
     f"WHERE period IN (SELECT period FROM rng))"))
 def series_every_entity_yoy(spark, sf_dir):
     """W7 + W8 for every entity: dense entity × quarter spine, YoY by position."""
-    fl = panel(spark, sf_dir)
+    fl = panel(spark, sf_dir, "period", "naic", "company", "dpw")
     return S.series(fl, "dpw", "all", fl.select("period"), "1995Q1", "2001Q4",
                     entities="all", transform="yoy", companies=D.companies(fl))
 
@@ -910,10 +940,9 @@ LEFT JOIN companies c ON c.naic = s.naic
 WHERE s.n_suppressed > 0""", COMPANIES_SQL))
 def suppressed_unranked(spark, sf_dir):
     """Q12: entities whose TIV is fully suppressed in the slice, listed without rank."""
-    fl = panel(spark, sf_dir)
-    sl = slice_filings(fl, segments=(GAP_SEGMENT,))
-    un = R.suppressed_entities(sl, "tiv")
-    return R.with_names(un, D.companies(fl)).select("period", "naic", "company", "n_suppressed")
+    sl = slice_filings(filings(spark, sf_dir), segments=(GAP_SEGMENT,))
+    un = R.with_names(R.suppressed_entities(sl, "tiv"), None)
+    return named(un, sf_dir).select("period", "naic", "company", "n_suppressed")
 
 
 @register("growth_labels", O.with_panel(f"""

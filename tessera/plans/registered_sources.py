@@ -1,5 +1,5 @@
-"""Registered queries over real files: workbooks written and read back, and what a
-workbook is by its content (SRC2, SRC6, SRC10)."""
+"""Registered queries over files: workbooks written and read back, what a workbook is by
+its content (SRC2, SRC6, SRC10), and the published panel (SNK1, SRC8, P1, J2)."""
 
 from __future__ import annotations
 
@@ -8,16 +8,24 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import period_end, period_of
+from ..operators import dims as D
 from ..operators import grid as G
+from ..operators import metrics as M
+from ..operators import ranking as R
+from ..operators.slicing import slice_filings
 from ..session import materialize, shared_path
 from ..sources import files as FS
 from ..sources import sheet_fixtures as SF
+from ..sources import sinks as SK
 from ..sources.identify import conflicts, identify
 from ..sources.tables import BOUND_METRICS, naic_text, read_table
 from ..sources.workbook_sink import write_workbooks
 from ..sources.workbook_source import read_workbooks
 from . import oracle as O
-from .registered import METRIC_LIST, filings, register
+from .registered import (METRIC_LIST, SNAP_PERIOD, _where, base_values_sql, filings, rank_sql,
+                         register)
+from .viewspec import ViewSpec
+from .views import snapshot_view
 
 #: Body rows of a generated workbook, at most about.
 SHEET_ROWS = 50_000
@@ -45,6 +53,42 @@ def workbook_roundtrip(spark, sf_dir):
                         *BOUND_METRICS, F.array_join("suppressed", "|").alias("suppressed"))
 
 
+# ---------------------------------------------------------------- the published panel
+def stored_panel(spark, sf_dir, *columns):
+    """Columns of the panel, published (partitioned by period) and loaded again."""
+    out = shared_path(spark, f"published-{uuid.uuid4().hex}")
+    SK.publish({"facts_b": filings(spark, sf_dir).select("period", *columns)}, out)
+    return SK.load_dataset(spark, out, ("facts_b",))["facts_b"]
+
+
+@register("stored_quarter_rank", rank_sql(base_values_sql("tiv", _where(
+    "Commercial Residential", period=SNAP_PERIOD)), 20))
+def stored_quarter_rank(spark, sf_dir):
+    """P1 over the published panel: one quarter opens one partition."""
+    stored = stored_panel(spark, sf_dir, "naic", "company", "line", "tiv")
+    spec = ViewSpec(metric="tiv", topn=20, period=SNAP_PERIOD, line="Commercial Residential")
+    top = materialize(snapshot_view(stored, spec), "view")
+    names = D.companies(stored.join(top.select("naic"), "naic", "left_semi"))
+    return R.with_names(top.drop("company"), names).select(*top.columns).orderBy("rank")
+
+
+@register("stored_selection", O.with_panel(f"""
+SELECT period, naic, {O.xsum('tiv')} AS value FROM panel
+WHERE period IN (SELECT period FROM busy WHERE n > (SELECT avg(n) FROM busy))
+  AND line = 'Personal Residential'
+GROUP BY period, naic""", """
+busy AS (SELECT CAST(year(l_shipdate) AS VARCHAR) || 'Q' || CAST(quarter(l_shipdate) AS VARCHAR)
+                  AS period, count(*) AS n FROM lineitem GROUP BY 1)"""))
+def stored_selection(spark, sf_dir):
+    """J2 over the published panel: a table of quarters (those with more line items than the
+    mean) chooses the partitions while the query runs."""
+    stored = stored_panel(spark, sf_dir, "naic", "line", "tiv")
+    li = read_table(spark, sf_dir, "lineitem").select(period_of(F.col("l_shipdate")).alias("period"))
+    busy = materialize(li.groupBy("period").agg(F.count(F.lit(1)).alias("n")), "quarters")
+    chosen = busy.where(F.col("n") > busy.agg(F.avg("n")).scalar()).select("period")
+    return M.entity_values(slice_filings(stored, periods=chosen, line="Personal Residential"), "tiv")
+
+
 # ---------------------------------------------------------------- layout and period of a file
 # One workbook for every entity and quarter; k, from both, picks what is wrong with it.
 K_SQL = """

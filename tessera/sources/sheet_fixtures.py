@@ -168,6 +168,35 @@ def panel_to_rows(panel: DataFrame, metrics: list[str], folder: str = "grid",
     return body.unionByName(frame)
 
 
+def panel_heads(periods: DataFrame, metrics: list[str], folder: str = "grid",
+                layout: str = "B") -> DataFrame:
+    """The heads alone of the sheets that ``panel_to_rows`` makes: title, pull note, headers.
+
+    ``periods`` has one row per period; a boolean column named like a metric tells whether
+    the period's sheet has a column for it (all of them without such a column)."""
+    dims, text = DIMS[layout], HEADER_TEXT if layout == "B" else HEADER_TEXT_A
+    q_odd = (F.substring(F.col("period"), -1, 1).cast("int") % 2) == 1
+    n_d, n_m = len(dims), len(metrics)
+    end = F.date_format(period_end(F.col("period")), "M/d/yyyy")
+
+    def header(i: int, m: str) -> Column:
+        parts = text[m].split("{end}")
+        shown = F.lit(text[m]) if len(parts) == 1 else F.concat(F.lit(parts[0]), end, F.lit(parts[1]))
+        if m in periods.columns:
+            shown = F.when(F.col(m), shown)
+        at = F.when(q_odd, F.lit(n_d + n_m - i)).otherwise(F.lit(n_d + 1 + i))
+        return _cell(at, "s", shown)
+
+    rows = [(1, [_cell(1, "s", F.concat(F.lit("Residential Market Share ("), F.col("period"),
+                                         F.lit(")")))]),
+            (2, [_cell(1, "s", F.concat(F.lit("(Data pulled on "), end, F.lit(")")))]),
+            (HEADER_ROW, [_cell(i + 1, "s", text[d]) for i, d in enumerate(dims)]
+             + [header(i, m) for i, m in enumerate(metrics)])]
+    return periods.select(sheet_path(F.col("period"), folder, layout).alias("path"), F.explode(
+        F.array(*[F.struct(F.lit(n).cast("int").alias("row_no"), _cells(c)) for n, c in rows]))
+        .alias("r")).select("path", "r.row_no", "r.cells")
+
+
 def sheet_heads(files: DataFrame, header_texts: dict[str, list[str]]) -> DataFrame:
     """Heads of sheets (``grid.ROWS_SCHEMA`` with a row 0 per file): ``files`` has path, title
     and kind; a file's header row 4 has the texts of its kind."""

@@ -58,31 +58,52 @@ def _units(c, digits: int) -> F.Column:
     return F.round(c * F.lit(10 ** digits)).cast("bigint")
 
 
+def quarters(lo: str, hi: str, back: int = 0) -> list[str]:
+    """The quarters from ``lo``, less ``back`` quarters, to ``hi`` (either may be the later)."""
+    def number(p: str) -> int:
+        return int(p[:4]) * 4 + int(p[-1]) - 1
+
+    first, last = sorted((number(lo), number(hi)))
+    return [f"{k // 4:04d}Q{k % 4 + 1}" for k in range(first - back, last + 1)]
+
+
 def shipdate_window(periods) -> F.Column | None:
     """A scan predicate on ``l_shipdate`` covering the given periods.
 
     A period is derived from the ship date, so a filter on the period text is
-    evaluated per row; this range is pushed into the Parquet scan and skips
-    row groups whose dates fall outside.
+    evaluated per row; these ranges, one per run of neighbouring quarters, are pushed into
+    the Parquet scan and skip row groups whose dates fall outside.
     """
-    keys = sorted({(int(p[:4]), int(p[-1])) for p in periods})
-    if not keys:
-        return None
-    (y0, q0), (y1, q1) = keys[0], keys[-1]
-    start = f"{y0:04d}-{3 * q0 - 2:02d}-01 00:00:00"
-    ny, nq = (y1 + 1, 1) if q1 == 4 else (y1, q1 + 1)
-    end = f"{ny:04d}-{3 * nq - 2:02d}-01 00:00:00"
-    ts = F.col("l_shipdate")
-    return (ts >= F.to_timestamp_ntz(F.lit(start))) & (ts < F.to_timestamp_ntz(F.lit(end)))
-
-
-def filings_from_tables(spark: SparkSession, sf_dir: str, periods=None) -> DataFrame:
+    keys = sorted({int(p[:4]) * 4 + int(p[-1]) - 1 for p in periods})
+    ts, out = F.col("l_shipdate"), None
+
+    def begin(k: int) -> F.Column:
+        return F.to_timestamp_ntz(F.lit(f"{k // 4:04d}-{3 * (k % 4) + 1:02d}-01 00:00:00"))
+
+    while keys:
+        n = next((i for i in range(1, len(keys)) if keys[i] != keys[i - 1] + 1), len(keys))
+        run = (ts >= begin(keys[0])) & (ts < begin(keys[n - 1] + 1))
+        out, keys = run if out is None else out | run, keys[n:]
+    return out
+
+
+def period_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periods that have a line item: one column of the line items, one row a quarter."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_shipdate")
+    found = li.groupBy(F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q")).agg(
+        F.count(F.lit(1)))
+    return found.where("y IS NOT NULL").select(period_text(F.col("y"), F.col("q")).alias("period"))
+
+
+def filings_from_tables(spark: SparkSession, sf_dir: str, periods=None,
+                        entities=None) -> DataFrame:
     """Layout-B filings panel from lineitem, part and supplier.
 
     Columns: period, period_end, naic, company, policy_type, line,
     is_wind_only, the BOUND_METRICS as DOUBLE, n_lines, suppressed ARRAY<STRING>.
-    ``periods`` (optional) restricts the panel to those periods with a ship-date
-    range pushed into the lineitem scan.
+    ``periods`` (optional) restricts the panel to those periods with ship-date
+    ranges pushed into the lineitem scan; ``entities`` (a list of keys, pushed into the scan, or a
+    table with a ``naic`` column, a semi join before the aggregation) to those entities.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
@@ -90,6 +111,11 @@ def filings_from_tables(spark: SparkSession, sf_dir: str, periods=None) -> DataF
     if periods is not None:
         window = shipdate_window(periods)
         li = li.filter(window) if window is not None else li.limit(0)
+    if isinstance(entities, DataFrame):
+        keys = entities.select(F.col("naic").cast("bigint").alias("_k"))
+        li = li.join(keys, li.l_suppkey == keys._k, "left_semi")
+    elif entities is not None:
+        li = li.filter(F.col("l_suppkey").isin([int(e) for e in entities]))
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
 
