@@ -29,6 +29,17 @@ ROWS_SCHEMA = "path string, row_no int, cells map<int, struct<kind: string, raw:
 DIMS = {"B": ["naic", "company", "policy_type"], "A": ["naic", "company"]}
 
 
+def table_schema(table: str, layout: str) -> str:
+    """Columns of the ``facts`` or ``totals`` that ``parse_grid`` gives for a layout."""
+    keys = C.layout_b_metric_keys() if layout == "B" else C.layout_a_metric_keys()
+    metrics = ", ".join(f"{k} double" for k in keys)
+    if table == "totals":
+        return f"path string, period string, {metrics}"
+    segment = "policy_type string, line string, is_wind_only boolean, " if layout == "B" else ""
+    return (f"period string, period_end date, naic string, company string, {segment}{metrics}, "
+            "suppressed array<string>, present array<string>, source_file string, row_no int")
+
+
 def rows_of(grid: DataFrame) -> DataFrame:
     """A grid in its row form, from either form (one shuffle for single cells)."""
     if "cells" in grid.columns:

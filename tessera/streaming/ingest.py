@@ -168,13 +168,10 @@ def load_stream(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     found = _current(spark, out, entries)
     if not entries:
         return {"files": files}
-    none = G.parse_grid(spark.createDataFrame([], G.ROWS_SCHEMA),
-                        files.where("false").select("path", "layout", "period"), "B")
-    summary = G.parse_grid(spark.createDataFrame([], G.ROWS_SCHEMA),
-                           files.where("false").select("path", "layout", "period"), "A")
-    for name, empty in {"facts_b": none["facts"], "totals_b": none["totals"],
-                        "facts_a": summary["facts"], "totals_a": summary["totals"]}.items():
-        found.setdefault(name, empty)
+    for x in "BA":
+        for table in ("facts", "totals"):
+            found.setdefault(f"{table}_{x.lower()}",
+                             spark.createDataFrame([], G.table_schema(table, x)))
     found.setdefault("warnings", spark.createDataFrame([], WARNINGS))
     found["warnings"] = found["warnings"].select("path", "layout", "code", "detail")
     for name in ("metrics_b", "metrics_a"):

@@ -221,3 +221,14 @@ def test_round_trip_panel_to_cells(spark):
     b = res["facts"].select(*cols, F.array_join("suppressed", "|").alias("s"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert res["collisions"].count() == 0 and res["warnings"].count() == 0
+
+
+def test_table_schemas(spark):
+    """The stated columns are those that parsing gives."""
+    from pyspark.sql.types import StructType
+    files = spark.createDataFrame([], "path string, layout string, period string")
+    for layout in "AB":
+        parsed = G.parse_grid(spark.createDataFrame([], G.ROWS_SCHEMA), files, layout)
+        for table in ("facts", "totals"):
+            want = StructType.fromDDL(G.table_schema(table, layout))
+            assert parsed[table].dtypes == [(f.name, f.dataType.simpleString()) for f in want]
