@@ -151,6 +151,50 @@ def free_rollup(df: DataFrame, dims, metric_ids, kind: str = "groupby", wind: st
         *dims, "grouping_id", *out)
 
 
+WIND_BASIS = "wind_basis"
+
+
+def rollup_sets(df: DataFrame, sets, metric_ids, available=None) -> DataFrame:
+    """Any list of grouping sets, over columns of the panel and the wind basis.
+
+    ``sets`` is a list of lists of dimensions; ``wind_basis`` is one of them: ``incl`` and
+    ``excl`` rows come from a metric's wind columns, ``wind_only`` and ``all`` from the whole
+    metric of wind-only and other segments (N13's rule). A set without it counts the whole
+    metric only, so nothing counts twice.
+
+    A fact is copied once per set (and basis) inside one generator, folded map-side and
+    shuffled once: facts are not unpivoted first. Columns: the dimensions (null where rolled
+    up), ``grouping_id`` (SQL's, over the dimensions in order of first mention), the metrics.
+    """
+    dims = list(dict.fromkeys(d for s in sets for d in s))
+    available = set(df.columns if available is None else available) & set(df.columns)
+    keys = list(dict.fromkeys(
+        k for m in metric_ids for k in (parts_of(m) if C.metric(m).derived else [m])))
+    types = dict(df.dtypes) | {WIND_BASIS: "string"}
+
+    def number(key: str) -> Column:
+        return F.col(key) if key in available else F.lit(None).cast("double")
+
+    def copy(chosen, basis: Column, suffix: str) -> Column:
+        gid = sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in chosen)
+        shown = [(basis if d == WIND_BASIS else F.col(d)) if d in chosen
+                 else F.lit(None).cast(types[d]) for d in dims]
+        return F.struct(F.lit(gid).cast("long").alias("grouping_id"),
+                        *[c.cast(types[d]).alias(d) for c, d in zip(shown, dims, strict=True)],
+                        *[number(k + suffix).cast("double").alias(k) for k in keys])
+
+    whole = F.when(F.col("is_wind_only"), F.lit("wind_only")).otherwise(F.lit("all"))
+    copies = []
+    for chosen in sets:
+        copies.append(copy(chosen, whole, ""))
+        if WIND_BASIS in chosen:
+            copies += [copy(chosen, F.lit(b), f"_{b}_wind") for b in ("incl", "excl")
+                       if any(f"{k}_{b}_wind" in available for k in keys)]
+    rows = df.select(F.explode(F.array(*copies)).alias("g")).select("g.*")
+    return _aggregate(rows, ["grouping_id", *dims], metric_ids, "all", keys).select(
+        *dims, "grouping_id", *metric_ids)
+
+
 def breakdown(df: DataFrame, metric_id: str, by: str = "line", wind_split: bool = False,
               part: str = "period", available=None) -> DataFrame:
     """Data behind stacked bars — by line, or incl vs excl wind.

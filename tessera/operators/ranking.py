@@ -129,18 +129,48 @@ def snapshot(values: DataFrame, n: int | None, metric_id: str, share: bool = Fal
     return out.orderBy(part, F.col("rank").asc_nulls_last())
 
 
-def resort(df: DataFrame, col: str, direction: int = -1) -> DataFrame:
+def sort_key(df: DataFrame, col: str) -> F.Column:
+    """W5's key: numbers with null → 0 (the others row reads rank 0), text in locale order
+    (UNICODE collation) with null → ''."""
+    if dict(df.dtypes)[col] == "string":
+        return F.collate(F.coalesce(F.col(col), F.lit("")), "UNICODE")
+    return F.coalesce(F.col(col).cast("double"), F.lit(0.0))
+
+
+def resort(df: DataFrame, col: str, direction: int = -1, position: str | None = None) -> DataFrame:
     """Re-sort the rows already cut to n by any column, either way.
 
-    Numbers: null → 0 (the others row reads rank 0). Text: locale order
-    (UNICODE collation), nulls as ''.
+    Rows that are equal there keep the view's order (period, then rank, others last).
+    ``position`` adds a column with each row's place, so the order survives a join or a file.
+    The view is cut to a report's size, so its rows are numbered in one task.
     """
-    dtype = dict(df.dtypes)[col]
-    if dtype in ("string",):
-        k = F.collate(F.coalesce(F.col(col), F.lit("")), "UNICODE")
-    else:
-        k = F.coalesce(F.col(col).cast("double"), F.lit(0.0))
-    return df.orderBy(k.asc() if direction > 0 else k.desc())
+    k = sort_key(df, col)
+    ties = [F.col(c).asc_nulls_last() for c in ("period", "rank") if c in df.columns and c != col]
+    order = [k.asc() if direction > 0 else k.desc(), *ties]
+    if position:
+        place = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+        df = df.withColumn(position, place)
+        return df.orderBy(position)
+    return df.orderBy(*order)
+
+
+def positions(df: DataFrame, *order, position: str = "position",
+              partitions: int | None = None) -> DataFrame:
+    """Rows of any number with their place in a global order, sorted by it.
+
+    Ranges of the order are numbered side by side and shifted by the sizes of the ranges before
+    them (one row per range); no task sees all rows."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, *order)
+                           .withColumn("_range", F.spark_partition_id()), "positions")
+    local = ranged.withColumn("_local", F.row_number().over(
+        Window.partitionBy("_range").orderBy(*order)))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (local.join(before, "_range")
+                 .withColumn(position, (F.col("_local") + F.col("_off")).cast("bigint"))
+                 .drop("_range", "_local", "_off").orderBy(position))
 
 
 def suppressed_entities(sl: DataFrame, metric_col: str, part: str = "period",

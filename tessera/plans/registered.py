@@ -1073,4 +1073,4 @@ def summary_companies(spark, sf_dir):
 
 
 # Queries over files and stored tables register themselves in the same tables.
-from . import registered_sources  # noqa: E402, F401
+from . import registered_sources, registered_views  # noqa: E402, F401
