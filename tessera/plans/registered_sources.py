@@ -225,3 +225,87 @@ def newest_by_content(spark, sf_dir):
         "layout", "period").agg(F.count(F.lit(1)).alias("n_pulls"))
     return FS.newest_pulls(found).join(counts, ["layout", "period"]).select(
         "layout", "period", "path", "pull_ts", "period_by", "n_pulls")
+
+
+# ---------------------------------------------------------------- headers of a workbook
+ALL_B = SF.HEADER_TEXT | SF.MORE_HEADERS
+_RULES_SQL = ", ".join(
+    f"('{layout}', {i + 1}, '{key}')" for layout, texts in (("B", ALL_B), ("A", SF.HEADER_TEXT_A))
+    for i, key in enumerate(texts))
+
+
+@register("header_rules", f"""
+WITH {K_SQL}, r AS (SELECT * FROM (VALUES {_RULES_SQL}) t(layout, col_no, key))
+SELECT 'in/' || naic || '_' || period || '.xlsx' AS path, CAST(col_no AS INTEGER) AS col_no, key,
+       CASE WHEN key IN ('naic', 'company', 'policy_type') THEN 'dim' ELSE 'metric' END AS role
+FROM k JOIN r ON r.layout = CASE WHEN k % 2 = 1 THEN 'A' ELSE 'B' END""")
+def header_rules(spark, sf_dir):
+    """Every header rule of both layouts, the claims, lawsuit, hurricane and wind
+    columns included, on a workbook for each entity and quarter."""
+    files = _sheets(spark, sf_dir).select(
+        F.concat(F.lit("in/"), "naic", F.lit("_"), "period", F.lit(".xlsx")).alias("path"),
+        F.lit("Market share").alias("title"), F.when(F.col("k") % 2 == 1, "A").otherwise("B").alias("kind"))
+    texts = {"B": list(ALL_B.values()), "A": list(SF.HEADER_TEXT_A.values())}
+    heads = materialize(SF.sheet_heads(files, texts), "heads")
+    layouts = files.select("path", F.col("kind").alias("layout"))
+    return G.classify_headers(heads, layouts).select("path", "col_no", "key", "role")
+
+
+#: What is wrong with a workbook's headers: without a header row, without a dimension column,
+#: with two columns of one key, with nothing.
+BROKEN = {"none": ["No", "header", "here"],
+          "dims": ["Company Name", "Policy Type", "Total Value of Exposure"],
+          "twice": ["NAIC Code", "Company Name", "Policy Type", "Total Value of Exposure",
+                    "Value of Exposure ($)", "Direct Premium Written", "Direct  Premium Written ($)"],
+          "fine": ["NAIC Code", "Company Name", "Policy Type", "Total Value of Exposure"]}
+
+
+@register("rejected_workbooks", f"""
+WITH {K_SQL}
+SELECT 'in/by_company_and_policy_type_' || naic || '_' || yr || 'q' || qtr || '.xlsx' AS path,
+       CASE k % 4 WHEN 0 THEN 'no_header' WHEN 1 THEN 'missing_dims' ELSE 'collision' END AS code,
+       CASE k % 4 WHEN 0 THEN 'no header row found; skipped'
+                  WHEN 1 THEN 'missing dim columns: naic' ELSE c.detail END AS detail
+FROM k LEFT JOIN (VALUES (2, 'dpw: 6,7'), (2, 'tiv: 4,5')) c(k4, detail) ON c.k4 = k % 4
+WHERE k % 4 <> 3""")
+def rejected_workbooks(spark, sf_dir):
+    """N4, Q-D and N15: workbooks without a header row or a dimension column, and columns
+    that share a key."""
+    k = F.col("k") % 4
+    files = _sheets(spark, sf_dir).select(
+        F.concat(F.lit("in/by_company_and_policy_type_"), "naic", F.lit("_"), F.col("y").cast("string"),
+                 F.lit("q"), F.col("q").cast("string"), F.lit(".xlsx")).alias("path"),
+        F.lit("Market share").alias("title"),
+        F.when(k == 0, "none").when(k == 1, "dims").when(k == 2, "twice").otherwise("fine").alias("kind"))
+    heads = materialize(SF.sheet_heads(files, BROKEN).where("row_no > 0"), "heads")
+    parsed = G.parse_grid(heads, FS.describe_files(files.select("path")), "B")
+    twice = parsed["collisions"].select("path", F.lit("collision").alias("code"), F.concat(
+        "key", F.lit(": "), F.array_join(F.col("col_nos").cast("array<string>"), ",")).alias("detail"))
+    return parsed["warnings"].select("path", "code", "detail").unionByName(twice)
+
+
+@register("titles_and_pulls", f"""
+WITH {K_SQL}
+SELECT 'in/' || naic || '_' || period || '.xlsx' AS path, 'Market share ' || period AS title,
+       CASE k % 3 WHEN 0 THEN CAST(1 + k % 12 AS VARCHAR) || '/15/' || yr
+                  WHEN 1 THEN 'as of ' || period ELSE '' END AS pulled
+FROM k""")
+def titles_and_pulls(spark, sf_dir):
+    """SRC7: title and pull date of every workbook, with a date in the note, with other text
+    there, and without a note."""
+    k = F.col("k") % 3
+    files = _sheets(spark, sf_dir).select(
+        F.concat(F.lit("in/"), "naic", F.lit("_"), "period", F.lit(".xlsx")).alias("path"),
+        F.concat(F.lit("Market share "), "period").alias("title"),
+        F.when(k == 0, F.concat(F.lit("(DATA pulled on "), (1 + F.col("k") % 12).cast("string"),
+                                F.lit("/15/"), F.col("y").cast("string"), F.lit(")")))
+         .when(k == 1, F.concat(F.lit(" as of "), "period", F.lit(" "))).alias("note"))
+    none = F.map_from_arrays(F.array(F.lit(1)), F.array(F.struct(
+        F.lit("s").alias("kind"), F.col("title").alias("raw"))))
+    note = F.map_from_arrays(F.array(F.lit(1)), F.array(F.struct(
+        F.lit("s").alias("kind"), F.col("note").alias("raw"))))
+    rows = files.select("path", F.explode(F.array(
+        F.struct(F.lit(1).alias("row_no"), none.alias("cells")),
+        F.struct(F.lit(2).alias("row_no"), F.when(F.col("note").isNotNull(), note).alias("cells"))))
+        .alias("r")).select("path", "r.row_no", "r.cells").where("cells IS NOT NULL")
+    return FS.title_and_pulled(rows)

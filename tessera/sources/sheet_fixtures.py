@@ -43,6 +43,24 @@ HEADER_TEXT_A = {
     "a_dpw_commercial": "Direct Premium Written for Policies in Force that are Commercial ($)",
     "a_dpw_personal": "Direct Premium Written for\nPolicies in Force that are Personal ($)",
 }
+# A header text for every further Layout-B key, each meeting its rule only after
+# normalisation or only because rules are tried in order.
+MORE_HEADERS = {
+    "pif_excl_wind": "Number of Policies in Force that\nExclude Wind",
+    "pif_incl_wind": "NUMBER OF POLICIES IN FORCE that Include  Wind",
+    "cancelled_hurricane": "Policies Canceled due to Hurricane",
+    "nonrenewed_hurricane": "Number of Policies Nonrenewed Due to Hurricane",
+    "tiv_excl_wind": "Total Value of Exposure for Policies in Force that Exclude Wind ($)",
+    "dpw_excl_wind": "Direct Premium Written for Policies in Force that Exclude Wind",
+    "dpw_incl_wind": "Direct\u00a0Premium Written for Policies in Force that Include Wind",
+    "claims_opened": "Total Number of Claims Opened",
+    "claims_closed": "Total number of claims\n closed in the quarter",
+    "claims_pending": "total number of claims pending",
+    "lawsuits_closed_consumer": "Number of Lawsuits Closed with Consideration to the Consumer",
+    "lawsuits_closed": "Number of Lawsuits Closed",
+    "lawsuits_opened": "Number of Lawsuits Opened",
+    "lawsuits_open_end": "Lawsuits Open at End of Quarter",
+}
 MONEY_DIGITS = {"tiv": 2, "tiv_incl_wind": 2, "dpw": 4, "a_dpw": 4, "a_dpw_commercial": 4,
                 "a_dpw_personal": 4}
 HEADER_ROW = 4
