@@ -30,7 +30,9 @@ null items are ignored; items with equal ids are looked at one by one.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,18 +96,18 @@ class Vocabulary:
         self.ends = Growing(bool)
         self.hash, self.kind = Growing(np.uint64), Growing(np.int8)
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: Iterable[str]) -> None:
         first, count, ends, hashes, kinds = [], [], [], [], []
-        at = self.hash.n
+        at, ids, digest = self.hash.n, self.ids, xxhash.xxh64_intdigest
         for word in words:
-            self.ids[word] = len(self.ids)
+            ids[word] = len(ids)
             first.append(at + len(hashes))
             stem = word.rstrip(CLOSING)
-            ends.append(len(stem) < len(word) and ENDS.search(word) is not None)
+            ends.append(stem != word and ENDS.search(word) is not None)
             if stem.isalpha():  # the common case: one run of letters
                 low = stem.lower()
                 count.append(1)
-                hashes.append(_hash(low))
+                hashes.append(digest(low, 7))  # letters always have a UTF-8 form
                 kinds.append(LITERAL if low == stem and low not in SPECIAL else _kind(stem, True))
                 continue
             pieces = PIECE.findall(word)
@@ -123,11 +125,12 @@ class Vocabulary:
         words = text.split() if text else []
         if len(self.ids) > self.size:
             self.clear()
-        ids = list(map(self.ids.get, words))
-        if None in ids:
-            self._learn({w for w, i in zip(words, ids, strict=True) if i is None})
-            ids = list(map(self.ids.__getitem__, words))
-        ids = np.array(ids, np.int64)
+        ids = np.fromiter(map(self.ids.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(ids < 0)
+        if len(new):
+            unknown = [words[k] for k in new.tolist()]
+            self._learn(dict.fromkeys(unknown))
+            ids[new] = np.fromiter(map(self.ids.__getitem__, unknown), np.int64, len(new))
         n = self.count.data[ids]
         total = int(n.sum())
         if not total:
