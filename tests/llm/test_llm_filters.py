@@ -276,7 +276,7 @@ def test_held_out_quality(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     told = QUERIES[name](spark, SF)
     cols = sorted(told.columns)
