@@ -153,3 +153,27 @@ def sorted_dimensions(spark, sf_dir):
                                             F.col(value).alias("value"))
              for kind, df, order, value in lists]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# ---------------------------------------------------------------- export
+@register("csv_export", O.with_panel(f"""
+SELECT period, rank, naic, coalesce(company, '') AS company, value FROM (
+  SELECT v.period, CAST(row_number() OVER (PARTITION BY v.period ORDER BY v.value DESC, {tie('v.naic')})
+                        AS BIGINT) AS rank,
+         v.naic, coalesce(c.name, v.naic) || CASE WHEN v.naic LIKE '%5' THEN ', "Inc"' ELSE '' END
+           AS company, v.value
+  FROM ({base_values_sql('tiv')}) v LEFT JOIN companies c ON c.naic = v.naic
+  WHERE v.value IS NOT NULL)""", COMPANIES_SQL))
+def csv_export(spark, sf_dir):
+    """SNK2: a full ranking, with names that need quoting, exported as CSV under label headers
+    and read back by Spark's reader."""
+    fl = panel(spark, sf_dir, "period", "naic", "company", "tiv")
+    ranked = R.with_names(R.rank_top(M.entity_values(fl, "tiv"), None), D.companies(fl))
+    hard = F.when(F.col("naic").endswith("5"), F.lit(', "Inc"')).otherwise("")
+    view = ranked.select("period", "rank", "naic", F.concat("company", hard).alias("company"), "value")
+    path = shared_path(spark, f"csv-{uuid.uuid4().hex}")
+    labels = {"period": "Quarter", "rank": "Rank", "naic": "NAIC", "company": "Company", "value": "TIV ($)"}
+    sinks.export_csv(view, path, labels)
+    back = spark.read.option("header", True).option("escape", '"').schema(
+        "`Quarter` string, `Rank` long, `NAIC` string, `Company` string, `TIV ($)` double").csv(path)
+    return back.toDF(*labels)
