@@ -4,7 +4,9 @@ Rules that hold for all operators of this subpackage:
 
 * a null text counts as an empty one; a null key is a key of its own;
 * only the named columns are read, so further columns, whatever their names,
-  pass by (row-wise operators) or are left out (operators with own output);
+  pass by (row-wise operators) or are left out (operators with own output); where an
+  operator adds a column whose name is taken, the input's column stays and the new one
+  gets a number (``score_2``);
 * intermediates that a later step reads twice are written under the folder of
   ``spark.checkpoint.dir`` (``tessera.session.materialize``).
 """
@@ -154,12 +156,23 @@ def without_keys(docs: DataFrame, key: str, gone: DataFrame, gone_key: str) -> D
     Rows that are certainly not in it, by the bounded set of hashes, stay where they
     are; only the others meet the exact keys in a join."""
     named = gone.select(F.col(gone_key).alias("_gone"))
-    own = docs.withColumn("_key", F.col(f"`{key}`"))
+    # A row travels as one value, so its columns meet no name of this function.
+    own = docs.select(F.struct("*").alias("_row"), F.col(f"`{key}`").alias("_key"))
     marked = with_probable(own, probable_set(named, "_gone"), "_key")
     sure = marked.where("NOT _probable")
     doubtful = marked.where("_probable").join(
         named, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
-    return sure.unionByName(doubtful).drop("_key", "_probable")
+    return sure.unionByName(doubtful).select("_row.*")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A name for a new column: ``name``, or with the first number from 2 that is not taken."""
+    taken = {c.lower() for c in docs.columns}
+    number = 2
+    out = name
+    while out.lower() in taken:
+        out, number = f"{name}_{number}", number + 1
+    return out
 
 
 # -- files in the shared folder ------------------------------------------------

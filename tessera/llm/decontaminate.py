@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Growing, mix64, rolling, text_slices
+from tessera.llm.common import Growing, free_name, mix64, rolling, text_slices
 
 WINDOW, MIN_LITERAL, MIN_RUN, MIN_COVER = 8, 5, 12, 0.6
 BLOCK_CHARS = 8 << 20
@@ -322,21 +322,22 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: st
          item_text: str = "text", block_chars: int = BLOCK_CHARS,
          settings: Settings = Settings()) -> DataFrame:
     """The rows with ``items`` (ids of the items held), ``longest_run``, ``cover`` and
-    ``contaminated``."""
-    out, names = docs, []
+    ``contaminated``. If a name is taken, the input's column stays and the new one gets a
+    number (``items_2``)."""
+    out, names = docs.select(F.struct("*").alias("_row"), F.col(f"`{text}`").alias("_text")), []
     for k, block in enumerate(blocks_of(benchmark, item_key, item_text, block_chars)):
         names.append(f"_found{k}")
         out = out.withColumn(names[-1], _finder(docs.sparkSession, Table(block, settings))(
-            F.col(f"`{text}`")))
+            F.col("_text")))
     items = F.array_sort(F.array_distinct(F.concat(*(F.col(f"{n}.items") for n in names))))
 
     def most(field):
         cols = [F.col(f"{n}.{field}") for n in names]
         return F.greatest(*cols) if len(cols) > 1 else cols[0]
 
-    out = out.withColumns({"items": items, "longest_run": most("longest_run"),
-                           "cover": most("cover"), "contaminated": most("longest_run") > 0})
-    return out.drop(*names)
+    told = {"items": items, "longest_run": most("longest_run"), "cover": most("cover"),
+            "contaminated": most("longest_run") > 0}
+    return out.select("_row.*", *[c.alias(free_name(docs, n)) for n, c in told.items()])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **settings) -> DataFrame:

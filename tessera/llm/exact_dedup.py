@@ -115,20 +115,22 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text",
     mixed = gone.where("stay > 0").select(F.col("key").alias("_gone"))
     if mixed.isEmpty():
         return kept
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_gone"))
     winners = marks.where("kept").select(
         F.col("key").alias("_key"), F.col("length").alias("_length"),
         F.col("prefix").alias("_prefix"), F.col("full_hash").alias("_hash"))
-    again = docs.join(mixed, same, "left_semi").withColumn("_all", F.to_json(F.struct("*")))
-    raw = text_or_empty(text)
+    # A row travels as one value, so its columns meet no name of this function.
+    again = docs.select(F.struct("*").alias("_row"), F.col(f"`{key}`").alias("_own")).join(
+        mixed, F.col("_own").eqNullSafe(F.col("_gone")), "left_semi").withColumn(
+        "_all", F.to_json("_row"))
+    raw = text_or_empty(F.col(f"_row.`{text}`"))
     norm = F.translate(raw, SEPARATORS, "")
     again = again.withColumns({
         "_l": F.length(norm), "_p": F.xxhash64(F.substring(norm, 1, prefix_chars)),
         "_h": F.sha2(norm.cast("binary"), 256), "_size": F.length(raw)})
-    on = (F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.col("_l") == F.col("_length"))
+    on = (F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_l") == F.col("_length"))
           & (F.col("_p") == F.col("_prefix"))
           & (F.col("_hash").isNull() | (F.col("_hash") == F.col("_h"))))
     nth = F.row_number().over(Window.partitionBy("_key", "_h")
                               .orderBy(F.col("_size").desc(), "_all"))
     again = again.join(winners, on).withColumn("_nth", nth).where("_nth = 1")
-    return kept.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return kept.unionByName(again.select("_row.*"))

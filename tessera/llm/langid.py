@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_slices, texts_in
+from tessera.llm.common import free_name, text_slices, texts_in
 from tessera.session import materialize
 
 UNDETERMINED = "und"
@@ -160,10 +160,13 @@ def predictor(spark: SparkSession, model: Model):
 
 def identify(docs: DataFrame, model: Model, text: str | Column = "text",
              lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The rows with two more columns: predicted label and its posterior."""
-    col = F.col(text) if isinstance(text, str) else text
-    told = docs.withColumn("_told", predictor(docs.sparkSession, model)(col))
-    return told.withColumns({lang: F.col("_told.lang"), score: F.col("_told.score")}).drop("_told")
+    """The rows with two more columns: predicted label and its posterior. If a name is
+    taken, the input's column stays and the new one gets a number (``score_2``)."""
+    col = F.col(f"`{text}`") if isinstance(text, str) else text
+    told = docs.select(F.struct("*").alias("_row"),
+                       predictor(docs.sparkSession, model)(col).alias("_told"))
+    return told.select("_row.*", F.col("_told.lang").alias(free_name(docs, lang)),
+                       F.col("_told.score").alias(free_name(docs, score)))
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text",

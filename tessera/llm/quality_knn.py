@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Growing, text_slices
+from tessera.llm.common import Growing, free_name, text_slices
 
 WORDS, SHAPES, PAIRS, REPEATS = 2048, 512, 1024, 16
 FEATURES = WORDS + SHAPES + PAIRS + REPEATS
@@ -240,5 +240,7 @@ def scorer(spark: SparkSession, model: Model):
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """The rows with their score."""
-    return docs.withColumn(name, scorer(docs.sparkSession, model)(F.col(f"`{text}`")))
+    """The rows with their score. If the name is taken, the input's column stays and the new
+    one gets a number (``score_2``)."""
+    return docs.withColumn(free_name(docs, name),
+                           scorer(docs.sparkSession, model)(F.col(f"`{text}`")))

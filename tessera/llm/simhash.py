@@ -178,12 +178,14 @@ def _signed(x: int) -> int:
 
 def _dealt(rows: DataFrame, limit: int, frees: list[int]) -> DataFrame:
     """Each row once for each block of its free bits, with that block fixed."""
-    out = F.lit(None).cast("array<bigint>")
+    after = []
     for free in frees:
         bits = [b for b in range(64) if free >> b & 1]
-        after = [F.lit(_signed(free & ~block)).cast("long") for block in _blocks(bits, limit + 1)]
-        out = F.when(F.col("free") == F.lit(_signed(free)).cast("long"),
-                     F.array(*after)).otherwise(out)
+        after += [F.lit(_signed(free)).cast("long"),
+                  F.array(*[F.lit(_signed(free & ~block)).cast("long")
+                            for block in _blocks(bits, limit + 1)])]
+    # One flat map: a chain of conditions would nest as deep as there are masks.
+    out = F.try_element_at(F.create_map(*after), F.col("free"))
     return rows.select("print", F.explode(out).alias("free"))
 
 

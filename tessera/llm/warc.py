@@ -41,7 +41,7 @@ from tessera.llm.common import (
 )
 from tessera.session import materialize
 
-SEGMENT_BYTES = 64 << 10
+SEGMENT_BYTES = 8 << 10
 CHUNK_BYTES = 8 << 10
 FILE_BYTES = 32 << 20
 READ_BYTES = 1 << 20

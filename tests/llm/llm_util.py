@@ -5,7 +5,9 @@ import random
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use themselves.
 CLASHING = ["key", "raw", "size", "prefix", "print", "free", "component", "label", "score",
-            "chunk", "words", "n", "ids", "start", "_text", "items", "cover", "host"]
+            "chunk", "words", "n", "ids", "start", "_text", "items", "cover", "host", "_row", "_key",
+            "_gone", "_bit", "_probable", "_set_row", "_all", "_h", "_own", "_told", "_found0", "row",
+            "told", "lang_pred", "contaminated", "longest_run"]
 
 
 def prose(rng: random.Random, n: int) -> str:

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from llm_util import awkward, awkward_rows
+from llm_util import CLASHING, awkward, awkward_rows
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -80,3 +80,19 @@ def test_written_files(tmp_path):
     with pytest.raises(RuntimeError):
         common.write_file(folder, "y.bin", broken())
     assert not (tmp_path / "a/b/y.bin").exists()
+
+
+def test_rows_keep_every_column(spark):
+    """Columns named like the operators' own come through with their values."""
+    from tessera.llm import decontaminate, exact_dedup, simhash
+    docs = awkward(spark)
+    items = spark.createDataFrame([(1, "no document holds this one item of ten words here")],
+                                  "item_id long, text string")
+    for kept in (exact_dedup.deduplicate(docs), simhash.representatives(docs),
+                 decontaminate.clean(docs, items)):
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[c] == "x" for r in rows for c in CLASHING)
+    told = decontaminate.mark(docs, items)
+    assert told.columns == [*docs.columns, "items_2", "longest_run_2", "cover_2", "contaminated_2"]
+    assert {(r.items, r.contaminated_2) for r in told.collect()} == {("x", False)}

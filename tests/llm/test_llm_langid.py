@@ -40,10 +40,11 @@ def test_predictions_and_awkward_rows(spark):
     model = model_of(spark)
     for lang, t in TEXTS:
         assert model.predict(t)[0] == lang
-    told = {r.doc_id: r for r in langid.identify(awkward(spark, clashing=False), model).collect()}
+    told = {r.doc_id: r for r in langid.identify(awkward(spark), model).collect()}
     for doc in (23, 24, 25, 26):
-        assert (told[doc].lang_pred, told[doc].score) == ("und", 0.0)
-    assert told[30].lang_pred != "und" and 0 < told[27].score <= 1
+        assert (told[doc].lang_pred_2, told[doc].score_2) == ("und", 0.0)
+        assert (told[doc].lang_pred, told[doc].score) == ("x", "x")
+    assert told[30].lang_pred_2 != "und" and 0 < told[27].score_2 <= 1
     kept = langid.keep_identified(awkward(spark), model, min_score=0.0)
     assert kept.columns == awkward(spark).columns
     assert {23, 24, 25, 26}.isdisjoint({r.doc_id for r in kept.collect()})
@@ -51,8 +52,8 @@ def test_predictions_and_awkward_rows(spark):
 
 def test_no_training_rows_and_too_many_labels(spark):
     model = model_of(spark, [])
-    told = langid.identify(awkward(spark, clashing=False), model).collect()
-    assert {r.lang_pred for r in told} == {"und"}
+    told = langid.identify(awkward(spark), model).collect()
+    assert {r.lang_pred_2 for r in told} == {"und"}
     assert langid.identify(empty(spark), model_of(spark)).count() == 0
     with pytest.raises(ValueError, match="bounded"):
         langid.train(awkward(spark, [(i, "ab", f"l{i}", "s", 1) for i in range(5)]), max_labels=4)

@@ -42,7 +42,6 @@ def brute(rows):
 def test_run_matches_brute_force(spark, folder):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     path, rows = folder
     want = brute(rows)
     pieces = corpus_pipeline.run(spark, path).collect()
@@ -66,4 +65,4 @@ def test_registered():
     import __spark_entry__ as entry
     names = set(entry.queries())
     assert "pipeline" in names and set(QUERIES) <= names
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))

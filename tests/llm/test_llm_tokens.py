@@ -20,7 +20,6 @@ from tessera.llm.tokens import Encoder
 def plain():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: list(t.encode(text or "", add_special_tokens=False).ids)
 
 
