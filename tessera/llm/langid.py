@@ -172,7 +172,10 @@ def identify(docs: DataFrame, model: Model, text: str | Column = "text",
 def keep_identified(docs: DataFrame, model: Model, text: str = "text",
                     min_score: float = 0.5) -> DataFrame:
     """The rows whose language was told with a posterior of ``min_score`` or more, with all
-    their columns; texts without a letter go."""
+    their columns; texts without a letter go. A model that knows no label tells nothing about
+    any text: then every text with a letter stays."""
+    if not model.labels:
+        return docs.where(F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"\p{L}"))
     own = docs.select(F.struct("*").alias("_row"), F.col(f"`{text}`").alias("_text"))
     told = identify(own, model, "_text", "_lang", "_score")
     return told.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= min_score)).select(

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from llm_util import awkward, empty
+from llm_util import awkward, awkward_rows, empty
 
 from tessera.llm import langid
 
@@ -55,6 +55,8 @@ def test_no_training_rows_and_too_many_labels(spark):
     told = langid.identify(awkward(spark), model).collect()
     assert {r.lang_pred_2 for r in told} == {"und"}
     assert langid.identify(empty(spark), model_of(spark)).count() == 0
+    kept = langid.keep_identified(awkward(spark), model)
+    assert kept.count() == len([t for _, t, *_ in awkward_rows() if any(c.isalpha() for c in t or "")])
     with pytest.raises(ValueError, match="bounded"):
         langid.train(awkward(spark, [(i, "ab", f"l{i}", "s", 1) for i in range(5)]), max_labels=4)
 
