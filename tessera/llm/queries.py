@@ -281,6 +281,7 @@ _CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT,
       lambda t, i: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END)), 4294967295)"""
 
 
+# The twin's parent is DOUBLE: that is what a nullable whole number of Spark becomes in pandas.
 @query("op12_conversation_trie", rf"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -313,7 +314,7 @@ up AS (SELECT list_slice(node, 1, d) AS node, saved, n_children FROM (
          SELECT node, saved, n_children, unnest(range(depth + 1)) AS d FROM told)),
 sums AS (SELECT node, sum(saved)::BIGINT AS saved_tokens,
                 count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY node)
-SELECT told.conv_id, told.depth, parent.conv_id AS parent_conv_id, told.n_convs, told.n_children,
+SELECT told.conv_id, told.depth, parent.conv_id::DOUBLE AS parent_conv_id, told.n_convs, told.n_children,
        n_leaves, saved_tokens, told.ends_sha256
 FROM told JOIN sums USING (node)
 LEFT JOIN nodes parent ON told.depth > 0 AND parent.depth = told.depth - 1
