@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Language ID, SimHash and packing have no SQL form; see tests/llm/test_pipeline.py.
+#: Language ID, SimHash and packing have no SQL form; see tests/llm/test_llm_pipeline.py.
 ORACLE_SQL = None
 
 
