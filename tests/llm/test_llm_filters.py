@@ -142,30 +142,120 @@ def test_verbatim_reparameterised_and_inconsistent(spark):
         pad[7] + " ".join(one.split()[:6]) + " " + pad[8],
         pad[9], None, "", ITEMS[5][1], "Short item only", ITEMS[6][1]])
     assert [c for c, _ in told] == [True, True, True, True, True, False, False, False, False, True,
-                                    False, True]
-    assert [i for _, i in told] == [[1], [1], [2], [1], [1], [], [], [], [], [6], [], []]
+                                    True, True]
+    assert [i for _, i in told] == [[1], [1], [2], [1], [1], [], [], [], [], [6], [3], []]
+
+
+def told_of(item, text, settings=decontaminate.Settings(), before=("some other text. ",)):
+    """Run and cover of an item in the last of some texts: windows joined by a dictionary."""
+    v = decontaminate.Vocabulary()
+    rows = [r for b in decontaminate.item_windows(v, 1, 2, item, settings) for r in b.to_pylist()]
+    if not rows:
+        return None
+    every = decontaminate.Bits(3, np.full(1, 255, np.uint8))
+    hits = [r for b in decontaminate.document_windows(
+        v, [0] * len(before) + [1], [0] * len(before) + [1], [*before, text], [rows[0]["size"]],
+        every, settings) for r in b.to_pylist() if r["d1"] == 1]
+    both = [a | b for a in rows for b in hits if a["h"] == b["h"]]
+    if not both:
+        return None
+    array = {n: np.array([r[n] for r in both]) for n in ("form", "place", "at")}
+    wide = {n: np.stack([np.frombuffer(r[n], k) for r in both]) for n, k in (
+        ("own", np.uint64), ("there", np.uint64), ("plain", np.int8), ("named", np.int8))}
+    return decontaminate.judge(rows[0]["total"], rows[0]["size"], **array, **wide, settings=settings)
+
+
+SHORT = ["Who wrote Hamlet?", "Define photosynthesis.", "Warum?", "Short item only.", "What is 7?"]
+
+
+@pytest.mark.parametrize("item", SHORT)
+def test_short_items_count_where_they_stand_alone(item):
+    for text in (item, item.lower(), f"It began. {item} Then it ended.", f"Asked: {item}",
+                 f"One said ... {item} And so on"):
+        assert told_of(item, text) == (len(item.split()), 1.0)
+    stem = item.rstrip("?.")
+    for text in (f"he asked {stem} and left", f"{stem} by chance, and so on", f"and then {item}"):
+        assert told_of(item, text) is None
+    assert told_of(item, "", before=(item,)) is None
+
+
+NUMBERED = {
+    "five apples and three pears cost twenty-five dollars so how many days until nothing is left":
+        "seven apples and four pears cost thirty-two dollars so how many days until nothing is left",
+    "wie lange braucht er für fünf lange wege wenn er für drei kurze wege zwanzig minuten braucht":
+        "wie lange braucht er für sieben lange wege wenn er für vier kurze wege dreißig minuten braucht",
+    "combien de temps faut il pour cinq tours si trois tours prennent vingt-deux minutes en tout":
+        "combien de temps faut il pour sept tours si quatre tours prennent trente heures en tout",
+    "cuánto tiempo necesita para cinco vueltas si tres vueltas cuestan veinte minutos en total":
+        "cuánto tiempo necesita para siete vueltas si cuatro vueltas cuestan treinta horas en total",
+}
+
+
+@pytest.mark.parametrize("item", NUMBERED)
+def test_spelled_numbers_and_units_of_four_languages(item):
+    run, cover = told_of(item, "a text. " + NUMBERED[item])
+    assert run >= 12 and cover > 0.9
+
+
+def test_compound_numbers():
+    for word in ("twenty-five", "fünfundzwanzig", "einundzwanzig", "vingt-et-un", "veintidós"):
+        assert decontaminate._is_number(word)
+    for word in ("hund", "undertow", "veint", "co-op", "grundig", "und"):
+        assert not decontaminate._is_number(word)
+
+
+def test_windows_stay_in_their_text():
+    item = ITEMS[0][1]
+    words = item.split()
+    assert told_of(item, " ".join(words[7:14]), before=(" ".join(words[:7]),)) is None
+    assert told_of(item, item, before=(None, "", item)) == (len(words), 1.0)
+
+
+def plain_cover(item, text):
+    """Longest run and cover of raw windows of eight tokens on one diagonal, by brute force."""
+    a, b, best = item.split(), text.split(), (0, 0.0)
+    size = min(8, len(a))
+    for shift in range(-len(a), len(b) + 1):
+        held = [False] * len(a)
+        for p in range(len(a) - size + 1):
+            if 0 <= p + shift <= len(b) - size and a[p:p + size] == b[p + shift:p + shift + size]:
+                held[p:p + size] = [True] * size
+        run = longest = 0
+        for h in held:
+            run = run + 1 if h else 0
+            longest = max(longest, run)
+        best = max(best, (longest, sum(held) / len(a)))
+    return best
+
+
+def test_random_edits_match_brute_force():
+    rng = random.Random(5)
+    for _ in range(150):
+        item = prose(rng, rng.randint(5, 30))
+        words = item.split()
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(words) + 1)
+            words[k:k + rng.randint(0, 1)] = [rng.choice(["xx", "yy", "zz"])] * rng.randint(0, 2)
+        text = prose(rng, 5) + " " + " ".join(words) + " " + prose(rng, 5)
+        run, cover = plain_cover(item, text)
+        enough = run and (run >= min(12, len(item.split())) or cover >= 0.6)
+        told = told_of(item, text)
+        assert (told is not None) == bool(enough)
+        if told:
+            assert told == (run, pytest.approx(cover))
 
 
 def test_slots_must_be_consistent():
     own = ("the red train left town at 5 and the blue train left town at 5 while the green train "
            "left town at 5 again")
     settings = decontaminate.Settings(min_cover=0.9, min_run=20)
-    table = decontaminate.Table([(1, own)], settings)
-    v = decontaminate.Vocabulary()
-    assert table.matches(*v.tokens(own.replace("5", "9")))
-    assert not table.matches(*v.tokens(own.replace("5", "9", 1).replace("at 5 while", "at 7 while")))
+    assert told_of(own, own.replace("5", "9"), settings)
+    assert not told_of(own, own.replace("5", "9", 1).replace("at 5 while", "at 7 while"), settings)
 
 
 def test_names_alone_match_nothing():
-    table = decontaminate.Table([(1, "we met Ann Bob Cid Dan Eve Fay Gus Hal Ike and Jo at 5 km")],
-                                decontaminate.Settings())
-    v = decontaminate.Vocabulary()
-    assert not table.matches(*v.tokens("they saw Kim Lou Max Ned Oli Pat Quin Rob Sam and Tom at 7 km"))
-
-
-def told_of(item, text):
-    v = decontaminate.Vocabulary()
-    return decontaminate.Table([(1, item)], decontaminate.Settings()).matches(*v.tokens(text))
+    assert not told_of("we met Ann Bob Cid Dan Eve Fay Gus Hal Ike and Jo at 5 km",
+                       "they saw Kim Lou Max Ned Oli Pat Quin Rob Sam and Tom at 7 km")
 
 
 DENSE = [
@@ -196,11 +286,31 @@ def test_names_that_open_sentences():
     assert told_of(german, "und dann: " + german.lower())
 
 
-def test_blocks_give_the_same_result(spark):
-    texts = [t for _, t in ITEMS if t]
+def test_set_of_hash_bits_changes_no_result(spark):
+    texts = [t for _, t in ITEMS if t] + ["clean words that nobody asked about, not even once here"]
     one = found(spark, texts)
-    assert found(spark, texts, block_chars=100) == one
-    assert sum(c for c, _ in one) == 4
+    assert found(spark, texts, filter_bits=8) == one  # lets all windows through
+    assert [c for c, _ in one] == [True] * 5 + [False]
+
+
+def test_set_of_hash_bits_holds_every_key(spark):
+    keys = [k * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(5000)]
+    frame = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "h long")
+    bits = decontaminate.bits_of(frame, 1 << 29)
+    assert len(bits.may_hold(np.array(keys, np.uint64))) == len(keys)
+    others = np.array([k ^ 0x5555555555555555 for k in keys], np.uint64)
+    assert bits.width == 18 and len(bits.may_hold(others)) < 100
+
+
+def test_equal_items_and_equal_documents(spark):
+    item = ITEMS[0][1]
+    docs = spark.createDataFrame([(k, f"x. {item}. y") for k in range(300)] + [(900, "z")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(9, item), (4, item), (4, item), (None, item)],
+                                  "item_id long, text string")
+    rows = decontaminate.mark(docs, items).collect()
+    assert len(rows) == 301
+    assert {(r.doc_id == 900, tuple(r["items"])) for r in rows} == {(False, (4, 9)), (True, ())}
 
 
 def test_awkward_rows_and_columns(spark):
