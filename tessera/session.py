@@ -51,8 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
+            sc.setCheckpointDir(current)  # a bare path is one of the default file system
+        return sc.getCheckpointDir() or current
     if not is_single_process(sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share; "
                          "intermediates are written there")
