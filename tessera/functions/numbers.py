@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col
+from .text import WHITE, _col
 
 # A plain decimal number with optional sign and exponent. Everything else
 # ('nan', 'inf', '1_000', '12%', '(12)', '1.0d') is not a number here, although
@@ -18,7 +18,7 @@ EXACT_DECIMALS = 12
 
 
 def stripped(c) -> Column:
-    return F.regexp_replace(_col(c).cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c).cast("string"), F.lit(WHITE))
 
 
 def is_suppressed(raw) -> Column:
@@ -33,7 +33,7 @@ def clean_number(raw, kind=None) -> Column:
     ``$``, ``,`` and any Unicode whitespace, then accept only a plain decimal
     number. Blank, '-', '.', and unparsable text give null.
     """
-    s = F.regexp_replace(_col(raw).cast("string"), r"(?U)[\$,\s]", "")
+    s = F.translate(_col(raw).cast("string"), "$," + WHITE, "")
     parsed = F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
     if kind is None:
         return parsed

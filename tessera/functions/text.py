@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .. import catalog as C
 
 
+#: The characters that ``(?U)\\s`` matches.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                          0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -25,7 +30,7 @@ def norm_header(c) -> Column:
 def clean_key(c) -> Column:
     """Text key — null → '', strip Unicode whitespace at both ends."""
     x = _col(c).cast("string")
-    return F.coalesce(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return F.coalesce(F.btrim(x, F.lit(WHITE)), F.lit(""))
 
 
 def segment_line(c) -> Column:

@@ -9,7 +9,9 @@ raw``) are gathered by ``rows_of`` first.
 Plan: header rows and header maps come from the first rows of each file. They end in one
 row per file with a map from key to column number (duplicate keys are resolved there,
 right-most column wins, Q6). The body meets that small table once, by path, and
-every key is a look-up in the row's own cells: no sheet row is shuffled or pivoted.
+every key is a look-up in the row's own cells: no sheet row is shuffled or pivoted. The
+metric cells are cleaned as one array, by one expression whatever the number of keys: one
+expression a key makes a method that is too long for the JVM to compile.
 """
 
 from __future__ import annotations
@@ -162,28 +164,34 @@ def parse_grid(grid: DataFrame, files: DataFrame, layout: str = "B",
     warnings = file_warnings(files, hdr, hmap)
     good = files.join(warnings.select("path"), "path", "left_anti")
     metric = F.when(F.col("role") == "metric", F.col("key"))
+    dims = DIMS[layout]
+    keys = C.layout_b_metric_keys() if layout == "B" else C.layout_a_metric_keys()
+    ordered = sorted(keys)
+    cols = F.map_from_entries(F.collect_list(F.struct("key", "col_no")))
     # One row per good file. Spark broadcasts it if it measures small, else joins by path.
     colmap = materialize(
         hmap.join(good.select("path", "period"), "path").join(hdr, "path")
             .groupBy("path", "period", "header_row")
-            .agg(F.map_from_entries(F.collect_list(F.struct("key", "col_no"))).alias("cols"),
-                 F.array_sort(F.collect_set(metric)).alias("present")), "colmap")
-    dims = DIMS[layout]
-    keys = C.layout_b_metric_keys() if layout == "B" else C.layout_a_metric_keys()
+            .agg(cols.alias("cols"), F.array_sort(F.collect_set(metric)).alias("present"))
+            .select("path", "period", "header_row", "present",
+                    *[F.try_element_at("cols", F.lit(d)).alias(f"_at_{d}") for d in dims],
+                    F.array(*[F.try_element_at("cols", F.lit(k)) for k in ordered]).alias("_at")),
+        "colmap")
     body = rows.join(colmap, "path").filter(F.col("row_no") > F.col("header_row"))
-
-    def cell(key: str) -> Column:
-        return F.try_element_at(F.col("cells"), F.try_element_at(F.col("cols"), F.lit(key)))
-
-    body = body.select("path", "period", "row_no", "present",
-                       *[cell(k).alias(f"_c_{k}") for k in dims + keys])
+    body = body.select(
+        "path", "period", "row_no", "present",
+        *[F.try_element_at("cells", F.col(f"_at_{d}"))["raw"].alias(f"_{d}") for d in dims],
+        F.transform("_at", lambda at: F.try_element_at(F.col("cells"), at)).alias("_cells"))
     # Q11 fix: suppression is tracked for Layout A as well as B.
-    sup = F.array_compact(F.array(*[F.when(is_suppressed(F.col(f"_c_{k}.raw")), F.lit(k))
-                                    for k in sorted(keys)]))
-    rows = body.select(
-        "path", "period", "row_no", "present", *[F.col(f"_c_{d}.raw").alias(f"_{d}") for d in dims],
-        *[clean_number(F.col(f"_c_{k}.raw"), F.col(f"_c_{k}.kind")).alias(k) for k in keys],
-        sup.alias("suppressed"))
+    names = F.array(*[F.lit(k) for k in ordered])
+    sup = F.array_compact(F.zip_with("_cells", names, lambda c, k: F.when(
+        c.isNotNull() & is_suppressed(c["raw"]), k)))
+    numbers = F.transform("_cells", lambda c: F.when(
+        c.isNotNull(), clean_number(c["raw"], c["kind"])))
+    rows = body.select("path", "period", "row_no", "present", *[f"_{d}" for d in dims],
+                       numbers.alias("_numbers"), sup.alias("suppressed"))
+    rows = rows.select("path", "period", "row_no", "present", *[f"_{d}" for d in dims],
+                       *[F.col("_numbers")[ordered.index(k)].alias(k) for k in keys], "suppressed")
     is_total = norm_header(F.col("_company")) == C.TOTAL_ROW_NAME
     rows = rows.withColumn("_is_total", is_total)
     # The footer; the last one of a file wins.

@@ -232,3 +232,11 @@ def test_table_schemas(spark):
         for table in ("facts", "totals"):
             want = StructType.fromDDL(G.table_schema(table, layout))
             assert parsed[table].dtypes == [(f.name, f.dataType.simpleString()) for f in want]
+
+
+def test_metric_cells_are_cleaned_by_one_expression(spark):
+    """An expression a metric makes a method that the JVM does not compile."""
+    grid = spark.createDataFrame([], G.ROWS_SCHEMA)
+    files = spark.createDataFrame([], "path string, layout string, period string")
+    plan = G.parse_grid(grid, files, "B")["facts"]._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.upper().count("RLIKE") <= 2
