@@ -7,13 +7,16 @@ its place, so a repeated task replaces it by an equal one and no reader sees hal
 
 from __future__ import annotations
 
+import bisect
+import functools
 import io
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
-from xml.sax.saxutils import escape
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +47,11 @@ PARTS = {
 }
 #: Rows that a sheet may have.
 MAX_ROWS = 1_048_576
+#: Rows that become text at once.
+ROWS_AT_ONCE = 2000
 
 
+@functools.cache
 def column_letters(n: int) -> str:
     out = ""
     while n:
@@ -54,14 +60,40 @@ def column_letters(n: int) -> str:
     return out
 
 
-def cell_xml(row: int, col: int, kind: str, raw: str) -> str:
-    ref = f"{column_letters(col)}{row}"
-    if kind in ("n", "d", "e"):
-        mark = "" if kind == "n" else f' t="{kind}"'
-        return f'<c r="{ref}"{mark}><v>{escape(raw)}</v></c>'
-    if kind == "b":
-        return f'<c r="{ref}" t="b"><v>{int(raw == "TRUE")}</v></c>'
-    return (f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(raw)}</t></is></c>')
+#: By kind of a cell (the last for text): what stands before its value, and after it.
+KINDS = pa.array(["n", "d", "e", "b"])
+OPEN = pa.array(['"><v>', '" t="d"><v>', '" t="e"><v>', '" t="b"><v>',
+                 '" t="inlineStr"><is><t xml:space="preserve">'])
+CLOSE = pa.array(["</v></c>"] * 4 + ["</t></is></c>"])
+
+
+def rows_xml(numbers: pa.Array, maps: pa.Array) -> pa.Array:
+    """The XML of sheet rows, from their numbers and their maps of cells (null: none)."""
+    numbers = numbers.cast(pa.int64())
+    if (pc.max(numbers).as_py() or 0) > MAX_ROWS:
+        raise ValueError(f"a sheet has at most {MAX_ROWS} rows; write further files")
+    if maps.null_count:
+        maps = maps.fill_null([])
+    edges = maps.offsets.to_numpy()
+    keys, items = (x.slice(edges[0], edges[-1] - edges[0]) for x in (maps.keys, maps.items))
+    edges = edges - edges[0]
+    columns, row = keys.to_numpy(), np.repeat(np.arange(len(numbers)), np.diff(edges))
+    order = pa.array(np.lexsort((columns, row)))
+    columns, known = np.unique(columns[order], return_inverse=True)
+    letters = pa.array([column_letters(c) for c in columns.tolist()], pa.string()).take(
+        pa.array(known))
+    kind, raw = (items.field(f).take(order) for f in ("kind", "raw"))
+    if raw.null_count:
+        raise ValueError("a cell without a value")
+    at = pc.fill_null(pc.index_in(kind, KINDS), len(KINDS))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        raw = pc.replace_substring(raw, sign, name)
+    raw = pc.if_else(pc.equal(at, 3), pc.if_else(pc.equal(raw, "TRUE"), "1", "0"), raw)
+    shown = numbers.cast(pa.string())
+    cells = pc.binary_join_element_wise('<c r="', letters, shown.take(pa.array(row)),
+                                        OPEN.take(at), raw, CLOSE.take(at), "")
+    held = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), cells), "")
+    return pc.binary_join_element_wise('<row r="', shown, '">', held, "</row>", "")
 
 
 class _Workbook:
@@ -73,16 +105,14 @@ class _Workbook:
         stamp = (1980, 1, 1, 0, 0, 0)  # equal rows make equal files
         for name, text in PARTS.items():
             self.archive.writestr(zipfile.ZipInfo(name, stamp), text)
-        self.sheet = self.archive.open(zipfile.ZipInfo("xl/worksheets/sheet1.xml", stamp), "w",
-                                       force_zip64=True)
+        # Sheets are so repetitive that the fastest level makes them small as well.
+        member = zipfile.ZipInfo("xl/worksheets/sheet1.xml", stamp)
+        member.compress_type, member.compress_level = zipfile.ZIP_DEFLATED, 1
+        self.sheet = self.archive.open(member, "w", force_zip64=True)
         self.sheet.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
 
-    def row(self, number: int, cells) -> None:
-        if number > MAX_ROWS:
-            raise ValueError(f"a sheet has at most {MAX_ROWS} rows; write further files")
-        held = "".join(cell_xml(number, col, c["kind"], c["raw"]) for col, c in sorted(
-            cells, key=lambda x: x[0]))
-        self.sheet.write(f'<row r="{number}">{held}</row>'.encode("utf-8", "surrogatepass"))
+    def rows(self, xml: pa.Array) -> None:
+        self.sheet.write("".join(xml.to_pylist()).encode())
 
     def close(self) -> bytes:
         self.sheet.write(b"</sheetData></worksheet>")
@@ -113,13 +143,19 @@ def _write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                             ("rows", pa.int64())]))
 
     for batch in batches:
-        for path, number, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if path != now:
-                if now is not None:
-                    yield done()
-                now, book, rows = path, _Workbook(), 0
-            book.row(number, cells or [])
-            rows += 1
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            paths, numbers, maps = batch.slice(at, ROWS_AT_ONCE).columns
+            paths = paths.to_pylist()
+            xml = rows_xml(numbers, maps)
+            a = 0
+            while a < len(paths):
+                b = bisect.bisect_right(paths, paths[a], a)
+                if paths[a] != now:
+                    if now is not None:
+                        yield done()
+                    now, book, rows = paths[a], _Workbook(), 0
+                book.rows(xml.slice(a, b - a))
+                rows, a = rows + b - a, b
     if now is not None:
         yield done()
 

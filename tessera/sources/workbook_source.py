@@ -11,12 +11,13 @@ that cannot be read has its error there (``mode`` ``failfast`` raises instead);
 shows only later comes as a second row 0 after the rows before it.
 
 Planning lists the folder once (names, sizes and times; no contents) and packs files into
-partitions by size, ``partitionBytes`` each, as Spark does for its own file formats; a workbook is
-never split. A task opens its files through the folder's file system and reads only the
+partitions by size, as Spark does for its own file formats: ``partitionBytes`` each at most, and
+less where the ``cores`` of the session would not all have some; a workbook is never split. A task opens its files through the folder's file system and reads only the
 parts of the zip archive that it needs, so heads cost a small read each.
 
 Options: ``glob`` (``*.xlsx``), ``rows`` (rows of each sheet, all by default), ``partitionBytes``
-(32 MB), ``openBytes`` (what opening a file counts as, 1 MB), ``maxFilesPerBatch`` (streams),
+(32 MB), ``openBytes`` (what opening a file counts as, 1 MB), ``cores`` (1, by ``read_workbooks``
+those of the session), ``maxFilesPerBatch`` (streams),
 ``mode`` (``permissive`` or ``failfast``), ``pushdown`` (``true`` if the session has
 ``spark.sql.python.filterPushdown.enabled``: filters on path or name then choose the files).
 
@@ -29,7 +30,6 @@ from __future__ import annotations
 
 import datetime
 import fnmatch
-import itertools
 from dataclasses import dataclass
 from typing import Iterator
 
@@ -46,7 +46,8 @@ CELLS = pa.map_(pa.int32(), pa.struct([("kind", pa.string()), ("raw", pa.string(
 ARROW = pa.schema([("path", pa.string()), ("name", pa.string()), ("length", pa.int64()),
                    ("modified", pa.timestamp("us", tz="UTC")), ("row_no", pa.int32()),
                    ("cells", CELLS), ("error", pa.string())])
-ROWS_PER_BATCH = 1000
+#: A row 0 without cells.
+NO_CELLS = pa.array([0], pa.int32()), pa.array([[]], CELLS)
 
 
 @dataclass(frozen=True)
@@ -90,12 +91,18 @@ def list_folder(folder: str, glob: str = "*.xlsx") -> list[File]:
     return sorted(found, key=lambda f: f.name)
 
 
-def pack(files: list[File], partition_bytes: int, open_bytes: int) -> list[Files]:
+def partitions_of(total: int, partition_bytes: int, open_bytes: int, cores: int) -> int:
+    """How many partitions ``total`` bytes make: Spark's rule for its file formats."""
+    return max(1, -(-total // min(partition_bytes, max(open_bytes, -(-total // cores), 1))))
+
+
+def pack(files: list[File], partition_bytes: int, open_bytes: int, cores: int = 1) -> list[Files]:
     """Files in partitions of about ``partition_bytes``, largest first into the emptiest."""
     if not files:
         return []
     total = sum(f.length + open_bytes for f in files)
-    bins = [[0, k, []] for k in range(min(len(files), max(1, -(-total // partition_bytes))))]
+    bins = [[0, k, []] for k in range(min(len(files), partitions_of(
+        total, partition_bytes, open_bytes, cores)))]
     import heapq
     heapq.heapify(bins)
     for f in sorted(files, key=lambda f: (-f.length, f.name)):
@@ -115,6 +122,7 @@ class _Settings:
         self.rows = None if rows is None else int(rows)
         self.partition_bytes = int(options.get("partitionBytes", 32 << 20))
         self.open_bytes = int(options.get("openBytes", 1 << 20))
+        self.cores = int(options.get("cores", 1))
         self.most_files = int(options.get("maxFilesPerBatch", 0))
         self.fail_fast = options.get("mode", "permissive").lower() == "failfast"
         self.pushdown = options.get("pushdown", "false").lower() == "true"
@@ -122,31 +130,31 @@ class _Settings:
 
 def read_files(files: list[File], rows: int | None, fail_fast: bool) -> Iterator[pa.RecordBatch]:
     """Sheet rows of workbooks, one workbook at a time, after a row 0 for each."""
-    from .workbooks import workbook_rows
+    from .workbooks import row_columns
     for f in files:
         modified = datetime.datetime.fromtimestamp(f.modified / 1e6, datetime.timezone.utc)
+        own = [f.path, f.name, f.length, modified]
 
-        def batch(part, error=None, f=f, modified=modified):
-            return pa.RecordBatch.from_pylist(
-                [{"path": f.path, "name": f.name, "length": f.length, "modified": modified,
-                  "row_no": n, "cells": c, "error": error} for n, c in part], schema=ARROW)
+        def batch(row_nos, cells, error=None, own=own):
+            n = len(row_nos)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v] * n, field.type) for v, field in zip(own, ARROW)]
+                + [row_nos, cells, pa.array([error] * n, pa.string())], schema=ARROW)
 
         try:
             system, path = open_system(f.path)
             with system.open_input_file(path) as source:
-                sheet = iter(workbook_rows(source))
-                if rows is not None:
-                    sheet = itertools.takewhile(lambda r: r[0] <= rows, sheet)
+                sheet = row_columns(source, rows)
                 # The first rows are read before the file counts as readable.
-                part = list(itertools.islice(sheet, ROWS_PER_BATCH))
-                yield batch([(0, [])])
+                part = next(sheet, None)
+                yield batch(*NO_CELLS)
                 while part:
-                    yield batch(part)
-                    part = list(itertools.islice(sheet, ROWS_PER_BATCH))
+                    yield batch(*part)
+                    part = next(sheet, None)
         except Exception as e:  # any damage of an archive
             if fail_fast:
                 raise
-            yield batch([(0, [])], f"{type(e).__name__}: {e}"[:500])
+            yield batch(*NO_CELLS, f"{type(e).__name__}: {e}"[:500])
 
 
 class WorkbookReader(DataSourceReader):
@@ -159,7 +167,8 @@ class WorkbookReader(DataSourceReader):
                 if all(k(f) for k in self.keep)]
 
     def partitions(self) -> list[Files]:
-        packed = pack(self._files(), self.settings.partition_bytes, self.settings.open_bytes)
+        packed = pack(self._files(), self.settings.partition_bytes, self.settings.open_bytes,
+                      self.settings.cores)
         return packed or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -257,7 +266,8 @@ def read_workbooks(spark: SparkSession, folder: str, rows: int | None = None, **
     """Sheet rows of a folder's workbooks; ``rows`` reads only the first rows of each sheet."""
     register(spark)
     reader = spark.read.format(NAME)
-    for name, value in ({"rows": rows} | options).items():
+    cores = spark.sparkContext.defaultParallelism
+    for name, value in ({"rows": rows, "cores": cores} | options).items():
         if value is not None:
             reader = reader.option(name, str(value))
     return reader.load(folder)
@@ -270,7 +280,8 @@ def read_listed(files: DataFrame, partition_bytes: int = 32 << 20) -> DataFrame:
     task opens its own. So a choice among files (the newest pulls) never visits the driver."""
     from pyspark.sql import functions as F
     total = files.agg(F.sum(F.col("length") + (1 << 20))).first()[0] or 0
-    dealt = files.select("path", "length").repartition(max(1, -(-total // partition_bytes)))
+    dealt = files.select("path", "length").repartition(partitions_of(
+        total, partition_bytes, 1 << 20, files.sparkSession.sparkContext.defaultParallelism))
 
     def run(batches):
         for batch in batches:

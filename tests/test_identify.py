@@ -1,7 +1,9 @@
 """What a workbook is: date ranges of titles, header signatures, the data source."""
 
+import io
 import os
 import time
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +128,64 @@ def test_round_trip_heads_and_damaged_files(spark, tmpdir_path):
     assert WS.read_workbooks(spark, empty).count() == 0
 
 
+def sheet_file(rows, head="", shared=()):
+    from xml.sax.saxutils import escape
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for name, text in SK.PARTS.items():
+            z.writestr(name, text)
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{SK._MAIN}">' + "".join(
+            f"<si><t>{escape(t)}</t></si>" for t in shared) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{SK._MAIN}">{head}<sheetData>'
+                   f"{rows}</sheetData><mergeCells/></worksheet>")
+    return data.getvalue()
+
+
+def test_plain_and_other_rows_read_alike():
+    from tessera.sources import workbooks as W
+    odd = {2: '<row r="2"><c r="A2" s="1"/><c r="B2" t="str"><f>1&lt;2</f><v>x</v></c></row>',
+           4: '<row><c><v>7</v></c><c r="D4" t="inlineStr"><is><r><t>a</t></r><r><t>b</t></r></is></c></row>',
+           6: '<!-- </row> --><row r="6"><c r="A6"><v>6</v></c></row>',
+           8: '<row r="8"><c r="A8" t="inlineStr"><v>no text</v></c><c r="B8" t="b"><v>1</v></c></row>'}
+    plain = ('<row r="{0}" spans="1:28"><c r="A{0}" t="s"><v>0</v></c><c r="AB{0}" s="3"><v>{0}</v></c><c r="AC{0}" '
+             't="inlineStr"><is><t xml:space="preserve"> &amp;lt; &lt;é\n</t></is></c></row>')
+    texts = [odd.get(n) or plain.format(n) for n in range(1, 2500)]
+    got = list(W.workbook_cells(sheet_file("".join(texts), shared=["one & two"])))
+    whole = list(W.workbook_cells(sheet_file("".join(t.replace("</c>", "</c> ") for t in texts), shared=["one & two"])))
+    assert got == whole
+    by_row = {}
+    for r, c, k, raw in got:
+        by_row.setdefault(r, []).append((c, k, raw))
+    assert by_row[1] == [(1, "s", "one & two"), (28, "n", "1"), (29, "s", " &lt; <é\n")]
+    assert by_row[2] == [(2, "s", "x")] and by_row[4] == [(1, "n", "7"), (4, "s", "ab")]
+    assert by_row[6] == [(1, "n", "6")] and by_row[8] == [(2, "b", "TRUE")] and len(by_row) == 2499
+    batches = list(W.row_columns(sheet_file("".join(texts), shared=["one & two"])))
+    assert [len(n) for n, _ in batches] == [1000, 1000, 499]
+    assert [[(c, v["kind"], v["raw"]) for c, v in m] for _, ms in batches for m in ms.to_pylist()] == list(by_row.values())
+    assert sum(len(n) for n, _ in W.row_columns(sheet_file("".join(texts), shared=["one & two"]), 5)) == 5
+
+
+def test_sheets_are_packed_and_damage_shows_after_the_rows_before_it(spark, tmpdir_path):
+    from tessera.sources import workbooks as W
+    d = os.path.join(tmpdir_path, "wb")
+    rows = rows_df(spark, "a.xlsx", [(n, [(2, "s", f"a <{n}>"), (1, "n", str(n))]) for n in range(1, 4001)])
+    told = SK.write_workbooks(rows, d).first()
+    assert told.rows == 4000 and told.length < 100_000  # 500 KB as XML
+    cells = list(W.workbook_cells(open(os.path.join(d, "a.xlsx"), "rb").read()))
+    assert cells[:3] == [(1, 1, "n", "1"), (1, 2, "s", "a <1>"), (2, 1, "n", "2")] and len(cells) == 8000
+    plain = "".join(f'<row r="{n}"><c r="A{n}"><v>1</v></c></row>' for n in range(1, 2500))
+    with open(os.path.join(d, "a.xlsx"), "wb") as f:
+        f.write(sheet_file(plain + "<row><oops></row>"))
+    got = WS.read_workbooks(spark, d).select("row_no", "error").collect()
+    assert len(got) == 2002 and "mismatched" in [r.error for r in got if r.error][0]
+
+
+def test_files_are_dealt_to_the_cores_of_the_session():
+    files = [WS.File(f"/w/{k}", f"{k}", 1 << 20, 0) for k in range(24)]
+    assert len(WS.pack(files, 32 << 20, 1 << 20)) == 2  # by size alone
+    assert len(WS.pack(files, 32 << 20, 1 << 20, 12)) == 12
+
+
 def test_filters_choose_files(spark, tmpdir_path):
     d = os.path.join(tmpdir_path, "wb")
     SK.write_workbooks(rows_df(spark, "a.xlsx").unionByName(rows_df(spark, "b.xlsx")), d).collect()
