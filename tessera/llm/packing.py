@@ -62,12 +62,12 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         rows, size, docs_with = [], 0, np.zeros(1 << 16, np.int64)
         for k, ids in coder.rows(texts_in(batches, "key", "text")):
             ids = np.concatenate([ids, tail])
-            if ids.max(initial=0) < 1 << 16:
+            top = int(ids.max(initial=0))
+            if top < 1 << 16:
                 ids = ids.astype("<u2")
-            terms = np.unique(ids)
-            if len(terms) and terms[-1] >= len(docs_with):
-                docs_with = np.concatenate([docs_with, np.zeros(int(terms[-1]) + 1, np.int64)])
-            docs_with[terms] += 1
+            if top >= len(docs_with):
+                docs_with = np.concatenate([docs_with, np.zeros(top + 1, np.int64)])
+            docs_with[ids] += 1  # an id that is repeated is added once
             rows.append({"key": k, "part": part, "row": row, "n": len(ids),
                          "ids": ids.tobytes()})
             row, size = row + 1, size + ids.nbytes

@@ -21,7 +21,8 @@ from tessera.llm.common import Growing, mix64, powers
 
 MAX_SEGMENTS = 1_500_000
 MAX_SEGMENT_CHARS = 64
-BATCH_CHARS = 1 << 18
+#: Characters encoded at once: enough that the table is seldom rebuilt.
+BATCH_CHARS = 400_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Signs that end a word without being letters, figures, white space or apostrophes.
 CLOSING = ".,;:!?%$#&*)]"
@@ -150,10 +151,13 @@ class Encoder:
         stop = np.append(at[1:], len(raw))
         size = (stop - at).astype(np.uint64)
         hashes = []
+        wide = raw.astype(np.uint64)
+        wide += np.uint64(1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
         for base in BASES:
             power, back = powers(base, 1 << max(16, (len(raw) - 1).bit_length()))
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:len(raw)], out=sums[1:])
+            np.multiply(wide, power[:len(raw)], out=sums[1:])
+            np.cumsum(sums[1:], out=sums[1:])
             hashes.append(mix64((sums[stop] - sums[at]) * back[at] + size))
         key, check = hashes[0], (hashes[1] >> np.uint64(32)).astype(np.uint32)
         known, first, each = np.unique(key, return_index=True, return_inverse=True)
@@ -191,10 +195,15 @@ class Encoder:
             start[new] = self.pool.n + np.cumsum(count[new]) - count[new]
             self.pool.extend([i for t in told for i in t])
             add = np.flatnonzero(~there)
-            self.keys = np.insert(self.keys, place[add], key[add])
-            self.checks = np.insert(self.checks, place[add], check[add])
-            self.starts = np.insert(self.starts, place[add], start[add])
-            self.counts = np.insert(self.counts, place[add], count[add])
+            at = place[add] + np.arange(len(add))
+            old = np.ones(len(self.keys) + len(add), bool)
+            old[at] = False
+            for name, values in (("keys", key), ("checks", check), ("starts", start),
+                                 ("counts", count)):
+                held = getattr(self, name)
+                wider = np.empty(len(old), held.dtype)
+                wider[old], wider[at] = held, values[add]
+                setattr(self, name, wider)
         return start, count
 
     def rows(self, rows: Iterable[tuple[object, str | None]]) -> Iterator[tuple[object, np.ndarray]]:

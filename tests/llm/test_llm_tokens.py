@@ -231,3 +231,15 @@ def test_a_query_holds_all_terms_of_a_document():
     idf = np.linspace(5, 1, 400).astype(np.float32)
     seen = packing.Index(docs, idf, 60.0).scores(0, packing.QUERY_TERMS)
     assert seen[1] > 0 and seen[2] == 0 and (seen[3:] > 0).all()
+
+
+def test_the_table_of_segments_is_seldom_rebuilt():
+    coder, sizes = Encoder(tokenizer_path()), []
+    encode_many = coder.encode_many
+    coder.encode_many = lambda texts: sizes.append(len(texts)) or encode_many(texts)
+    assert len(list(coder.rows((k, "a word or two " * 100) for k in range(900)))) == 900
+    assert len(sizes) <= 4 and sum(sizes) == 900  # 1,260,000 characters
+    before = coder.keys
+    coder.encode_many([f"new{chr(97 + k % 26)}{chr(97 + k // 26)} word" for k in range(400)])
+    assert len(coder.keys) > len(before) and (np.diff(coder.keys.astype(object)) > 0).all()
+    assert len(coder.keys) == len(coder.checks) == len(coder.starts) == len(coder.counts)
