@@ -1,9 +1,10 @@
 """Exact, cached encoding with a public byte-level BPE tokenizer.
 
-A byte-level BPE splits before a space that stands between two characters
-which are not white space: no token reaches across it. ``Encoder`` cuts a batch of texts at
-those spaces, hashes all segments at once, looks them up in a sorted table of hashes and has
-the tokenizers library encode only segments not seen before. So the ids equal those of
+A byte-level BPE splits before a space that stands between two characters which are not
+white space, and between a letter and a sign after it: no token reaches across. ``Encoder``
+cuts a batch of texts there, hashes all segments at once, looks them up in a sorted table of
+hashes and has the tokenizers library encode only segments not seen before; plain words
+go to its model in one string, as its splitter leaves them whole. So the ids equal those of
 the whole text encoded at once (tested against it) at a fraction of the time. A segment
 is known by 96 bits of two independent hashes. The table is emptied when full. A text that
 holds the string of an added token (an end mark) is given to the library as it is.
@@ -20,44 +21,60 @@ import numpy as np
 from tessera.llm.common import Growing, mix64, powers
 
 MAX_SEGMENTS = 1_500_000
-MAX_SEGMENT_CHARS = 64
 #: Characters encoded at once: enough that the table is seldom rebuilt.
 BATCH_CHARS = 400_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Signs that end a word without being letters, figures, white space or apostrophes.
-CLOSING = ".,;:!?%$#&*)]"
-#: Letters up to here have been letters in every version of Unicode.
-LAST_SETTLED = "ɏ"
-#: How the byte-level alphabet shows a space.
-SPACE = chr(0x120)
+#: Bytes of new segments given to the library in one string.
+JOINED_BYTES = 1 << 16
 
 
-def _byte_characters() -> dict[int, str]:
+def _byte_characters() -> np.ndarray:
     """The byte-level alphabet: printable bytes stand for themselves, the others for the
     characters from 256 on, in order."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    shown = np.arange(256, dtype="<u2")
+    hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+    shown[hidden] = 256 + np.arange(len(hidden))
+    return shown
 
 
-def _is_word(text: str) -> bool:
-    """Letters only, and such that every version of Unicode calls letters."""
-    return text.isalpha() and (text.isascii() or max(text) <= LAST_SETTLED)
+def _ascii_letters(raw: np.ndarray) -> np.ndarray:
+    low = raw | 0x20
+    return (low >= 0x61) & (low <= 0x7A)
+
+
+def _letters(raw: np.ndarray) -> np.ndarray:
+    """Bytes of letters that every version of Unicode calls letters: ASCII's, and two-byte ones
+    from U+00C0 up to U+024F."""
+    lead, second = raw[:-1], raw[1:]
+    pair = (lead >= 0xC3) & (lead <= 0xC9) & ((second & 0xC0) == 0x80)
+    pair &= ~((lead == 0xC3) & ((second == 0x97) | (second == 0xB7)))  # times and divided by
+    pair &= (lead < 0xC9) | (second <= 0x8F)
+    out = _ascii_letters(raw)
+    out[:-1] |= pair
+    out[1:] |= pair
+    return out
 
 
 def segments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Where segments begin in the UTF-8 bytes of texts laid end to end.
 
-    A segment begins with a text or with a space between two characters that are
-    plainly not white space: printable ASCII, or a two-byte character from U+00C0 on."""
+    A segment begins with a text; with a space or a line feed between two characters that are
+    plainly not white space: printable ASCII, or a two-byte character from U+00C0 on; after
+    such a line feed; and with a printable ASCII character other than a letter that follows
+    an ASCII letter."""
     plain = (raw >= 0x21) & (raw <= 0x7E)
     lead = (raw >= 0xC3) & (raw <= 0xC9)
     before, after = plain.copy(), plain | lead
     before[1:] |= ((raw[1:] & 0xC0) == 0x80) & lead[:-1]
     begin = np.zeros(len(raw), bool)
-    begin[1:-1] = (raw[1:-1] == 0x20) & before[:-2] & after[2:]
+    between = before[:-2] & after[2:]
+    begin[1:-1] = (raw[1:-1] == 0x20) & between
+    line = 1 + np.flatnonzero((raw[1:-1] == 0x0A) & between)
+    begin[line] = begin[line + 1] = True
     some = ends > starts
     begin[ends[some] - 1] = False  # the byte after belongs to the next text
+    letter = _ascii_letters(raw)
+    begin[1:] |= letter[:-1] & (plain & ~letter)[1:]
     begin[starts[some]] = True
     return np.flatnonzero(begin)
 
@@ -66,11 +83,18 @@ class Encoder:
     def __init__(self, path: str, max_segments: int = MAX_SEGMENTS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
         self.tokenizer = Tokenizer.from_file(path)
         # A text with an added token's string goes to the library whole.
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.model = self.tokenizer.model
+        # The model alone, for words that a line feed parts.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit("\n")
         self.characters = _byte_characters()
+        # A token has a character for each byte it stands for.
+        vocab = self.model.get_vocab()
+        self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.width[list(vocab.values())] = [len(t) for t in vocab]
         self.max_segments = max_segments
         self.clear()
 
@@ -78,52 +102,54 @@ class Encoder:
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool = Growing(np.uint32)
-        self.words: dict[str, list[int]] = {}
-
-    # -- one string ----------------------------------------------------------------
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, text: str) -> list[int]:
-        """Ids of a string that the tokenizer's splitter leaves whole."""
-        if text.isascii() and "\n" not in text:
-            shown = text.replace(" ", SPACE)
-        else:
-            shown = text.encode().decode("latin-1").translate(self.characters)
-        return [t.id for t in self.model.tokenize(shown)]
-
-    def _short(self, text: str) -> list[int]:
-        """``_piece``, remembered: line feeds, closing signs, words in front of them."""
-        told = self.words.get(text)
-        if told is None:
-            if len(self.words) > 1 << 16:
-                self.words = {}
-            told = self.words[text] = self._piece(text)
-        return told
-
-    def _segment(self, text: str) -> list[int] | None:
-        """Ids of a segment, or None if only the library's splitter can tell.
-
-        Words are looked at without closing signs and line by line: a line feed between
-        two characters that are not white space is a token of its own."""
-        if len(text) > MAX_SEGMENT_CHARS:
-            return None
-        lead, body = (" ", text[1:]) if text[0] == " " else ("", text)
-        if _is_word(body):
-            return self._piece(text)
-        out: list[int] = []
-        for k, line in enumerate(body.split("\n")):
-            word = line.rstrip(CLOSING)
-            if not _is_word(word):
-                return None
-            if k:
-                out += self._short("\n")
-                lead = ""
-            out += self._short(lead + word)
-            if len(word) < len(line):
-                out += self._short(line[len(word):])
-        return out
+    # -- new segments ----------------------------------------------------------------
+
+    def _mixed(self, raw: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments laid end to end, and how many each has."""
+        bounds = np.append(0, end).tolist()
+        told = self.plain([raw[i:j].tobytes().decode("utf-8", "surrogatepass")
+                           for i, j in zip(bounds[:-1], bounds[1:], strict=True)])
+        return (np.array([i for t in told for i in t], np.uint32),
+                np.array([len(t) for t in told], np.int32))
+
+    def _words(self, raw: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_mixed`` for words, which the splitter leaves whole: the model is given them as one
+        string, and the bytes of its tokens tell where a word's ids end."""
+        shown = np.full(len(raw) + len(end), ord("\n"), "<u2")
+        at = np.arange(len(raw))
+        shown[at + np.searchsorted(end, at, "right")] = self.characters[raw]
+        told = self.model.encode_batch_fast([shown.tobytes().decode("utf-16-le")],
+                                            add_special_tokens=False)
+        ids = np.array(told[0].ids, np.uint32)
+        upto = np.cumsum(self.width[ids])
+        edge = np.searchsorted(upto, end)
+        if not len(upto) or upto[-1] != len(raw) or (upto[edge] != end).any():
+            return self._mixed(raw, end)  # bytes that the vocabulary has no token for
+        return ids, np.diff(edge, prepend=-1).astype(np.int32)
+
+    def _encode_new(self, raw: np.ndarray, at: np.ndarray,
+                    stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the pool and numbers of ids of segments that are added to it."""
+        others = np.append(0, np.cumsum(~_letters(raw)))
+        body = at + (raw[at] == 0x20)
+        word = (stop > body) & (others[stop] == others[body])
+        start, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int32)
+        for some, tell in ((np.flatnonzero(word), self._words),
+                           (np.flatnonzero(~word), self._mixed)):
+            full = np.cumsum(stop[some] - at[some]) // JOINED_BYTES
+            for part in np.split(some, np.flatnonzero(np.diff(full)) + 1):
+                if not len(part):
+                    continue
+                size = stop[part] - at[part]
+                end = np.cumsum(size)
+                ids, many = tell(raw[np.repeat(stop[part] - end, size) + np.arange(end[-1])], end)
+                start[part], count[part] = self.pool.n + np.cumsum(many) - many, many
+                self.pool.extend(ids)
+        return start, count
 
     # -- a batch ---------------------------------------------------------------------
 
@@ -163,7 +189,7 @@ class Encoder:
         known, first, each = np.unique(key, return_index=True, return_inverse=True)
         if (check[first][each] != check).any():  # two segments of one hash in a batch
             return [np.array(i, np.uint32) for i in self.plain([t or "" for t in texts])]
-        start, count = self._look_up(known, check[first], at[first], stop[first], blob)
+        start, count = self._look_up(known, check[first], at[first], stop[first], raw)
         count = count[each]
         upto = np.cumsum(count)
         ids = self.pool.data[np.repeat(start[each] - upto + count, count) + np.arange(upto[-1])]
@@ -172,7 +198,7 @@ class Encoder:
         edge = np.searchsorted(at, np.append(starts, len(raw)))
         return [ids[before[i]:before[j]] for i, j in zip(edge[:-1], edge[1:], strict=True)]
 
-    def _look_up(self, key, check, at, stop, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def _look_up(self, key, check, at, stop, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and numbers of ids in the pool of distinct segments in hash order; new
         ones are encoded and added."""
         place = np.searchsorted(self.keys, key)
@@ -185,15 +211,7 @@ class Encoder:
         start[same], count[same] = self.starts[place[same]], self.counts[place[same]]
         new = np.flatnonzero(~same)
         if len(new):
-            texts = [blob[i:j].decode("utf-8", "surrogatepass")
-                     for i, j in zip(at[new].tolist(), stop[new].tolist(), strict=True)]
-            told = [self._segment(t) for t in texts]
-            rest = [k for k, t in enumerate(told) if t is None]
-            for k, ids in zip(rest, self.plain([texts[k] for k in rest]), strict=True):
-                told[k] = ids
-            count[new] = [len(t) for t in told]
-            start[new] = self.pool.n + np.cumsum(count[new]) - count[new]
-            self.pool.extend([i for t in told for i in t])
+            start[new], count[new] = self._encode_new(raw, at[new], stop[new])
             add = np.flatnonzero(~there)
             at = place[add] + np.arange(len(add))
             old = np.ones(len(self.keys) + len(add), bool)

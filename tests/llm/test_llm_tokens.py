@@ -243,3 +243,21 @@ def test_the_table_of_segments_is_seldom_rebuilt():
     coder.encode_many([f"new{chr(97 + k % 26)}{chr(97 + k // 26)} word" for k in range(400)])
     assert len(coder.keys) > len(before) and (np.diff(coder.keys.astype(object)) > 0).all()
     assert len(coder.keys) == len(coder.checks) == len(coder.starts) == len(coder.counts)
+
+
+def test_a_word_is_known_whatever_sign_follows(plain):
+    coder, rng = Encoder(tokenizer_path()), random.Random(5)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(9)) + "n" for _ in range(200)]
+    texts = [" ".join(w + sign for w in words) for sign in (".", ",", "!)", "'s", "-3", ".\nNext")]
+    texts += [text[1:] for text in texts] + ["naïve×3 a÷b ªb Ⱦx ɏ. ɐ. don't'll 'twas\n\nx", "x\ny\n"]
+    for text, ids in zip(texts, coder.encode_many(texts), strict=True):
+        assert ids.dtype == np.uint32 and ids.tolist() == plain(text)
+    assert len(coder.keys) < 2 * len(set(words))
+
+
+def test_a_vocabulary_without_some_bytes():
+    """Where the model drops bytes, a word's ids are those of the word alone."""
+    coder = Encoder(tokenizer_path())
+    coder.width = coder.width + 1
+    text = "some words of another vocabulary"
+    assert coder.encode(text).tolist() == coder.plain([text])[0]
