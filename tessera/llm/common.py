@@ -65,7 +65,7 @@ class Growing:
     def __init__(self, kind) -> None:
         self.data, self.n = np.zeros(1024, kind), 0
 
-    def extend(self, values: list) -> None:
+    def extend(self, values: list | np.ndarray) -> None:
         need = self.n + len(values)
         if need > len(self.data):
             wider = np.zeros(max(need, 2 * len(self.data)), self.data.dtype)

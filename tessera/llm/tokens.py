@@ -20,10 +20,12 @@ import numpy as np
 
 from tessera.llm.common import Growing, mix64, powers
 
-MAX_SEGMENTS = 1_500_000
+MAX_SEGMENTS, MAX_IDS = 1_500_000, 1 << 26
 #: Characters encoded at once: enough that the table is seldom rebuilt.
 BATCH_CHARS = 400_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Bytes hashed at once, if no segment is longer: the powers that a worker keeps are as many.
+HASHED_BYTES = 1 << 16
 #: Bytes of new segments given to the library in one string.
 JOINED_BYTES = 1 << 16
 
@@ -79,6 +81,26 @@ def segments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.flatnonzero(begin)
 
 
+def _hashes(raw: np.ndarray, at: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    """A polynomial hash of every segment for each base; segments lie end to end."""
+    out = [np.empty(len(at), np.uint64) for _ in BASES]
+    size = (stop - at).astype(np.uint64)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(stop, at[i] + HASHED_BYTES, "right")))
+        wide = raw[at[i]:stop[j - 1]].astype(np.uint64)
+        wide += np.uint64(1)
+        sums = np.zeros(len(wide) + 1, np.uint64)
+        first, last = at[i:j] - at[i], stop[i:j] - at[i]
+        for base, hashes in zip(BASES, out, strict=True):
+            power, back = powers(base, max(HASHED_BYTES, 1 << (len(wide) - 1).bit_length()))
+            np.multiply(wide, power[:len(wide)], out=sums[1:])
+            np.cumsum(sums[1:], out=sums[1:])
+            hashes[i:j] = mix64((sums[last] - sums[first]) * back[first] + size[i:j])
+        i = j
+    return out
+
+
 class Encoder:
     def __init__(self, path: str, max_segments: int = MAX_SEGMENTS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,13 +117,15 @@ class Encoder:
         vocab = self.model.get_vocab()
         self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
         self.width[list(vocab.values())] = [len(t) for t in vocab]
+        top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        self.kind = np.uint16 if top < 1 << 16 else np.uint32
         self.max_segments = max_segments
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool = Growing(np.uint32)
+        self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int32)
+        self.pool = Growing(self.kind)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -170,21 +194,12 @@ class Encoder:
         blob = b"".join(data)
         if not blob:
             return [np.zeros(0, np.uint32) for _ in texts]
-        if len(self.keys) > self.max_segments:
+        if len(self.keys) > self.max_segments or self.pool.n > MAX_IDS:
             self.clear()
         raw = np.frombuffer(blob, np.uint8)
         at = segments(raw, starts, ends)
         stop = np.append(at[1:], len(raw))
-        size = (stop - at).astype(np.uint64)
-        hashes = []
-        wide = raw.astype(np.uint64)
-        wide += np.uint64(1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        for base in BASES:
-            power, back = powers(base, 1 << max(16, (len(raw) - 1).bit_length()))
-            np.multiply(wide, power[:len(raw)], out=sums[1:])
-            np.cumsum(sums[1:], out=sums[1:])
-            hashes.append(mix64((sums[stop] - sums[at]) * back[at] + size))
+        hashes = _hashes(raw, at, stop)
         key, check = hashes[0], (hashes[1] >> np.uint64(32)).astype(np.uint32)
         known, first, each = np.unique(key, return_index=True, return_inverse=True)
         if (check[first][each] != check).any():  # two segments of one hash in a batch
@@ -192,7 +207,9 @@ class Encoder:
         start, count = self._look_up(known, check[first], at[first], stop[first], raw)
         count = count[each]
         upto = np.cumsum(count)
-        ids = self.pool.data[np.repeat(start[each] - upto + count, count) + np.arange(upto[-1])]
+        place = np.repeat(start[each] - upto + count, count)
+        place += np.arange(upto[-1])
+        ids = self.pool.data[place].astype(np.uint32)
         # Ids before each text: those of the segments before its first.
         before = np.concatenate([[0], upto])
         edge = np.searchsorted(at, np.append(starts, len(raw)))

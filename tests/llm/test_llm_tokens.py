@@ -261,3 +261,15 @@ def test_a_vocabulary_without_some_bytes():
     coder.width = coder.width + 1
     text = "some words of another vocabulary"
     assert coder.encode(text).tolist() == coder.plain([text])[0]
+
+
+def test_a_worker_keeps_few_bytes_besides_its_table(plain, monkeypatch):
+    from tessera.llm import tokens
+    sizes, powers = [], tokens.powers
+    monkeypatch.setattr(tokens, "powers", lambda base, size: sizes.append(size) or powers(base, size))
+    coder = Encoder(tokenizer_path())
+    texts = ["some words of a text é " * 900 for _ in range(30)] + ["x" * 70_000 + " end"]
+    for (_, ids), text in zip(coder.rows(enumerate(texts)), texts, strict=True):
+        assert len(text) < 70_000 or ids.tolist() == plain(text)
+    assert sorted(set(sizes)) == [1 << 16, 1 << 17]  # the longer for the one long word alone
+    assert sizes.count(1 << 17) == len(tokens.BASES) and coder.pool.data.itemsize == 2
